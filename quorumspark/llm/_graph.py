@@ -4,19 +4,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the folder that the session names in spark.checkpoint.dir.
-
-    A folder is set here only where the session has none (a single machine, as in tests).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark) -> str:
+    """The folder that the session names in spark.checkpoint.dir; set here only where the session has none (one machine, as in tests)."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             import tempfile
 
             where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
