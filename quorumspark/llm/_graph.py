@@ -53,3 +53,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()).distinct()
+
+
+def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """`df`, checkpointed and counted: marked for broadcast if it has at most `most` rows, else left to a shuffled join. For rows of bounded width."""
+    df = shared(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

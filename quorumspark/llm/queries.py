@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorumspark.llm import bpe, chat, decontaminate, lines, minhash, quality, suffix, urls
+from quorumspark.llm import bpe, chat, decontaminate, html, lines, minhash, quality, suffix, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -31,6 +31,15 @@ def op5_urls(spark, sf_dir):
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.digest(warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"))))
+
+
+def op7_html(spark, sf_dir):
+    text = html.main_text(_table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_lines(spark, sf_dir):
     return lines.repeated_chunks(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -46,7 +55,7 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.format_chats(turns.union(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op8_lines, op9_decontaminate, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat)}
 
 _LOWERED = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP5 = r"""
@@ -77,6 +86,13 @@ SELECT page_id, p.host, p.path, b.rule, coalesce(b.action, CASE WHEN s.allowed T
 FROM p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN spread s ON s.node = p.node
 """.replace("{host}", _LOWERED % "regexp_extract(url, '://([^/?#]*)', 1)")
 
+_OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM m
+"""
+
 _OP8 = r"""
 WITH l AS (
   SELECT doc_id, line, i, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
@@ -108,4 +124,4 @@ FROM judged GROUP BY conv_id
 for _c in ("text", "role"):
     _OP10 = _OP10.replace(f"{{escapes_{_c}}}", "(" + " + ".join(f"(length({_c}) - length(replace({_c}, '{x}', ''))) // {len(x)}" for x in ("\\", "<|", "|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\", "|\\", "[\\")) + ")")
 
-SQL = {"op5_urls": _OP5, "op8_lines": _OP8, "op10_chat": _OP10}
+SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10}
