@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from quorumspark.llm import _arrow as A
 from quorumspark.llm._graph import components, shared
 
-SEGMENT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("total", "<i4"), ("n", "<i4")])
+SEGMENT = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("total", "<u4"), ("n", "<u4")])
+TEXT = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("total", "<u4"), ("copies", "<i8"), ("n", "<i8")])
+ENTRY = np.dtype([("feature", "<u8"), ("weight", "<f4")])
+#: A bucket is worked off in so many ranges of hashes, one after the other.
+RANGES = 8
 
 
 def _keys(batches):
@@ -36,7 +40,7 @@ def _keys(batches):
         text = pc.utf8_lower(pc.fill_null(b.column(1), ""))
         for i, j, data, offsets in A.slices(text):
             k1, k2 = A.Words(data, offsets).keys()
-            yield pa.record_batch([b.column(0).slice(i, j - i), A.signed(k1), A.signed(k2)], ["id", "k1", "k2"])
+            yield pa.record_batch([b.column(0).slice(i, j - i), A.signed(k1), A.signed(k2 >> np.uint64(32))], ["id", "k1", "k2"])
 
 
 def _dealt(k, buckets):
@@ -56,7 +60,7 @@ def _dealt(k, buckets):
                 cut = A.runs(bucket.astype(np.int64) * len(each) + doc)
                 seg = np.empty(len(cut), SEGMENT)
                 at = doc[cut]
-                seg["k1"], seg["k2"], seg["total"], seg["n"] = k1.view(np.int64)[at], k2.view(np.int64)[at], each[at], np.diff(np.append(cut, len(doc)))
+                seg["k1"], seg["k2"], seg["total"], seg["n"] = k1.view(np.int64)[at], (k2 >> np.uint64(32))[at], each[at], np.diff(np.append(cut, len(doc)))
                 own = A.runs(bucket[cut])
                 stop = np.append(own[1:], len(cut))
                 yield pa.record_batch([pa.array(bucket[cut[own]].astype(np.int64)), A.blobs(seg.view(np.uint8).reshape(-1, SEGMENT.itemsize), stop), A.blobs(low, np.append(cut, len(doc))[stop])], ["bucket", "segments", "hashes"])
@@ -64,54 +68,99 @@ def _dealt(k, buckets):
     return run
 
 
-def _shared(n_docs):
-    def idf(df):
-        return 1 + np.log((1 + n_docs) / (1 + df)) / math.log(1 + n_docs)
+def _idf(df, n_docs):
+    return 1 + np.log((1 + n_docs) / (1 + df)) / math.log(1 + n_docs)
 
+
+def _shared(n_docs, buckets):
     def run(key, table):
         seg = A.joined(table.column("segments"), np.uint8).view(SEGMENT)
-        wide = np.zeros((int(seg["n"].sum()), 8), np.uint8)
-        wide[:, :6] = A.joined(table.column("hashes"), np.uint8).reshape(-1, 6)
-        h = wide.view(np.uint64).ravel()
+        low = A.joined(table.column("hashes"), np.uint8).reshape(-1, 6)
         order = np.lexsort((seg["k2"], seg["k1"]))
         s = seg[order]
         new = np.ones(len(s), bool)
         new[1:] = (s["k1"][1:] != s["k1"][:-1]) | (s["k2"][1:] != s["k2"][:-1])
-        cls = np.empty(len(seg), np.int64)
+        cls = np.empty(len(seg), np.int32)
         cls[order] = np.cumsum(new) - 1
+        texts = s[new]
         copies = np.bincount(cls)
-        # what a batch cut in two or copies of a text brought again counts once
+        # copies of a text bring the same shingles again: one of them stands for all
         chosen = np.zeros(len(seg), bool)
         chosen[order[new]] = True
-        pair = np.repeat(chosen, seg["n"])
-        h, c = h[pair], np.repeat(cls, seg["n"])[pair]
-        o = np.argsort(h)
-        hs = h[o]
-        same = np.zeros(len(hs) + 1, bool)
-        same[1:-1] = hs[1:] == hs[:-1]
-        o = o[same[1:] | same[:-1]]
-        o = o[np.lexsort((c[o], h[o]))]
-        h, c = h[o], c[o]
-        run = A.runs(h)
-        size = np.diff(np.append(run, len(h)))
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        if len(h):
-            texts = np.repeat(np.add.reduceat(first.astype(np.int64), run), size)
-            df = np.repeat(np.add.reduceat(np.where(first, copies[c], 0), run), size)
-            occurrence = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-            keep = texts > 1
-            h, c, df, occurrence = h[keep], c[keep], df[keep], occurrence[keep]
-            o = np.argsort(c, kind="stable")
-            h, c, df, occurrence = h[o], c[o], df[o], occurrence[o]
-            feature = A.mix(h + np.uint64((int(key[0].as_py()) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)) + occurrence.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            w = idf(df).astype(np.float32)
-        else:
-            feature, w = h, np.zeros(0, np.float32)
+        cls, chosen = np.repeat(cls, seg["n"]), np.repeat(chosen, seg["n"])
+        salt = np.uint64((int(key[0].as_py()) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        found = []
+        for part in range(RANGES):
+            at = np.flatnonzero(chosen & (low[:, 4] % RANGES == part))
+            wide = np.zeros((len(at), 8), np.uint8)
+            wide[:, :6] = low[at]
+            found.append(_repeats(wide.view(np.uint64).ravel(), cls[at], copies, n_docs, salt))
+        c = np.concatenate([c for c, _ in found])
+        entries = np.concatenate([e for _, e in found])
+        goal = (texts["k1"].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        o = np.lexsort((c, goal[c]))
+        c, entries = c[o], entries[o]
         run = A.runs(c)
-        stop = np.append(run[1:], len(c)) if len(run) else run
-        own = s[new][c[run]]
-        return pa.table([pa.array(own["k1"].copy()), pa.array(own["k2"].copy()), pa.array(own["total"].astype(np.int64)), pa.array(copies[c[run]].astype(np.int64)), pa.array((stop - run).astype(np.int64)), pa.array(np.add.reduceat(w.astype(np.float64), run) if len(run) else np.zeros(0)), A.blobs(feature, stop), A.blobs(w, stop)], ["k1", "k2", "total", "copies", "n_shared", "w_shared", "features", "weights"])
+        own = np.empty(len(run), TEXT)
+        t = c[run]
+        for name in ("k1", "k2", "total"):
+            own[name] = texts[name][t]
+        own["copies"], own["n"] = copies[t], np.diff(np.append(run, len(c)))
+        goal = goal[t].astype(np.int64)
+        cut = A.runs(goal)
+        stop = np.append(cut[1:], len(goal)) if len(cut) else cut
+        return pa.table([pa.array(goal[cut]), A.blobs(own.view(np.uint8).reshape(-1, TEXT.itemsize), stop), A.blobs(entries.view(np.uint8).reshape(-1, ENTRY.itemsize), np.append(run, len(c))[stop])], ["goal", "texts", "entries"])
+
+    return run
+
+
+def _repeats(h, c, copies, n_docs, salt):
+    """(class, entry) of every shingle that two texts have; the nth time that a text has it is a feature of its own, so that sums of least weights are sums over common features."""
+    o = np.argsort(h)
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[o][1:] == h[o][:-1]
+    o = o[same[1:] | same[:-1]]
+    o = o[np.lexsort((c[o], h[o]))]
+    h, c = h[o], c[o]
+    out = np.zeros(0, ENTRY)
+    if not len(h):
+        return c, out
+    run = A.runs(h)
+    size = np.diff(np.append(run, len(h)))
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    texts = np.repeat(np.add.reduceat(first.astype(np.int64), run), size)
+    df = np.repeat(np.add.reduceat(np.where(first, copies[c], 0), run), size)
+    again = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    keep = texts > 1
+    h, c, df, again = h[keep], c[keep], df[keep], again[keep]
+    out = np.empty(len(h), ENTRY)
+    out["feature"] = A.mix(h + salt + again.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    out["weight"] = _idf(df, n_docs)
+    return c, out
+
+
+def _possible(n_docs, threshold):
+    """Texts whose shared weight can reach the threshold at all, with their features."""
+
+    def run(table):
+        texts = A.joined(table.column("texts"), np.uint8).view(TEXT)
+        entries = A.joined(table.column("entries"), np.uint8).view(ENTRY)
+        order = np.lexsort((texts["k2"], texts["k1"]))
+        s = texts[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s["k1"][1:] != s["k1"][:-1]) | (s["k2"][1:] != s["k2"][:-1])
+        cls = np.empty(len(texts), np.int64)
+        cls[order] = np.cumsum(new) - 1
+        own = s[new]
+        c = np.repeat(cls, texts["n"])
+        shared_n, shared_w = np.bincount(c, minlength=len(own)), np.bincount(c, weights=entries["weight"], minlength=len(own))
+        total = shared_w + (own["total"].astype(np.int64) - shared_n) * _idf(own["copies"], n_docs)
+        good = shared_w >= (threshold - 1e-6) * total
+        at = np.flatnonzero(good[c])
+        at = at[np.argsort(c[at], kind="stable")]
+        stop = np.cumsum(shared_n[good])
+        return pa.table([pa.array(own["k1"][good].copy()), pa.array(own["k2"][good].astype(np.int64)), pa.array(total[good]), A.blobs(entries["feature"][at], stop), A.blobs(entries["weight"][at], stop)], ["k1", "k2", "w_total", "features", "weights"])
 
     return run
 
@@ -142,8 +191,8 @@ def _bands(bands, rows):
         for b in batches:
             at, hashes = [], []
             for i in range(len(b)):
-                f = np.frombuffer(b"".join(b.column("features")[i].as_py()), np.uint64)
-                w = np.frombuffer(b"".join(b.column("weights")[i].as_py()), np.float32)
+                f = np.frombuffer(b.column("features")[i].as_py(), np.uint64)
+                w = np.frombuffer(b.column("weights")[i].as_py(), np.float32)
                 s = icws(f, w, bands * rows).reshape(bands, rows)
                 h = np.zeros(bands, np.uint64)
                 for r in range(rows):
@@ -179,7 +228,7 @@ def similarities(features, weights, totals):
 
 def _verified(threshold):
     def run(key, table):
-        part = lambda name, kind: [np.frombuffer(b"".join(x.as_py()), kind) for x in table.column(name)]
+        part = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
         rep, block = np.array(table.column("rep")), np.array(table.column("block"))
         link = similarities(part("features", np.uint64), part("weights", np.float32), np.array(table.column("w_total"))) >= threshold - 1e-9
         np.fill_diagonal(link, False)
@@ -198,7 +247,7 @@ def _verified(threshold):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_per_bucket: int = 3_000_000, block: int = 200) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_per_bucket: int = 12_000_000, block: int = 200) -> DataFrame:
     """One row for each input row: (id_col, class_id, rep_id, n_copies, n_links).
 
     class_id: least id of the near-duplicate class; rep_id: least id among texts with the same
@@ -208,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked at; an empty table gives an empty result. A row whose id is null belongs to its class but never names it
     (class_id is null if all its ids are).
 
-    pairs_per_bucket bounds what one task holds of the document-frequency step (8 to 50 bytes a
+    pairs_per_bucket bounds what one task holds of the document-frequency step (about 15 bytes a
     pair); raise it with the executors' memory so that buckets stay fewer at large scale.
     A pair at the threshold is found with probability 1 - (1 - threshold^rows)^bands > 0.9999
     directly, and also if a third text joins its candidate group.
@@ -219,12 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs, n_bytes = use.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, math.ceil(n_bytes / 5 / pairs_per_bucket))
     dealt = use.select("text").mapInArrow(_dealt(k, buckets), "bucket long, segments binary, hashes binary")
-    parts = dealt.groupBy("bucket").applyInArrow(_shared(max(n_docs, 1)), "k1 long, k2 long, total long, copies long, n_shared long, w_shared double, features binary, weights binary")
-    texts = parts.groupBy("k1", "k2").agg(F.max("total").alias("total"), F.max("copies").alias("copies"), F.sum("n_shared").alias("n_shared"), F.sum("w_shared").alias("w_shared"), F.collect_list(F.struct("features", "weights")).alias("parts"))
-    n = float(max(n_docs, 1))
-    own = (F.col("total") - F.col("n_shared")) * (1 + F.log((1 + n) / (1 + F.col("copies"))) / math.log(1 + n))
-    texts = texts.withColumn("w_total", F.col("w_shared") + own).where(F.col("w_shared") >= (threshold - 1e-6) * F.col("w_total"))
-    texts = shared(texts.join(reps, ["k1", "k2"]).where("rep is not null").select("rep", "w_total", F.col("parts.features").alias("features"), F.col("parts.weights").alias("weights")))
+    parts = dealt.groupBy("bucket").applyInArrow(_shared(max(n_docs, 1), buckets), "goal long, texts binary, entries binary")
+    texts = parts.groupBy("goal").applyInArrow(_possible(max(n_docs, 1), threshold), "k1 long, k2 long, w_total double, features binary, weights binary")
+    texts = shared(texts.join(reps, ["k1", "k2"]).where("rep is not null").select("rep", "w_total", "features", "weights"))
     banded = shared(texts.mapInArrow(_bands(bands, rows), "rep long, band int, h long"))
     least = banded.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = components(banded.join(least, ["band", "h"]).select(F.col("rep").alias("a"), "b"))
