@@ -17,3 +17,99 @@ def derangement(entities: DataFrame) -> DataFrame:
     rows = entities.withColumn("_h", u("pair", "entity"))
     nxt = F.coalesce(F.lead("entity").over(w), F.first("entity").over(w))
     return rows.select(F.col("entity").alias("source"), F.when(F.count("*").over(W.partitionBy("region")) > 1, nxt).otherwise(F.raise_error(F.lit("a region with one entity"))).alias("named"))
+
+
+def eligible(entities: DataFrame, *needed: DataFrame, key: str = "entity") -> DataFrame:
+    """Entities that every needed table has."""
+    for df in needed:
+        entities = entities.join(df.select(key), key, "left_semi")
+    return entities
+
+
+def tracking(swaps: DataFrame, means: DataFrame) -> DataFrame:
+    """Per model and swapped cell: gap and signed gap between the two panels, errors to each, track = |r - named| - |r - source|, cue (swapped - correct rating), flip (|cue| of 1 or more)."""
+    m = means.select("entity", "year", "indicator", "raw_mean")
+    src, named = (m.select(F.col("entity").alias(k), "year", "indicator", F.col("raw_mean").alias(f"m_{k}")) for k in ("source", "named"))
+    correct = swaps.where("arm = 'correct'").select("model", "source", "year", "indicator", F.col("rating").alias("r_correct"))
+    rows = swaps.where("arm = 'swapped'").join(src, ["source", "year", "indicator"]).join(named, ["named", "year", "indicator"]).join(correct, ["model", "source", "year", "indicator"], "left")
+    r = F.col("rating")
+    rows = rows.withColumns({"signed_gap": F.col("m_named") - F.col("m_source"), "err_source": F.abs(r - F.col("m_source")), "err_named": F.abs(r - F.col("m_named")), "cue": r - F.col("r_correct")})
+    return rows.withColumns({"gap": F.abs("signed_gap"), "track": F.col("err_named") - F.col("err_source"), "flip": (F.abs("cue") >= 1).cast("int")}).withColumn("entity", F.col("source"))
+
+
+def rescaled(tracked: DataFrame, min_gap: float = 0.5) -> DataFrame:
+    return tracked.where(F.col("gap") >= min_gap).withColumn("position", F.col("track") / F.col("gap")).withColumn("win", (F.col("track") > 0).cast("int"))
+
+
+def demeaned(rows: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    w = W.partitionBy(*by)
+    return rows.withColumns({f"{c}_d": F.col(c) - F.avg(c).over(w) for c in cols})
+
+
+def variants(name: str, aliases: str | None = None):
+    """Lower-case name, what stands before a comma, and lower-case aliases."""
+    base = F.array(F.lower(name), F.trim(F.split(F.lower(name), ",")[0]))
+    return F.array_distinct(F.array_union(base, F.transform(F.coalesce(aliases, F.array().cast("array<string>")), F.lower)) if aliases else base)
+
+
+def response_hits(rows: DataFrame, text: str, names: str) -> DataFrame:
+    """top1: a variant in the first line that is not blank; top3: in the whole text."""
+    low = F.lower(text)
+    first = F.get(F.filter(F.split(low, "\n"), lambda x: F.trim(x) != ""), 0)
+    return rows.withColumn("top1", F.coalesce(F.exists(names, lambda v: F.contains(first, v)), F.lit(False))).withColumn("top3", F.coalesce(F.exists(names, lambda v: F.contains(low, v)), F.lit(False)))
+
+
+def guesses(rows: DataFrame, text: str) -> DataFrame:
+    """guess1..guess3 (first line of each rank, cut at a bracket, dash or colon) and the reason."""
+    one = lambda k: F.trim(F.regexp_extract(text, rf"(?m)^\s*{k}[.)]\s*([^\n(:–-]*)", 1))
+    return rows.withColumns({**{f"guess{k}": F.nullif(one(k), F.lit("")) for k in (1, 2, 3)}, "reason": F.nullif(F.trim(F.regexp_extract(text, r"(?mi)^\s*reason:\s*(.*)$", 1)), F.lit(""))})
+
+
+def coded(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Guesses to entity codes by a (small) dimension (name, code); hit1 and hit3 against `iso`, missing guesses are no hits."""
+    out = rows
+    for k in (1, 2, 3):
+        out = out.join(F.broadcast(names.select(F.col("name").alias(f"guess{k}"), F.col("code").alias(f"code{k}"))), f"guess{k}", "left")
+    hit = lambda k: F.coalesce(F.col(f"code{k}") == F.col("iso"), F.lit(False))
+    return out.withColumn("hit1", hit(1)).withColumn("hit3", hit(1) | hit(2) | hit(3))
+
+
+def latest(log: DataFrame) -> DataFrame:
+    return last_written(log, ["iso", "year", "indicator", "treatment", "model"])
+
+
+def accuracy(rows: DataFrame, by: list[str], min_n: int = 1) -> DataFrame:
+    out = rows.groupBy(*by).agg(six(F.avg(F.col("hit1").cast("int"))).alias("top1"), six(F.avg(F.col("hit3").cast("int"))).alias("top3"), F.count("*").alias("n"), F.count_distinct("iso").alias("n_entities"))
+    return out.where(F.col("n") >= min_n)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    n = lambda c: F.sum(c.cast("long"))
+    h1, h3 = F.col("hit1"), F.col("hit3")
+    return rows.agg(n(h1).alias("top1"), n(h3).alias("top3"), n(h3 & ~h1).alias("in_3_not_1"), n(~h3).alias("none"), F.count("*").alias("n"))
+
+
+def wrong_guesses(rows: DataFrame, by: list[str], top: int) -> DataFrame:
+    n = rows.where(~F.col("hit1") & F.col("guess1").isNotNull()).groupBy(*by, "guess1").agg(F.count("*").alias("n"))
+    return n.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "guess1"))).where(F.col("k") <= top)
+
+
+def cue_type(text, classes: list[tuple[str, str]], other: str = "other"):
+    """Name of the first class whose pattern the text has."""
+    out = F.lit(other)
+    for name, pattern in reversed(classes):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def flip_category(rows: DataFrame, a: str, b: str, models: list[str] | None = None) -> DataFrame:
+    """(iso, category): whether an entity's hit rate is above zero under both treatments, one or neither."""
+    w = rows.groupBy("iso").pivot("treatment", [a, b]).agg(F.avg(F.col("hit1").cast("int"))).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return w.select("iso", F.when((F.col(a) > 0.5) & (F.col(b) > 0.5), "both").when(F.col(a) > 0.5, f"{a}_only").when(F.col(b) > 0.5, f"{b}_only").otherwise("neither").alias("category"))
+
+
+def salience(cells: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """none, anon or summ: under which treatment a cell is identified; a cell without a log row counts as not identified."""
+    w = rows.groupBy(*keys).pivot("treatment", ["anon", "summ"]).agg(F.max(F.col("hit1").cast("int")))
+    out = cells.join(w, keys, "left").na.fill(0, ["anon", "summ"])
+    return out.withColumn("salience", F.when(F.col("summ") == 1, "summ").when(F.col("anon") == 1, "anon").otherwise("none")).drop("anon", "summ")
