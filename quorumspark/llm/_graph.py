@@ -59,3 +59,17 @@ def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
     """`df`, checkpointed and counted: marked for broadcast if it has at most `most` rows, else left to a shuffled join. For rows of bounded width."""
     df = shared(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def small_batches(spark, size: str = "8m", rows: int = 1000) -> None:
+    """Bound the Arrow batches that tasks exchange with Python, by bytes and rows, unless the session sets bounds of its own: texts are long, and workers share an executor's memory."""
+    for name, value, default in (("maxBytesPerBatch", size, None), ("maxRecordsPerBatch", str(rows), "10000")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) in (None, default) or name == "maxBytesPerBatch" and spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
+
+
+def dealt_by(df: DataFrame, *keys: str):
+    """`df` grouped by `keys`, in as many partitions as the session shuffles to: groups that take long to work off are not put together in a few tasks because they are small."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)

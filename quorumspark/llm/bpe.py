@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
+from quorumspark.llm._graph import small_batches
 from quorumspark.llm.suffix import _ramp
 
 NONE = np.int64(1 << 40)
@@ -231,6 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     A null or empty text has no ids. Rows that repeat, or whose id is null or repeated, each give a row; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     merges = docs.sparkSession.sparkContext.broadcast(Merges(load_ranks(path)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encoder(merges, pattern, cache), "id long, ids array<int>").withColumnRenamed("id", id_col)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
+from quorumspark.llm._graph import small_batches
 
 #: The masks, of 12 words each, 1 for a position that is hashed.
 MASKS = ("111010010111", "110110101101", "101011110011", "111111000011")
@@ -137,6 +138,7 @@ def _keeper(items, text_col, min_words, min_equal):
 def _blocks(benchmark, item_col, text_col, block_words):
     """The benchmark in blocks of bounded size, each broadcast: items are dealt by a hash; one item longer than the bound is an error."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("n", F.octet_length("text") / 2 + 1)
     total, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()

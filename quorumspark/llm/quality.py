@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
+from quorumspark.llm._graph import small_batches
 
 #: The characters that count as symbols.
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -102,6 +103,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     host is a host of its own; rows that repeat, or share an id, are judged each by its own text.
     Empty tables give an empty result; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     u1, u2 = _named(docs, id_col, text_col, host_col)
     use = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), u1.alias("u1"), u2.alias("u2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = use.mapInArrow(_figures, _SCHEMA)
