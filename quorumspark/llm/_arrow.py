@@ -4,6 +4,8 @@ Everything here works on one slice of a batch (about SLICE bytes; a longer text
 a task's memory follows the longest text and not the batch or the partition.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +39,39 @@ def powers(n, base=_BASE):
     return _powers[base]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers that wait for their next task share an executor's memory with those at work."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """`run`, a function for mapInArrow, with give_back() at the end of each task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """`run`, a function for applyInArrow, with give_back() after each group."""
+
+    def tidied(key, table):
+        try:
+            return run(key, table)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def raw(column):
     """The bytes of a string or binary column and int64 offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     merges = docs.sparkSession.sparkContext.broadcast(Merges(load_ranks(path)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(merges, pattern, cache), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(A.tidy(_encoder(merges, pattern, cache)), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def _decoder(merges):
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     merges = encoded.sparkSession.sparkContext.broadcast(Merges(load_ranks(path)))
     rows = encoded.withColumnRenamed(ids_col, "ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_decoder(merges), f"{fields}, decoded binary").withColumnRenamed("ids", ids_col)
+    return rows.mapInArrow(A.tidy(_decoder(merges)), f"{fields}, decoded binary").withColumnRenamed("ids", ids_col)
 
 
 def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

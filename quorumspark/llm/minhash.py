@@ -143,7 +143,7 @@ def _repeats(h, c, copies, n_docs, salt):
 def _possible(n_docs, threshold):
     """Texts whose shared weight can reach the threshold at all, with their features."""
 
-    def run(table):
+    def run(key, table):
         texts = A.joined(table.column("texts"), np.uint8).view(TEXT)
         entries = A.joined(table.column("entries"), np.uint8).view(ENTRY)
         order = np.lexsort((texts["k2"], texts["k1"]))
@@ -264,21 +264,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     use = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = shared(use.mapInArrow(_keys, "id long, k1 long, k2 long"))
+    keys = shared(use.mapInArrow(A.tidy(_keys), "id long, k1 long, k2 long"))
     reps = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     n_docs, n_bytes = use.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, math.ceil(n_bytes / 5 / pairs_per_bucket))
-    dealt = use.select("text").mapInArrow(_dealt(k, buckets), "bucket long, segments binary, hashes binary")
-    parts = dealt_by(dealt, "bucket").applyInArrow(_shared(max(n_docs, 1), buckets), "goal long, texts binary, entries binary")
-    texts = dealt_by(parts, "goal").applyInArrow(_possible(max(n_docs, 1), threshold), "k1 long, k2 long, w_total double, features binary, weights binary")
+    dealt = use.select("text").mapInArrow(A.tidy(_dealt(k, buckets)), "bucket long, segments binary, hashes binary")
+    parts = dealt_by(dealt, "bucket").applyInArrow(A.tidy_group(_shared(max(n_docs, 1), buckets)), "goal long, texts binary, entries binary")
+    texts = dealt_by(parts, "goal").applyInArrow(A.tidy_group(_possible(max(n_docs, 1), threshold)), "k1 long, k2 long, w_total double, features binary, weights binary")
     texts = shared(texts.join(reps, ["k1", "k2"]).where("rep is not null").select("rep", "w_total", "features", "weights"))
-    banded = shared(texts.mapInArrow(_bands(bands, rows), "rep long, band int, h long"))
+    banded = shared(texts.mapInArrow(A.tidy(_bands(bands, rows)), "rep long, band int, h long"))
     least = banded.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = components(banded.join(least, ["band", "h"]).select(F.col("rep").alias("a"), "b"))
     size = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = groups.join(size, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = shared(dealt_by(tasks.join(texts, "rep"), "root", "lo", "hi").applyInArrow(_verified(threshold), "a long, b long, degree long"))
+    links = shared(dealt_by(tasks.join(texts, "rep"), "root", "lo", "hi").applyInArrow(A.tidy_group(_verified(threshold)), "a long, b long, degree long"))
     classes = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("n_links"))
     found = reps.join(classes, "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -106,7 +106,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     small_batches(docs.sparkSession)
     u1, u2 = _named(docs, id_col, text_col, host_col)
     use = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), u1.alias("u1"), u2.alias("u2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = use.mapInArrow(_figures, _SCHEMA)
+    rows = use.mapInArrow(A.tidy(_figures), _SCHEMA)
     lines = rows.select("host", "u1", "u2", "sketch", F.explode("lines").alias("line")).select("host", "u1", "u2", "sketch", "line.h", "line.n")
     limit = rows.groupBy("host").agg(F.count_distinct("sketch").alias("docs"))
     often = lines.groupBy("host", "h").agg(F.count_distinct("sketch").alias("n_docs")).where(F.col("n_docs") > min_docs)
@@ -156,5 +156,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     verdict = judged(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("u1").alias("_quality_1"), F.col("u2").alias("_quality_2"), F.col("boilerplate").alias("_quality_lines")).dropDuplicates(["_quality_1", "_quality_2"])
     rows = docs.withColumn(text_col, F.col(text_col).cast("string")).join(verdict, (u1 == F.col("_quality_1")) & (u2 == F.col("_quality_2"))).select(*docs.columns, "_quality_lines")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_quality_lines")
-    out = rows.mapInArrow(_cleaner(text_col), schema)
+    out = rows.mapInArrow(A.tidy(_cleaner(text_col)), schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
