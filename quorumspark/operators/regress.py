@@ -71,7 +71,7 @@ def fixed_effects(rows: DataFrame, y: str, xs: list[str], factors: list[str], cl
     solved once on the driver, and a second pass sums the scores by cluster. Small-sample factor G / (G - 1) * (n - 1) / (n - K).
     """
     ok = rows.select(F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)), *(F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(factors)), F.col(cluster).cast("string").alias("_g")).na.drop()
-    levels = [{r[0]: k for k, r in enumerate(ok.groupBy(f"_f{i}").count().orderBy(f"_f{i}").limit(max_params).collect())} for i in range(len(factors))]
+    levels = [{r[0]: k for k, r in enumerate(ok.groupBy(f"_f{i}").count().orderBy(f"_f{i}").limit(max_params + 1).collect())} for i in range(len(factors))]
     start = np.cumsum([len(xs) + 1] + [len(v) - 1 for v in levels])
     total = int(start[-1])
     if total > max_params:
