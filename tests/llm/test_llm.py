@@ -167,3 +167,33 @@ def test_pipeline(spark):
     all_docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     clean = quality.judged(all_docs).where("kept").count()
     assert 0 < len(ids) <= clean and len(P.STAGES) == 5 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    own = lambda i, n=120: " ".join(f"t{i}x{k}" for k in range(n))
+    item = " ".join(f"Bench{i}" for i in range(40))
+    texts = {1: own(1), 2: own(1), 3: own(1).replace("t1x60", "else"), 4: own(4), 5: "too few words", 6: None, 7: "", 8: "one two three four five six seven eight nine " * 30, 9: f"{own(9)} {item} {own(90)}", 10: own(10) + " Éa 中\U0001f600", 11: own(11).replace("t11x60", "x"), 12: own(11), 13: f"{own(13, 60)} {own(14, 60)}", 14: f"{own(13, 60)} {own(15, 60)}"}
+    rows = [(i, t, "en", "a" if i % 3 else "b", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in P.run(spark, str(tmp_path)).collect()}
+
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    kept = {}
+    for i, t in sorted(texts.items()):
+        w = (t or "").split()
+        grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeats = {p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        if len(w) < 20 or 100 * len(repeats) > 30 * len(w):
+            continue
+        s = shingles(w)
+        if all(len(s & o) / len(s | o) < 0.8 for o in kept.values()):
+            kept[i] = s
+    want = {i for i in kept if item not in texts[i]}
+    assert set(got) == want == {1, 4, 10, 11, 13, 14}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    for i in want:
+        ids = enc.encode_ordinary(texts[i])
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
