@@ -3,8 +3,10 @@
 Normalised lines are hashed; for each host, documents with a line are counted, lines above the host's limit
 count as boilerplate and are removed, and a document of which too little is left is rejected.
 
-Distinct documents: documents with the same sketch (the least hash of their 8-word windows) are taken for copies of one another
-and count once, so that a text that is copied or lightly edited many times does not make its own lines boilerplate.
+Distinct documents: lines of many distinct texts are candidates. A document is named by what is its own, the least hash of the
+8-word windows in lines that are no candidate and resemble none (same first or last words), or else by that of its rarest
+candidate, and documents of one name count once: a text that is copied or lightly edited many times does not make its own
+lines boilerplate, and shared lines do not make their own documents look alike.
 """
 
 import numpy as np
@@ -13,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
-from quorumspark.llm._graph import small_batches
+from quorumspark.llm._graph import shared, small_batches, small_or_not
 
 #: The characters that count as symbols.
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 #: Normalised lines: ASCII letters in lower case, every digit as 0, white space as one blank.
 _NORMAL = np.array([ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 48 if 48 <= c < 58 else c for c in range(256)], np.uint8)
 WINDOW = 8
+#: Words at either end that an edited line has in common with its original (half of a shorter line's); lines of fewer than FEW words have none.
+ENDS, FEW = 4, 6
 
 
 def _per_text(flags, offsets):
@@ -39,10 +43,29 @@ class Lines:
         keep = w1 > w0
         self.start, self.stop, w0, w1 = edge[keep], stop[keep], w0[keep], w1[keep]
         self.row = np.searchsorted(offsets, self.start, "right") - 1
-        self.n_words = w1 - w0
+        self.n_words, self.first_word, self.last_word = w1 - w0, w0, w1
         plain = A.Words(_NORMAL[data], offsets)
         run = plain.run()
         self.hash = A.mix(A.between(run, w0, w1, 0xD6E8FEB86659FD93), 11) + self.n_words.astype(np.uint64)
+        self._run = run
+
+    def ends(self):
+        """Hashes of each line's first and of its last normalised words; those of a short line are its own hash."""
+        m = np.minimum(ENDS, self.n_words // 2)
+        long = self.n_words >= FEW
+        head = A.mix(A.between(self._run, self.first_word, self.first_word + m, 0xD6E8FEB86659FD93), 21)
+        tail = A.mix(A.between(self._run, self.last_word - m, self.last_word, 0xD6E8FEB86659FD93), 22)
+        return np.where(long, head, self.hash), np.where(long, tail, self.hash)
+
+    def sketch(self, words):
+        """The least hash of each line's windows of WINDOW words (a shorter line is one window), from the words as they are."""
+        base = 0xD6E8FEB86659FD93
+        each = np.maximum(self.n_words - WINDOW + 1, 1)
+        at = np.cumsum(each) - each
+        begin = np.repeat(self.first_word - at, each) + np.arange(each.sum())
+        end = np.minimum(begin + WINDOW, np.repeat(self.last_word, each))
+        h = A.mix(A.between(words.run(base), begin, end, base), WINDOW) + (end - begin).astype(np.uint64)
+        return np.minimum.reduceat(h, at) if len(at) else h
 
 
 def _figures(batches):
@@ -68,24 +91,22 @@ def _figures(batches):
             twice = begin[whole][o[same[1:] | same[:-1]]]
             edge = np.bincount(twice, minlength=len(w.hash) + WINDOW) - np.bincount(twice + WINDOW, minlength=len(w.hash) + WINDOW)[: len(w.hash) + WINDOW]
             repeat = np.cumsum(edge)[: len(w.hash)] > 0
-            sketch = np.zeros(n, np.uint64)
-            if len(h):
-                has = np.flatnonzero(each)
-                sketch[has] = np.minimum.reduceat(h, (np.cumsum(each) - each)[has])
             # lines of a text with equal hashes: one entry with the words of all
             o = np.lexsort((lines.hash, lines.row))
             r, lh, ln = lines.row[o], lines.hash[o], lines.n_words[o]
             cut = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (lh[1:] != lh[:-1])))) if len(o) else np.zeros(0, np.int64)
             total = np.add.reduceat(ln, cut) if len(cut) else ln
+            sketch = np.minimum.reduceat(lines.sketch(w)[o], cut) if len(cut) else np.zeros(0, np.uint64)
+            head, tail = (x[o][cut] for x in lines.ends())
             stop = np.concatenate(([0], np.cumsum(np.bincount(r[cut], minlength=n))))
-            entry = pa.StructArray.from_arrays([A.signed(lh[cut]), pa.array(total.astype(np.int64))], ["h", "n"])
+            entry = pa.StructArray.from_arrays([A.signed(lh[cut]), pa.array(total.astype(np.int64)), A.signed(sketch), A.signed(head), A.signed(tail)], ["h", "n", "least", "head", "tail"])
             yield pa.record_batch(
-                [*(b.column(c).slice(i, n) for c in ("id", "host", "u1", "u2")), *(pa.array(x.astype(np.int64)) for x in (w.counts, _per_text(solid, offsets), _per_text(SYMBOLS[data], offsets), dup, np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first]))), A.signed(sketch), pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), entry)],
-                ["id", "host", "u1", "u2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch", "lines"],
+                [*(b.column(c).slice(i, n) for c in ("id", "host", "u1", "u2")), *(pa.array(x.astype(np.int64)) for x in (w.counts, _per_text(solid, offsets), _per_text(SYMBOLS[data], offsets), dup, np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first]))), A.signed(w.keys()[0]), pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), entry)],
+                ["id", "host", "u1", "u2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words", "lines"],
             )
 
 
-_SCHEMA = "id long, host string, u1 long, u2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sketch long, lines array<struct<h: long, n: long>>"
+_SCHEMA = "id long, host string, u1 long, u2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, words long, lines array<struct<h: long, n: long, least: long, head: long, tail: long>>"
 
 
 def _named(docs, id_col, text_col, host_col):
@@ -93,6 +114,23 @@ def _named(docs, id_col, text_col, host_col):
     return F.xxhash64(F.col(id_col), text, host), F.xxhash64(text, host, F.lit(1), F.col(id_col))
 
 
+def _boilerplate(rows, lines, min_docs, min_share):
+    """(host, h) of the lines that more than max(min_docs, min_share * the host's documents) distinct documents have."""
+    many = lines.groupBy("host", "h").agg(F.count_distinct("words").alias("n_texts"), F.min("head").alias("head"), F.min("tail").alias("tail")).where(F.col("n_texts") > min_docs)
+    many = small_or_not(many)
+    marked = lines.join(many.select("host", "h", "n_texts"), ["host", "h"], "left")
+    like = marked
+    for end in ("head", "tail"):
+        like = like.join(small_or_not(many.select("host", end, F.lit(True).alias(f"like_{end}")).distinct()), ["host", end], "left")
+    own = F.col("n_texts").isNull() & F.col("like_head").isNull() & F.col("like_tail").isNull()
+    rarest = F.min(F.when(F.col("n_texts").isNotNull(), F.struct("n_texts", "h", "least")))
+    names = like.groupBy("host", "u1", "u2").agg(F.coalesce(F.min(F.when(own, F.col("least"))), rarest["least"], F.min("least")).alias("name"))
+    names = shared(names)
+    docs = rows.select("host", "u1", "u2").join(names, ["host", "u1", "u2"], "left").groupBy("host").agg(F.count_distinct(F.coalesce("name", F.lit(0))).alias("docs"))
+    often = marked.where(F.col("n_texts").isNotNull()).join(names, ["host", "u1", "u2"]).groupBy("host", "h").agg(F.count_distinct("name").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    return often.join(docs, "host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), min_share * F.col("docs"))).select("host", "h")
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_share: float = 0.02, min_words: int = 20, min_left: float = 0.5, max_repeat: float = 0.3) -> DataFrame:
     """Figures and verdict of each row: (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_left, boilerplate array<long>, u1, u2).
 
@@ -106,13 +144,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     small_batches(docs.sparkSession)
     u1, u2 = _named(docs, id_col, text_col, host_col)
     use = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), u1.alias("u1"), u2.alias("u2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = use.mapInArrow(A.tidy(_figures), _SCHEMA)
-    lines = rows.select("host", "u1", "u2", "sketch", F.explode("lines").alias("line")).select("host", "u1", "u2", "sketch", "line.h", "line.n")
-    limit = rows.groupBy("host").agg(F.count_distinct("sketch").alias("docs"))
-    often = lines.groupBy("host", "h").agg(F.count_distinct("sketch").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    often = often.join(limit, "host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), min_share * F.col("docs"))).select("host", "h")
+    rows = shared(use.mapInArrow(A.tidy(_figures), _SCHEMA))
+    lines = rows.select("host", "u1", "u2", "words", F.explode("lines").alias("line")).select("host", "u1", "u2", "words", "line.*")
+    often = _boilerplate(rows, lines, min_docs, min_share)
     bad = lines.join(often, ["host", "h"]).select("u1", "u2", "h", "n").distinct().groupBy("u1", "u2").agg(F.sum("n").alias("n_bad"), F.collect_list("h").alias("boilerplate"))
-    out = rows.drop("lines", "sketch", "host").join(bad, ["u1", "u2"], "left")
+    out = rows.drop("lines", "words", "host").join(bad, ["u1", "u2"], "left")
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * max_repeat) * F.col("n_words")))
     out = out.withColumn("n_words_left", F.col("n_words") - F.coalesce("n_bad", F.lit(0)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= min_words) & (F.col("n_words_left") >= min_left * F.col("n_words")))

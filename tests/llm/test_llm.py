@@ -96,6 +96,24 @@ def test_boilerplate_goes_and_depleted_documents_are_rejected(spark):
     assert kept[3] == own(3) and 100 not in kept and kept[200].endswith(line)
 
 
+def test_documents_of_mostly_boilerplate_are_counted_each(spark):
+    word = lambda *key: hashlib.md5(repr(key).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9]
+    some = lambda n, *key: " ".join(word(k, *key) for k in range(n))
+    rows = []
+    for host, n, shared in (("a", 60, 90), ("b", 200, 270)):
+        foot = "\n".join(some(30, "foot", host, k) for k in range(shared // 30))
+        rows += [(len(rows) + i, f"{some(37, host, i)}\n{foot}", host) for i in range(n)]
+    # copies of one text with a word changed in each, in different lines, are one document; so are those with two changed
+    for i in range(120):
+        copy = [some(20, "copy", k).split() for k in range(10)]
+        copy[i % 10][i // 10] = word("new", i)
+        copy[i * 7 % 10][19 - i % 7] = word("more", i)
+        rows.append((1000 + i, "\n".join(map(" ".join, copy)), "c"))
+    got = {r.doc_id: r for r in quality.judged(docs(spark, rows)).collect()}
+    assert {(got[i].n_words_left, got[i].kept) for i in range(260)} == {(37, False)}
+    assert {(got[1000 + i].n_words_left, got[1000 + i].kept) for i in range(120)} == {(200, True)}
+
+
 def test_line_chunks(spark):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(30))
     rows = [(1, f"first own\n{passage}\nend one", "a"), (2, f"intro\nsecond\n{passage}", "a"), (3, "alone\nhere", "b"), (4, None, "b"), (5, "\n\n\n", "b")]
