@@ -20,11 +20,18 @@ def _chunk_starts(h: Column, window: int, divisor: int) -> Column:
     return F.concat(F.array(F.lit(1)), F.filter(cut, lambda x: x.isNotNull() & (x <= F.size(h))))
 
 
+def _named(docs, id_col, text_col):
+    """Two hashes that name a row by id and text."""
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.xxhash64(i, text), F.xxhash64(text, F.lit(1), i)
+
+
 def _chunked(docs, id_col, text_col, window, divisor):
     """(id, u1, u2, text, starts): u1 and u2 name a row by id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    use = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    use = use.select("id", F.xxhash64("id", "text").alias("u1"), F.xxhash64("text", F.lit(1), "id").alias("u2"), "text", F.split("text", "\n", -1).alias("lines"))
+    u1, u2 = _named(docs, id_col, text_col)
+    use = docs.select(F.col(id_col).cast("long").alias("id"), u1.alias("u1"), u2.alias("u2"), text.alias("text"))
+    use = use.select("id", "u1", "u2", "text", F.split("text", "\n", -1).alias("lines"))
     use = use.select("id", "u1", "u2", "text", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")).alias("h"))
     return use.select("id", "u1", "u2", "text", _chunk_starts(F.col("h"), window, divisor).alias("starts"))
 
@@ -42,9 +49,14 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_lines, n_chunks, n_removed lines, text left), one row for each input row.
 
     Removed: chunks of two lines or more, with a character that is not white space, whose bytes an
-    earlier chunk also has; earlier means a smaller (id, place), a null id first. A null text is empty (one line). Rows that repeat with the same id keep what one
+    earlier chunk also has; earlier means a smaller (id, place), a null id first; different texts of one id go by their row names. A null text is empty (one line). Rows that repeat with the same id keep what one
     of them keeps. Empty tables give an empty result; other columns are not looked at.
     """
+    return _left(docs, id_col, text_col, window, divisor).drop("u1", "u2")
+
+
+def _left(docs, id_col, text_col, window=2, divisor=4):
+    """What `repeated_chunks` gives, with the names u1 and u2 of each row."""
     base = _chunked(docs, id_col, text_col, window, divisor)
     wide = _texts(base).select("u1", "u2", F.posexplode(F.zip_with("sizes", "chunks", lambda n, t: F.when((n > 1) & t.rlike(r"\S"), F.xxhash64(t, F.length(t))))).alias("place", "key")).where("key is not null")
     again = wide.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -53,15 +65,15 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.join(suspect, ["u1", "u2"])
     found = _texts(rows, "places").select("id", "u1", "u2", "places", "chunks", F.size("chunks").alias("n"), F.size("places").alias("_n"))
     found = found.select("id", "u1", "u2", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.get("chunks", p).alias("chunk")))).alias("x"), "n").select("id", "u1", "u2", "x.place", "x.chunk")
-    first = found.groupBy("chunk").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("chunk").alias("chunk1"), "first")
-    gone = found.join(first, F.col("chunk") == F.col("chunk1")).where(F.struct("id", "place") != F.col("first")).groupBy("u1", "u2").agg(F.collect_set("place").alias("gone"))
+    first = found.groupBy("chunk").agg(F.min(F.struct("id", "u1", "u2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("chunk").alias("chunk1"), "first")
+    gone = found.join(first, F.col("chunk") == F.col("chunk1")).where(F.struct("id", "u1", "u2", "place") != F.col("first")).groupBy("u1", "u2").agg(F.collect_set("place").alias("gone"))
     out = _texts(base.join(gone, ["u1", "u2"], "left"), "gone")
     none = F.array().cast("array<int>")
-    out = out.select("id", "n_lines", "sizes", "chunks", F.coalesce("gone", none).alias("gone"), F.size("chunks").alias("n_chunks"))
-    out = out.select("id", "n_lines", "sizes", "chunks", "gone", "n_chunks", F.array_except(F.sequence(F.lit(0), F.col("n_chunks") - 1), "gone").alias("stay"), F.size("sizes").alias("_n"))
+    out = out.select("id", "u1", "u2", "n_lines", "sizes", "chunks", F.coalesce("gone", none).alias("gone"), F.size("chunks").alias("n_chunks"))
+    out = out.select("id", "u1", "u2", "n_lines", "sizes", "chunks", "gone", "n_chunks", F.array_except(F.sequence(F.lit(0), F.col("n_chunks") - 1), "gone").alias("stay"), F.size("sizes").alias("_n"))
     removed = F.aggregate("gone", F.lit(0), lambda s, p: s + F.get("sizes", p))
     left = F.array_join(F.transform("stay", lambda p: F.get("chunks", p)), "\n")
-    return out.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("n_removed"), left.alias("text"))
+    return out.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("n_removed"), left.alias("text"), "u1", "u2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
@@ -69,13 +81,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All other columns stay; `length_col`, if there is one, is set to the new length in characters. A null or empty text stays as it is.
     """
-    left = repeated_chunks(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col(id_col).alias("_line_id"), F.col("text").alias("_line_text"), (F.col("n_removed") + F.lit(0)).alias("_line_n"))
+    left = _left(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col("u1").alias("_line_1"), F.col("u2").alias("_line_2"), F.col("text").alias("_line_text"), (F.col("n_removed") + F.lit(0)).alias("_line_n"))
     return _replaced(docs, left, id_col, text_col, length_col)
 
 
 def _replaced(docs, left, id_col, text_col, length_col):
-    left = left.dropDuplicates(["_line_id"])
-    out = docs.join(left, docs[id_col].eqNullSafe(F.col("_line_id")), "left").where(F.col("_line_n").isNull() | F.col("_line_text").rlike(r"\S"))
+    u1, u2 = _named(docs, id_col, text_col)
+    left = left.dropDuplicates(["_line_1", "_line_2"])
+    out = docs.join(left, (u1 == F.col("_line_1")) & (u2 == F.col("_line_2")), "left").where(F.col("_line_n").isNull() | F.col("_line_text").rlike(r"\S"))
     cols = []
     for c in docs.columns:
         text = F.when(F.col("_line_n").isNotNull(), F.col("_line_text")).otherwise(F.col(text_col).cast("string"))

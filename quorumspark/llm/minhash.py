@@ -37,10 +37,10 @@ RANGES = 8
 
 def _keys(batches):
     for b in batches:
-        text = pc.utf8_lower(pc.fill_null(b.column(1), ""))
+        text = pc.utf8_lower(pc.fill_null(b.column("text"), ""))
         for i, j, data, offsets in A.slices(text):
             k1, k2 = A.Words(data, offsets).keys()
-            yield pa.record_batch([b.column(0).slice(i, j - i), A.signed(k1), A.signed(k2 >> np.uint64(32))], ["id", "k1", "k2"])
+            yield pa.record_batch([b.column("id").slice(i, j - i), b.column("own").slice(i, j - i), A.signed(k1), A.signed(k2 >> np.uint64(32))], ["id", "own", "k1", "k2"])
 
 
 def _dealt(k, buckets):
@@ -262,9 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A pair at the threshold is found with probability 1 - (1 - threshold^rows)^bands > 0.9999
     directly, and also if a third text joins its candidate group.
     """
-    small_batches(docs.sparkSession)
-    use = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = shared(use.mapInArrow(A.tidy(_keys), "id long, k1 long, k2 long"))
+    own = F.col(id_col).cast("long")
+    use = docs.select(own.alias("id"), own.alias("own"), F.col(text_col).cast("string").alias("text"))
+    return _classes(use, k, threshold, bands, rows, pairs_per_bucket, block).select(F.col("id").alias(id_col), "class_id", "rep_id", "n_copies", "n_links")
+
+
+def _classes(use, k=5, threshold=0.8, bands=32, rows=6, pairs_per_bucket=12_000_000, block=200):
+    """(id, own, class_id, rep_id, n_copies, n_links) for each row of `use` (id, own, text); classes are named by id."""
+    small_batches(use.sparkSession)
+    keys = shared(use.mapInArrow(A.tidy(_keys), "id long, own long, k1 long, k2 long"))
     reps = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     n_docs, n_bytes = use.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, math.ceil(n_bytes / 5 / pairs_per_bucket))
@@ -282,10 +288,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("n_links"))
     found = reps.join(classes, "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return keys.join(found, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "rep_id", "n_copies", "n_links")
+    return keys.join(found, ["k1", "k2"]).select("id", "own", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that name their class: one document of each near-duplicate group, all columns kept. Rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").unionByName(docs.where(docs[id_col].isNull()))
+    """One row of `docs` of each near-duplicate group, all columns kept: the one with the least id, a null id last.
+
+    Rows are told apart by a hash of id and text: different texts may share an id or have none. Of rows that repeat, one stays.
+    """
+    text = F.col(text_col).cast("string")
+    name = F.xxhash64(F.lit(3), F.coalesce(text, F.lit("")), F.col(id_col).isNull(), F.col(id_col))
+    rows = shared(_classes(docs.select(name.alias("id"), F.col(id_col).cast("long").alias("own"), text.alias("text")), **options).select("id", "own", "class_id"))
+    first = rows.groupBy("class_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "id"))["id"].alias("id"))
+    kept = rows.join(first, "id", "left_semi").groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_repeats"))
+    found = docs.join(kept, name == F.col("_kept"))
+    again = found.where("_repeats > 1").dropDuplicates(["_kept"])
+    return found.where("_repeats = 1").union(again).select(*docs.columns)

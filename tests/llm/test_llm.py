@@ -125,6 +125,26 @@ def test_line_chunks(spark):
     assert out.columns == d.columns and out.count() == 5 and lines.repeated_chunks(d.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_keep_their_own_texts(spark):
+    passage = "\n".join(f"shared line number {i} of the passage" for i in range(30))
+    own = lambda x: "\n".join(f"own {x} line {i} of it" for i in range(9))
+    rows = [(1, passage, "a"), (None, f"{passage}\n{own('a')}", "a"), (None, f"{passage}\n{own('g')}", "a"), (None, own("b"), "a"), (7, f"{passage}\n{own('c')}", "a"), (7, own("d"), "a"), (8, own("e"), "a"), (8, own("e"), "a")]
+    got = [(r.doc_id, r.text) for r in lines.dedup_lines(docs(spark, rows)).collect()]
+    assert len(got) == 8 and got.count((None, own("b"))) == 1 and got.count((7, own("d"))) == 1 and got.count((8, own("e"))) == 2
+    assert sum(i is None and (t.endswith(own("a")) or t.endswith(own("g"))) and len(t) < len(passage) for i, t in got) == 1
+    assert sum(i == 7 and t.endswith(own("c")) and len(t) < len(passage) for i, t in got) == 1
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    own = lambda x: " ".join(f"{x}word{i}" for i in range(200))
+    near = own("a").replace("aword100", "other")
+    rows = [(1, own("a"), "a"), (1, own("b"), "a"), (2, own("b"), "a"), (3, near, "a"), (3, own("c"), "a"), (4, own("d"), "a"), (4, own("d"), "b"), (None, own("a"), "a"), (None, own("e"), "a"), (None, own("e").replace("eword9 ", "more "), "a"), (None, own("f"), "a")]
+    d = docs(spark, rows)
+    got = [(r.doc_id, r.text) for r in minhash.keep_one(d).collect()]
+    assert len(got) == 6 and {(1, own("a")), (1, own("b")), (3, own("c")), (4, own("d")), (None, own("f"))} <= set(got)
+    assert sum(i is None and "eword50" in t for i, t in got) == 1 and minhash.keep_one(d.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     item = " ".join(f"Bench{i}," for i in range(30))
     changed = item.replace("Bench10,", "zzz").replace("Bench20,", "yyy")
