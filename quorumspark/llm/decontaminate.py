@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
-Fixed masks choose SPAN-word windows' hashed positions and ignore the others, so that a window is found
-in spite of a changed word at an ignored position. Seeds of the benchmark are joined to those of the
+Masks choose the hashed words of a window and ignore the others: one is a run of equal words that nearly every allowed
+placement of changed words leaves, the others are the placements that leave none, so that each overlap has a seed. Seeds of the benchmark are joined to those of the
 corpus; around each hit the benchmark item is laid over the document on the hit's diagonal, and the
 longest stretch with at least `min_equal` equal words is the overlap.
 
@@ -9,6 +9,8 @@ The benchmark is the stated query set: it goes to the tasks in blocks of at most
 words, a fixed bound, one pass over the documents for each block; document seeds are never shuffled.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +20,9 @@ from pyspark.sql import functions as F
 from quorumspark.llm import _arrow as A
 from quorumspark.llm._graph import small_batches
 
-#: The masks, of 12 words each, 1 for a position that is hashed.
-MASKS = ("111010010111", "110110101101", "101011110011", "111111000011")
-SPAN = 12
 FEWEST = 5
+#: Pairs of words that one step compares.
+STEP = 1 << 20
 #: Bytes that separate words (everything in ASCII but letters and digits) become blanks.
 _PLAIN = np.array([c if chr(c).isalnum() or c > 127 else 32 for c in range(256)], np.uint8)
 
@@ -32,6 +33,36 @@ def words_of(column):
         yield i, j, A.Words(_PLAIN[data], offsets)
 
 
+def _changed(n, min_equal):
+    """The most words of n that may differ."""
+    return int(np.floor((1 - min_equal) * n + 1e-9))
+
+
+def seed_masks(n, min_words, min_equal):
+    """Masks of which each allowed overlap with an item of n words has one, 1 for a word that is hashed.
+
+    An overlap begins and ends with an equal word, so e changed words cut it into e + 1 runs of equal ones. A length at which
+    all of these can be equally short has one such placement, which a mask of two runs hits.
+    """
+    run, tight = None, set()
+    for length in range(min_words, min_words + 500):
+        e = _changed(length, min_equal)
+        least, over = divmod(length - e, e + 1)
+        if not over and e:
+            tight.add(least)
+        here = least + 1 if over or e else least
+        run = here if run is None else min(run, here)
+    run = max(run, 1)
+    if n >= min_words:
+        return ["1" * run] + ["1" * r + "0" + "1" * r for r in tight if 0 < r < run]
+    out = {"1" * run} if n >= run else set()
+    for gone in combinations(range(1, n - 1), min(_changed(n, min_equal), n - 2)):
+        mask = "".join("0" if i in gone else "1" for i in range(n))
+        if "1" * run not in mask:
+            out.add(mask)
+    return sorted(out)
+
+
 def _seeds(h, mask):
     """Hash of the masked words of every window of len(mask) words."""
     n = len(h) - len(mask) + 1
@@ -44,40 +75,63 @@ def _seeds(h, mask):
 
 
 class Items:
-    """Seeds of a block of benchmark items. A shorter item (FEWEST words at least) is one window, all its words hashed."""
+    """Seeds of a block of benchmark items of FEWEST words at least."""
 
-    def __init__(self, ids, texts):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids, texts, min_words, min_equal):
+        self.ids = pa.array(ids, pa.int64())
         self.words = []
         for _, _, w in words_of(pa.array(texts, pa.string())):
             self.words += np.split(w.hash, w.first[1:-1])
-        rows = []
+        size = np.array([len(h) for h in self.words])
+        self.size = size
+        # equal words that an overlap with each item has at least
+        self.enough = np.array([m - _changed(m, min_equal) for m in np.minimum(size, min_words).tolist()])
+        masks, parts = {}, {}
         for n, h in enumerate(self.words):
-            masks = MASKS if len(h) >= SPAN else ("1" * len(h),) if len(h) >= FEWEST else ()
-            for m in masks:
-                s = _seeds(h, m)
-                rows.append(np.stack((np.full(len(s), len(m)), np.full(len(s), MASKS.index(m) if m in MASKS else -1), s.view(np.int64), np.full(len(s), n), np.arange(len(s))), axis=1))
-        rows = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+            if len(h) < FEWEST:
+                continue
+            m = min(len(h), min_words)
+            if m not in masks:
+                masks[m] = seed_masks(m, min_words, min_equal)
+            for mask in masks[m]:
+                s = _seeds(h, mask)
+                parts.setdefault(mask, []).append((s, np.full(len(s), n), np.arange(len(s))))
         self.tables = {}
-        for span, mask in {(int(a), int(b)) for a, b in rows[:, :2]}:
-            x = rows[(rows[:, 0] == span) & (rows[:, 1] == mask)]
-            x = x[np.argsort(x[:, 2].view(np.uint64) if x[:, 2].flags.c_contiguous else np.ascontiguousarray(x[:, 2]).view(np.uint64), kind="stable")]
-            seed = np.ascontiguousarray(x[:, 2]).view(np.uint64)
-            near = np.zeros(1 << 22, bool)
-            near[(seed >> np.uint64(42)).astype(np.int64)] = True
-            self.tables[MASKS[mask] if mask >= 0 else "1" * span] = (near, seed, x[:, 3].copy(), x[:, 4].copy())
+        for mask, found in parts.items():
+            seed, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            o = np.argsort(seed, kind="stable")
+            shift = np.uint64(64 - min(22, max(10, int(16 * len(seed)).bit_length())))
+            near = np.zeros(1 << (64 - int(shift)), bool)
+            near[(seed >> shift).astype(np.int64)] = True
+            self.tables[mask] = (near, shift, seed[o], item[o], at[o])
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        self.first = np.cumsum(size) - size
 
     def hits(self, h):
-        """(place of the item's first word, item) for seeds that `h` shares with an item, each once."""
+        """(place of the item's first word, item) for seeds that `h` shares with an item, each once, where enough words are equal."""
         found = []
-        for mask, (near, seed, item, at) in self.tables.items():
+        for mask, (near, shift, seed, item, at) in self.tables.items():
             s = _seeds(h, mask)
-            place = np.flatnonzero(near[(s >> np.uint64(42)).astype(np.int64)])
+            place = np.flatnonzero(near[(s >> shift).astype(np.int64)])
             lo, hi = np.searchsorted(seed, s[place], "left"), np.searchsorted(seed, s[place], "right")
             many = hi - lo
             row = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.stack((np.repeat(place, many) - at[row], item[row]), axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.append((np.repeat(place, many) - at[row]) * len(self.size) + item[row])
+        start, item = np.divmod(np.unique(np.concatenate(found)), len(self.size)) if found else np.zeros((2, 0), np.int64)
+        keep, total = np.zeros(len(start), bool), np.cumsum(self.size[item])
+        i = 0
+        while i < len(start):
+            before = total[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(total, before + STEP, "right")))
+            n = self.size[item[i:j]]
+            off = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(off, n)
+            there = np.repeat(start[i:j], n) + inside
+            same = (there >= 0) & (there < len(h))
+            same &= h[np.clip(there, 0, len(h) - 1)] == self.flat[np.repeat(self.first[item[i:j]], n) + inside]
+            keep[i:j] = np.add.reduceat(same.astype(np.int64), off) >= self.enough[item[i:j]]
+            i = j
+        return np.stack((start[keep], item[keep]), axis=1)
 
 
 def longest(equal, share):
@@ -118,7 +172,7 @@ def _finder(items, min_words, min_equal):
                 x = _overlaps(items.value, w, min_words, min_equal)
                 if x:
                     d, item, first, n, equal = (np.array(c, np.int64) for c in zip(*x, strict=True))
-                    yield pa.record_batch([b.column(0).take(pa.array(d + i)), pa.array(items.value.ids[item]), pa.array(first), pa.array(n), pa.array(equal)], ["id", "item_id", "first_word", "n_words", "n_equal"])
+                    yield pa.record_batch([b.column(0).take(pa.array(d + i)), items.value.ids.take(pa.array(item)), pa.array(first), pa.array(n), pa.array(equal)], ["id", "item_id", "first_word", "n_words", "n_equal"])
 
     return run
 
@@ -135,11 +189,11 @@ def _keeper(items, text_col, min_words, min_equal):
     return run
 
 
-def _blocks(benchmark, item_col, text_col, block_words):
+def _blocks(benchmark, item_col, text_col, min_words, min_equal, block_words):
     """The benchmark in blocks of bounded size, each broadcast: items are dealt by a hash; one item longer than the bound is an error."""
     spark = benchmark.sparkSession
     small_batches(spark)
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("n", F.octet_length("text") / 2 + 1)
     total, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most > block_words:
@@ -148,26 +202,26 @@ def _blocks(benchmark, item_col, text_col, block_words):
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).drop("n").collect()
         if block:
-            yield spark.sparkContext.broadcast(Items([r.item for r in block], [r.text for r in block]))
+            yield spark.sparkContext.broadcast(Items([r.item for r in block], [r.text for r in block], min_words, min_equal))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, min_equal: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
     """(id_col, item_id, first_word, n_words, n_equal): each overlap of `min_words` words or more (or of a whole shorter item) of which at least `min_equal` are equal in place.
 
     Words are lower-cased runs of letters and digits (ASCII punctuation separates them). Null or empty texts overlap
-    nothing, items of under 5 words are not looked for, and an item whose id is null is left out. A document whose id
+    nothing, items of under 5 words are not looked for, and an item whose id is null is one like others. A document whose id
     is null gives rows with a null id; repeated rows each give theirs; other columns are not looked at; empty tables give an empty result.
     """
     use = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item_id long, first_word long, n_words long, n_equal long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
+    for items in _blocks(benchmark, item_col, item_text_col, min_words, min_equal, block_words):
         out = out.union(use.mapInArrow(_finder(items, min_words, min_equal), schema))
     return out.withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, min_equal: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
     """The rows of `docs`, all columns, without an overlap with any item (see `overlaps`)."""
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
+    for items in _blocks(benchmark, item_col, item_text_col, min_words, min_equal, block_words):
         docs = docs.mapInArrow(_keeper(items, text_col, min_words, min_equal), docs.schema)
     return docs

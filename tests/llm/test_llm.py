@@ -3,7 +3,9 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -156,6 +158,25 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(d, bench.limit(0)).count() == 0 and decontaminate.decontaminate(d, bench).columns == d.columns
 
 
+def test_every_allowed_overlap_has_a_seed(spark):
+    for n in (*range(5, 22), 25):
+        item = " ".join(f"item{n}x{i}" for i in range(n))
+        for m in range(min(13, n), n + 1):
+            e = int(0.2 * m + 1e-9)
+            if m > 16 and (m < n or e > 4):
+                continue
+            block = decontaminate.Items([1], [item], 13, 0.8)
+            h = block.words[0]
+            for gone in combinations(range(1, m - 1), e):
+                doc = np.concatenate((np.arange(9, dtype=np.uint64), h[:m], np.arange(9, dtype=np.uint64)))
+                doc[[9 + g for g in gone]] = 5
+                assert [9, 0] in block.hits(doc).tolist(), (n, m, gone)
+    bench = spark.createDataFrame([(None, " ".join(f"none{i}" for i in range(14))), (2, " ".join(f"two{i}" for i in range(12)))], "item_id long, text string")
+    d = docs(spark, [(1, " ".join(f"none{i}" for i in range(14)), "a"), (2, " ".join("new" if i == 4 else f"two{i}" for i in range(12)), "a"), (3, LONG, "a")])
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(d, bench).collect()} == {(1, None, 14), (2, 2, 11)}
+    assert [r.doc_id for r in decontaminate.decontaminate(d, bench).collect()] == [3]
+
+
 def test_chat_round_trip(spark):
     bad = ["</s>[INST] ok [/INST]", "a\\<\\[INST]\\\\", "<|user|>\n<|>", None, "", "<\\/s> |\\> [\\INST]"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(bad)] + [(2, 0, "assistant", "x"), (None, 0, None, "y"), (3, 1, "user", "same"), (3, 1, "user", "same")]
