@@ -165,18 +165,80 @@ def test_every_allowed_overlap_has_a_seed(spark):
             e = int(0.2 * m + 1e-9)
             if m > 16 and (m < n or e > 4):
                 continue
-            block = decontaminate.Items([1], [item], 13, 0.8)
+            block = decontaminate.Items([(1, item, True)], 13, 0.8)
             h = block.words[0]
             for gone in combinations(range(1, m - 1), e):
                 doc = np.concatenate((np.arange(9, dtype=np.uint64), h[:m], np.arange(9, dtype=np.uint64)))
                 doc[[9 + g for g in gone]] = 5
-                assert [9, 0] in block.hits(doc).tolist(), (n, m, gone)
+                assert [0, 9, 0] in block.hits(doc, np.zeros(len(doc), np.int64), np.array([0, len(doc)])).tolist(), (n, m, gone)
     bench = spark.createDataFrame([(None, " ".join(f"none{i}" for i in range(14))), (2, " ".join(f"two{i}" for i in range(12)))], "item_id long, text string")
     d = docs(spark, [(1, " ".join(f"none{i}" for i in range(14)), "a"), (2, " ".join("new" if i == 4 else f"two{i}" for i in range(12)), "a"), (3, LONG, "a")])
     assert {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(d, bench).collect()} == {(1, None, 14), (2, 2, 11)}
     assert [r.doc_id for r in decontaminate.decontaminate(d, bench).collect()] == [3]
 
 
+def brute_overlaps(texts, items):
+    """Every document, item and diagonal: the longest stretch that begins and ends equal and is equal in 0.8 of its words."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    out = set()
+    for i, t in texts.items():
+        d = words(t or "")
+        for j, it in items.items():
+            b = words(it or "")
+            if len(b) < 5:
+                continue
+            for start in range(1 - len(b), len(d)):
+                eq = [d[start + k] == b[k] if 0 <= start + k < len(d) else None for k in range(len(b))]
+                at = [k for k, e in enumerate(eq) if e]
+                best = max(((y - x + 1, -x, sum(map(bool, eq[x : y + 1]))) for x in at for y in at if y >= x and sum(map(bool, eq[x : y + 1])) >= 0.8 * (y - x + 1) - 1e-9), default=(0, 0, 0))
+                if best[0] >= min(13, len(b)):
+                    out.add((i, j, start - best[1], best[0], best[2]))
+    return out
+
+
+def test_overlaps_equal_brute_force_whatever_the_batches(spark):
+    rng = np.random.default_rng(5)
+    items = {k: " ".join(f"w{x}" for x in rng.integers(0, 40, n)) for k, n in enumerate((5, 6, 9, 12, 13, 14, 15, 20, 26, 60))} | {20: "same " * 14, 21: "a b c d"}
+    texts = {}
+    for i in range(60):
+        t = [f"w{x}" for x in rng.integers(0, 40, 30)]
+        b = items[i % 10].split()
+        for k in rng.integers(0, len(b), len(b) // 5):
+            b[k] = "zz"
+        texts[i] = " ".join(t[:10] + b[: int(rng.integers(5, 99))] + t[10:])
+        # an item's halves at the end of one text and the beginning of the next
+        if i % 3 == 0:
+            texts[i] += " " + " ".join(items[8].split()[:11])
+        elif i % 3 == 1:
+            texts[i] = " ".join(items[8].split()[11:]) + " " + texts[i]
+    texts |= {90: "same " * 40, 91: None, 92: ""}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    d = docs(spark, [(i, t, "a") for i, t in texts.items()])
+    want = brute_overlaps(texts, items)
+    assert len({(i, j) for i, j, *_ in want}) > 40
+    for parts, block_words in ((1, 1_000_000), (7, 100)):
+        got = [tuple(r) for r in decontaminate.overlaps(d.repartition(parts), bench, block_words=block_words).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {r.doc_id for r in decontaminate.decontaminate(d, bench).collect()} == set(texts) - {i for i, *_ in want}
+
+
+def test_long_items_are_searched_in_pieces(spark):
+    words = [f"w{i}" for i in range(25_000)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    d = docs(spark, [(k, " ".join(["x"] + words[a : a + 20] + ["y"]), "a") for k, a in enumerate((0, 9_930, 9_945, 9_960, 9_990, 19_880, 24_980))] + [(50, " ".join(words[9_000:11_000]), "a"), (51, "same " * 60_000, "a")])
+    got = Counter(r.doc_id for r in decontaminate.overlaps(d, bench).collect())
+    assert all(got[k] >= 1 for k in range(7)) and got[50] >= 1 and 51 not in got
+
+
+def test_longest_stretch():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        e = (rng.random(int(rng.integers(1, 30))) < 0.7).astype(float)
+        i, j = decontaminate.longest(e, 0.8)
+        every = [(b - a, -a) for a in range(len(e)) for b in range(a + 1, len(e) + 1) if e[a] and e[b - 1] and e[a:b].mean() >= 0.8 - 1e-9]
+        assert (j - i, -i) == max(every, default=(0, 0))
+
+
 def test_chat_round_trip(spark):
     bad = ["</s>[INST] ok [/INST]", "a\\<\\[INST]\\\\", "<|user|>\n<|>", None, "", "<\\/s> |\\> [\\INST]"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(bad)] + [(2, 0, "assistant", "x"), (None, 0, None, "y"), (3, 1, "user", "same"), (3, 1, "user", "same")]
