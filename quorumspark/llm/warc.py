@@ -4,8 +4,8 @@ Writing: payloads go to the writing tasks as (record, chunk number, bytes) rows
 a pass of their own, so a record is compressed and written chunk by chunk. Reading: an archive is streamed, and comes back as
 rows of record identifier and chunk number with the digest of all payload bytes so far; neither side holds a whole record.
 
-A task writes to a name of its own and renames it when it is complete; a task that runs again after a loss
-writes the same bytes to the same name. Archives are in the shared folder, so readers see those of executors that are gone.
+Every attempt of a task writes files of its own; the table of archives lists those of the attempts that were completed, so a task that
+runs again after a loss meets no file of the lost one. Archives are in the shared folder, so readers see those of executors that are gone.
 """
 
 import hashlib
@@ -52,16 +52,10 @@ def _writer(folder, date, max_bytes):
 
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}"
-        out = path = pack = None
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        out = pack = None
         files = []
 
-        def close():
-            nonlocal out
-            out.close()
-            store.move(f"{path}.{task.taskAttemptId()}", path)
-            out = None
-
         def put(data):
             out.write(data)
             files[-1][2] += len(data)
@@ -70,11 +64,12 @@ def _writer(folder, date, max_bytes):
             for r in b.to_pylist():
                 if r["k"] == 0:
                     if out and files[-1][2] >= max_bytes:
-                        close()
+                        out.close()
+                        out = None
                     if not out:
-                        path = f"{root}/{name}-{len(files):04d}.warc.gz"
-                        files.append([f"{folder}/{name}-{len(files):04d}.warc.gz", 0, 0])
-                        out = store.open_output_stream(f"{path}.{task.taskAttemptId()}", compression=None)
+                        path = f"{name}-{len(files):04d}.warc.gz"
+                        files.append([f"{folder}/{path}", 0, 0])
+                        out = store.open_output_stream(f"{root}/{path}", compression=None)
                     pack = zlib.compressobj(3, zlib.DEFLATED, 31)
                     put(pack.compress(_head(r | {"date": date})))
                     files[-1][1] += 1
@@ -83,7 +78,7 @@ def _writer(folder, date, max_bytes):
                 if r["last"]:
                     put(pack.compress(b"\r\n\r\n") + pack.flush())
         if out:
-            close()
+            out.close()
         if files:
             yield pa.record_batch([pa.array(x) for x in zip(*files, strict=True)], ["path", "n_records", "n_bytes"])
 
@@ -106,10 +101,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     rows = marked(pages, id_col, payload_col, min_bytes)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.col("_warc_bytes") - 1) / CHUNK), F.lit(0)).cast("int")), lambda i: F.substring(F.col("_warc_payload"), i * CHUNK + 1, F.lit(CHUNK)))
-    # a revisit has no payload to send
-    sent = F.when(F.col("_warc_refers").isNull(), pieces).otherwise(F.array(F.lit(b"").cast("binary")))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col("_warc_sha1").alias("d"), F.col("_warc_bytes").alias("n"), F.col("_warc_refers").cast("long").alias("refers"), F.posexplode(sent).alias("k", "chunk"))
+    # one chunk a row, cut from the payload only after the chunk numbers are rows; a revisit has no payload to send
+    chunks = F.when(F.col("_warc_refers").isNull(), F.greatest(F.ceil(F.col("_warc_bytes") / CHUNK), F.lit(1))).otherwise(F.lit(1)).cast("int")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_warc_k"))
+    piece = F.when(F.col("_warc_refers").isNull(), F.substring(F.col("_warc_payload"), F.col("_warc_k") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b"").cast("binary"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col("_warc_sha1").alias("d"), F.col("_warc_bytes").alias("n"), F.col("_warc_refers").cast("long").alias("refers"), F.col("_warc_k").alias("k"), piece.alias("chunk"))
     rows = rows.withColumn("last", F.col("refers").isNotNull() | ((F.col("k") + 1) * F.lit(CHUNK).cast("long") >= F.col("n")))
     return shared(rows.mapInArrow(_writer(folder, date, max_bytes), "path string, n_records long, n_bytes long"))
 
