@@ -1,15 +1,20 @@
-"""Byte-level BPE by merge replay over a corpus of words, and decoding.
+"""Byte-level BPE by merge replay over the words of a corpus, and decoding.
 
-Each task indexes the distinct words (pattern matches) of its texts and replays the
-merges over all new ones together: an inverted index from a pair's rank to word positions is worked off in rank
-order, every place of a merge at once, and only the pairs left and right of a merged place are
-looked up again. Texts are then put together from the words' ids. No shuffle; what a task holds
-is one Arrow batch and at most `cache` words.
+1. The corpus's units (stretches of pattern matches, see `_Units`) are counted, each task's distinct ones first; the `common` most frequent are the
+   corpus's index, a table of bounded size. Which count makes a unit frequent is read off a histogram of counts, so no task sorts them.
+2. That table is dealt over the tasks and its words' merges are replayed once for the whole corpus: an inverted index
+   from a pair's rank to word positions is worked off in rank order, every place of a merge at once, and only the
+   pairs left and right of a merged place are looked up again. The result is broadcast.
+3. Texts are put together from the units' ids. A unit outside the table is rare; tasks that meet one replay it in the same way, all
+   new ones of a batch together. So every text is encoded whole and alike at any size.
+
+The pass over texts has no shuffle; what a task holds is one Arrow batch, the table and at most `cache` rare units.
 """
 
 import base64
 import heapq
 import itertools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
-from quorumspark.llm._graph import small_batches
+from quorumspark.llm._graph import shared, small_batches
 from quorumspark.llm.suffix import _ramp
 
 NONE = np.int64(1 << 40)
+#: Units of more characters are not put in the corpus's table, which bounds its size.
+LONGEST = 64
 #: A pattern of which it is known that a space between two other characters always begins a match.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -167,19 +174,23 @@ class _Units:
     matches. Key: the unit without its leading space, or with one put before it if it has none.
     """
 
-    def __init__(self, merges, pattern):
+    def __init__(self, merges, pattern, table=None):
         self.merges, self.find = merges, regex.compile(pattern).findall
         self.clean = pattern == SPACED
-        self.units, self.words = _Index(), _Index()
+        units, ids, stop = table or ([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+        self.units, self.words = _Index(zip(units, range(len(units)), strict=True)), _Index()
         self.ids, self.stop = np.zeros(0, np.int32), np.zeros(1, np.int64)  # of words
-        self.unit_ids, self.unit_stop = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.unit_ids, self.unit_stop = ids, stop
 
-    def rows(self, text):
+    def cut(self, text):
         if self.clean and not _WIDE.search(text):
             parts = text.split(" ")
             parts[0] = " " + parts[0]
-        else:
-            parts = [t[1:] if t[0] == " " and len(t) > 1 and " " not in t[1:] else " " + t for t in self.find(text)]
+            return parts
+        return [t[1:] if t[0] == " " and len(t) > 1 and " " not in t[1:] else " " + t for t in self.find(text)]
+
+    def rows(self, text):
+        parts = self.cut(text)
         return np.fromiter(map(self.units.__getitem__, parts), np.int32, len(parts))
 
     def settle(self):
@@ -207,12 +218,61 @@ def gather(values, stop, which):
     return values[np.repeat(stop[which], size) + _ramp(size)], size
 
 
-def _encoder(merges, pattern, cache):
+def _counter(pattern, cache):
+    def run(batches):
+        cut = _Units(None, pattern).cut
+        seen = Counter()
+
+        def packed():
+            out = pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text:
+                    parts = cut(text)
+                    seen.update(parts if max(map(len, parts)) <= LONGEST else [x for x in parts if len(x) <= LONGEST])
+            if len(seen) > cache:
+                yield packed()
+        if seen:
+            yield packed()
+
+    return run
+
+
+def common_units(texts: DataFrame, pattern: str, common: int, cache: int) -> DataFrame:
+    """(unit): at most `common` units of a column of texts, the most frequent; units that occur once or have more than LONGEST characters are left to the tasks that meet them."""
+    counts = shared(texts.mapInArrow(A.tidy(_counter(pattern, cache)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1"))
+    # counts on a scale of eighths of powers of two: some hundred rows whatever the corpus
+    counts = counts.withColumn("size", F.floor(8 * F.log2("n")).cast("int"))
+    least, total = None, 0
+    for r in counts.groupBy("size").count().orderBy(F.desc("size")).collect():
+        total += r["count"]
+        if total > common:
+            break
+        least = r["size"]
+    return counts.where(F.lit(False) if least is None else F.col("size") >= least).select("unit")
+
+
+def _replayer(merges, pattern):
+    def run(batches):
+        for b in batches:
+            known = _Units(merges.value, pattern)
+            for unit in b.column(0).to_pylist():
+                known.units[unit]
+            known.settle()
+            yield pa.record_batch([b.column(0), A.blobs(known.unit_ids.view(np.uint8), known.unit_stop[1:] * 4)], ["unit", "ids"])
+
+    return run
+
+
+def _encoder(merges, table, pattern, cache):
     def run(batches):
         known = None
         for b in batches:
-            if known is None or len(known.units) > cache:
-                known = _Units(merges.value, pattern)
+            if known is None or len(known.units) > cache + len(table.value[0]):
+                known = _Units(merges.value, pattern, table.value)
             rows = [known.rows(t) if t else np.zeros(0, np.int32) for t in b.column(1).to_pylist()]
             known.settle()
             # about a million units at a time, so that the ids of a batch are made in pieces
@@ -227,15 +287,21 @@ def _encoder(merges, pattern, cache):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, cache: int = 300_000) -> DataFrame:
     """(id_col, ids array<int>): ids of each whole text by the rank file at `path`, each match of `pattern` encoded separately, without special tokens.
 
-    A null or empty text has no ids. Rows that repeat, or whose id is null or repeated, each give a row; other columns are not looked at.
+    A null or empty text has no ids. Rows that repeat, or whose id is null or repeated, each give a row; other columns are not looked at; an empty
+    table gives an empty result. A text is held whole in its task (about 40 bytes of memory a byte). `common` bounds the broadcast table of units (some 60 bytes each).
     """
-    small_batches(docs.sparkSession)
-    merges = docs.sparkSession.sparkContext.broadcast(Merges(load_ranks(path)))
+    spark = docs.sparkSession
+    small_batches(spark)
+    merges = spark.sparkContext.broadcast(Merges(load_ranks(path)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(A.tidy(_encoder(merges, pattern, cache)), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    found = common_units(rows.select("text"), pattern, common, cache).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
+    found = found.mapInArrow(A.tidy(_replayer(merges, pattern)), "unit string, ids binary").collect()
+    stop = np.concatenate(([0], np.cumsum([len(r.ids) // 4 for r in found]))).astype(np.int64)
+    table = spark.sparkContext.broadcast(([r.unit for r in found], np.frombuffer(b"".join(r.ids for r in found), np.int32), stop))
+    return rows.mapInArrow(A.tidy(_encoder(merges, table, pattern, cache)), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def _decoder(merges):

@@ -64,6 +64,16 @@ def test_bpe_is_exact(spark, some):
     assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_bpe_is_the_same_with_any_table(spark, some):
+    want = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode(some, PATH, public_tokenizers.PATTERN).collect()), key=str)
+    texts = some.union(some).select("text")
+    assert 0 < bpe.common_units(texts, public_tokenizers.PATTERN, 500, 10).count() <= 500
+    for common, cache in ((0, 5), (300, 5), (100_000, 100_000)):
+        got = bpe.encode(some, PATH, public_tokenizers.PATTERN, common=common, cache=cache)
+        assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=str) == want
+    assert bpe.decode(bpe.encode(some.limit(0), PATH, public_tokenizers.PATTERN), PATH).count() == 0
+
+
 def test_bpe_odd_words():
     m = bpe.Merges(bpe.load_ranks(PATH))
     enc = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=m.ranks, special_tokens={})
@@ -269,6 +279,16 @@ def test_warc(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert chunks.where("record_id LIKE 'urn:page:6:%'").count() == 4
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    clashing = pages.selectExpr("*", "1 AS k", "2 AS chunk", "'x' AS id", "3 AS d", "4 AS first")
+    assert sorted(map(str, warc.digest(warc.read_archives(warc.write_archives(clashing))).collect())) == sorted(map(str, warc.digest(chunks).collect()))
+
+
+def test_archives_of_a_task_that_runs_again_list_one_attempt(spark, tmp_path):
+    pages = spark.range(20).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(cast(id AS string), 2000) AS html")
+    files = [warc.write_archives(pages, f"{tmp_path}/w") for _ in range(2)]
+    for f in files:
+        assert f.agg(F.sum("n_records")).first()[0] == 20 and warc.digest(warc.read_archives(f)).select("page_id").distinct().count() == 20
+    assert not set(files[0].toPandas().path) & set(files[1].toPandas().path)
 
 
 def test_main_text(spark):
