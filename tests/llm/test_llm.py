@@ -300,6 +300,43 @@ def test_main_text(spark):
     assert got[4] == "" and got[5] == "plain <text>" and got[6] == "m"
 
 
+def test_repeated_substrings_of_a_host_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    foot = [" ".join(f"foot{k}x{i}" for i in range(12)) for k in range(3)]
+    own = lambda i, n: " ".join(f"o{i}x{rng.integers(0, 9999)}" for _ in range(n))
+    pages = {}
+    for i in range(24):
+        parts = [own(i, 30), foot[i % 3], own(i, 20)]
+        if i % 4 == 0:
+            parts.insert(1, foot[(i + 1) % 3])
+        pages[i] = (f"h{i % 2}", [" ".join(parts[:2]), *parts[2:]])
+    pages[24] = ("h0", pages[0][1])  # a copy: does not make its own text boilerplate
+    pages[25] = ("h0", [pages[2][1][0].replace("o2x", "p2x", 1), *pages[2][1][1:]])  # an edited copy: both stay whole
+    pages[26] = ("h2", [foot[0], own(26, 9)])  # one page of its host
+    rows = [(i, f"http://{h}/{i}", "<body><nav>menu of it</nav>" + "".join(f"<p>{b}</p>" for b in blocks) + f"<form>{foot[2]}</form>", "x") for i, (h, blocks) in pages.items()]
+    streams = {i: (h, " ".join(blocks).split()) for i, (h, blocks) in pages.items()}
+    seen = {}
+    for i, (h, t) in streams.items():
+        for part in (t, ["menu", "of", "it", *foot[2].split()]):
+            for k in range(len(part) - 7):
+                seen.setdefault((h, tuple(part[k : k + 8])), set()).add(tuple(t))
+    want = {}
+    for i, (h, t) in streams.items():
+        cover = {p for k in range(len(t) - 7) if len(seen[h, tuple(t[k : k + 8])]) > 1 for p in range(k, k + 8)}
+        if len(t) - len(cover) < 0.1 * len(t):
+            cover = set()
+        at, out = 0, []
+        for block in pages[i][1]:
+            left = [w for p, w in enumerate(block.split(), at) if p not in cover]
+            at += len(block.split())
+            out += [" ".join(left)] if left else []
+        want[i] = "\n".join(out)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(5)
+    got = {r.page_id: r.text for r in html.main_text(table, keep=("page_id", "host")).collect()}
+    assert got == want and "foot" not in got[5] and "foot0" in got[26] and got[25].split("\n")[0].startswith("p2x")
+    assert html.main_text(table.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
