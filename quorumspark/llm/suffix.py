@@ -29,6 +29,7 @@ from quorumspark.llm._graph import dealt_by, small_batches
 
 K = 32
 ANCHOR = np.dtype([("h", "<u8"), ("at", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("doc", "<i4")])
+#: size: in the first step 1 for an anchor that its batch has again, 2 for a window of which that is known to the byte; later the bytes of the stretch.
 STRETCH = np.dtype([("h", "<u8"), ("c1", "<u8"), ("u1", "<i8"), ("u2", "<i8"), ("at", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("size", "<i4")])
 SPAN = np.dtype([("u1", "<i8"), ("u2", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
@@ -61,6 +62,28 @@ def anchors(data, offsets, length):
     return out
 
 
+def _periodic(x, data, offsets, length):
+    """Of anchors that stand for one window (where a text repeats itself at once, every byte can be one): (rows to leave out, rows known to be repeated).
+
+    Windows that another of the slice equals byte by byte are repeated; the first of them goes on and stands for all.
+    """
+    one = np.flatnonzero(x["lo"] == x["hi"])
+    begin = offsets[x["doc"][one]] + x["at"][one] - x["lo"][one]
+    sums = A.prefix(data)
+    w = A.between(sums, begin, begin + length)
+    o = np.argsort(w, kind="stable")
+    one, begin, w = one[o], begin[o], w[o]
+    pair = np.flatnonzero(w[1:] == w[:-1])
+    same = np.zeros(len(w), bool)
+    for i in range(0, len(pair), 4096):
+        p = pair[i : i + 4096]
+        reach = np.arange(length)
+        same[p + 1] = (data[begin[p][:, None] + reach] == data[begin[p + 1][:, None] + reach]).all(axis=1)
+    known = same.copy()
+    known[:-1] |= same[1:]
+    return one[same], one[known]
+
+
 def _texts(column, length):
     """(row, first byte, bytes, offsets) of slices; a long text comes in pieces that share length - 1 bytes."""
     for i, j, data, offsets in A.slices(column):
@@ -80,6 +103,11 @@ def _deal_anchors(length, buckets):
                 x = anchors(data, offsets, length)
                 if not len(x):
                     continue
+                spans = x[:0]
+                if len(x) > len(data) // 40:  # more than twice the usual number
+                    out, known = _periodic(x, data, offsets, length)
+                    spans = x[known]
+                    x = np.delete(x, out)
                 x = x[np.argsort(x["h"], kind="stable")]
                 first = A.runs(x["h"])
                 again = np.repeat(np.diff(np.append(first, len(x))) > 1, np.diff(np.append(first, len(x))))
@@ -91,6 +119,19 @@ def _deal_anchors(length, buckets):
                 out["size"], out["c1"] = again, 0
                 # an anchor that this batch has twice is repeated for certain: only its first goes to the bucket of its hash
                 bucket = np.where(once, (A.mix(x["h"]) % np.uint64(buckets)).astype(np.int64), out["u1"] % buckets)
+                if len(spans):
+                    # neighbours together: a stretch of windows, up to what lo holds
+                    at = offsets[spans["doc"]] + spans["at"] - spans["lo"]
+                    spans, at = spans[np.argsort(at)], np.sort(at)
+                    number = np.cumsum(np.concatenate(([0], (np.diff(at) > 1) | (np.diff(spans["doc"]) > 0))))
+                    number = number * len(at) + (at - at[A.runs(number)][number]) // 30_000
+                    cut = A.runs(number)
+                    last = np.append(cut[1:], len(at)) - 1
+                    more = np.zeros(len(cut), STRETCH)
+                    more["at"] = spans["at"][cut] - spans["lo"][cut] + p + at[last] - at[cut]
+                    more["lo"], more["size"] = at[last] - at[cut], 2
+                    more["u1"], more["u2"] = u[i + spans["doc"][cut], 0], u[i + spans["doc"][cut], 1]
+                    out, bucket = np.concatenate((out, more)), np.concatenate((bucket, more["u1"] % buckets))
                 order = np.argsort(bucket, kind="stable")
                 cut = A.runs(bucket[order])
                 yield pa.record_batch([pa.array(bucket[order][cut]), A.blobs(out[order].view(np.uint8).reshape(-1, STRETCH.itemsize), np.append(cut[1:], len(out)))], ["bucket", "anchors"])
@@ -100,7 +141,7 @@ def _deal_anchors(length, buckets):
 
 def _repeated(table):
     x = A.joined(table.column("anchors"), np.uint8).view(STRETCH)
-    own = x["h"]
+    own = np.where(x["size"] > 1, A.mix(np.arange(len(x), dtype=np.uint64), 77), x["h"])
     o = np.argsort(own)
     hs = own[o]
     same = np.zeros(len(hs) + 1, bool)
@@ -135,6 +176,8 @@ def _deal_stretches(length, buckets):
                 begin = end
                 x = np.concatenate([x for x, _ in own])
                 start = np.concatenate([o + x["at"] - x["lo"] for x, o in own])
+                certain = x[x["size"] == 2]
+                start, x = start[x["size"] < 2], x[x["size"] < 2]
                 size = length + x["lo"].astype(np.int64) - x["hi"]
                 at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 flat = data[at]
@@ -160,8 +203,8 @@ def _deal_stretches(length, buckets):
                 sent = np.zeros(len(x), bool)
                 sent[first] = True
                 sent[order[~alike]] = True
-                spans = np.empty(int(done.sum()), SPAN)
-                y = x[done]
+                y = np.concatenate((x[done], certain))
+                spans = np.empty(len(y), SPAN)
                 spans["u1"], spans["u2"], spans["a"], spans["b"] = y["u1"], y["u2"], y["at"] - y["lo"], y["at"] - y["hi"] + length
                 pick = np.flatnonzero(sent)
                 bucket = (A.mix(x["h"][pick]) % np.uint64(buckets)).astype(np.int64)  # anchors are least hashes: mixed once more
@@ -170,6 +213,10 @@ def _deal_stretches(length, buckets):
                 edge = np.append(cut[1:], len(pick))
                 bytes_ = flat[np.repeat((stop - size)[pick], size[pick]) + _ramp(size[pick])]
                 n = len(cut)
+                if not n and len(spans):  # nothing to send but what is known
+                    yield pa.record_batch([pa.array([0]), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([spans.tobytes()], pa.binary())], ["bucket", "stretches", "bytes", "spans"])
+                if not n:
+                    continue
                 yield pa.record_batch([pa.array(bucket[cut]), A.blobs(x[pick].view(np.uint8).reshape(-1, STRETCH.itemsize), edge), A.blobs(bytes_, np.cumsum(size[pick])[edge - 1]), pa.array([spans.tobytes()] + [b""] * (n - 1), pa.binary())], ["bucket", "stretches", "bytes", "spans"])
 
     return run

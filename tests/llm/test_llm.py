@@ -57,6 +57,36 @@ def test_repeated_substrings(spark, some):
     assert suffix.repeated_substrings(some.limit(0)).count() == 0
 
 
+def test_repeated_substrings_of_periodic_texts(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    p7, p90, p150, p260 = (letters(n) for n in (7, 90, 150, 260))
+    texts = ["a" * 4000, letters(90) + "a" * 199 + letters(90), "b" * 200, p7 * 100, letters(60) + p7 * 40 + letters(60), p90 * 5, p150 * 4, p260 * 3, "x" * 230 + letters(250) + "x" * 230, "c" * 200 + letters(9), letters(9) + "c" * 200, None]
+    d = docs(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a"), (None, texts[7], "b")])
+    got = sorted(((str(r.doc_id), r.n_bytes, [(x.start, x.stop) for x in r.spans]) for r in suffix.repeated_substrings(d).collect()), key=str)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in d.collect()]
+    count = Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
+    want = []
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        want.append((str(i), len(b), [m.span() for m in re.finditer(b"\1+", bytes(gone))]))
+    assert got == sorted(want, key=str)
+
+
+def test_long_periodic_texts_take_bounded_memory(spark):
+    d = docs(spark, [(1, "a" * 5_000_000, "a"), (2, "ab" * 1_000_000, "a"), (3, "x" + "a" * 300, "a")])
+    got = {r.doc_id: r for r in suffix.digest(suffix.repeated_substrings(d)).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(5_000_000, 1), (2_000_000, 1), (300, 1)]
+    # what the tasks hold: rows of the first step for a slice of one character
+    data = np.full(1 << 20, 97, np.uint8)
+    x = suffix.anchors(data, np.array([0, len(data)]), 200)
+    out, known = suffix._periodic(x, data, np.array([0, len(data)]), 200)
+    assert len(x) - len(out) < 5 and len(known) >= len(out)
+
+
 def test_bpe_is_exact(spark, some):
     got = bpe.decode(bpe.encode(some, PATH, public_tokenizers.PATTERN), PATH).collect()
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
