@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
 A text is split at line feeds; the hash of each line enters a rolling hash over `window` lines, and a chunk ends
-after every line at which that hash is 0 modulo `divisor`. Boundaries depend on the last lines
+after every line at which that hash is 0 modulo `divisor` and was not at the line before: no chunk inside a text has one line only. Boundaries depend on the last lines
 only, so a passage is cut alike wherever it stands. Chunks of two lines or more that occur again anywhere are found
 by hash, compared byte by byte, and all but the first (least id, then place) are removed.
 """
@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def _chunk_starts(h: Column, window: int, divisor: int) -> Column:
-    """1-based first lines of the chunks, from the array of line hashes."""
+    """1-based first lines of the chunks, from the array of line hashes; the last chunk has two lines at least if the text has."""
     rolling = h
     for m in range(1, window):
         rest = F.greatest(F.size(h) - m, F.lit(0))
         rolling = F.zip_with(F.slice(rolling, 1, rest), F.slice(h, m + 1, rest), lambda r, x: r * 31 + x)
-    cut = F.transform(rolling, lambda r, i: F.when(r % divisor == 0, i + window + 1))
-    return F.concat(F.array(F.lit(1)), F.filter(cut, lambda x: x.isNotNull() & (x <= F.size(h))))
+    mark = F.transform(rolling, lambda r: r % divisor == 0)
+    alone = F.zip_with(mark, F.slice(F.concat(F.array(F.lit(False)), mark), 1, F.greatest(F.size(h) - window + 1, F.lit(0))), lambda m, before: m & ~before)
+    cut = F.transform(alone, lambda m, i: F.when(m, i + window + 1))
+    return F.concat(F.array(F.lit(1)), F.filter(cut, lambda x: x.isNotNull() & (x < F.size(h))))
 
 
 def _named(docs, id_col, text_col):
@@ -45,17 +47,17 @@ def _texts(chunked, *more):
     return rows.select("id", "u1", "u2", *more, "n_lines", F.transform("ranges", lambda r: r.n).alias("sizes"), F.transform("ranges", lambda r: F.array_join(F.slice("lines", r.a, r.n), "\n")).alias("chunks"), F.size("lines").alias("_n"))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 4) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2) -> DataFrame:
     """(id_col, n_lines, n_chunks, n_removed lines, text left), one row for each input row.
 
     Removed: chunks of two lines or more, with a character that is not white space, whose bytes an
     earlier chunk also has; earlier means a smaller (id, place), a null id first; different texts of one id go by their row names. A null text is empty (one line). Rows that repeat with the same id keep what one
-    of them keeps. Empty tables give an empty result; other columns are not looked at.
+    of them keeps. Empty tables give an empty result; other columns are not looked at. A text is held whole, some ten times its bytes.
     """
     return _left(docs, id_col, text_col, window, divisor).drop("u1", "u2")
 
 
-def _left(docs, id_col, text_col, window=2, divisor=4):
+def _left(docs, id_col, text_col, window=2, divisor=2):
     """What `repeated_chunks` gives, with the names u1 and u2 of each row."""
     base = _chunked(docs, id_col, text_col, window, divisor)
     wide = _texts(base).select("u1", "u2", F.posexplode(F.zip_with("sizes", "chunks", lambda n, t: F.when((n > 1) & t.rlike(r"\S"), F.xxhash64(t, F.length(t))))).alias("place", "key")).where("key is not null")
@@ -79,7 +81,7 @@ def _left(docs, id_col, text_col, window=2, divisor=4):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """`docs` with each text replaced by what `repeated_chunks` leaves of it; rows of which nothing but white space is left, and that had more, go.
 
-    All other columns stay; `length_col`, if there is one, is set to the new length in characters. A null or empty text stays as it is.
+    All other columns stay; `length_col`, if there is one, is set to the new length in characters. A null or empty text stays as it is; rows that repeat stay or lose chunks alike; an empty table stays empty.
     """
     left = _left(docs, id_col, text_col, **options).where("n_removed > 0").select(F.col("u1").alias("_line_1"), F.col("u2").alias("_line_2"), F.col("text").alias("_line_text"), (F.col("n_removed") + F.lit(0)).alias("_line_n"))
     return _replaced(docs, left, id_col, text_col, length_col)

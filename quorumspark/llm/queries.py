@@ -97,7 +97,8 @@ _OP8 = r"""
 WITH l AS (
   SELECT doc_id, line, i, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
   FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
-cut AS (SELECT *, CASE WHEN i > 2 AND (lag(h, 2) OVER w * 31 + lag(h) OVER w) % 4 = 0 THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+marked AS (SELECT *, i > 2 AND (lag(h, 2) OVER w * 31 + lag(h) OVER w) % 2 = 0 AS mark, count(*) OVER (PARTITION BY doc_id) AS size FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cut AS (SELECT *, (mark AND NOT lag(mark) OVER w AND i < size)::INT AS new FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS place FROM cut),
 chunk AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM numbered GROUP BY doc_id, place),
 ranked AS (SELECT *, n > 1 AND regexp_matches(chunk, '[^ \t\n\x0B\f\r]') AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, place) > 1 AS gone FROM chunk)
