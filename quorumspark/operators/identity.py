@@ -102,10 +102,12 @@ def cue_type(text, classes: list[tuple[str, str]], other: str = "other"):
     return out
 
 
-def flip_category(rows: DataFrame, a: str, b: str, models: list[str] | None = None) -> DataFrame:
-    """(iso, category): whether an entity's hit rate is above zero under both treatments, one or neither."""
-    w = rows.groupBy("iso").pivot("treatment", [a, b]).agg(F.avg(F.col("hit1").cast("int"))).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return w.select("iso", F.when((F.col(a) > 0.5) & (F.col(b) > 0.5), "both").when(F.col(a) > 0.5, f"{a}_only").when(F.col(b) > 0.5, f"{b}_only").otherwise("neither").alias("category"))
+def flip_category(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(*by, category, delta) of groups that both treatments have: both_correct (top-1 rates of 1), both_wrong (top-3 rates of 0), the treatment with the larger top-1 rate, or tied; delta is b - a."""
+    rate = lambda hit, t: F.avg(F.when(F.col("treatment") == t, F.col(hit).cast("int")))
+    w = rows.groupBy(*by).agg(rate("hit1", a).alias("_a"), rate("hit1", b).alias("_b"), rate("hit3", a).alias("_a3"), rate("hit3", b).alias("_b3")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    category = F.when((F.col("_a") == 1) & (F.col("_b") == 1), "both_correct").when((F.col("_a3") == 0) & (F.col("_b3") == 0), "both_wrong").when(F.col("_a") > F.col("_b"), f"{a}_only").when(F.col("_b") > F.col("_a"), f"{b}_only").otherwise("tied")
+    return w.select(*by, category.alias("category"), (F.col("_b") - F.col("_a")).alias("delta"))
 
 
 def salience(cells: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

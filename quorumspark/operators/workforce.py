@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import six
+from quorumspark.operators.panel import common_scope
 
 BANDS = ((3, "1-3"), (4, "4"), (7, "5-7"), (10**9, "8+"))
 
@@ -24,12 +25,11 @@ def era_bands(means: DataFrame, cut: int) -> DataFrame:
 
 
 def turnover(ratings: DataFrame, since: int) -> DataFrame:
-    """Coders whose last year is each year (from `since`), their share of the year's pool, and whether it is the data's last year."""
-    spans = ratings.groupBy("coder").agg(F.max("year").alias("year"), F.min("year").alias("first"))
-    pool = ratings.groupBy("year").agg(F.count_distinct("coder").alias("pool"))
-    end = pool.agg(F.max("year").alias("end"))
-    stops = spans.where(F.col("year") >= since).groupBy("year").agg(F.count("*").alias("stops"))
-    return stops.join(pool, "year").crossJoin(F.broadcast(end)).select("year", "stops", "pool", six(F.col("stops") / F.col("pool")).alias("share"), (F.col("year") == F.col("end")).alias("still_active"))
+    """Coders whose last year is each year from `since` on, in per cent of all coders whose last year is in that range, and whether it is the last year (whose coders are still active)."""
+    last = ratings.groupBy("coder").agg(F.max("year").alias("year")).where(F.col("year") >= since)
+    stops = last.groupBy("year").agg(F.count("*").alias("stops"))
+    whole = stops.agg(F.sum("stops").alias("pool"), F.max("year").alias("end"))
+    return stops.crossJoin(F.broadcast(whole)).select("year", "stops", "pool", F.round(100 * F.col("stops") / F.col("pool"), 2).alias("pct_of_pool"), (F.col("year") == F.col("end")).alias("still_active"))
 
 
 def shortfall(counts: DataFrame, by: list[str], n: str = "n_coders") -> DataFrame:
@@ -38,10 +38,12 @@ def shortfall(counts: DataFrame, by: list[str], n: str = "n_coders") -> DataFram
 
 
 def leading_edge(releases: DataFrame, min_fill: float = 0.5) -> DataFrame:
-    """Latest year of each release with at least `min_fill` of the cells of its fullest year."""
-    n = releases.groupBy("release", "year").agg(F.count("*").alias("n"))
-    full = n.withColumn("top", F.max("n").over(W.partitionBy("release")))
-    return full.where(F.col("n") >= min_fill * F.col("top")).groupBy("release").agg(F.max("year").alias("edge"))
+    """Latest year of each release in which at least `min_fill` of the grid is filled: the entities with rows in the year times the indicators, both of the scope that all releases share. The last year with any row can be nearly empty."""
+    inds, ents = common_scope(releases, "indicator"), common_scope(releases, "entity")
+    shared = releases.join(inds, "indicator", "left_semi").join(ents, "entity", "left_semi")
+    fill = shared.groupBy("release", "year").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("rows"))
+    size = inds.agg(F.count("*").alias("width"))
+    return fill.crossJoin(F.broadcast(size)).where(F.col("n") >= min_fill * F.col("rows") * F.col("width")).groupBy("release").agg(F.max("year").alias("edge"))
 
 
 def edge_series(releases: DataFrame, offsets: int = 3) -> DataFrame:
@@ -54,6 +56,11 @@ def backfill(releases: DataFrame) -> DataFrame:
     return m.withColumn("gain", F.col("mean_nr") - F.lag("mean_nr").over(W.partitionBy("year").orderBy("release")))
 
 
+def mean_increment(filled: DataFrame, first: int, last: int) -> DataFrame:
+    """Mean gain of a release over the one before, over the settled years first..last."""
+    return filled.where(F.col("year").between(first, last) & F.col("gain").isNotNull()).groupBy("release").agg(F.round(F.avg("gain"), 3).alias("mean_increment"), F.count("*").alias("years"))
+
+
 def fill_in(releases: DataFrame) -> DataFrame:
     """The edge year of release i as read in every release from i on (cycle 0, 1, ...)."""
     edge = leading_edge(releases).select(F.col("release").alias("first"), F.col("edge").alias("year"))

@@ -15,9 +15,9 @@ BEFORE = "b AS (SELECT entity, year + 1 AS year, indicator, raw_mean AS before F
 MAE = "mae AS (SELECT entity, year, indicator, avg(e) AS h, any_value(n) AS n FROM loo GROUP BY entity, year, indicator)"
 
 
-@query("c1_scored", "SELECT model, condition, entity, year, indicator, rating, round(signed_dev, 6) AS signed_dev, round(abs_dev, 6) AS abs_dev FROM scored WHERE year = 1997")
+@query("c1_scored", "SELECT model, condition, entity, year, indicator, rating, round(signed_dev, 6) AS signed_dev, round(abs_dev, 6) AS abs_dev FROM scored")
 def _(v):
-    return M.score(v.runs, v.means).where("year = 1997").select(*MC, *CELL, "rating", six(F.col("signed_dev")).alias("signed_dev"), six(F.col("abs_dev")).alias("abs_dev"))
+    return M.score(v.runs, v.means).select(*MC, *CELL, "rating", six(F.col("signed_dev")).alias("signed_dev"), six(F.col("abs_dev")).alias("abs_dev"))
 
 
 @query("c2_mad_table", "SELECT condition, model, coalesce(indicator, '_overall') AS indicator, round(avg(abs_dev), 3) AS mae, count(*) AS n FROM scored GROUP BY GROUPING SETS ((condition, model, indicator), (condition, model))")

@@ -14,7 +14,8 @@ from quorumspark.plans.registry import query
 from quorumspark.sources.views import _u
 
 CELL, MC = P.CELL, M.MC
-B = 200
+#: Draws of the cluster bootstrap, of the seat swaps and of the replacement experiment.
+B, SEATS, REPLACED = 2000, 30, 500
 NAMES = "names_ AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM means))"
 WEIGHTS = f"""w_ AS (SELECT draw, entity, count(*) AS w FROM (SELECT d.draw, {_u('boot', 'd.draw', 's.s')} % (SELECT any_value(n) FROM names_) AS k FROM range(1, {B + 1}) d(draw) CROSS JOIN (SELECT k AS s FROM names_) s) JOIN names_ USING (k) GROUP BY draw, entity UNION ALL SELECT 0, entity, 1 FROM names_)"""
 H = "mae AS (SELECT entity, year, indicator, avg(e) AS h, any_value(n) AS n FROM loo GROUP BY entity, year, indicator)"
@@ -97,10 +98,10 @@ for _k in range(1, 7):
     _POISSON.append(_POISSON[-1] + 0.36787944117144233 / __import__("math").factorial(_k))
 
 
-@query("d8_row_boot", _ci("year", "(SELECT draw, year, sum(w * g) / nullif(sum(w), 0) AS x FROM (SELECT draw, year, g, " + " + ".join(f"(r >= {s!r})::INT" for s in _POISSON) + f" AS w FROM (SELECT draw, year, abs(round_even(raw_mean, 0) - raw_mean) AS g, {_u('row', 'draw', 'entity', 'year', 'indicator')} / 4294967296.0 AS r FROM means CROSS JOIN range(1, 41) d(draw))) GROUP BY draw, year UNION ALL SELECT 0, year, avg(abs(round_even(raw_mean, 0) - raw_mean)) FROM means GROUP BY year)"))
+@query("d8_row_boot", _ci("year", "(SELECT draw, year, sum(w * g) / nullif(sum(w), 0) AS x FROM (SELECT draw, year, g, " + " + ".join(f"(r >= {s!r})::INT" for s in _POISSON) + f" AS w FROM (SELECT draw, year, abs(round_even(raw_mean, 0) - raw_mean) AS g, {_u('row', 'draw', 'entity', 'year', 'indicator')} / 4294967296.0 AS r FROM means CROSS JOIN range(1, 2001) d(draw))) GROUP BY draw, year UNION ALL SELECT 0, year, avg(abs(round_even(raw_mean, 0) - raw_mean)) FROM means GROUP BY year)"))
 def _(v):
     rows = v.means.withColumn("g", F.abs(half_even(F.col("raw_mean")) - F.col("raw_mean")))
-    return R.ci(R.row_boot(rows, 40, ["year"], "g", ["entity", "year", "indicator"]), ["year"])
+    return R.ci(R.row_boot(rows, B, ["year"], "g", ["entity", "year", "indicator"]), ["year"])
 
 
 @query("d9_pool_boot", _ci("model", _mean("model", "(SELECT * FROM scored WHERE (entity, year, indicator) IN (SELECT entity, year, indicator FROM means WHERE n_coders >= 8))", "((rating = round_even(raw_mean, 0))::INT)")), NAMES, WEIGHTS)
@@ -125,14 +126,20 @@ def _(v):
     return R.ci(R.boot_mean(M.rank_bins(rows, "h"), _boot(v), ["bin"], F.col("abs_dev")), ["bin"])
 
 
-@query("d12_w1_ci", _ci("model", "w1d"), LOO, NAMES, WEIGHTS, """hx AS (SELECT draw, model, b, sum(f) AS f, sum(g) AS g FROM (SELECT draw, model, floor((abs_dev + 1e-9) / 0.01)::INT AS b, sum(w)::DOUBLE AS f, 0.0::DOUBLE AS g FROM scored JOIN w_ USING (entity) WHERE draw <= 40 GROUP BY ALL
-  UNION ALL SELECT draw, model, floor((e + 1e-9) / 0.01)::INT, 0.0, sum(w) FROM loo JOIN w_ USING (entity) CROSS JOIN (SELECT DISTINCT model FROM runs) WHERE draw <= 40 GROUP BY ALL) GROUP BY ALL),
-w1d AS (SELECT draw, model, sum(d) AS x FROM (SELECT draw, model, abs(sum(f) OVER w / sum(f) OVER z - sum(g) OVER w / sum(g) OVER z) * coalesce(lead(b) OVER w - b, 0) * 0.01 AS d FROM hx WINDOW w AS (PARTITION BY draw, model ORDER BY b), z AS (PARTITION BY draw, model)) GROUP BY ALL)""")
+_W1D = """he AS (SELECT entity, model, b, sum(f)::DOUBLE AS f, sum(g)::DOUBLE AS g FROM (SELECT entity, model, floor((abs_dev + 1e-9) / 0.01)::INT AS b, 1 AS f, 0 AS g FROM scored UNION ALL SELECT entity, model, floor((e + 1e-9) / 0.01)::INT, 0, 1 FROM loo CROSS JOIN (SELECT DISTINCT model FROM grid_)) GROUP BY ALL),
+hx AS (SELECT draw, model, b, sum(w * f) AS f, sum(w * g) AS g FROM he JOIN w_ USING (entity) GROUP BY ALL),
+w1d AS (SELECT draw, model, sum(d) AS x FROM (SELECT draw, model, abs(sum(f) OVER w / sum(f) OVER z - sum(g) OVER w / sum(g) OVER z) * coalesce(lead(b) OVER w - b, 0) * 0.01 AS d FROM hx WINDOW w AS (PARTITION BY draw, model ORDER BY b), z AS (PARTITION BY draw, model)) GROUP BY ALL)"""
+
+
+def _w1(v):
+    ai = R.resampled(M.histogram(v.scored.withColumn("x", F.col("abs_dev") + 1e-9), ["entity", "model"], "x", 0.01), _boot(v), ["model", "b"])
+    human = R.resampled(M.histogram(P.human_loo(v.ratings).withColumn("x", F.col("e") + 1e-9), ["entity"], "x", 0.01), _boot(v), ["b"])
+    return _w1_by_draw(ai, human, ["model"], 0.01)
+
+
+@query("d12_w1_ci", _ci("model", "w1d"), LOO, NAMES, WEIGHTS, _W1D)
 def _(v):
-    w = _boot(v).where("draw <= 40")
-    ai = R.resampled(M.histogram(v.scored.withColumn("x", F.col("abs_dev") + 1e-9), ["entity", "model"], "x", 0.01), w, ["model", "b"])
-    human = R.resampled(M.histogram(P.human_loo(v.ratings).withColumn("x", F.col("e") + 1e-9), ["entity"], "x", 0.01), w, ["b"])
-    return R.ci(_w1_by_draw(ai, human, ["model"], 0.01), ["model"])
+    return R.ci(_w1(v), ["model"])
 
 
 def _w1_by_draw(a, b, by, step):
@@ -287,14 +294,29 @@ def _(v):
 
 
 # seat swaps
-_REP = f"""ai AS (SELECT entity, year, indicator, row_number() OVER (PARTITION BY entity, year, indicator ORDER BY list_position(['other', 'base-ft', 'base'], model)) AS k, sum(rating) OVER (PARTITION BY entity, year, indicator ORDER BY list_position(['other', 'base-ft', 'base'], model)) AS s_ai FROM runs WHERE condition = 'correct'),
-gone AS (SELECT entity, year, indicator, draw, n, s, row_number() OVER o AS k, sum(rating) OVER (PARTITION BY entity, year, indicator, draw ORDER BY h, coder ROWS UNBOUNDED PRECEDING) AS gone FROM (SELECT *, {_u('seat', 'draw', 'entity', 'year', 'indicator', 'coder')} AS h FROM (SELECT *, count(*) OVER w AS n, sum(rating) OVER w AS s FROM ratings WINDOW w AS (PARTITION BY entity, year, indicator)) CROSS JOIN range(1, 21) d(draw) WHERE n >= 2) WINDOW o AS (PARTITION BY entity, year, indicator, draw ORDER BY h, coder)),
-dd AS (SELECT entity, year, indicator, k, abs((s - gone + s_ai) / n - s / n) AS d FROM gone JOIN ai USING (entity, year, indicator, k) WHERE k < n AND k <= 3),
+def _order(rows: str, seed: str, ids: str, draw_seed: str, draws: int, where: str = "true") -> str:
+    """Seats in each draw's order (k), as operators.seats orders them."""
+    a = _u(seed, "entity", "year", "indicator", *ids.split(", "))
+    r = f"('0x' || substr(md5('{draw_seed}|' || draw), 1, 8))::BIGINT % 2147483646 + 1"
+    return f"SELECT *, row_number() OVER (PARTITION BY entity, year, indicator, draw ORDER BY a * r % 2147483647, id) AS k FROM (SELECT *, {a} % 2147483646 + 1 AS a, concat_ws('|', {ids}) AS id, count(*) OVER (PARTITION BY entity, year, indicator) AS n FROM {rows} WHERE {where}) CROSS JOIN (SELECT draw, {r} AS r FROM range(1, {draws + 1}) d(draw))"
+
+
+def _sums(order: str, name: str, top: int, more: str = "") -> str:
+    return f"{name} AS (SELECT entity, year, indicator, draw, n, k, sum(rating) OVER (PARTITION BY entity, year, indicator, draw ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM ({order}) WHERE k <= {top}{more})"
+
+
+_R = ", ".join(f"('0x' || substr(md5('seat{j}|' || draw), 1, 8))::BIGINT % 2147483646 + 1 AS r{j}" for j in (1, 2, 3))
+_REP = f"""ai AS (SELECT entity, year, indicator, row_number() OVER w AS k, sum(rating) OVER w AS s_ai FROM runs WHERE condition = 'correct' WINDOW w AS (PARTITION BY entity, year, indicator ORDER BY list_position(['other', 'base-ft', 'base'], model))),
+panel AS (SELECT entity, year, indicator, list(rating ORDER BY coder::VARCHAR) AS l, count(*) AS n, sum(rating) AS s, any_value({_u('cell', 'entity', 'year', 'indicator')}) % 2147483646 + 1 AS c FROM ratings GROUP BY ALL HAVING count(*) >= 2),
+at1 AS (SELECT *, c * r1 % 2147483647 % n AS i, c * r2 % 2147483647 % (n - 1) AS x2, CASE WHEN n > 2 THEN c * r3 % 2147483647 % (n - 2) END AS x3 FROM panel CROSS JOIN (SELECT draw, {_R} FROM range(1, {REPLACED + 1}) d(draw))),
+at2 AS (SELECT *, x2 + (x2 >= i)::INT AS j FROM at1), at3 AS (SELECT *, x3 + (x3 >= least(i, j))::INT AS y FROM at2),
+gone AS (SELECT *, unnest([1, 2, 3]) AS k, unnest([l[i + 1], l[i + 1] + l[j + 1], l[i + 1] + l[j + 1] + l[y + (y >= greatest(i, j))::INT + 1]]) AS gone FROM at3),
+dd AS (SELECT entity, year, indicator, k, abs((s - gone + s_ai) / n - s / n) AS d FROM gone JOIN ai USING (entity, year, indicator, k) WHERE k < n),
 rep AS (SELECT entity, year, indicator, k, avg(d) AS mean, quantile_cont(d, 0.5) AS median, list_sort(list(d))[greatest(0, floor(count(*) * 0.025) - 1)::INT + 1] AS lo, list_sort(list(d))[least(count(*) - 1, floor(count(*) * 0.975))::INT + 1] AS hi FROM dd GROUP BY entity, year, indicator, k)"""
 
 
 def _rep(v):
-    return S.replacement(v.ratings, v.runs.where("condition = 'correct'"), 20, [1, 2, 3], ["other", "base-ft", "base"])
+    return S.replacement(v.ratings, v.runs.where("condition = 'correct'"), REPLACED, [1, 2, 3], ["other", "base-ft", "base"])
 
 
 @query("f1_replacement", "SELECT entity, year, indicator, k, round(mean, 6) AS mean, round(median, 6) AS median, round(lo, 6) AS lo, round(hi, 6) AS hi FROM rep", _REP)
@@ -312,41 +334,44 @@ def _(v):
     return R.ci(R.boot_mean(S.augmentation(v.scored), _boot(v), MC, F.col("shift")), MC)
 
 
-@query("f4_degradation_ci", _ci("model, condition", "(SELECT draw, model, condition, sum(w * (r.rating - h.rating) / n_coders) / sum(w) AS x FROM scored r JOIN ratings h USING (entity, year, indicator) JOIN w_ USING (entity) WHERE n_coders >= 9 AND draw <= 40 GROUP BY ALL)"), NAMES, WEIGHTS)
+@query("f4_degradation_ci", _ci("model, condition", "(SELECT draw, model, condition, sum(w * s) / sum(w * n) AS x FROM (SELECT entity, model, condition, sum((r.rating - h.rating) / n_coders) AS s, count(*) AS n FROM scored r JOIN ratings h USING (entity, year, indicator) WHERE n_coders >= 9 GROUP BY ALL) JOIN w_ USING (entity) GROUP BY ALL)"), NAMES, WEIGHTS)
 def _(v):
     rows = S.degradation(v.scored)
-    m = R.resampled(R.sums(rows, MC, s=F.col("shift") * F.col("n_coders"), n=F.col("n_coders")), _boot(v).where("draw <= 40"), MC)
+    m = R.resampled(R.sums(rows, MC, s=F.col("shift") * F.col("n_coders"), n=F.col("n_coders")), _boot(v), MC)
     return R.ci(m.withColumn("x", F.col("s") / F.col("n")), MC)
 
 
-def _machines(seed, draws):
-    return f"SELECT entity, year, indicator, draw, row_number() OVER o AS k, sum(rating) OVER (PARTITION BY entity, year, indicator, draw ORDER BY h, model, condition ROWS UNBOUNDED PRECEDING) AS s_ai FROM (SELECT *, {_u(seed, 'draw', 'entity', 'year', 'indicator', 'model', 'condition')} AS h FROM runs CROSS JOIN range(1, {draws + 1}) d(draw)) WINDOW o AS (PARTITION BY entity, year, indicator, draw ORDER BY h, model, condition)"
+_DOSE = ["same_ai", "mixed_ft", "mixed_pool"]
+_DEG = f"""{_sums(_order('ratings', 'deg', 'coder', 'deg', SEATS), 'hh', 6, ' AND n >= 9')}, {_sums(_order('runs', 'deg_ai', 'model, condition', 'deg', SEATS), 'mm', 6)}, {_sums(_order('runs', 'deg_ai', 'model, condition', 'deg', SEATS, "model <> 'base'"), 'ff', 6)},
+deg AS (SELECT entity, year, indicator, k, avg((k * a1.rating - hh.s) / hh.n) AS same_ai, avg((ff.s - hh.s) / hh.n) AS mixed_ft, avg((mm.s - hh.s) / hh.n) AS mixed_pool FROM hh JOIN mm USING (entity, year, indicator, draw, k) JOIN ff USING (entity, year, indicator, draw, k) JOIN (SELECT * FROM runs WHERE model = 'other' AND condition = 'correct') a1 USING (entity, year, indicator) GROUP BY ALL),
+deg_ AS (SELECT * FROM (UNPIVOT deg ON {', '.join(_DOSE)} INTO NAME regime VALUE shift))"""
 
 
-def _coders(seed, draws, least):
-    return f"SELECT entity, year, indicator, draw, n, rating, row_number() OVER o AS k, sum(rating) OVER (PARTITION BY entity, year, indicator, draw ORDER BY h, coder ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, {_u(seed, 'draw', 'entity', 'year', 'indicator', 'coder')} AS h FROM (SELECT *, count(*) OVER (PARTITION BY entity, year, indicator) AS n FROM ratings) CROSS JOIN range(1, {draws + 1}) d(draw) WHERE n >= {least}) WINDOW o AS (PARTITION BY entity, year, indicator, draw ORDER BY h, coder)"
+@query("f5_dose_degradation", _ci("regime, k", _mean("regime, k", "deg_", "shift")), NAMES, WEIGHTS, _DEG)
+def _(v):
+    d = S.dose_degradation(v.ratings, v.runs, SEATS, 6, ("other", "correct"), ["base-ft", "other"])
+    return R.ci(R.boot_mean(d.unpivot([*CELL, "k"], _DOSE, "regime", "shift"), _boot(v), ["regime", "k"], F.col("shift")), ["regime", "k"])
 
 
-@query("f5_dose_degradation", "SELECT k, round(avg(abs((s_ai - s) / n)), 6) AS shift, round(avg((s_ai - s) / n), 6) AS bias, count(*) AS n FROM hh JOIN mm USING (entity, year, indicator, draw, k) WHERE k <= 6 GROUP BY k", f"hh AS ({_coders('deg', 5, 9)}), mm AS ({_machines('deg_ai', 5)})")
-def _(v):
-    d = S.dose_degradation(v.ratings, v.runs, 5, 6)
-    return d.groupBy("k").agg(six(F.avg(F.abs("shift"))).alias("shift"), six(F.avg("shift")).alias("bias"), F.count("*").alias("n"))
+_AUG = f"{_sums(_order('runs', 'aug', 'model, condition', 'aug', SEATS), 'mm', 4)}, aug AS (SELECT entity, k, avg((s - k * raw_mean) / (n_coders + k)) AS shift, avg(abs((s - k * raw_mean) / (n_coders + k))) AS size FROM mm JOIN means USING (entity, year, indicator) WHERE n_coders BETWEEN 2 AND 8 GROUP BY entity, year, indicator, k)"
 
 
-@query("f6_dose_augmentation", "SELECT k, round(avg(abs((s_ai - k * raw_mean) / (n_coders + k))), 6) AS shift, count(*) AS n FROM mm JOIN means USING (entity, year, indicator) WHERE k <= 4 GROUP BY k", f"mm AS ({_machines('aug', 5)})")
+@query("f6_dose_augmentation", "SELECT a.*, b.size, b.n FROM (" + _ci("k", _mean("k", "aug", "shift")) + ") a JOIN (SELECT k, round(avg(size), 6) AS size, count(*) AS n FROM aug GROUP BY k) b USING (k)", NAMES, WEIGHTS, _AUG)
 def _(v):
-    return S.dose_augmentation(v.means, v.runs, 5, 4).groupBy("k").agg(six(F.avg(F.abs("shift"))).alias("shift"), F.count("*").alias("n"))
+    d = S.dose_augmentation(v.means.where("n_coders BETWEEN 2 AND 8"), v.runs, SEATS, 4)
+    whole = d.groupBy("k").agg(six(F.avg("size")).alias("size"), F.count("*").alias("n"))
+    return R.ci(R.boot_mean(d, _boot(v), ["k"], F.col("shift")), ["k"]).join(whole, "k")
 
 
-_FLIP = f"""hh AS ({_coders('flip', 5, 8)}), mm AS ({_machines('flip_ai', 5)}),
-wide AS (SELECT entity, year, indicator, draw, sum(rating) FILTER (k <= 4) AS s, [sum(rating) FILTER (k <= 1), sum(rating) FILTER (k <= 2), sum(rating) FILTER (k <= 3), sum(rating) FILTER (k <= 4)] AS gone, [sum(rating) FILTER (k = 5), sum(rating) FILTER (k BETWEEN 5 AND 6), sum(rating) FILTER (k BETWEEN 5 AND 7), sum(rating) FILTER (k BETWEEN 5 AND 8)] AS held FROM hh WHERE k <= 8 GROUP BY ALL),
-arms AS (SELECT entity, year, indicator, k, floor(s / 4 + 0.5) AS was, unnest(['add_ai', 'add_human', 'replace_ai', 'replace_human']) AS arm, unnest([floor((s + s_ai) / (4 + k) + 0.5), floor((s + held[k]) / (4 + k) + 0.5), floor((s - gone[k] + s_ai) / 4 + 0.5), floor((s - gone[k] + held[k]) / 4 + 0.5)]) AS is_ FROM wide JOIN mm USING (entity, year, indicator, draw) WHERE k <= 4),
+_FLIP = f"""hh AS ({_order('ratings', 'flip', 'coder', 'flip', SEATS)}), {_sums(_order('runs', 'flip_ai', 'model, condition', 'flip', SEATS), 'mm', 4)},
+wide AS (SELECT entity, year, indicator, draw, sum(rating) FILTER (k <= 4) AS s, [sum(rating) FILTER (k <= 1), sum(rating) FILTER (k <= 2), sum(rating) FILTER (k <= 3), sum(rating) FILTER (k <= 4)] AS gone, [sum(rating) FILTER (k = 5), sum(rating) FILTER (k BETWEEN 5 AND 6), sum(rating) FILTER (k BETWEEN 5 AND 7), sum(rating) FILTER (k BETWEEN 5 AND 8)] AS held FROM hh WHERE k <= 8 AND n >= 8 GROUP BY ALL),
+arms AS (SELECT entity, year, indicator, k, floor(wide.s / 4 + 0.5) AS was, unnest(['add_ai', 'add_human', 'replace_ai', 'replace_human']) AS arm, unnest([floor((wide.s + mm.s) / (4 + k) + 0.5), floor((wide.s + held[k]) / (4 + k) + 0.5), floor((wide.s - gone[k] + mm.s) / 4 + 0.5), floor((wide.s - gone[k] + held[k]) / 4 + 0.5)]) AS is_ FROM wide JOIN mm USING (entity, year, indicator, draw) WHERE k <= 4),
 flips AS (SELECT entity, year, indicator, arm, k, avg((is_ <> was)::INT) AS flip, avg(sign(was - is_)) AS net FROM arms GROUP BY ALL)"""
 
 
 @query("f7_flips", "SELECT arm, k, round(avg(flip), 6) AS flip, round(avg(net), 6) AS net, count(*) AS n_panels FROM flips GROUP BY arm, k", _FLIP)
 def _(v):
-    return S.flips(v.ratings, v.runs, 5).groupBy("arm", "k").agg(six(F.avg("flip")).alias("flip"), six(F.avg("net")).alias("net"), F.count("*").alias("n_panels"))
+    return S.flips(v.ratings, v.runs, SEATS).groupBy("arm", "k").agg(six(F.avg("flip")).alias("flip"), six(F.avg("net")).alias("net"), F.count("*").alias("n_panels"))
 
 
 @query("f8_complete_panels", "SELECT count(*) AS n FROM (SELECT entity, year, indicator FROM runs WHERE NOT (model = 'other' AND rating = 3) GROUP BY entity, year, indicator HAVING count(*) = 12)")
@@ -356,4 +381,4 @@ def _(v):
 
 @query("f9_net_of_churn", "SELECT kind, k, round(avg(flip_d), 6) AS flip_d, round(avg(net_d), 6) AS net_d FROM (SELECT split_part(a.arm, '_', 1) AS kind, a.k, a.flip - h.flip AS flip_d, a.net - h.net AS net_d FROM flips a JOIN flips h ON h.entity = a.entity AND h.year = a.year AND h.indicator = a.indicator AND h.k = a.k AND h.arm = split_part(a.arm, '_', 1) || '_human' WHERE a.arm LIKE '%ai') GROUP BY kind, k", _FLIP)
 def _(v):
-    return S.net_of_churn(S.flips(v.ratings, v.runs, 5)).groupBy("kind", "k").agg(six(F.avg("flip_d")).alias("flip_d"), six(F.avg("net_d")).alias("net_d"))
+    return S.net_of_churn(S.flips(v.ratings, v.runs, SEATS)).groupBy("kind", "k").agg(six(F.avg("flip_d")).alias("flip_d"), six(F.avg("net_d")).alias("net_d"))

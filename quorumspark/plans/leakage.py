@@ -14,11 +14,13 @@ from quorumspark.plans.registry import query
 from quorumspark.sources.views import _u
 
 CELL = P.CELL
-TRACK = """tr AS (SELECT s.model, s.source, s.source AS entity, s.named, s.indicator, s.rating, b.raw_mean - a.raw_mean AS signed_gap, abs(b.raw_mean - a.raw_mean) AS gap, abs(s.rating - a.raw_mean) AS err_source, abs(s.rating - b.raw_mean) AS err_named, abs(s.rating - b.raw_mean) - abs(s.rating - a.raw_mean) AS track, s.rating - c.rating AS cue, (abs(s.rating - c.rating) >= 1)::INT AS flip
-FROM swaps s JOIN means a ON a.entity = s.source AND a.year = s.year AND a.indicator = s.indicator JOIN means b ON b.entity = s.named AND b.year = s.year AND b.indicator = s.indicator LEFT JOIN swaps c ON c.arm = 'correct' AND c.model = s.model AND c.source = s.source AND c.indicator = s.indicator WHERE s.arm = 'swapped')"""
+TRACK = """tr AS (SELECT s.model, s.source, s.source AS entity, s.named, s.year, s.indicator, s.rating, b.raw_mean - a.raw_mean AS signed_gap, abs(b.raw_mean - a.raw_mean) AS gap, abs(s.rating - a.raw_mean) AS err_source, abs(s.rating - b.raw_mean) AS err_named, abs(s.rating - b.raw_mean) - abs(s.rating - a.raw_mean) AS track, s.rating - c.rating AS cue, (abs(s.rating - c.rating) >= 1)::INT AS flip
+FROM swaps s JOIN means a ON a.entity = s.source AND a.year = s.year AND a.indicator = s.indicator JOIN means b ON b.entity = s.named AND b.year = s.year AND b.indicator = s.indicator LEFT JOIN swaps c ON c.arm = 'correct' AND c.model = s.model AND c.source = s.source AND c.year = s.year AND c.indicator = s.indicator WHERE s.arm = 'swapped')"""
 REID = r"""last_ AS (SELECT iso, year, indicator, treatment, model, arg_max(response, seq) AS response FROM log_ GROUP BY ALL),
 coded AS (SELECT *, guess1 = iso AS hit1, guess1 = iso OR guess2 = iso AS hit3 FROM (SELECT *, trim(regexp_extract(response, '1\. ([^\n(:–-]*)', 1)) AS guess1, trim(regexp_extract(response, '2\. ([^\n(:–-]*)', 1)) AS guess2, trim(regexp_extract(response, '3\. ([^\n(:–-]*)', 1)) AS guess3, trim(regexp_extract(response, 'Reason: (.*)', 1)) AS reason FROM last_))"""
 
+FLIPS = "flip_ AS (SELECT iso, avg(hit1::INT) FILTER (treatment = 'anon') AS a, avg(hit1::INT) FILTER (treatment = 'summ') AS b, avg(hit3::INT) FILTER (treatment = 'anon') AS a3, avg(hit3::INT) FILTER (treatment = 'summ') AS b3 FROM coded GROUP BY iso HAVING count(*) FILTER (treatment = 'anon') > 0 AND count(*) FILTER (treatment = 'summ') > 0)"
+
 
 def _track(v):
     return I.tracking(v.swaps, v.means)
@@ -34,14 +36,14 @@ def _(v):
     return v.pairs
 
 
-@query("g2_eligible", "SELECT DISTINCT entity FROM orders_ WHERE entity IN (SELECT entity FROM means WHERE year = 1997) AND entity IN (SELECT entity FROM entity_year WHERE quintile >= 3)")
+@query("g2_eligible", "SELECT DISTINCT entity FROM orders_ WHERE entity IN (SELECT entity FROM means) AND entity IN (SELECT entity FROM entity_year WHERE quintile >= 3)")
 def _(v):
-    return I.eligible(v.orders.select("entity").distinct(), v.means.where("year = 1997"), v.entity_year.where("quintile >= 3"))
+    return I.eligible(v.orders.select("entity").distinct(), v.means, v.entity_year.where("quintile >= 3"))
 
 
-@query("g3_tracking", "SELECT model, source, named, indicator, round(gap, 6) AS gap, round(signed_gap, 6) AS signed_gap, round(err_source, 6) AS err_source, round(err_named, 6) AS err_named, round(track, 6) AS track, cue, flip FROM tr", TRACK)
+@query("g3_tracking", "SELECT model, source, named, year, indicator, round(gap, 6) AS gap, round(signed_gap, 6) AS signed_gap, round(err_source, 6) AS err_source, round(err_named, 6) AS err_named, round(track, 6) AS track, cue, flip FROM tr", TRACK)
 def _(v):
-    return _track(v).select("model", "source", "named", "indicator", *(six(F.col(c)).alias(c) for c in ("gap", "signed_gap", "err_source", "err_named", "track")), "cue", "flip")
+    return _track(v).select("model", "source", "named", "year", "indicator", *(six(F.col(c)).alias(c) for c in ("gap", "signed_gap", "err_source", "err_named", "track")), "cue", "flip")
 
 
 @query("g4_tracking_ci", _ci("model", _mean("model", "tr", "track")), TRACK, NAMES, WEIGHTS)
@@ -49,9 +51,9 @@ def _(v):
     return R.ci(R.boot_mean(_track(v), _boot(v), ["model"], F.col("track")), ["model"])
 
 
-@query("g5_gap_terciles", "SELECT model, tercile, round(avg(track), 6) AS track, round(avg(gap), 6) AS gap, count(*) AS n FROM (SELECT *, ntile(3) OVER (PARTITION BY model ORDER BY round(gap, 9), source, indicator) AS tercile FROM tr) GROUP BY model, tercile", TRACK)
+@query("g5_gap_terciles", "SELECT model, tercile, round(avg(track), 6) AS track, round(avg(gap), 6) AS gap, count(*) AS n FROM (SELECT *, ntile(3) OVER (PARTITION BY model ORDER BY round(gap, 9), source, year, indicator) AS tercile FROM tr) GROUP BY model, tercile", TRACK)
 def _(v):
-    t = P.buckets(_track(v).withColumn("g9", F.round("gap", 9)), 3, ["model"], ["g9", "source", "indicator"], "tercile")
+    t = P.buckets(_track(v).withColumn("g9", F.round("gap", 9)), 3, ["model"], ["g9", "source", "year", "indicator"], "tercile")
     return t.groupBy("model", "tercile").agg(six(F.avg("track")).alias("track"), six(F.avg("gap")).alias("gap"), F.count("*").alias("n"))
 
 
@@ -68,10 +70,10 @@ def _(v):
     return I.demeaned(_track(v), ["rating", "signed_gap"], ["model", "indicator"]).groupBy("model").agg(six(F.avg(F.abs("cue"))).alias("cue"), six(F.avg("flip")).alias("flip"), six(F.regr_slope("rating_d", "signed_gap_d")).alias("pull"))
 
 
-@query("g8_ladder", "SELECT model, round(avg(cue), 6) AS swapped_less_correct, round(avg(correct - none_), 6) AS correct_less_none, count(*) AS n FROM (SELECT tr.*, s.rating AS correct, r.rating AS none_ FROM tr JOIN swaps s ON s.arm = 'correct' AND s.model = tr.model AND s.source = tr.source AND s.indicator = tr.indicator JOIN runs r ON r.model = tr.model AND r.condition = 'codebook' AND r.entity = tr.source AND r.year = 1997 AND r.indicator = tr.indicator) GROUP BY model", TRACK)
+@query("g8_ladder", "SELECT model, round(avg(cue), 6) AS swapped_less_correct, round(avg(correct - none_), 6) AS correct_less_none, count(*) AS n FROM (SELECT tr.*, s.rating AS correct, r.rating AS none_ FROM tr JOIN swaps s ON s.arm = 'correct' AND s.model = tr.model AND s.source = tr.source AND s.year = tr.year AND s.indicator = tr.indicator JOIN runs r ON r.model = tr.model AND r.condition = 'codebook' AND r.entity = tr.source AND r.year = tr.year AND r.indicator = tr.indicator) GROUP BY model", TRACK)
 def _(v):
-    none = v.runs.where("condition = 'codebook' AND year = 1997").select("model", "entity", "indicator", F.col("rating").alias("none_"))
-    t = _track(v).join(none, ["model", "entity", "indicator"])
+    none = v.runs.where("condition = 'codebook'").select("model", "entity", "year", "indicator", F.col("rating").alias("none_"))
+    t = _track(v).join(none, ["model", "entity", "year", "indicator"])
     return t.groupBy("model").agg(six(F.avg("cue")).alias("swapped_less_correct"), six(F.avg(F.col("r_correct") - F.col("none_"))).alias("correct_less_none"), F.count("*").alias("n"))
 
 
@@ -94,9 +96,9 @@ def _(v):
     return rows.groupBy("model").agg(F.count("*").alias("n"), F.sum(F.col("top1").cast("long")).alias("top1"), F.sum(F.col("top3").cast("long")).alias("top3"))
 
 
-@query("g16_guesses", "SELECT iso, indicator, treatment, model, guess1, guess2, guess3, reason FROM coded", REID)
+@query("g16_guesses", "SELECT iso, year, indicator, treatment, model, guess1, guess2, guess3, reason FROM coded", REID)
 def _(v):
-    return I.guesses(I.latest(v.log), "response").select("iso", "indicator", "treatment", "model", "guess1", "guess2", "guess3", "reason")
+    return I.guesses(I.latest(v.log), "response").select("iso", "year", "indicator", "treatment", "model", "guess1", "guess2", "guess3", "reason")
 
 
 @query("g18_accuracy_by_entity", "SELECT iso, round(avg(hit1::INT), 6) AS top1, round(avg(hit3::INT), 6) AS top3, count(*) AS n, count(DISTINCT iso) AS n_entities FROM coded GROUP BY iso HAVING count(*) >= 2", REID)
@@ -127,16 +129,21 @@ def _(v):
     return n.withColumn("share", six(F.col("n") / F.sum("n").over(W.partitionBy("treatment"))))
 
 
-@query("g23_flip_category", "SELECT iso, CASE WHEN a > 0.5 AND b > 0.5 THEN 'both' WHEN a > 0.5 THEN 'anon_only' WHEN b > 0.5 THEN 'summ_only' ELSE 'neither' END AS category FROM (SELECT iso, avg(hit1::INT) FILTER (treatment = 'anon') AS a, avg(hit1::INT) FILTER (treatment = 'summ') AS b FROM coded GROUP BY iso)", REID)
+@query("g23_flip_category", "SELECT iso, CASE WHEN a = 1 AND b = 1 THEN 'both_correct' WHEN a3 = 0 AND b3 = 0 THEN 'both_wrong' WHEN a > b THEN 'anon_only' WHEN b > a THEN 'summ_only' ELSE 'tied' END AS category, round(b - a, 6) AS delta FROM flip_", REID, FLIPS)
+def _(v):
+    return I.flip_category(_coded(v), "anon", "summ", ["iso"]).withColumn("delta", six(F.col("delta")))
+
+
+@query("g23_flip_category_by_cell", "SELECT iso, year, indicator, CASE WHEN a = 1 AND b = 1 THEN 'both_correct' WHEN a3 = 0 AND b3 = 0 THEN 'both_wrong' WHEN a > b THEN 'anon_only' WHEN b > a THEN 'summ_only' ELSE 'tied' END AS category, round(b - a, 6) AS delta FROM flip_", REID, FLIPS.replace("SELECT iso,", "SELECT iso, year, indicator,").replace("GROUP BY iso", "GROUP BY iso, year, indicator"))
 def _(v):
-    return I.flip_category(_coded(v), "anon", "summ")
+    return I.flip_category(_coded(v), "anon", "summ", ["iso", "year", "indicator"]).withColumn("delta", six(F.col("delta")))
 
 
-_SAL = "sal AS (SELECT m.entity, m.year, m.indicator, CASE WHEN s = 1 THEN 'summ' WHEN a = 1 THEN 'anon' ELSE 'none' END AS salience FROM means m LEFT JOIN (SELECT iso, year, indicator, max(hit1::INT) FILTER (treatment = 'anon') AS a, max(hit1::INT) FILTER (treatment = 'summ') AS s FROM coded GROUP BY ALL) c ON c.iso = m.entity AND c.year = m.year AND c.indicator = m.indicator WHERE m.year <= 1997)"
+_SAL = "sal AS (SELECT m.entity, m.year, m.indicator, CASE WHEN s = 1 THEN 'summ' WHEN a = 1 THEN 'anon' ELSE 'none' END AS salience FROM means m LEFT JOIN (SELECT iso, year, indicator, max(hit1::INT) FILTER (treatment = 'anon') AS a, max(hit1::INT) FILTER (treatment = 'summ') AS s FROM coded GROUP BY ALL) c ON c.iso = m.entity AND c.year = m.year AND c.indicator = m.indicator)"
 
 
 def _sal(v):
-    return I.salience(v.means.where("year <= 1997").select(*CELL), _coded(v).withColumnRenamed("iso", "entity"), CELL)
+    return I.salience(v.means.select(*CELL), _coded(v).withColumnRenamed("iso", "entity"), CELL)
 
 
 @query("g24_salience", "SELECT salience, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM sal GROUP BY salience", REID, _SAL)
@@ -162,10 +169,10 @@ def _(v):
     return R.ci(R.boot_slope(_track(v), _boot(v), ["model"], F.col("cue"), F.col("signed_gap")), ["model"])
 
 
-@query("g29_identifiability", "SELECT iso, round(any_value(covariate), 6) AS covariate, any_value(regime) AS regime, any_value(region) AS region, round(avg(hit1::INT), 6) AS top1 FROM coded JOIN entity_year y ON y.entity = iso AND y.year = 1997 GROUP BY iso", REID)
+@query("g29_identifiability", "SELECT iso, c.year, round(any_value(covariate), 6) AS covariate, any_value(regime) AS regime, any_value(region) AS region, round(avg(hit1::INT), 6) AS top1 FROM coded c JOIN entity_year y ON y.entity = iso AND y.year = c.year GROUP BY iso, c.year", REID)
 def _(v):
-    e = v.entity_year.where("year = 1997").select(F.col("entity").alias("iso"), "covariate", "regime", "region")
-    return _coded(v).join(e, "iso").groupBy("iso").agg(six(F.first("covariate")).alias("covariate"), F.first("regime").alias("regime"), F.first("region").alias("region"), six(F.avg(F.col("hit1").cast("int"))).alias("top1"))
+    e = v.entity_year.select(F.col("entity").alias("iso"), "year", "covariate", "regime", "region")
+    return _coded(v).join(e, ["iso", "year"]).groupBy("iso", "year").agg(six(F.first("covariate")).alias("covariate"), F.first("regime").alias("regime"), F.first("region").alias("region"), six(F.avg(F.col("hit1").cast("int"))).alias("top1"))
 
 
 # movement
@@ -196,7 +203,7 @@ def _(v):
 
 # workforce
 _BAND = "CASE WHEN n_coders <= 3 THEN '1-3' WHEN n_coders <= 4 THEN '4' WHEN n_coders <= 7 THEN '5-7' ELSE '8+' END"
-_EDGE = "edge AS (SELECT release, max(year) AS edge FROM (SELECT *, max(n) OVER (PARTITION BY release) AS top FROM (SELECT release, year, count(*) AS n FROM releases GROUP BY release, year)) WHERE n >= 0.5 * top GROUP BY release)"
+_EDGE = "inds_ AS (SELECT indicator FROM releases GROUP BY indicator HAVING count(DISTINCT release) = 4), ents_ AS (SELECT entity FROM releases GROUP BY entity HAVING count(DISTINCT release) = 4), edge AS (SELECT release, max(year) AS edge FROM (SELECT release, year, count(*) / (count(DISTINCT entity) * (SELECT count(*) FROM inds_)) AS fill FROM releases WHERE indicator IN (FROM inds_) AND entity IN (FROM ents_) GROUP BY release, year) WHERE fill >= 0.5 GROUP BY release)"
 
 
 @query("i1_era_bands", f"SELECT era, band, n, round(n / sum(n) OVER (PARTITION BY era), 6) AS share FROM (SELECT CASE WHEN year <= 1997 THEN 'early' ELSE 'late' END AS era, {_BAND} AS band, count(*) AS n FROM means GROUP BY ALL)")
@@ -204,9 +211,10 @@ def _(v):
     return K.era_bands(v.means, 1997)
 
 
-@query("i2_turnover", "SELECT year, stops, pool, round(stops / pool, 6) AS share, year = (SELECT max(year) FROM ratings) AS still_active FROM (SELECT year, count(*) AS stops FROM (SELECT coder, max(year) AS year FROM ratings GROUP BY coder) WHERE year >= 1996 GROUP BY year) JOIN (SELECT year, count(DISTINCT coder) AS pool FROM ratings GROUP BY year) USING (year)")
+@query("i2_turnover", "SELECT year, stops, pool, round(100 * stops / pool, 2) AS pct_of_pool, year = max(year) OVER () AS still_active FROM (SELECT year, count(*) AS stops, sum(count(*)) OVER ()::BIGINT AS pool FROM (SELECT coder, max(year) AS year FROM ratings WHERE year <= 1995 + " + _u("exit", "coder") + " % 7 GROUP BY coder) WHERE year >= 1996 GROUP BY year)")
 def _(v):
-    return K.turnover(v.ratings, 1996)
+    # coders leave after a year of their own
+    return K.turnover(v.ratings.where(F.col("year") <= 1995 + u("exit", "coder") % 7), 1996)
 
 
 _SHORT = "count(*) AS cells, round(avg(n_coders), 3) AS mean, round(quantile_cont(n_coders, 0.5), 3) AS median, round(avg((n_coders <= 3)::INT), 3) AS le_3, round(avg((n_coders < 5)::INT), 3) AS lt_5"
@@ -289,6 +297,11 @@ def _(v):
     return v.releases.where("release = 3").groupBy("year").agg(six(F.avg("n_coders")).alias("mean_n"), six(F.percentile("n_coders", 0.5)).alias("median_n"), six(F.avg("posterior_sd")).alias("mean_sd"))
 
 
+@query("i17_mean_increment", "SELECT release, round(avg(gain), 3) AS mean_increment, count(*) AS years FROM (SELECT year, release, m - lag(m) OVER (PARTITION BY year ORDER BY release) AS gain FROM (SELECT year, release, avg(n_coders) AS m FROM releases GROUP BY ALL)) WHERE year BETWEEN 1995 AND 1998 AND gain IS NOT NULL GROUP BY release")
+def _(v):
+    return K.mean_increment(K.backfill(v.releases), 1995, 1998)
+
+
 @query("i18_reach", "SELECT min(release) AS first_release, max(release) AS last_release, arg_min(edge, release) AS first_edge, arg_max(edge, release) AS last_edge, min(edge) AS min_edge, max(edge) AS max_edge FROM edge", _EDGE)
 def _(v):
     return K.reach(v.releases)

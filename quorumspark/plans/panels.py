@@ -40,9 +40,9 @@ def _(v):
     return v.log.groupBy("treatment", "model").agg(F.count("*").alias("n_written")).join(kept, ["treatment", "model"]).withColumn("n_dropped", F.col("n_written") - F.col("n_kept"))
 
 
-@query("a8_first_written", "SELECT iso, indicator, treatment, model, arg_min(response, seq) AS response, min(seq) AS seq FROM log_ GROUP BY iso, indicator, treatment, model")
+@query("a8_first_written", "SELECT iso, year, indicator, treatment, model, arg_min(response, seq) AS response, min(seq) AS seq FROM log_ GROUP BY iso, year, indicator, treatment, model")
 def _(v):
-    return P.first_written(v.log.drop("year"), ["iso", "indicator", "treatment", "model"], ["seq"])
+    return P.first_written(v.log, ["iso", "year", "indicator", "treatment", "model"], ["seq"])
 
 
 @query("a9_pending_jobs", "SELECT entity, year, indicator, condition, model FROM means CROSS JOIN grid_ WHERE (entity, year, indicator, condition, model) NOT IN (SELECT entity, year, indicator, condition, model FROM runs WHERE rating <> 4)")
@@ -98,11 +98,11 @@ def _(v):
     return P.corrected(v.ord, fix, CELL, ["ord"])
 
 
-@query("a18_swap_work", "SELECT source, named, arm, indicator FROM (SELECT source, named, 'swapped' AS arm FROM pairs UNION ALL SELECT source, source, 'correct' FROM pairs) CROSS JOIN (SELECT DISTINCT indicator FROM means) WHERE (source, arm, indicator) NOT IN (SELECT source, arm, indicator FROM swaps WHERE model = 'base' AND rating <> 2)")
+@query("a18_swap_work", "SELECT source, named, arm, year, indicator FROM (SELECT source, named, 'swapped' AS arm FROM pairs UNION ALL SELECT source, source, 'correct' FROM pairs) CROSS JOIN (SELECT DISTINCT year, indicator FROM means) WHERE (source, arm, year, indicator) NOT IN (SELECT source, arm, year, indicator FROM swaps WHERE model = 'base' AND rating <> 2)")
 def _(v):
     arms = v.pairs.withColumn("arm", F.lit("swapped")).union(v.pairs.select("source", "source", F.lit("correct")))
-    done = v.swaps.where("model = 'base' AND rating <> 2").select("source", "arm", "indicator")
-    return P.pending([arms], v.means.select("indicator").distinct(), ["indicator"], done).select("source", "named", "arm", "indicator")
+    done = v.swaps.where("model = 'base' AND rating <> 2").select("source", "arm", "year", "indicator")
+    return P.pending([arms], v.means.select("year", "indicator").distinct(), ["year", "indicator"], done).select("source", "named", "arm", "year", "indicator")
 
 
 @query("b1_panel_means", "SELECT entity, year, indicator, round(raw_mean, 6) AS raw_mean, n_coders FROM means WHERE n_coders >= 5")

@@ -92,16 +92,17 @@ class Views:
         return m.join(self.entity_year.select("entity", "year", "quintile", "regime"), ["entity", "year"])
 
     @cached_property
-    def runs(self):
-        """(model, condition, entity, year, indicator, rating) of every machine rater over every cell."""
+    def scored(self):
+        """Every machine rater over every cell: runs with raw_mean, n_coders, quintile, regime, signed_dev, abs_dev. The panel's columns go through the grid, so nothing is joined back."""
         grid = self.spark.createDataFrame([(m, c) for m in MODELS for c in CONDITIONS], "model string, condition string")
-        rows = self.means.select("entity", "year", "indicator", "raw_mean").crossJoin(F.broadcast(grid)).withColumn("h", u("ai", "model", "condition", "entity", "year", "indicator"))
-        return rows.select("model", "condition", "entity", "year", "indicator", F.when(F.col("h") % 3 == 0, F.floor(F.col("h") / 3) % 5).otherwise(F.floor(F.col("raw_mean") + 0.5)).cast("int").alias("rating"))
+        rows = self.means.crossJoin(F.broadcast(grid)).withColumn("h", u("ai", "model", "condition", "entity", "year", "indicator"))
+        rating = F.when(F.col("h") % 3 == 0, F.floor(F.col("h") / 3) % 5).otherwise(F.floor(F.col("raw_mean") + 0.5)).cast("int")
+        return rows.withColumn("rating", rating).drop("h").withColumn("signed_dev", F.col("rating") - F.col("raw_mean")).withColumn("abs_dev", F.abs("signed_dev"))
 
     @cached_property
-    def scored(self):
-        """runs with raw_mean, signed_dev, abs_dev, quintile, regime, n_coders."""
-        return self.runs.join(self.means, ["entity", "year", "indicator"]).withColumn("signed_dev", F.col("rating") - F.col("raw_mean")).withColumn("abs_dev", F.abs("signed_dev"))
+    def runs(self):
+        """(model, condition, entity, year, indicator, rating) of every machine rater over every cell."""
+        return self.scored.select("model", "condition", "entity", "year", "indicator", "rating")
 
     @cached_property
     def ord(self):
@@ -128,23 +129,23 @@ class Views:
     @cached_property
     def swaps(self):
         """(model, source, named, year, indicator, arm, rating): arm correct (named = source) or swapped."""
-        years = self.means.where("year = 1997").select(F.col("entity").alias("source"), "year", "indicator", "raw_mean")
+        years = self.means.select(F.col("entity").alias("source"), "year", "indicator", "raw_mean")
         arms = self.pairs.select("source", "named", F.lit("swapped").alias("arm")).union(self.pairs.select("source", F.col("source").alias("named"), F.lit("correct").alias("arm")))
         models = self.spark.createDataFrame([(m,) for m in MODELS], "model string")
-        rows = years.join(arms, "source").crossJoin(F.broadcast(models)).withColumn("h", u("swap", "model", "source", "named", "indicator"))
+        rows = years.join(arms, "source").crossJoin(F.broadcast(models)).withColumn("h", u("swap", "model", "source", "named", "year", "indicator"))
         return rows.select("model", "source", "named", "year", "indicator", "arm", F.when(F.col("h") % 3 == 0, F.floor(F.col("h") / 3) % 5).otherwise(F.floor(F.col("raw_mean") + 0.5)).cast("int").alias("rating"))
 
     @cached_property
     def log(self):
         """An append-only log with repeated keys: (seq, iso, year, indicator, treatment, model, response)."""
         names = self.orders.select(F.col("entity").alias("guess"), "region").distinct()
-        cells = self.means.where("year = 1997").select(F.col("entity").alias("iso"), "year", "indicator")
+        cells = self.means.select(F.col("entity").alias("iso"), "year", "indicator")
         arms = self.spark.createDataFrame([(t, m) for t in ("anon", "summ") for m in MODELS[:2]], "treatment string, model string")
         copies = self.spark.createDataFrame([(0,), (1,)], "copy int")
-        rows = cells.crossJoin(F.broadcast(arms)).crossJoin(F.broadcast(copies)).withColumn("h", u("reid", "iso", "indicator", "treatment", "model", "copy")).where((F.col("copy") == 0) | (F.col("h") % 10 == 0))
+        rows = cells.crossJoin(F.broadcast(arms)).crossJoin(F.broadcast(copies)).withColumn("h", u("reid", "iso", "year", "indicator", "treatment", "model", "copy")).where((F.col("copy") == 0) | (F.col("h") % 10 == 0))
         rows = rows.join(self.orders.select(F.col("entity").alias("iso"), "region").distinct(), "iso")
-        near = names.select("guess", F.col("region").alias("g_region"))
-        picked = rows.withColumn("slot", F.col("h") % 5).join(near.withColumn("slot", F.row_number().over(_by_region()) - 1), ["slot"]).where("g_region = region")
+        near = names.withColumn("slot", F.row_number().over(_by_region()) - 1)
+        picked = rows.withColumn("slot", F.col("h") % 5).join(near, ["region", "slot"])
         first = F.when(F.floor(F.col("h") / 8) % 3 == 0, F.col("iso")).otherwise(F.col("guess"))
         second = F.when(F.floor(F.col("h") / 32) % 2 == 0, F.col("iso")).otherwise(F.lit("NOWHERE"))
         cue = F.element_at(F.array(*map(F.lit, ("named officials", "the electoral calendar", "a border dispute", "unclear"))), (F.floor(F.col("h") / 64) % 4 + 1).cast("int"))
@@ -170,7 +171,7 @@ class Views:
 def _by_region():
     from pyspark.sql import Window as W
 
-    return W.partitionBy("g_region").orderBy("guess")
+    return W.partitionBy("region").orderBy("guess")
 
 
 def _u(seed, *cols):
@@ -194,9 +195,9 @@ dists AS (SELECT entity, year, indicator, rating, CASE WHEN {_u('nodist', 'entit
 order_ AS (SELECT entity, region, row_number() OVER (PARTITION BY region ORDER BY {_u('pair', 'entity')}, entity) AS k, count(*) OVER (PARTITION BY region) AS n FROM (SELECT DISTINCT entity, region FROM orders_)),
 pairs AS (SELECT a.entity AS source, b.entity AS named FROM order_ a JOIN order_ b ON a.region = b.region AND b.k = a.k % a.n + 1),
 swaps AS (SELECT model, source, named, year, indicator, arm, (CASE WHEN h % 3 = 0 THEN h // 3 % 5 ELSE floor(raw_mean + 0.5) END)::INT AS rating FROM (
-  SELECT *, {_u('swap', 'model', 'source', 'named', 'indicator')} AS h FROM (SELECT entity AS source, year, indicator, raw_mean FROM means WHERE year = 1997)
+  SELECT *, {_u('swap', 'model', 'source', 'named', 'year', 'indicator')} AS h FROM (SELECT entity AS source, year, indicator, raw_mean FROM means)
   JOIN (SELECT source, named, 'swapped' AS arm FROM pairs UNION ALL SELECT source, source, 'correct' FROM pairs) USING (source) CROSS JOIN (SELECT DISTINCT model FROM grid_))),
-log0 AS (SELECT m.entity AS iso, year, indicator, treatment, model, copy, {_u('reid', 'm.entity', 'indicator', 'treatment', 'model', 'copy')} AS h FROM (SELECT * FROM means WHERE year = 1997) m
+log0 AS (SELECT m.entity AS iso, year, indicator, treatment, model, copy, {_u('reid', 'm.entity', 'm.year', 'indicator', 'treatment', 'model', 'copy')} AS h FROM means m
   CROSS JOIN (VALUES ('anon'), ('summ')) t(treatment) CROSS JOIN (VALUES ('{MODELS[0]}'), ('{MODELS[1]}')) mm(model) CROSS JOIN (VALUES (0), (1)) c(copy)),
 places AS (SELECT entity, region, row_number() OVER (PARTITION BY region ORDER BY entity) - 1 AS slot FROM (SELECT DISTINCT entity, region FROM orders_)),
 log_ AS (SELECT copy::BIGINT * 10000000000 + h AS seq, iso, year, indicator, treatment, model,
