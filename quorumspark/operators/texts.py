@@ -11,84 +11,115 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def sections(reports: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys..., section, text): numbered sections of a report; what stands before the first is exec_summary; of a repeated number the last wins; empty ones are dropped."""
-    parts = F.split(F.col(text), r"(?m)^(?=Section\s+\d+\s*\.)")
-    rows = reports.select(*keys, F.posexplode(parts).alias("pos", "part"))
-    number = F.regexp_extract("part", r"^Section\s+(\d+)\s*\.", 1)
-    name = F.when(number != "", number).when(F.col("pos") == 0, "exec_summary")
-    body = stripped(F.when(number != "", F.regexp_replace("part", r"^Section\s+\d+\s*\.[^\n]*\n?", "")).otherwise(F.col("part")))
-    return rows.select(*keys, name.alias("section"), "pos", body.alias("text")).where("section IS NOT NULL AND text <> ''").groupBy(*keys, "section").agg(F.max_by("text", "pos").alias("text"))
+#: What begins a numbered section, a lettered part and a block of the second source; what ends its text or is no part of it.
+SECTION = r"^Section\s+(\d+)\s*\."
+LETTER = r"^ *([a-g])\.[ ]?[A-Z]"
+BLOCK = r"^## ([A-G]) "
+SIDEBAR = r"\n+(?:##\s+Country\s+Facts|Be the first to know).*\z"
+SCORE_CHANGE = r"Score Change:.*?(\n\n|\z)"
+DIVIDER = r"^##\s+(?:PR|CL)\s+.*$"
+ARTEFACT = r"^(##\s+)header[123]\s+"
+#: The headers of the parts of section 6 over the years.
+HEADERS = (
+    "Women",
+    "Children",
+    "Anti-Semitism",
+    "Antisemitism",
+    "Trafficking in Persons",
+    "Organ Harvesting",
+    "Forced Organ Harvesting",
+    "Persons with Disabilities",
+    "National/Racial/Ethnic Minorities",
+    "Members of National/Racial/Ethnic Minority Groups",
+    "Systemic Racial or Ethnic Violence and Discrimination",
+    "Indigenous People",
+    "Indigenous Peoples",
+    "HIV and AIDS Social Stigma",
+    "Other Societal Violence or Discrimination",
+    "Promotion of Acts of Discrimination",
+    "Discrimination and Societal Abuses",
+    "Discrimination, Societal Abuses, and Trafficking in Persons",
+)
+HEADER = "^(" + "|".join(HEADERS) + ")$"
+#: The header that a key stands for; that of minorities changed in 2020 and again in 2021.
+PARTS = {"women": "Women", "trafficking": "Trafficking in Persons", "other_societal": "Other Societal Violence or Discrimination"}
+MINORITIES = ("National/Racial/Ethnic Minorities", "Members of National/Racial/Ethnic Minority Groups", "Systemic Racial or Ethnic Violence and Discrimination")
+
+
+def _ahead(pattern: str) -> str:
+    """A pattern as a place to split before; only a line feed ends a line."""
+    return f"(?md)^(?={pattern.removeprefix('^')})"
+
 
+def sections(reports: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys..., section, text) of numbered reports: whole sections (1, 2, ...), their lettered parts (1a, 2c), and exec_summary, what stands before the first section.
 
-def subsections(sectioned: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., section, text): lettered parts a-g of each section, named like 2b."""
-    rows = sectioned.select(*keys, "section", F.posexplode(F.split("text", r"(?m)^(?=[a-g]\.\s)")).alias("pos", "part"))
-    letter = F.regexp_extract("part", r"^([a-g])\.\s", 1)
-    rows = rows.where(letter != "").select(*keys, F.concat("section", letter).alias("section"), "pos", stripped(F.regexp_replace("part", r"^[a-g]\.[^\n]*\n?", "")).alias("text"))
-    return rows.where("text <> ''").groupBy(*keys, "section").agg(F.max_by("text", "pos").alias("text"))
+    Headers stay in the text. A letter counts at a line's start (indented or not) before a capital. Of a repeated section or part the last wins.
+    """
+    blocks = F.split(F.col(text), _ahead(SECTION))
+    rows = reports.select(*keys, F.posexplode(blocks).alias("pos", "block")).withColumn("number", F.regexp_extract("block", SECTION, 1))
+    own = F.when(F.col("number") != "", F.col("number")).when((F.col("pos") == 0) & ~F.col("block").rlike(r"^Section\s+\d+"), "exec_summary")
+    parts = F.transform(F.split("block", _ahead(LETTER)), lambda x, i: F.struct((i + 1).alias("sub"), F.regexp_extract(x, r"^ *([a-g])\.", 1).alias("letter"), x.alias("text")))
+    parts = F.transform(F.filter(parts, lambda x: (F.col("number") != "") & (x.letter != "")), lambda x: F.struct(x.sub.alias("sub"), F.concat("number", x.letter).alias("section"), x.text.alias("text")))
+    found = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("sub"), own.alias("section"), F.col("block").alias("text"))), parts)).alias("x")
+    rows = rows.select(*keys, "pos", found).select(*keys, F.struct("pos", "x.sub").alias("at"), "x.section", stripped(F.col("x.text")).alias("text"))
+    return rows.where("section IS NOT NULL AND text <> ''").groupBy(*keys, "section").agg(F.max_by("text", "at").alias("text"))
 
 
 def clean_second_source(c: Column) -> Column:
-    """Cut at the sidebar, drop score-change paragraphs and divider headings, and the numbers of header artefacts."""
-    c = F.regexp_replace(c, r"(?is)^##\s*Country Facts.*|\n##\s*Country Facts.*", "")
-    c = F.regexp_replace(c, r"(?is)(?:^|\n)\s*Score Change:.*?(?=\n\s*\n|\z)", "\n")
-    c = F.regexp_replace(c, r"(?m)^##\s*(?:PR|CL)\b[^\n]*\n?", "")
-    return stripped(F.regexp_replace(c, r"(?im)^##\s*header\d+\s+", "## "))
+    """Cut at the sidebar, without score-change paragraphs, divider headings and the artefacts of headings."""
+    c = F.regexp_replace(c, "(?is)" + SIDEBAR, "")
+    c = F.regexp_replace(c, "(?is)" + SCORE_CHANGE, "$1")
+    c = F.regexp_replace(c, "(?md)" + DIVIDER, "")
+    return stripped(F.regexp_replace(c, "(?mdi)" + ARTEFACT, "$1"))
 
 
 def lettered_blocks(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys..., section, text): blocks A-G of the second source, and its overview."""
-    parts = rows.select(*keys, F.posexplode(F.split(clean_second_source(F.col(text)), r"(?m)^(?=##\s*[A-G]\b)")).alias("pos", "part"))
-    letter = F.regexp_extract("part", r"^##\s*([A-G])\b", 1)
-    return parts.select(*keys, F.when(letter != "", letter).otherwise("overview").alias("section"), stripped(F.regexp_replace("part", r"^##\s*[A-G]\b[^\n]*\n?", "")).alias("text"), "pos").where("text <> ''").groupBy(*keys, "section").agg(F.max_by("text", "pos").alias("text"))
+    """(keys..., section, text): blocks A-G of the second source with their headings, and exec_summary, what stands before the first."""
+    parts = rows.select(*keys, F.posexplode(F.split(clean_second_source(F.col(text)), _ahead(BLOCK))).alias("pos", "part"))
+    letter = F.regexp_extract("part", BLOCK, 1)
+    name = F.when(letter != "", letter).when(F.col("pos") == 0, "exec_summary")
+    parts = parts.select(*keys, name.alias("section"), "pos", stripped(F.col("part")).alias("text")).where("section IS NOT NULL AND text <> ''")
+    return parts.groupBy(*keys, "section").agg(F.max_by("text", "pos").alias("text"))
 
 
-def named_part(text: Column, headers: list[str], name: Column | str) -> Column:
-    """The part of a section under one of its named headers, up to the next header; null if it has none."""
-    any_ = "|".join(f"\\Q{h}\\E" for h in headers)
-    parts = F.split(text, f"(?mi)^(?=(?:{any_})\\s*$)")
-    name = F.lit(name) if isinstance(name, str) else name
-    own = F.get(F.filter(parts, lambda p: F.startswith(F.lower(p), F.lower(name))), 0)
-    return F.nullif(stripped(F.regexp_replace(own, r"^[^\n]*\n?", "")), F.lit(""))
+def part_header(key: Column, year: Column) -> Column:
+    """The header that a part of section 6 has in a year's reports."""
+    old, middle, new = MINORITIES
+    named = F.create_map(*(F.lit(x) for pair in PARTS.items() for x in pair))
+    return F.when(key == "minorities", F.when(year <= 2019, old).when(year == 2020, middle).otherwise(new)).otherwise(F.try_element_at(named, key))
 
 
-RULE = "\n\n---\n\n"
+#: A character that no report has; it marks where headers begin.
+_MARK = "\x03"
+
 
+def _headed(text: Column) -> Column:
+    """A text cut before each line that is a header; the first element is what stands before them all."""
+    return F.split(F.regexp_replace(text, "(?md)" + HEADER, f"{_MARK}$1"), _MARK, -1)
 
-def evidence(wanted: DataFrame, sectioned: DataFrame, keys: list[str], by: list[str], summary_first: bool = True) -> DataFrame:
-    """One evidence text for each (keys, by): sections named in wanted (by..., section, pos) joined in order; the executive summary stands for a document none of whose sections were found."""
-    body = wanted.where("section <> 'exec_summary'").join(sectioned, "section")
-    whole = body.groupBy(*keys, *by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), RULE).alias("evidence"), F.count("*").alias("n_sections"))
-    if not summary_first:
-        return whole
-    some = wanted.select(*by).distinct()
-    summary = sectioned.where("section = 'exec_summary'").select(*keys, F.col("text").alias("_s"))
-    grid = summary.crossJoin(F.broadcast(some))
-    out = grid.join(whole, [*keys, *by], "full_outer")
-    return out.select(*keys, *by, F.coalesce("evidence", "_s").alias("evidence"), F.coalesce("n_sections", F.lit(0)).cast("long").alias("n_sections")).where("evidence IS NOT NULL")
-
-
-def missing_sections(wanted: DataFrame, documents: DataFrame, sectioned: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., missing): wanted sections a document does not have."""
-    grid = documents.select(*keys).distinct().crossJoin(F.broadcast(wanted.select("section").distinct()))
-    return grid.join(sectioned, [*keys, "section"], "left_anti").groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("section")), ",").alias("missing"), F.count("*").alias("n_missing"))
-
-
-def within_budget(text: Column, budget: int) -> Column:
-    """Whole parts (RULE between them) while they fit; a first part that does not fit is cut at its last blank line before the budget."""
-    parts = F.split(text, "\\Q" + RULE + "\\E")
-    fits = F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(False).alias("full"), F.lit(True).alias("first")), lambda s, p: F.struct(
-        F.when(s.full, s.t).when(F.length(s.t) + F.when(s.first, 0).otherwise(len(RULE)) + F.length(p) <= budget, F.when(s.first, p).otherwise(F.concat(s.t, F.lit(RULE), p))).otherwise(s.t).alias("t"),
-        (s.full | (F.length(s.t) + F.when(s.first, 0).otherwise(len(RULE)) + F.length(p) > budget)).alias("full"),
-        (s.first & F.lit(False)).alias("first")))
+
+def named_part(text: Column, header: Column) -> Column:
+    """What stands under a header that fills a line, up to the next one; null if there is none, or nothing."""
+    found = F.filter(F.slice(_headed(text), 2, 1 << 30), lambda p: F.regexp_extract(p, r"^([^\n]*)", 1) == header)
+    return F.nullif(stripped(F.regexp_replace(F.get(found, 0), r"^[^\n]*", "")), F.lit(""))
+
+
+def within_budget(text: Column, budget: int = 28_000) -> Column:
+    """A text that is too long, cut after the last part of section 6 that fits; where none does, at its last blank line before the budget."""
+    parts = _headed(text)
+    grown = F.aggregate(F.slice(parts, 2, 1 << 30), F.struct(F.get(parts, 0).alias("t"), F.lit(False).alias("full"), F.lit(0).alias("n")), lambda s, p: F.struct(
+        F.when(s.full | (F.length(s.t) + F.length(p) > budget), s.t).otherwise(F.concat(s.t, p)).alias("t"),
+        (s.full | (F.length(s.t) + F.length(p) > budget)).alias("full"),
+        (s.n + F.when(s.full | (F.length(s.t) + F.length(p) > budget), 0).otherwise(1)).alias("n")))
     head = F.substring(text, 1, budget)
-    cut = F.when(F.contains(head, F.lit("\n\n")), F.regexp_extract(head, r"(?s)^(.*)\n\n", 1)).otherwise(head)
-    return F.when(F.length(text) <= budget, text).when(fits.t != "", fits.t).otherwise(cut)
+    last = F.length(F.regexp_extract(head, r"(?s)^(.*)\n\n", 1))
+    cut = stripped(F.when(last > 0, F.substring(head, F.lit(1), last)).otherwise(head))
+    return F.when(F.length(text) <= budget, text).when(grown.n > 0, stripped(grown.t)).otherwise(cut)
 
 
 def prompt(template: str, **values: Column) -> Column:
-    """{name} placeholders of a template by columns."""
+    """{NAME} placeholders of a template by columns."""
     out = F.lit(template)
     for name, c in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c, F.lit("")))
@@ -96,21 +127,29 @@ def prompt(template: str, **values: Column) -> Column:
 
 
 def numbered(categories: Column) -> Column:
-    return F.array_join(F.transform(categories, lambda c, i: F.concat(i.cast("string"), F.lit(": "), c)), "\n")
+    """Categories as a list from 0 on."""
+    return F.array_join(F.transform(categories, lambda c, i: F.concat(F.lit("- **"), i.cast("string"), F.lit("**: "), c)), "\n")
 
 
-def few_shot_block(examples: Column, focal: Column) -> Column:
-    """Examples array<struct<entity, level, text>> without the focal entity."""
-    kept = F.filter(examples, lambda e: e.entity != focal)
-    return F.array_join(F.transform(kept, lambda e: F.concat(F.lit("Rating "), e.level.cast("string"), F.lit(": "), e.text)), "\n")
+def few_shot_block(examples: Column, focal: Column, named: Column) -> Column:
+    """Examples array<struct<entity, year, raw_mean, text>> without those of the focal entity, numbered; entity and year are in the headings only where `named` holds. None left is an error."""
+    kept = F.filter(examples, lambda e: ~e.entity.eqNullSafe(focal))
+    name = lambda e: F.when(named, F.concat(F.lit(" — "), e.entity, F.lit(", "), e.year.cast("string"))).otherwise("")
+    one = lambda e, i: F.concat(F.lit("**Example "), (i + 1).cast("string"), name(e), F.lit("** (Panel mean: "), F.format_string("%.2f", e.raw_mean), F.lit(")\n\n"), e.text)
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_join(F.transform(kept, one), RULE)).otherwise(F.raise_error(F.lit("an indicator without examples")))
 
 
-def few_shot(means: DataFrame, regions: DataFrame, levels: int = 5) -> DataFrame:
+RULE = "\n\n---\n\n"
+
+
+def few_shot(means: DataFrame, regions: DataFrame, available: DataFrame | None = None, levels: int = 5) -> DataFrame:
     """(indicator, level, entity, year): for each level the closest panel mean, preferring a new region and a new entity, then a new entity, then the closest.
 
-    The choice is greedy over an indicator's few levels; candidates are cut to the best of each (indicator, level, entity) first.
+    The choice is greedy over an indicator's few levels; candidates are cut to the best of each (indicator, level, entity) first. Only cells with their documents, keys of `available`, are candidates.
     """
-    rows = means.join(F.broadcast(regions), "entity").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("dist", F.round(F.abs(F.col("raw_mean") - F.col("level")), 9)).where(F.rint("raw_mean") == F.col("level"))
+    if available is not None:
+        means = means.join(available, [c for c in available.columns if c in means.columns], "left_semi")
+    rows = means.join(regions, "entity").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("dist", F.round(F.abs(F.col("raw_mean") - F.col("level")), 9)).where(F.rint("raw_mean") == F.col("level"))
     best = rows.groupBy("indicator", "level", "region", "entity").agg(F.min(F.struct("dist", "year")).alias("b")).select("indicator", "level", "region", "entity", "b.dist", "b.year")
 
     def pick(pdf):
@@ -129,14 +168,13 @@ def few_shot(means: DataFrame, regions: DataFrame, levels: int = 5) -> DataFrame
     return best.groupBy("indicator").applyInPandas(pick, "indicator string, level int, entity string, year int")
 
 
-def rating_of(response: Column, top: int = 5) -> Column:
-    """A rating from a response: JSON after its fences are removed, in range; else the first "rating": digit; else null."""
-    bare = F.regexp_replace(F.regexp_replace(response, r"(?s)^\s*```(?:json)?\s*", ""), r"(?s)\s*```\s*$", "")
-    parsed = F.from_json(bare, "rating int").rating
-    found = F.regexp_extract(response, r'(?i)"?rating"?\s*[:=]\s*"?(\d+)', 1)
-    fallback = F.when(found != "", found.cast("int"))
-    ok = lambda c: F.when(c.between(0, top), c)
-    return F.coalesce(ok(parsed), ok(fallback))
+def rating_of(response: Column, top: int = 4) -> Column:
+    """A rating 0..top: from JSON (fences removed) that has a whole rating in range and a justification; else the first digit in range after the word rating; else null."""
+    bare = F.regexp_replace(F.regexp_replace(stripped(response), r"(?md)^```(?:json)?\s*\n?", ""), r"(?md)\n?```\s*$", "")
+    parsed = F.from_json(stripped(bare), "rating string, justification string")
+    number = F.when(parsed.rating.rlike(r"^\s*[+-]?\d{1,9}(?:\.\d+)?\s*$") & parsed.justification.isNotNull(), parsed.rating.cast("double").cast("int"))
+    found = F.regexp_extract(response, rf'(?i)"?rating"?\s*[":=]\s*([0-{top}])', 1)
+    return F.coalesce(F.when(number.between(0, top), number), F.when(found != "", found.cast("int")))
 
 
 def hygiene(rows: DataFrame, text: str, by: list[str]) -> DataFrame:
@@ -145,21 +183,27 @@ def hygiene(rows: DataFrame, text: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum((~bare).cast("long")).alias("not_bare"), F.sum((digit == "").cast("long")).alias("unparseable"))
 
 
-def token_distribution(tokens: Column, k: int = 5) -> Column:
-    """tokens array<struct<token, alternatives array<struct<token, logprob>>>>: exp(logprob) of each digit among the alternatives of the first digit token after one that ends the text "rating"; of a repeated digit the first counts; null without one."""
+def token_distribution(tokens: Column, top: int = 4) -> Column:
+    """tokens array<struct<token, logprob, alternatives array<struct<token, logprob>>>>: probabilities of 0..top at the first token with such a digit once the text so far has "rating" in it.
+
+    A token stands for its first ASCII digit in range; of alternatives for one digit the first counts, and the chosen token itself where none stands for its digit. Six decimals, not normalised; null without such a token.
+    """
+    digit = lambda t: F.regexp_extract(F.trim(t), f"([0-{top}])", 1)
     text = F.transform(tokens, lambda t: t.token)
-    after = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), F.lit(0), lambda s, i: F.when((s == 0) & F.array_join(F.slice(text, 1, i), "").rlike('(?i)"rating"\\s*:?\\s*$'), i).otherwise(s))
-    digit = F.get(F.filter(F.when(after > 0, F.slice(tokens, after + 1, F.size(tokens))), lambda t: F.trim(t.token).rlike(r"^\d$")), 0)
-    one = lambda d: F.coalesce(F.exp(F.get(F.filter(digit.alternatives, lambda a: F.trim(a.token) == F.lit(str(d))), 0).logprob), F.lit(0.0))
-    return F.when(digit.isNotNull(), F.array(*(one(d) for d in range(k))))
+    seen = lambda i: F.contains(F.array_join(F.slice(text, F.lit(1), i + 1), ""), F.lit('"rating"'))
+    place = F.get(F.filter(F.transform(tokens, lambda t, i: F.when(seen(i) & (digit(t.token) != ""), t)), lambda t: t.isNotNull()), 0)
+    p = lambda d: F.get(F.filter(place.alternatives, lambda a: (digit(a.token) == str(d)) & (F.round(F.exp(a.logprob), 6) != 0)), 0).logprob
+    own = lambda d: F.when(digit(place.token) == str(d), place.logprob)
+    return F.when(place.isNotNull(), F.array(*(F.coalesce(F.round(F.exp(F.coalesce(p(d), own(d))), 6), F.lit(0.0)) for d in range(top + 1))))
 
 
 def lengths(rows: DataFrame, text: str, by: list[str], limits: list[int]) -> DataFrame:
-    """Nearest-index percentiles of token counts (characters / 4), and how many are over each limit."""
-    t = rows.select(*by, F.floor(F.length(text) / 4).alias("t"))
-    a = t.groupBy(*by).agg(F.sort_array(F.collect_list("t")).alias("a"), F.count("*").alias("n"), F.max("t").alias("max"), *(F.sum((F.col("t") > k).cast("long")).alias(f"over_{k}") for k in limits))
-    at = lambda p: F.get("a", F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).cast("int"))
-    return a.select(*by, "n", *(at(p).alias(f"p{p}") for p in (50, 75, 90, 95, 99)), "max", *(f"over_{k}" for k in limits))
+    """Nearest-index percentiles of token counts (characters / 4), and how many are over each limit: from counts of each length, so a group of any size is spread over rows."""
+    n = rows.groupBy(*by, F.floor(F.length(text) / 4).alias("t")).agg(F.count("*").alias("c")).where("t IS NOT NULL")
+    w = W.partitionBy(*by)
+    n = n.withColumn("upto", F.sum("c").over(w.orderBy("t").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("t"))).alias(f"p{p}")
+    return n.groupBy(*by).agg(F.first("n").alias("n"), *(at(p) for p in (50, 75, 90, 95, 99)), F.max("t").alias("max"), *(F.sum(F.when(F.col("t") > k, F.col("c")).otherwise(0)).alias(f"over_{k}") for k in limits))
 
 
 def over_limit(rows: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
@@ -167,13 +211,16 @@ def over_limit(rows: DataFrame, keys: list[str], text: str, limit: int) -> DataF
     return rows.select(*keys, t.alias("tokens"), (t - limit).alias("over_by")).where("over_by > 0")
 
 
-def intersection(pools: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Keys in every pool; a key that one pool has twice is an error."""
-    out = None
-    for p in pools:
-        once = p.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("a key comes twice"))).otherwise(F.col("_n"))).where("_n = 1").select(*keys)
-        out = once if out is None else out.intersect(once)
-    return out
+def intersection(pools: list[DataFrame], keys: list[str], values: list[str] = ()) -> DataFrame:
+    """Keys in every pool, with the first pool's `values`; a key that one pool has twice is an error. One grouping of all pools, whatever their number."""
+    every = None
+    for i, p in enumerate(pools):
+        tagged = p.select(*keys, *(F.col(c) if i == 0 else F.lit(None).cast(p.schema[c].dataType).alias(c) for c in values), F.lit(i).alias("_pool"))
+        every = tagged if every is None else every.union(tagged)
+    n = lambda i: F.sum((F.col("_pool") == i).cast("int"))
+    out = every.groupBy(*keys).agg(*(F.max(c).alias(c) for c in values), F.array(*map(n, range(len(pools)))).alias("_n"))
+    out = out.withColumn("_n", F.when(F.array_max("_n") > 1, F.raise_error(F.lit("a key comes twice"))).otherwise(F.col("_n")))
+    return out.where(F.array_min("_n") == 1).select(*keys, *values)
 
 
 def budgets(pool: DataFrame, stratum: str, total: int) -> DataFrame:
@@ -193,13 +240,43 @@ def stratified(pool: DataFrame, budget: DataFrame, stratum: str, level: str, key
     return rows.join(budget.select(stratum, "budget"), stratum).where(F.col("_r") <= F.col("budget")).drop("_h", "_k", "_first", "_r", "budget")
 
 
+def over_length(variants: list[DataFrame], keys: list[str], text: str, limits: list[int]) -> DataFrame:
+    """Keys whose text is too long (characters / 4) in any variant, each once."""
+    over = None
+    for rows, limit in zip(variants, limits, strict=True):
+        mine = rows.where(F.floor(F.length(text) / 4) > limit).select(*keys)
+        over = mine if over is None else over.union(mine)
+    return over.distinct()
+
+
+def canonical(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in the order of their keys, over files of as many ranges as the session shuffles to."""
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def char_percentiles(rows: DataFrame, n_chars: str, by: list[str], points: tuple = (50, 90, 95, 99)) -> DataFrame:
+    """min, percentiles and max of lengths; percentile p is read at place p (n + 1) / 100 between neighbours, inside the data."""
+    n = rows.groupBy(*by, F.col(n_chars).alias("t")).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*by)
+    n = n.withColumn("upto", F.sum("c").over(w.orderBy("t").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    place = lambda p: F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.lit(p) * (F.col("n") + 1) / 100)))
+    value = lambda at: F.min(F.when(F.col("upto") >= at, F.col("t")))
+    cols = [x for p in points for x in (value(place(p)).alias(f"_a{p}"), value(place(p) + 1).alias(f"_b{p}"), F.first(F.lit(p) * (F.col("n") + 1) / 100 - place(p)).alias(f"_d{p}"))]
+    out = n.groupBy(*by).agg(F.first("n").alias("n"), F.min("t").alias("min"), F.max("t").alias("max"), *cols)
+    return out.select(*by, "n", "min", *((F.col(f"_a{p}") + (F.col(f"_b{p}") - F.col(f"_a{p}")) * F.col(f"_d{p}")).alias(f"p{p}") for p in points), "max")
+
+
 def group_split(rows: DataFrame, group: list[str], fraction: float, cap: int, seed: str = "split") -> DataFrame:
-    """`split` train or validation by whole groups: in hash order, groups go to validation while the rows so far stay under both the fraction and the cap."""
+    """`split` of each row by whole groups: the first max(1, round(groups * fraction)) groups in hash order are held out and never train; of these a group
+    is validation while the rows of those before it are below the cap, and unused beyond."""
     n = rows.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_h", u(seed, *group))
-    # groups are far fewer than rows; partial sums of hash ranges keep the running total out of one task
-    n = n.withColumn("_b", F.floor(F.col("_h") / F.lit(1 << 24)))
-    per = n.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    per = per.withColumn("_base", F.sum("_s").over(W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).withColumn("_total", F.sum("_s").over(W.partitionBy()))
-    n = n.join(F.broadcast(per), "_b").withColumn("_c", F.col("_base") + F.sum("_n").over(W.partitionBy("_b").orderBy("_h", *group).rowsBetween(W.unboundedPreceding, 0)))
-    side = n.select(*group, F.when(F.col("_c") <= F.least(F.lit(float(cap)), fraction * F.col("_total")), "validation").otherwise("train").alias("split"))
-    return rows.join(side, group)
+    # partial sums of hash ranges keep the running totals out of one task
+    n = n.withColumn("_b", F.floor(F.col("_h") / F.lit(1 << 20)))
+    per = n.groupBy("_b").agg(F.sum("_n").alias("_s"), F.count("*").alias("_g"))
+    before = W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_g0"), F.sum("_g").over(W.partitionBy()).alias("_groups"))
+    own = W.partitionBy("_b").orderBy("_h", *group)
+    n = n.join(F.broadcast(per), "_b").withColumn("_place", F.col("_g0") + F.row_number().over(own)).withColumn("_rows", F.col("_s0") + F.coalesce(F.sum("_n").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    held = F.col("_place") <= F.greatest(F.lit(1), F.bround(F.col("_groups") * F.lit(fraction)))
+    split = F.when(~held, "train").when(F.col("_rows") < cap, "validation").otherwise("unused")
+    return rows.join(n.select(*group, split.alias("split")), group)

@@ -1,4 +1,4 @@
 """All queries of the library but those of the training-data operators."""
 
-from quorumspark.plans import errors, inference, leakage, panels  # noqa: F401
+from quorumspark.plans import errors, evidence, inference, leakage, panels  # noqa: F401
 from quorumspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import half_even, six, u
+from quorumspark.operators import evidence as E
 from quorumspark.operators import identity as I
 from quorumspark.operators import movement as V
 from quorumspark.operators import panel as P
@@ -308,32 +309,6 @@ def _(v):
 
 
 # texts and samples
-@query("j1_sections")
-def _(v):
-    s = X.sections(v.reports, ["doc_id"])
-    return s.groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
-@query("j1_subsections")
-def _(v):
-    return X.subsections(X.sections(v.reports, ["doc_id"]), ["doc_id"]).groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
-def _wanted(v):
-    return v.spark.createDataFrame([("rights", "1", 0), ("rights", "3", 1), ("vote", "2", 0), ("vote", "9", 1)], "indicator string, section string, pos int")
-
-
-@query("j5_evidence")
-def _(v):
-    e = X.evidence(_wanted(v), X.sections(v.reports, ["doc_id"]), ["doc_id"], ["indicator"])
-    return e.select("doc_id", "indicator", "n_sections", F.length("evidence").alias("chars"), F.md5(X.within_budget(F.col("evidence"), 2000)).alias("cut"))
-
-
-@query("j6_missing_sections")
-def _(v):
-    return X.missing_sections(_wanted(v), v.reports, X.sections(v.reports, ["doc_id"]), ["doc_id"])
-
-
 @query("j13_training_records", "SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS chars, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id", raw=True)
 def _(v):
     c = v.table("conversations").where("text IS NOT NULL AND text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
@@ -350,9 +325,17 @@ def _(v):
     return X.over_limit(v.table("documents"), ["doc_id"], "text", 1000)
 
 
+def _with_documents(v):
+    names = v.table("nation").select("n_nationkey", F.col("n_name").alias("entity"))
+    shelf = v.shelf.select("source", (F.col("doc_id") % 25).alias("n_nationkey"), (1995 + F.col("doc_id") % 7).cast("int").alias("year")).join(names, "n_nationkey")
+    plan = v.plan.where("indicator = 'belief_more'").drop("indicator").crossJoin(v.means.select("indicator").distinct())
+    return E.available(shelf.select("source", "entity", "year"), plan, v.means.select("indicator").distinct(), ["entity", "year"])
+
+
 @query("j16_few_shot")
 def _(v):
-    return X.few_shot(v.means.where("year IN (1996, 1997)"), v.orders.select("entity", "region").distinct())
+    # a cell has its documents if the reports of its entity and year have
+    return X.few_shot(v.means, v.orders.select("entity", "region").distinct(), _with_documents(v))
 
 
 @query("j18_level_coverage", "SELECT indicator, level FROM (SELECT DISTINCT indicator FROM means) CROSS JOIN range(5) l(level) WHERE (indicator, level) NOT IN (SELECT indicator, round_even(raw_mean, 0)::BIGINT FROM means)")
@@ -367,7 +350,7 @@ _KEYS = ["entity", "year", "indicator", "coder"]
 
 def _pool(v):
     h = u("pool", *_KEYS)
-    return X.intersection([v.ratings.where(h % 10 != k) for k in (1, 2, 3)], _KEYS).join(v.ratings, _KEYS)
+    return X.intersection([v.ratings.where(h % 10 != k) for k in (1, 2, 3)], _KEYS, ["rating"])
 
 
 _POOL = f"pool AS (SELECT * FROM ratings WHERE {_u('pool', *_KEYS)} % 10 NOT IN (1, 2, 3))"
@@ -400,19 +383,12 @@ def _(v):
     return _sample(v).groupBy("indicator").agg(six(F.avg("rating")).alias("mean_rating"), F.count_distinct("rating").alias("levels"), F.count_distinct("entity").alias("entities"), F.count("*").alias("n"))
 
 
-@query("j26_group_split", f"SELECT split, count(*) AS n, count(DISTINCT (entity, year, indicator)) AS cells FROM ratings JOIN (SELECT entity, year, indicator, CASE WHEN sum(n) OVER (ORDER BY h, entity, year, indicator ROWS UNBOUNDED PRECEDING) <= least(100000.0, 0.1 * sum(n) OVER ()) THEN 'validation' ELSE 'train' END AS split FROM (SELECT entity, year, indicator, count(*) AS n, any_value({_u('split', *CELL)}) AS h FROM ratings GROUP BY entity, year, indicator)) USING (entity, year, indicator) GROUP BY split")
+@query("j26_group_split", f"SELECT split, count(*) AS n, count(DISTINCT (entity, year, indicator)) AS cells FROM ratings JOIN (SELECT entity, year, indicator, CASE WHEN k > greatest(1, round_even(0.1 * g, 0)) THEN 'train' WHEN before < 3000 THEN 'validation' ELSE 'unused' END AS split FROM (SELECT *, row_number() OVER w AS k, count(*) OVER () AS g, coalesce(sum(n) OVER (ORDER BY h, entity, year, indicator ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT entity, year, indicator, count(*) AS n, any_value({_u('split', *CELL)}) AS h FROM ratings GROUP BY entity, year, indicator) WINDOW w AS (ORDER BY h, entity, year, indicator))) USING (entity, year, indicator) GROUP BY split")
 def _(v):
-    s = X.group_split(v.ratings, CELL, 0.1, 100_000)
+    s = X.group_split(v.ratings, CELL, 0.1, 3000)
     return s.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(*CELL).alias("cells"))
 
 
-@query("j27_parsed_ratings", "SELECT rating, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 3 OR v > 5 THEN NULL ELSE v END AS rating FROM (SELECT event_id, event_id % 7 AS v FROM events)) GROUP BY rating", raw=True)
-def _(v):
-    d = (F.col("event_id") % 7).cast("string")
-    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('```json\n{"rating": '), d, F.lit("}\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('I would say "rating": '), d, F.lit(" because"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"rating": '), d, F.lit("}"))).otherwise(F.lit("no answer"))
-    return v.table("events").select(X.rating_of(text).cast("long").alias("rating")).groupBy("rating").agg(F.count("*").alias("n"))
-
-
 @query("j28_hygiene", "SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 3 > 0) AS not_bare, count(*) FILTER (event_id % 3 = 1) AS unparseable FROM events GROUP BY event_type", raw=True)
 def _(v):
     text = F.when(F.col("event_id") % 3 == 0, F.lit(" 4 ")).when(F.col("event_id") % 3 == 1, F.lit("none")).otherwise(F.lit("about 4"))

@@ -14,7 +14,10 @@ from quorumspark.functions.core import u
 
 MODELS = ("base", "base-ft", "other")
 CONDITIONS = ("codebook", "correct", "anon", "summ")
-REPORT = "part, key, text"
+#: Headers that the derived reports have, and which sections the indicators read of each source.
+PART_NAMES = ("Women", "National/Racial/Ethnic Minorities", "Trafficking in Persons", "Members of National/Racial/Ethnic Minority Groups", "Children")
+INDICATORS = ("rights", "belief", "belief_more", "groups", "women", "unmapped", "rare")
+PLAN = [("rights", "first", 0, "1", None), ("rights", "first", 1, "2a", None), ("rights", "second", 0, "A", None), ("rights", "second", 1, "C", None), ("belief", "first", 0, "2c", None), ("belief", "second", 0, "B", None), ("belief_more", "first", 0, "2c", None), ("belief_more", "first", 1, "3", None), ("groups", "first", 0, "6", "minorities"), ("groups", "first", 1, "1b", None), ("groups", "second", 0, "G", None), ("women", "first", 0, "6", "women"), ("rare", "first", 0, "9", None), ("rare", "first", 1, "1a", None), ("rare", "second", 0, "D", None)]
 
 RUNS_SCHEMA = T.StructType([
     T.StructField("country", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("indicator", T.StringType()),
@@ -162,10 +165,35 @@ class Views:
 
     @cached_property
     def reports(self):
-        """(doc_id, source, text): documents with section headers before every third line."""
+        """(doc_id, source, text): documents with headers of sections, of parts and of lettered parts before every other line."""
+        return self._headed(lambda k, line: F.when(k % 6 == 3, F.concat(F.lit("Section "), (F.floor(k / 6) % 7 + 1).cast("string"), F.lit(". Head\n"), line)).when(k % 6 == 5, F.concat(F.lit(" "), _pick("abcdefg", k / 6), F.lit(". Part\n"), line)).when(k % 6 == 4, F.concat(_pick(PART_NAMES, k / 6), F.lit("\n"), line)).otherwise(line))
+
+    def _headed(self, head):
         lines = self.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-        heads = F.when(F.col("k") % 6 == 3, F.concat(F.lit("Section "), (F.floor(F.col("k") / 6) % 7 + 1).cast("string"), F.lit(". Head\n"), F.col("line"))).when(F.col("k") % 6 == 5, F.concat(F.element_at(F.array(*map(F.lit, "abcdefg")), (F.floor(F.col("k") / 6) % 7 + 1).cast("int")), F.lit(". Part\n"), F.col("line"))).otherwise(F.col("line"))
-        return lines.withColumn("line", heads).groupBy("doc_id", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x.line), "\n").alias("text"))
+        lines = lines.withColumn("line", head(F.col("k"), F.col("line")))
+        return lines.groupBy("doc_id", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x.line), "\n").alias("text"))
+
+    @cached_property
+    def shelf(self):
+        """(source, doc_id, year, text): a numbered report of every document, a lettered one of most, and the document itself as the third source of some."""
+        year = (2016 + F.col("doc_id") % 8).cast("int").alias("year")
+        second = self._headed(lambda k, line: F.when(k == 20, F.concat(F.lit("## Country Facts\n"), line)).when(k % 5 == 2, F.concat(F.lit("## "), F.when(k % 10 == 7, "header2 ").otherwise(""), _pick("ABCDEFG", k / 5), F.lit(" Title\n"), line)).when(k % 5 == 4, F.concat(F.lit("Score Change: moved\n"), line, F.lit("\n"))).when(k % 7 == 6, F.concat(F.lit("## PR Divider\n"), line)).otherwise(line))
+        out = self.reports.select(F.lit("first").alias("source"), "doc_id", year, "text").union(second.where("doc_id % 4 <> 1").select(F.lit("second"), "doc_id", year, "text"))
+        return out.union(self.table("documents").where("doc_id % 3 = 0 AND text IS NOT NULL").select(F.lit("third"), "doc_id", year, "text"))
+
+    @cached_property
+    def plan(self):
+        """(indicator, source, pos, section, part) of the indicators below."""
+        return self.spark.createDataFrame(PLAN, "indicator string, source string, pos int, section string, part string")
+
+    @cached_property
+    def indicators(self):
+        """(indicator, source), sources without a section included."""
+        return self.spark.createDataFrame([(i, s) for i in INDICATORS for s in ("first", "second")], "indicator string, source string")
+
+
+def _pick(names, k):
+    return F.element_at(F.array(*map(F.lit, names)), (F.floor(k) % len(names) + 1).cast("int"))
 
 
 def _by_region():
@@ -206,6 +234,48 @@ log_ AS (SELECT copy::BIGINT * 10000000000 + h AS seq, iso, year, indicator, tre
 releases AS (SELECT release, entity, year, indicator, count(*) AS n_coders, stddev_samp(rating) AS posterior_sd FROM ratings CROSS JOIN (VALUES (0), (1), (2), (3)) r(release) WHERE {_u('rel', 'coder')} % 4 <= release AND year <= 1998 + release GROUP BY release, entity, year, indicator)
 """
 
+_LINES = "(SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"
+_NL = "chr(10)"
+
+
+def _sql_pick(names, k):
+    return f"[{', '.join(repr(n) for n in names)}][({k}) % {len(names)} + 1]"
+
+
+def _strip(x):
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def sql_part(text, target):
+    """What stands under a header, in DuckDB."""
+    from quorumspark.operators.texts import HEADER
+
+    cut = f"string_split(regexp_replace({text}, '(?m){HEADER}', chr(3) || '\\1' || chr(4), 'g'), chr(3))"
+    return f"nullif({_strip(f'split_part(list_filter({cut}, lambda x: starts_with(x, {target} || chr(4)))[1], chr(4), 2)')}, '')"
+
+
+#: The reports and their sections for DuckDB, to stand before a query over texts.
+TEXT_SQL = rf"""
+reports_ AS (SELECT doc_id, source, string_agg(CASE k % 6 WHEN 3 THEN 'Section ' || (k // 6 % 7 + 1) || '. Head' || {_NL} WHEN 5 THEN ' ' || {_sql_pick('abcdefg', 'k // 6')} || '. Part' || {_NL} WHEN 4 THEN {_sql_pick(PART_NAMES, 'k // 6')} || {_NL} ELSE '' END || line, {_NL} ORDER BY k) AS text FROM {_LINES} GROUP BY ALL),
+second_ AS (SELECT doc_id, (2016 + doc_id % 8)::INT AS year, string_agg(CASE WHEN k = 20 THEN '## Country Facts' || {_NL} || line WHEN k % 5 = 2 THEN '## ' || CASE WHEN k % 10 = 7 THEN 'header2 ' ELSE '' END || {_sql_pick('ABCDEFG', 'k // 5')} || ' Title' || {_NL} || line WHEN k % 5 = 4 THEN 'Score Change: moved' || {_NL} || line || {_NL} WHEN k % 7 = 6 THEN '## PR Divider' || {_NL} || line ELSE line END, {_NL} ORDER BY k) AS text FROM {_LINES} WHERE doc_id % 4 <> 1 GROUP BY ALL),
+third_ AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0 AND text <> ''),
+blocks_ AS (SELECT doc_id, pos, block, regexp_extract(block, '^Section\s+(\d+)\s*\.', 1) AS num FROM (SELECT doc_id, unnest(l) AS block, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(Section\s+\d+\s*\.)', chr(1) || '\1', 'g'), chr(1)) AS l FROM reports_))),
+parts_ AS (SELECT doc_id, pos, sub, num || regexp_extract(part, '^ *([a-g])\.', 1) AS section, part AS text FROM (SELECT doc_id, pos, num, unnest(l) AS part, generate_subscripts(l, 1) AS sub FROM (SELECT *, string_split(regexp_replace(block, '(?m)^( *[a-g]\.[ ]?[A-Z])', chr(2) || '\1', 'g'), chr(2)) AS l FROM blocks_ WHERE num <> '')) WHERE regexp_matches(part, '^ *[a-g]\.')),
+secs_ AS (SELECT doc_id, section, arg_max(text, pos * 100000 + sub) AS text FROM (SELECT doc_id, pos, 0 AS sub, CASE WHEN num <> '' THEN num ELSE 'exec_summary' END AS section, {_strip('block')} AS text FROM blocks_ WHERE num <> '' OR (pos = 1 AND NOT regexp_matches(block, '^Section\s+\d+')) UNION ALL SELECT doc_id, pos, sub, section, {_strip('text')} FROM parts_) WHERE text <> '' GROUP BY ALL),
+clean_ AS (SELECT doc_id, year, {_strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)\n+(?:##\s+Country\s+Facts|Be the first to know).*\z', ''), '(?is)Score Change:.*?(\n\n|\z)', '\1', 'g'), '(?m)^##\s+(?:PR|CL)\s+.*$', '', 'g'), '(?mi)^(##\s+)header[123]\s+', '\1', 'g')")} AS text FROM second_),
+letters_ AS (SELECT doc_id, section, arg_max(text, pos) AS text FROM (SELECT doc_id, pos, CASE WHEN letter <> '' THEN letter ELSE 'exec_summary' END AS section, {_strip('block')} AS text FROM (SELECT *, regexp_extract(block, '^## ([A-G]) ', 1) AS letter FROM (SELECT doc_id, unnest(l) AS block, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(## [A-G] )', chr(1) || '\1', 'g'), chr(1)) AS l FROM clean_))) WHERE letter <> '' OR pos = 1) WHERE text <> '' GROUP BY ALL),
+found_ AS (SELECT 'first' AS source, doc_id, section, text FROM secs_ UNION ALL SELECT 'second', doc_id, section, text FROM letters_),
+shelf_ AS (SELECT 'first' AS source, doc_id FROM reports_ UNION ALL SELECT 'second', doc_id FROM second_),
+plan_ AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if x is None else repr(x) for x in r) + ')' for r in PLAN)}) p(indicator, source, pos, section, part)),
+indicators_ AS (SELECT * FROM (VALUES {', '.join(f"('{i}')" for i in INDICATORS)}) i(indicator) CROSS JOIN (VALUES ('first'), ('second')) s(source)),
+flags_ AS (SELECT indicator, source, source = 'first' AND coalesce(redirects, false) AS only_redirect FROM indicators_ LEFT JOIN (SELECT indicator, source, bool_and(section = '2c') AS redirects FROM plan_ GROUP BY ALL) USING (indicator, source))
+"""
+
+
+def text_oracle(query: str, *more: str) -> str:
+    """A DuckDB query over the reports and their sections."""
+    return "WITH " + ",".join([TEXT_SQL, *more]) + query
+
 
 def oracle(query: str, *more: str) -> str:
     """A DuckDB query over the derived tables."""
