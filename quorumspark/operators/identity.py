@@ -66,10 +66,10 @@ def guesses(rows: DataFrame, text: str) -> DataFrame:
 
 
 def coded(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Guesses to entity codes by a (small) dimension (name, code); hit1 and hit3 against `iso`, missing guesses are no hits."""
+    """Guesses to entity codes by a dimension (name, code); hit1 and hit3 against `iso`, missing guesses are no hits."""
     out = rows
     for k in (1, 2, 3):
-        out = out.join(F.broadcast(names.select(F.col("name").alias(f"guess{k}"), F.col("code").alias(f"code{k}"))), f"guess{k}", "left")
+        out = out.join(names.select(F.col("name").alias(f"guess{k}"), F.col("code").alias(f"code{k}")), f"guess{k}", "left")
     hit = lambda k: F.coalesce(F.col(f"code{k}") == F.col("iso"), F.lit(False))
     return out.withColumn("hit1", hit(1)).withColumn("hit3", hit(1) | hit(2) | hit(3))
 
@@ -110,6 +110,25 @@ def flip_category(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return w.select(*by, category.alias("category"), (F.col("_b") - F.col("_a")).alias("delta"))
 
 
+def region_rates(rows: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
+    """Exact top-1 rate, rates of the first and of any of three guesses in the right region, wrong rows, and the share of those whose first guess is in the region; a guess without a region is not."""
+    out = rows.join(regions.select(F.col("entity").alias("iso"), F.col("region").alias("_r")), "iso")
+    for k in (1, 2, 3):
+        out = out.join(regions.select(F.col("entity").alias(f"code{k}"), F.col("region").alias(f"_r{k}")), f"code{k}", "left")
+    inside = [F.coalesce(F.col(f"_r{k}") == F.col("_r"), F.lit(False)) for k in (1, 2, 3)]
+    rate = lambda c: six(F.avg(c.cast("int")))
+    any_ = inside[0] | inside[1] | inside[2]
+    return out.groupBy(*by).agg(F.count("*").alias("n"), rate(F.col("hit1")).alias("exact"), rate(inside[0]).alias("top1_in_region"), rate(any_).alias("top3_in_region"), F.count_if(~F.col("hit1")).alias("n_wrong"), six(F.avg(F.when(~F.col("hit1"), inside[0].cast("int")))).alias("wrong_in_region"))
+
+
+def side_by_side(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """For entities whose rate is larger under treatment a: the reasons of their hits there, and under b those of their misses with the wrong guess."""
+    only = flip_category(rows, a, b, ["iso"]).where(F.col("category") == f"{a}_only").select("iso")
+    own = rows.join(only, "iso", "left_semi")
+    first, second = (F.col("treatment") == a) & F.col("hit1"), (F.col("treatment") == b) & ~F.col("hit1")
+    return own.where(first | second).withColumn("wrong_guess", F.when(F.col("treatment") == b, F.col("guess1")))
+
+
 def salience(cells: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """none, anon or summ: under which treatment a cell is identified; a cell without a log row counts as not identified."""
     w = rows.groupBy(*keys).pivot("treatment", ["anon", "summ"]).agg(F.max(F.col("hit1").cast("int")))

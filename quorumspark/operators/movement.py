@@ -27,7 +27,7 @@ def scale_bounds(scale: Column) -> list[Column]:
 def module_movement(means: DataFrame, modules: DataFrame, base: int, year: int) -> DataFrame:
     """modules: (indicator, module, scale). Change of the module's mean over the other indicators, each scaled to 0..1, for every (entity, indicator)."""
     low, high = scale_bounds(F.col("scale"))
-    rows = means.where(F.col("year").isin(base, year)).join(F.broadcast(modules), "indicator").withColumn("z", (F.col("raw_mean") - low) / (high - low))
+    rows = means.where(F.col("year").isin(base, year)).join(modules, "indicator").withColumn("z", (F.col("raw_mean") - low) / (high - low))
     w = W.partitionBy("entity", "year", "module")
     others = (F.sum("z").over(w) - F.col("z")) / F.nullif(F.count("z").over(w) - 1, F.lit(0))
     rows = rows.withColumn("o", others).groupBy("entity", "indicator").agg(F.max(F.when(F.col("year") == base, F.col("o"))).alias("a"), F.max(F.when(F.col("year") == year, F.col("o"))).alias("b"))

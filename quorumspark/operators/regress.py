@@ -123,3 +123,12 @@ def fixed_effects(rows: DataFrame, y: str, xs: list[str], factors: list[str], cl
     rss_without = own["yy"] - b[keep] @ (np.linalg.pinv(a[np.ix_(keep, keep)]) @ b[keep])
     out = [(x, float(beta[i + 1]), float(np.sqrt(v[i + 1, i + 1])), float(1 - rss / tss), float(1 - rss / rss_without), int(n), int(g)) for i, x in enumerate(xs)]
     return rows.sparkSession.createDataFrame(out, "term string, est double, se double, r2 double, within_r2 double, n long, n_clusters long")
+
+
+def slope_grid(fit: DataFrame, x: str, interaction: str, low: float, high: float, step: float) -> DataFrame:
+    """(at, slope, lo, hi): the slope of x at each value of its moderator, est(x) + est(interaction) * at, and the same with both coefficients 1.96 standard errors down and up."""
+    pick = lambda term, c: F.max(F.when(F.col("term") == term, F.col(c)))
+    one = fit.agg(pick(x, "est").alias("b"), pick(x, "se").alias("sb"), pick(interaction, "est").alias("d"), pick(interaction, "se").alias("sd"))
+    rows = one.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(round((high - low) / step))), lambda i: F.round(F.lit(low) + i * step, 9))))
+    line = lambda z: (F.col("b") + z * F.col("sb")) + (F.col("d") + z * F.col("sd")) * F.col("at")
+    return rows.select("at", line(0.0).alias("slope"), line(-1.96).alias("lo"), line(1.96).alias("hi"))

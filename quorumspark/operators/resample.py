@@ -19,7 +19,7 @@ def weights(entities: DataFrame, draws: int, seed: str = "boot", key: str = "ent
     n = names.agg(F.count("*").alias("n"))
     slots = n.select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     drawn = slots.select("draw", (u(seed, "draw", "s") % F.col("n")).alias("k")).groupBy("draw", "k").agg(F.count("*").alias("w"))
-    return drawn.join(F.broadcast(names), "k").select("draw", key, "w").union(names.select(F.lit(0), key, F.lit(1).cast("long")))
+    return drawn.join(names, "k").select("draw", key, "w").union(names.select(F.lit(0), key, F.lit(1).cast("long")))
 
 
 def sums(rows: DataFrame, by: list[str], key: str = "entity", **measures: Column) -> DataFrame:
@@ -61,6 +61,38 @@ def difference(draws: DataFrame, by: list[str], flag: str, x: str = "x") -> Data
     return draws.groupBy("draw", *by).agg((F.max(F.when(F.col(flag), F.col(x))) - F.max(F.when(~F.col(flag), F.col(x)))).alias("x"))
 
 
+def paired_rows(rows: DataFrame, by: list[str], side: str, a: str, b: str, value: str) -> DataFrame:
+    """(*by, d): value where `side` is a less value where it is b, of groups that have both."""
+    one = lambda x: F.max(F.when(F.col(side) == x, F.col(value)))
+    return rows.groupBy(*by).agg((one(a) - one(b)).alias("d")).where("d IS NOT NULL")
+
+
+def contrasts(draws: DataFrame, by: list[str], key: str, spec: dict[str, dict[str, float]], x: str = "x") -> DataFrame:
+    """(contrast, draw, *by, x): linear combinations of a group's values within each draw; null where a side is missing."""
+    sides = sorted({k for weights_ in spec.values() for k in weights_})
+    wide = draws.groupBy("draw", *by).agg(*(F.max(F.when(F.col(key) == k, F.col(x))).alias(f"_s{i}") for i, k in enumerate(sides)))
+    # nine decimals: a difference that is 0 in exact arithmetic is 0
+    value = lambda w: F.round(sum((F.col(f"_s{sides.index(k)}") * float(c) for k, c in w.items()), F.lit(0.0)), 9)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("contrast"), value(w).alias("x")) for n, w in spec.items()))).alias("_c")
+    return wide.select("draw", *by, each).select("_c.contrast", "draw", *by, "_c.x")
+
+
+def in_all_arms(rows: DataFrame, by: list[str], arm: str, n: int) -> DataFrame:
+    """Rows of groups that have all n arms."""
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("_k", F.count(arm).over(W.partitionBy(*by))).where(F.col("_k") == n).drop("_k")
+
+
+def arm_outcomes(rows: DataFrame, w: DataFrame, by: list[str], key: str = "entity") -> DataFrame:
+    """(draw, *by, arm, outcome, x): mean error a, mean signed error s and slope of a on h of every arm, from one table of sums."""
+    a, s, h = (F.col(c) for c in "ash")
+    m = resampled(sums(rows, [*by, "arm"], key, n=F.lit(1), sa=a, ss=s, sh=h, sha=h * a, shh=h * h), w, [*by, "arm"], key)
+    c = {x: F.col(x) for x in ("n", "sa", "ss", "sh", "sha", "shh")}
+    values = {"mae": c["sa"] / c["n"], "signed": c["ss"] / c["n"], "slope": ratio(c["sha"] - c["sh"] * c["sa"] / c["n"], c["shh"] - c["sh"] ** 2 / c["n"])}
+    return m.select("draw", *by, "arm", F.explode(F.array(*(F.struct(F.lit(o).alias("outcome"), x.alias("x")) for o, x in values.items()))).alias("_o")).select("draw", *by, "arm", "_o.*")
+
+
 def boot_slope(rows: DataFrame, w: DataFrame, by: list[str], y: Column, x: Column, key: str = "entity") -> DataFrame:
     """(draw, *by, x, a): weighted slope and intercept of y on x, from five sums; null pairs are left out."""
     ok = rows.withColumn("_y", y.cast("double")).withColumn("_x", x.cast("double")).where("_y IS NOT NULL AND _x IS NOT NULL")

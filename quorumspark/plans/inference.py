@@ -142,11 +142,13 @@ def _(v):
     return R.ci(_w1(v), ["model"])
 
 
-def _w1_by_draw(a, b, by, step):
+def _w1_by_draw(a, b, by, step, common=()):
+    """W1 between histograms a (draw, *by, b, n) and b (draw, *common, b, n)."""
     from pyspark.sql import Window as W
 
-    groups = a.select(*by).distinct()
-    both = a.select("draw", *by, "b", F.col("n").alias("f"), F.lit(0.0).alias("g")).union(b.crossJoin(F.broadcast(groups)).select("draw", *by, "b", F.lit(0.0), "n")).groupBy("draw", *by, "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    groups = F.broadcast(a.select(*by).distinct())  # cells of a study: some dozens
+    b = b.join(groups, list(common)) if common else b.crossJoin(groups)
+    both = a.select("draw", *by, "b", F.col("n").alias("f"), F.lit(0.0).alias("g")).union(b.select("draw", *by, "b", F.lit(0.0), "n")).groupBy("draw", *by, "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
     w, whole = W.partitionBy("draw", *by).orderBy("b"), W.partitionBy("draw", *by)
     cdf = lambda c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(c).over(whole)
     return both.withColumn("d", F.abs(cdf("f") - cdf("g")) * F.coalesce(F.lead("b").over(w) - F.col("b"), F.lit(0)) * step).groupBy("draw", *by).agg(F.sum("d").alias("x"))
