@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import half_even, half_up, ratio, six
-from quorumspark.operators.panel import CELL, human_loo
+from quorumspark.operators.panel import CELL, human_loo, positions
 
 MC = ["model", "condition"]
 
@@ -119,14 +119,9 @@ def common_pool(scored: DataFrame, n: int) -> DataFrame:
 
 
 def rank_bins(rows: DataFrame, value: str, n: int = 20) -> DataFrame:
-    """`bin` 1..n of equal counts by value, without one global sort: ranks come from the cumulated counts of the distinct values; ties go by cell."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c")).withColumn("_chunk", F.floor(F.col(value) * 8))
-    per = counts.groupBy("_chunk").agg(F.sum("_c").alias("_s"))
-    per = per.withColumn("_base", F.sum("_s").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).withColumn("_total", F.sum("_s").over(W.partitionBy()))
-    start = counts.join(F.broadcast(per), "_chunk").withColumn("_start", F.col("_base") + F.sum("_c").over(W.partitionBy("_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("_c"))
-    own = F.row_number().over(W.partitionBy(value).orderBy(*CELL))
-    out = rows.join(start.select(value, "_start", "_total"), value).withColumn("_k", own + F.col("_start"))
-    return out.withColumn("bin", F.least(F.ceil(F.col("_k") * n / F.col("_total")), F.lit(n)).cast("int")).drop("_k", "_start", "_total")
+    """`bin` 1..n of equal counts by value; ties go by cell."""
+    k = F.col("_start") + F.row_number().over(W.partitionBy(value).orderBy(*CELL))
+    return positions(rows, value).withColumn("bin", F.least(F.ceil(k * n / F.col("_total")), F.lit(n)).cast("int")).drop("_start", "_same", "_total")
 
 
 def tracking_slope(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quorumspark.operators.panel import positions
+
 
 def yearly(entity_year: DataFrame) -> DataFrame:
     """(entity, year, m, sm): absolute and signed change of the covariate from the year before."""
@@ -43,10 +45,11 @@ def mid_rank(rows: DataFrame, value: str, by: list[str], name: str = "rank") ->
 
 
 def transforms(rows: DataFrame, signed: str, absolute: str) -> DataFrame:
-    """log1p of the size, its percentile rank, and the rank with the sign of the change."""
-    out = mid_rank(rows, absolute, [], "_r")
-    n = F.count(absolute).over(W.partitionBy())
-    return out.withColumn("log1p", F.log1p(absolute)).withColumn("pct", F.col("_r") / n).withColumn("signed_rank", F.signum(signed) * F.col("_r")).drop("_r")
+    """log1p of the size, its percentile rank, and the rank with the sign of the change; ties share their mean rank, nulls stay null."""
+    known = positions(rows.where(F.col(absolute).isNotNull()), absolute).withColumn("_r", F.col("_start") + (F.col("_same") + 1) / 2)
+    out = known.withColumns({"log1p": F.log1p(absolute), "pct": F.col("_r") / F.col("_total"), "signed_rank": F.signum(signed) * F.col("_r")}).drop("_start", "_same", "_total", "_r")
+    rest = rows.where(F.col(absolute).isNull()).withColumns({c: F.lit(None).cast("double") for c in ("log1p", "pct", "signed_rank")})
+    return out.unionByName(rest)
 
 
 def episode_flags(entity_year: DataFrame) -> DataFrame:

@@ -177,6 +177,21 @@ def scale_width(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("indicator").agg(F.max("rating").alias("width")).where("width > 0")
 
 
+def positions(rows: DataFrame, value: str) -> DataFrame:
+    """`rows` with `_start` (rows of smaller value), `_same` (rows of this value) and `_total`, by a number of not too many distinct values, without one global sort: counts of values are cumulated by ranges of values, and ranges among themselves. Nulls drop out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_same")).withColumn("_chunk", F.floor(F.col(value) * 8))
+    per = counts.groupBy("_chunk").agg(F.sum("_same").alias("_s"))
+    per = per.withColumn("_base", F.sum("_s").over(W.partitionBy().orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).withColumn("_total", F.sum("_s").over(W.partitionBy()))
+    upto = F.sum("_same").over(W.partitionBy("_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    start = counts.join(per, "_chunk").withColumn("_start", F.col("_base") + upto - F.col("_same"))
+    return rows.join(start.select(value, "_start", "_same", "_total"), value)
+
+
 def buckets(rows: DataFrame, n: int, by: list[str], order: list[str], name: str = "bucket") -> DataFrame:
-    """n equal buckets in `order` within each group of `by`, the first ones larger."""
-    return rows.withColumn(name, F.ntile(n).over(W.partitionBy(*by).orderBy(*order)))
+    """n equal buckets in `order` within each group of `by` (over all rows, by the number order[0], if there is none), the first ones larger."""
+    if by:
+        return rows.withColumn(name, F.ntile(n).over(W.partitionBy(*by).orderBy(*order)))
+    k = F.col("_start") + F.row_number().over(W.partitionBy(order[0]).orderBy(*order))
+    small, extra = F.floor(F.col("_total") / n), F.col("_total") % n
+    tile = F.when(k <= extra * (small + 1), F.ceil(k / (small + 1))).otherwise(extra + F.ceil((k - extra * (small + 1)) / small))
+    return positions(rows, order[0]).withColumn(name, tile.cast("int")).drop("_start", "_same", "_total")

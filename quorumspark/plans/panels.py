@@ -2,31 +2,81 @@
 
 from pyspark.sql import functions as F
 
-from quorumspark.functions.core import six, u
+from quorumspark.functions.core import expectation, six, u
 from quorumspark.operators import panel as P
 from quorumspark.plans.registry import query
-from quorumspark.sources.views import CONDITIONS, MODELS, _u
+from quorumspark.sources.views import CONDITIONS, MODELS, _u, read_reports, read_runs, read_table, scratch, write_bundle, write_reports
 
 CELL = P.CELL
 LOO = "loo AS (SELECT *, abs(rating - loo_mean) AS e FROM (SELECT *, (sum(rating) OVER w - rating) / (count(*) OVER w - 1) AS loo_mean, count(*) OVER w AS n FROM ratings WINDOW w AS (PARTITION BY entity, year, indicator)) WHERE n >= 2)"
 INDICATORS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
 
 
-@query("a1_runs_by_model", "SELECT replace(model, '-local', '') AS model, condition, count(*) AS n, sum(rating)::BIGINT AS total FROM (SELECT model || CASE WHEN rating % 2 = 0 THEN '-local' ELSE '' END AS model, condition, rating FROM runs) GROUP BY ALL")
+def _run_files(v):
+    """The runs as JSONL: models of even ratings under a local name, zero-shot conditions, and here and there a broken line, one without a key or a blank one."""
+    rows = v.runs.join(v.dists.select(*CELL, "dist").withColumns({"model": F.lit("base"), "condition": F.lit("codebook")}), [*CELL, "model", "condition"], "left")
+    line = F.to_json(F.struct(F.col("entity").alias("country"), "year", "indicator", F.concat("condition", F.when(F.col("rating") == 1, "-zeroshot").otherwise("")).alias("condition"), F.concat("model", F.when(F.col("rating") % 2 == 0, "-local").otherwise("")).alias("model_key"), "rating", F.col("dist").alias("rating_dist")))
+    h = u("line", *CELL, "model", "condition") % 50
+    folder = scratch(v.spark)
+    rows.select(F.when(h == 0, F.concat(F.lit("{broken "), line)).when(h == 1, F.lit('{"country": "no year"}')).when(h == 2, F.lit("")).otherwise(line).alias("value")).write.text(folder)
+    return folder
+
+
+_GOOD = _u("line", *CELL, "model", "condition") + " % 50 > 2"
+
+
+@query("a1_runs_by_model", f"SELECT model, condition, count(*) AS n, sum(rating)::BIGINT AS total FROM runs WHERE {_GOOD} GROUP BY ALL")
 def _(v):
-    named = v.runs.withColumn("model", F.when(F.col("rating") % 2 == 0, F.concat("model", F.lit("-local"))).otherwise(F.col("model")))
-    return named.withColumn("model", F.regexp_replace("model", "-local$", "")).groupBy("model", "condition").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+    return read_runs(v.spark, _run_files(v)).groupBy(F.col("model_key").alias("model"), "condition").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+
+
+@query("a2_runs_with_distributions", f"SELECT d.entity, d.year, d.indicator, d.rating, len(dist) AS n, round(list_sum(list_transform(dist, lambda x, i: x * (i - 1))), 6) AS readout FROM dists d JOIN (SELECT * FROM runs WHERE model = 'base' AND condition = 'codebook' AND {_GOOD}) r USING (entity, year, indicator)")
+def _(v):
+    rows = read_runs(v.spark, _run_files(v), ("country", "year", "indicator", "condition", "model_key", "rating", "rating_dist")).where("model_key = 'base' AND condition = 'codebook'")
+    n = F.when(F.col("rating_dist").isNotNull(), F.size("rating_dist")).cast("long")
+    return rows.select(F.col("country").alias("entity"), "year", "indicator", "rating", n.alias("n"), six(expectation(F.col("rating_dist"))).alias("readout"))
+
+
+@query("a3_filtered_means", "SELECT entity, year, indicator, round(raw_mean, 6) AS raw_mean, n_coders FROM means WHERE year IN (1996, 1997) AND indicator IN ('Brand#1', 'Brand#3', 'Brand#5')")
+def _(v):
+    folder = scratch(v.spark)
+    write_bundle({"means": v.means.select(*CELL, "raw_mean", "n_coders")}, folder, formats={"means": "csv"})
+    rows = read_table(v.spark, f"{folder}/means", "entity string, year int, indicator string, raw_mean double, n_coders long", [1996, 1997], ["Brand#1", "Brand#3", "Brand#5"])
+    return rows.select(*CELL, six(F.col("raw_mean")).alias("raw_mean"), "n_coders")
+
+
+@query("a4_tolerant_json", f"SELECT year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped FROM (SELECT *, {_u('line', *CELL, 'model', 'condition')} % 50 AS h FROM runs) GROUP BY year".replace("SELECT year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped", "SELECT CASE WHEN h > 2 THEN year END AS year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped").replace("GROUP BY year", "WHERE h <> 2 GROUP BY ALL"))
+def _(v):
+    folder = _run_files(v)
+    kept = read_runs(v.spark, folder).groupBy("year").agg(F.count("*").alias("kept"))
+    lines = v.spark.read.text(folder).where("trim(value) <> ''").agg(F.count("*").alias("lines"))
+    gone = lines.crossJoin(kept.agg(F.sum("kept").alias("k"))).select(F.lit(None).cast("int").alias("year"), F.lit(0).cast("long").alias("kept"), (F.col("lines") - F.col("k")).alias("skipped"))
+    return kept.withColumn("skipped", F.lit(0).cast("long")).union(gone)
+
+
+_REPORTS = "SELECT CASE region WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS source, year, replace(lower(entity), ' ', '-') AS slug, 'Orders of ' || entity || chr(10) || chr(10) || 'count ' || count(*) || chr(10) || 'customers ' || sum(o_orderkey % 7) AS text FROM orders_ GROUP BY region, entity, year"
 
 
-@query("a3_filtered_means", "SELECT entity, year, indicator, round(raw_mean, 6) AS raw_mean, n_coders FROM means WHERE year BETWEEN 1996 AND 1997 AND indicator IN ('Brand#11', 'Brand#23', 'Brand#45')")
+@query("a5_reports", f"SELECT source, year, slug, md5(text) AS digest FROM ({_REPORTS})")
 def _(v):
-    return v.means.where(F.col("year").between(1996, 1997) & F.col("indicator").isin("Brand#11", "Brand#23", "Brand#45")).select(*CELL, six(F.col("raw_mean")).alias("raw_mean"), "n_coders")
+    source = F.when(F.col("region") == 0, "first").when(F.col("region") == 1, "second").otherwise("third")
+    text = F.concat(F.lit("Orders of "), "entity", F.lit("\n\ncount "), F.col("n").cast("string"), F.lit("\ncustomers "), F.col("s").cast("string"))
+    rows = v.orders.groupBy("region", "entity", "year").agg(F.count("*").alias("n"), F.sum(F.col("o_orderkey") % 7).alias("s"))
+    folder = scratch(v.spark)
+    write_reports(rows.select(source.alias("source"), "year", F.replace(F.lower("entity"), F.lit(" "), F.lit("-")).alias("slug"), text.alias("text")), folder)
+    return read_reports(v.spark, folder).select("source", "year", "slug", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("a4_tolerant_json", "SELECT event_type, count(*) AS n, count(k) AS n_parsed FROM (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN TRY(json_extract_string(props, '$.k')) END AS k FROM events) GROUP BY event_type", raw=True)
+@query("a6_written_bundle", "SELECT 'ids' AS member, count(*) AS n, sum(hash_) AS checks FROM (SELECT DISTINCT entity, year, indicator, year AS hash_ FROM ratings) UNION ALL SELECT 'results', count(*), sum(rating) FROM scored UNION ALL SELECT 'training', count(*), sum(rating) FROM ratings")
 def _(v):
-    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("event_type"))).otherwise(F.col("props"))
-    return v.table("events").select("event_type", F.from_json(text, "k string", {"mode": "PERMISSIVE"}).k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("n_parsed"))
+    folder = scratch(v.spark)
+    records = v.ratings.select(F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.concat_ws(" ", *CELL).alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("rating").cast("string").alias("content"))).alias("messages"), *CELL, "coder")).alias("value"))
+    write_bundle({"ids": v.ratings.select(*CELL).distinct(), "results": v.scored, "training": records}, folder, {"results": ["model"]}, {"ids": "csv", "training": "text"})
+    one = lambda name, df, c: df.agg(F.lit(name).alias("member"), F.count("*").alias("n"), F.sum(c).cast("long").alias("checks"))
+    ids = one("ids", read_table(v.spark, f"{folder}/ids", "entity string, year int, indicator string"), "year")
+    results = one("results", v.spark.read.parquet(f"{folder}/results"), "rating")
+    training = v.spark.read.schema("messages array<struct<role: string, content: string>>, coder long").json(f"{folder}/training")
+    return ids.union(results).union(one("training", training, F.get("messages", F.lit(1)).content.cast("int")))
 
 
 @query("a7_last_written", "SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id, event_type", raw=True)

@@ -4,6 +4,7 @@ Grain: entity = nation, year = order year, indicator = part brand, coder = suppl
 re-identification logs and releases are hash-made from the panels, so they grow with the tables.
 """
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +45,30 @@ def read_table(spark: SparkSession, path: str, schema, years=None, indicators=No
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(source, year, slug, text) of whole text files laid out as source/year/slug.txt."""
+    """(source, year, slug, text) of whole text files laid out as source/year/slug.txt, or as Spark writes them, source=.../year=.../slug=.../part."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    part = lambda n: F.regexp_extract("path", r"([^/]+)/(\d{4})/([^/]+)\.[A-Za-z]+$", n)
-    return rows.where(part(1) != "").select(part(1).alias("source"), part(2).cast("int").alias("year"), F.url_decode(part(3)).alias("slug"), F.col("value").alias("text"))
+    part = lambda n: F.regexp_extract("path", r"([^/=]+)/(?:year=)?(\d{4})/(?:slug=([^/]+)/[^/]+|([^/]+)\.[A-Za-z]+)$", n)
+    slug = F.url_decode(F.coalesce(F.nullif(part(3), F.lit("")), part(4)))
+    return rows.where(part(1) != "").select(part(1).alias("source"), part(2).cast("int").alias("year"), slug.alias("slug"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
-def write_bundle(tables: dict, folder: str, partition_by: dict | None = None) -> None:
-    """One Parquet table for each member of a bundle."""
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """One text file for each (source, year, slug, text)."""
+    reports.repartition("source", "year", "slug").select("source", "year", "slug", "text").write.mode("overwrite").partitionBy("source", "year", "slug").text(folder)
+
+
+def write_bundle(tables: dict, folder: str, partition_by: dict | None = None, formats: dict | None = None) -> None:
+    """One table for each member of a bundle: Parquet, or what `formats` says (csv with a header, json lines)."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, ())).parquet(f"{folder}/{name}")
+        kind = (formats or {}).get(name, "parquet")
+        df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, ())).format(kind).options(**({"header": True} if kind == "csv" else {})).save(f"{folder}/{name}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or under the warehouse where the session names none."""
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
 class Views:
