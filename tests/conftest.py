@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", folder).config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", folder).config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumspark.functions import core
-from quorumspark.operators import identity, metrics, panel, resample, texts, workforce
+from quorumspark.operators import evidence, identity, metrics, panel, resample, texts, workforce
 from quorumspark.plans import ORACLES, QUERIES
 from quorumspark.sources import views
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["a7_last_written", "a9_pending_jobs", "b3_human_mae", "b7_rails", "c2_mad_table", "c9_kappa", "c10_alpha", "c23_difficulty_curve", "d3_mae_ci", "d14_did", "f7_flips", "g3_tracking", "g13_reid_rates", "i8_fill_in", "j22_stratified_sample", "j26_group_split"]
+CHOSEN = ["a7_last_written", "a9_pending_jobs", "b3_human_mae", "b7_rails", "c2_mad_table", "c9_kappa", "c10_alpha", "c23_difficulty_curve", "d3_mae_ci", "d14_did", "f7_flips", "g3_tracking", "g13_reid_rates", "i8_fill_in", "j22_stratified_sample", "j26_group_split", "j5_evidence", "j11_assembled", "j12_prompts", "d17_treatment_contrast", "g11_summary_arms", "f5_dose_degradation", "a2_runs_with_distributions", "i4_leading_edge", "b16_quintiles"]
 
 
 @pytest.fixture(scope="module")
@@ -74,38 +74,144 @@ def test_derangement(spark):
     assert {p.source for p in pairs} == {p.named for p in pairs} and all(p.source != p.named for p in pairs)
 
 
-def test_sections(spark):
-    text = "Intro\nSection 1. Rights\nhead\na. First\none\nb. Second\ntwo\nSection  2 . Other\nbody\nSection 5. Last\nend"
-    rows = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    s = texts.sections(rows, ["doc_id"])
-    got = {r.section: r.text for r in s.collect()}
-    assert set(got) == {"exec_summary", "1", "2", "5"} and got["exec_summary"] == "Intro" and got["2"] == "body"
-    assert {r.section: r.text for r in texts.subsections(s, ["doc_id"]).collect()} == {"1a": "one", "1b": "two"}
-
+def found(df):
+    return {r.section: r.text for r in df.collect()}
 
-def test_second_source(spark):
-    text = "over\n## A Process\nalpha\nScore Change: up because\n\n## PR divider\n## header2 B Rights\nbeta\n## Country Facts\nside"
-    rows = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    got = {r.section: r.text for r in texts.lettered_blocks(rows, ["doc_id"]).collect()}
-    assert got["A"] == "alpha" and got["B"] == "beta" and "side" not in "".join(got.values())
 
+NUMBERED = """It was a turbulent year.
 
-def test_named_part_and_budget(spark):
-    part = spark.range(1).select(texts.named_part(F.lit("Alpha\none\nBeta\ntwo"), ["Alpha", "Beta"], "Beta").alias("x"), texts.within_budget(F.lit("aa" + texts.RULE + "bbbb"), 5).alias("b")).first()
-    assert (part.x, part.b) == ("two", "aa")
+Section 1. Integrity of the Person
+a. Arbitrary Killings
+There were killings by security forces.
+b. Disappearance
+None known.
+Section 2. Civil Liberties
+a. Freedom of Expression
+The press freedom was limited.
+  c. Freedom of Religion
+See the other report.
+Section 5. Scrutiny
+a. small letters begin no part
+"""
 
 
-def test_rating_and_tokens(spark):
-    r = spark.range(1).select(texts.rating_of(F.lit('```json\n{"rating": 3}\n```')).alias("a"), texts.rating_of(F.lit('"rating": 9')).alias("b"), texts.rating_of(F.lit("none")).alias("c")).first()
-    assert (r.a, r.b, r.c) == (3, None, None)
-    t = spark.sql("SELECT array(named_struct('token', '\"rating\"', 'alternatives', array(named_struct('token', 'x', 'logprob', 0.0D))), named_struct('token', ': ', 'alternatives', array(named_struct('token', 'x', 'logprob', 0.0D))), named_struct('token', '2', 'alternatives', array(named_struct('token', '2', 'logprob', 0.0D), named_struct('token', '3', 'logprob', -100.0D)))) AS t")
-    assert [round(x, 6) for x in t.select(texts.token_distribution(F.col("t")).alias("d")).first().d] == [0, 0, 1, 0, 0]
+def test_sections(spark):
+    one = lambda t: found(texts.sections(spark.createDataFrame([(1, t)], "doc_id int, text string"), ["doc_id"]))
+    got = one(NUMBERED)
+    assert set(got) == {"exec_summary", "1", "1a", "1b", "2", "2a", "2c", "5"} and got["exec_summary"] == "It was a turbulent year."
+    assert got["1"].startswith("Section 1. Integrity") and "killings by security forces" in got["1a"] and "killings" not in got["1b"] and got["2c"].startswith("c. Freedom")
+    assert set(one("Summary\nSection  1 . Person\na. Killings\nx\nSection  2 . Liberties\ny")) == {"exec_summary", "1", "1a", "2"}
+    assert set(one("Section 1. Person\na. Killings occurred.\n")) == {"1", "1a"} and one("") == {}
+    again = one("Section 1. Old\na. First\nSection 1. New\nno part")
+    assert again["1"] == "Section 1. New\nno part" and again["1a"] == "a. First"
 
 
-def test_prompt_hides_the_focal_entity(spark):
-    df = spark.sql("SELECT array(named_struct('entity', 'A', 'level', 1, 'text', 'x'), named_struct('entity', 'B', 'level', 2, 'text', 'y')) AS e")
-    out = df.select(texts.prompt("Q {cats}\n{shots}", cats=texts.numbered(F.array(F.lit("no"), F.lit("yes"))), shots=texts.few_shot_block(F.col("e"), F.lit("A"))).alias("p")).first().p
-    assert out == "Q 0: no\n1: yes\nRating 2: y"
+def test_second_source(spark):
+    one = lambda t: found(texts.lettered_blocks(spark.createDataFrame([(1, t)], "doc_id int, text string"), ["doc_id"]))
+    got = one("over\n## A Process\nalpha\n\nScore Change: up because\nof it\n\nmore\n## PR Political Rights\n## header2 B Rights\nbeta\n\n## Country Facts\nside")
+    assert got["A"] == "## A Process\nalpha\n\n\n\nmore" and got["B"] == "## B Rights\nbeta" and got["exec_summary"] == "over"
+    assert not any(x in " ".join(got.values()) for x in ("side", "Score Change", "PR Political"))
+    assert set(one("## A Process\nA1. Held.\n")) == {"A"} and one("") == {} and one("text\n\nBe the first to know\nmail") == {"exec_summary": "text"}
+
+
+SIX = "Section 6. Abuses\nWomen\nworkplace discrimination\nNational/Racial/Ethnic Minorities\nhousing discrimination\nTrafficking in Persons\ncases of trafficking\nWomen and more\nOther Societal Violence or Discrimination\nattacks"
+
+
+def test_named_parts(spark):
+    rows = spark.createDataFrame([(k, y) for k in ("women", "minorities", "trafficking", "other_societal") for y in (2018, 2020, 2021)], "key string, year int")
+    got = {(r.key, r.year): r.x for r in rows.select("key", "year", texts.named_part(F.lit(SIX), texts.part_header(F.col("key"), F.col("year"))).alias("x")).collect()}
+    assert got["women", 2021] == "workplace discrimination" and got["minorities", 2018] == "housing discrimination" and got["other_societal", 2018] == "attacks"
+    assert got["trafficking", 2018] == "cases of trafficking\nWomen and more" and got["minorities", 2020] is None and got["minorities", 2021] is None
+    assert spark.range(1).select(texts.named_part(F.lit("Nothing here."), F.lit("Women")).alias("x")).first().x is None
+
+
+def test_budget(spark):
+    cut = lambda t, n: spark.range(1).select(texts.within_budget(F.lit(t), n).alias("x")).first().x
+    assert cut(SIX, 10_000) == SIX and cut(SIX, 60) == SIX[: SIX.index("National")].strip()
+    assert cut("first par\n\nsecond par\n\nthird", 25) == "first par\n\nsecond par" and cut("x" * 50, 20) == "x" * 20
+
+
+def test_evidence_follows_the_plan(spark):
+    keys = ["iso", "year"]
+    shelf = spark.createDataFrame(
+        [("first", "NGA", 2019, NUMBERED.replace("Section 5", SIX + "\nSection 5")), ("second", "NGA", 2019, "overview\n## A Elections\nflawed election\n## D Belief\nbelief"), ("third", "NGA", 2019, "religious practices"), ("first", "GHA", 2019, "A summary\nSection 3. Else\nx")],
+        "source string, iso string, year int, text string",
+    )
+    plan = spark.createDataFrame([("body", "first", 0, "2a", None), ("body", "first", 1, "1a", None), ("belief", "first", 0, "2c", None), ("belief", "second", 0, "D", None), ("gone", "first", 0, "99", None), ("women", "first", 0, "6", "women"), ("children", "first", 0, "6", "minorities_2")], "indicator string, source string, pos int, section string, part string")
+    indicators = spark.createDataFrame([(i, s) for i in ("body", "belief", "gone", "women", "children", "none") for s in ("first", "second")], "indicator string, source string")
+    got = {(r.iso, r.indicator, r.source): r.evidence for r in evidence.evidence(shelf, indicators, plan, keys).collect()}
+    body = got["NGA", "body", "first"]
+    assert body.index("press freedom") < body.index("killings") and texts.RULE in body and "turbulent" not in body
+    assert got["NGA", "belief", "first"] == "religious practices" and ("GHA", "belief", "first") not in got
+    assert got["NGA", "gone", "first"] == got["NGA", "none", "first"] == "It was a turbulent year." and got["GHA", "body", "first"] == "A summary"
+    assert got["NGA", "women", "first"] == "workplace discrimination" and got["NGA", "children", "first"].startswith("Section 6. Abuses")
+    assert got["NGA", "none", "second"] == "overview" and ("GHA", "none", "second") not in got
+    plain = {(r.iso, r.indicator, r.source): r.evidence for r in evidence.plain_evidence(shelf, plan, keys).collect()}
+    assert plain["NGA", "body", "first"].startswith("It was a turbulent year." + texts.RULE) and plain["NGA", "belief", "second"].startswith("overview")
+    miss = {(r.iso, r.indicator): r.missing for r in evidence.missing_sections(shelf, plan, keys).collect()}
+    assert miss["NGA", "gone"] == "99" and miss["GHA", "body"] == "2a,1a" and miss["GHA", "belief"] == "third"
+
+
+def test_assembled_summaries_stand_in_only_without_body(spark):
+    plan = spark.createDataFrame([("kill", "first", 0, "1a", None), ("kill", "first", 1, "1b", None), ("kill", "second", 0, "F", None), ("relig", "first", 0, "2c", None), ("relig", "second", 0, "D", None)], "indicator string, source string, pos int, section string, part string")
+    indicators = spark.createDataFrame([(i, s) for i in ("kill", "relig") for s in ("first", "second")], "indicator string, source string")
+
+    def kept(*rows):
+        cached = spark.createDataFrame([(s, 1, c, t) for s, c, t in rows], "source string, k int, section string, text string")
+        return {r.indicator: r.text for r in evidence.assembled(cached, indicators, plan, ["k"]).collect()}
+
+    both = [("first", "exec_summary", "EXEC 1"), ("second", "exec_summary", "EXEC 2")]
+    got = kept(*both, ("first", "1a", "BODY a"), ("second", "F", "BODY F"), ("second", "D", "BODY D"))
+    assert got["kill"] == f"*{evidence.LABELS['first']}*\n\nBODY a{texts.RULE}*{evidence.LABELS['second']}*\n\nBODY F" and "EXEC 1" not in got["relig"]
+    assert "EXEC 1" in kept(*both)["kill"] and "EXEC 2" in kept(*both)["kill"]
+    got = kept(("first", "third", "THIRD"), both[0], ("second", "D", "BODY D"))
+    assert "THIRD" in got["relig"] and "EXEC 1" not in got["relig"] and kept(("second", "Z", "x")) == {}
+
+
+def test_ratings_of_answers(spark):
+    good = '{"rating": 3, "justification": "as said"}'
+    cases = {f"```json\n{good}\n```": 3, good: 3, '{"rating": 3}': 3, '{"rating": 9, "justification": "x"}': None, "rating: 42": 4, '"rating": 7': None, "none": None, 'I say "Rating" = 2': 2, '{"rating": "1", "justification": "y"}': 1}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", texts.rating_of(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+
+
+def test_token_distribution(spark):
+    schema = "t array<struct<token: string, logprob: double, alternatives: array<struct<token: string, logprob: double>>>>"
+    rating = [('"rat', -1.0, []), ('ing"', -1.0, []), (": ", -1.0, [])]
+    rows = [
+        [*rating, ("2", -0.1, [("2", 0.0), (" 3", -1.0), ("x", -1.0), ("3", -9.0), ("7", 0.0)])],
+        [("4", -0.1, [("4", 0.0)]), *rating, ("1", -0.5, [("0", -1.0)]), ("3", 0.0, [("3", 0.0)])],
+        [("2", -0.1, [("2", 0.0)])],
+    ]
+    got = [r.d for r in spark.createDataFrame([(r,) for r in rows], schema).select(texts.token_distribution(F.col("t")).alias("d")).collect()]
+    assert got == [[0, 0, 1, 0.367879, 0], [0.367879, 0.606531, 0, 0, 0], None]
+
+
+def test_prompts_hide_the_focal_entity(spark):
+    df = spark.sql("SELECT array(named_struct('entity', 'A', 'year', 2017, 'raw_mean', 1.0D, 'text', 'x'), named_struct('entity', 'B', 'year', 2018, 'raw_mean', 2.5D, 'text', 'y')) AS e")
+    one = lambda focal, named: df.select(texts.prompt("Q {CATS}\n{SHOTS}", CATS=texts.numbered(F.array(F.lit("no"), F.lit("yes"))), SHOTS=texts.few_shot_block(F.col("e"), F.lit(focal), F.lit(named))).alias("p")).first().p
+    assert one("A", True) == "Q - **0**: no\n- **1**: yes\n**Example 1 — B, 2018** (Panel mean: 2.50)\n\ny"
+    assert "A, 2017" in one("C", True) and "2017" not in one("C", False) and "{" not in one("C", False)
+    with pytest.raises(Exception, match="without examples"):
+        df.select(texts.few_shot_block(F.filter("e", lambda e: e.entity == "A"), F.lit("A"), F.lit(True)).alias("p")).collect()
+
+
+def test_few_shot_is_greedy(spark):
+    means = [("e1", 2000, "i", 0.1), ("e1", 2001, "i", 1.0), ("e2", 2000, "i", 1.1), ("e3", 2000, "i", 0.9), ("e4", 2000, "i", 2.2)]
+    rows = spark.createDataFrame(means, "entity string, year int, indicator string, raw_mean double")
+    regions = spark.createDataFrame([("e1", 1), ("e2", 1), ("e3", 2), ("e4", 2)], "entity string, region int")
+    got = {r.level: r.entity for r in texts.few_shot(rows, regions).collect()}
+    assert got == {0: "e1", 1: "e3", 2: "e4"}
+    only = spark.createDataFrame([("e1", 2001), ("e2", 2000), ("e1", 2000)], "entity string, year int")
+    assert {r.level: r.entity for r in texts.few_shot(rows, regions, only).collect()} == {0: "e1", 1: "e2"}
+
+
+def test_held_out_groups_never_train(spark):
+    rows = spark.createDataFrame([(f"g{i % 40}", i) for i in range(400)], "g string, i int")
+    got = texts.group_split(rows, ["g"], 0.25, 45)
+    n = {r.split: (r.cells, r.n) for r in got.groupBy("split").agg(F.count_distinct("g").alias("cells"), F.count("*").alias("n")).collect()}
+    assert n == {"train": (30, 300), "validation": (5, 50), "unused": (5, 50)}
+    assert got.groupBy("g").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
