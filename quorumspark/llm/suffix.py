@@ -153,6 +153,8 @@ def _repeated(table):
 
 
 def _by_text(x, kind, name):
+    """One row a text (copies of a row bring the same again, which stays once)."""
+    x = np.unique(x.view(f"V{kind.itemsize}")).view(kind) if len(x) else x
     x = x[np.lexsort((x["u2"], x["u1"]))]
     new = np.ones(len(x), bool)
     new[1:] = (x["u1"][1:] != x["u1"][:-1]) | (x["u2"][1:] != x["u2"][:-1])
@@ -213,11 +215,13 @@ def _deal_stretches(length, buckets):
                 edge = np.append(cut[1:], len(pick))
                 bytes_ = flat[np.repeat((stop - size)[pick], size[pick]) + _ramp(size[pick])]
                 n = len(cut)
-                if not n and len(spans):  # nothing to send but what is known
-                    yield pa.record_batch([pa.array([0]), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([spans.tobytes()], pa.binary())], ["bucket", "stretches", "bytes", "spans"])
-                if not n:
-                    continue
-                yield pa.record_batch([pa.array(bucket[cut]), A.blobs(x[pick].view(np.uint8).reshape(-1, STRETCH.itemsize), edge), A.blobs(bytes_, np.cumsum(size[pick])[edge - 1]), pa.array([spans.tobytes()] + [b""] * (n - 1), pa.binary())], ["bucket", "stretches", "bytes", "spans"])
+                if n:
+                    yield pa.record_batch([pa.array(bucket[cut]), A.blobs(x[pick].view(np.uint8).reshape(-1, STRETCH.itemsize), edge), A.blobs(bytes_, np.cumsum(size[pick])[edge - 1]), pa.array([b""] * n, pa.binary())], ["bucket", "stretches", "bytes", "spans"])
+                if len(spans):  # what is known already goes by text, so that it meets what copies of the row bring
+                    to = spans["u1"] % buckets
+                    spans, to = spans[np.argsort(to, kind="stable")], np.sort(to, kind="stable")
+                    cut = A.runs(to)
+                    yield pa.record_batch([pa.array(to[cut]), pa.array([b""] * len(cut), pa.binary()), pa.array([b""] * len(cut), pa.binary()), A.blobs(spans.view(np.uint8).reshape(-1, SPAN.itemsize), np.append(cut[1:], len(spans)))], ["bucket", "stretches", "bytes", "spans"])
 
     return run
 
@@ -332,7 +336,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     spans: maximal runs of bytes covered by a string of `length` bytes that also starts anywhere else in the
     corpus (the same text and rows that repeat included); kept: the other bytes in order, which need not be
-    valid UTF-8. A null text is empty; texts under `length` bytes have no spans; rows with a null or repeated
+    valid UTF-8. A text of any length is worked off in pieces of 2 MB (the last step holds it whole). A null text is empty; texts under `length` bytes have no spans; rows with a null or repeated
     id are treated as any others; an empty table gives an empty result. `length` must be more than K.
 
     anchors_per_bucket bounds a task: an anchor takes up to 2 * length bytes. An anchor hash with very many

@@ -76,6 +76,15 @@ def test_repeated_substrings_of_periodic_texts(spark):
     assert got == sorted(want, key=str)
 
 
+def test_rows_that_repeat_often_bring_their_spans_once(spark):
+    text = " ".join(f"w{i * i}" for i in range(150))
+    d = docs(spark, [(1, text, "a")] * 60 + [(2, "x" + text[:400] + "y", "a"), (None, "z" * 10, "b")])
+    got = suffix.digest(suffix.repeated_substrings(d)).collect()
+    assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 1] == [(len(text), 1)] * 60 and [r.n_removed for r in got if r.doc_id == 2] == [400]
+    x = np.zeros(50, suffix.SPAN)
+    assert len(suffix._by_text(x, suffix.SPAN, "spans")["spans"][0].as_py()) == suffix.SPAN.itemsize
+
+
 def test_long_periodic_texts_take_bounded_memory(spark):
     d = docs(spark, [(1, "a" * 5_000_000, "a"), (2, "ab" * 1_000_000, "a"), (3, "x" + "a" * 300, "a")])
     got = {r.doc_id: r for r in suffix.digest(suffix.repeated_substrings(d)).collect()}
