@@ -3,7 +3,8 @@
 1. A text's words (lower case, split at white space) give shingles of `k` words; texts with the
    same words are one class of copies from here on.
 2. Document frequencies: shingle hashes, dealt by hash range into buckets of bounded size, meet
-   once. Weight of a shingle: tf * idf, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), df and N over all
+   once. Shingles of very many documents, of which there can only be a bounded number, are found first (each task counts what is frequent in it), counted by
+   partial sums, and never dealt: their weights go to the texts directly. Weight of a shingle: tf * idf, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), df and N over all
    documents. A shingle that no other text has cannot be in an intersection; only its weight
    counts. So a text whose shared weight is below `threshold` of its total has no partner at all,
    exactly, and drops out here: most texts do.
@@ -31,31 +32,137 @@ from quorumspark.llm._graph import components, dealt_by, shared, small_batches
 SEGMENT = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("total", "<u4"), ("n", "<u4")])
 TEXT = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("total", "<u4"), ("copies", "<i8"), ("n", "<i8")])
 ENTRY = np.dtype([("feature", "<u8"), ("weight", "<f4")])
+#: Hot shingles at most (16 bytes each in every task).
+MOST_HOT = 2_000_000
 #: A bucket is worked off in so many ranges of hashes, one after the other.
 RANGES = 8
 
 
-def _keys(batches):
+#: Shingles that a task counts at most; rarer ones are forgotten first.
+COUNTED = 400_000
+
+
+def _each_once(h, doc):
+    """Distinct hashes and in how many texts each is."""
+    o = np.lexsort((doc, h))
+    h, doc = h[o], doc[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return np.unique(h[new], return_counts=True)
+
+
+def _keys(k, share):
+    """Keys of each text; where a shingle can be in so large a share of the texts as to be frequent, also rows (often, n) of those that may be."""
+
+    def run(batches):
+        known, count, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for b in batches:
+            text = pc.utf8_lower(pc.fill_null(b.column("text"), ""))
+            rows += len(b)
+            for i, j, data, offsets in A.slices(text):
+                w = A.Words(data, offsets)
+                k1, k2 = w.keys()
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.record_batch([b.column("id").slice(i, j - i), b.column("own").slice(i, j - i), A.signed(k1), A.signed(k2 >> np.uint64(32)), none, none], ["id", "own", "k1", "k2", "often", "n"])
+                if share <= 1:
+                    h, _, each = w.windows(k)
+                    h, n = _each_once(h, np.repeat(np.arange(len(each)), each))
+                    known, at = np.unique(np.concatenate((known, h)), return_inverse=True)
+                    count = np.bincount(at, weights=np.concatenate((count, n)), minlength=len(known)).astype(np.int64)
+                    if len(known) > COUNTED:
+                        keep = count > max(1, share * rows / 4)
+                        known, count = known[keep], count[keep]
+        keep = count > share * rows / 2
+        if keep.any():
+            n = int(keep.sum())
+            none = pa.nulls(n, pa.int64())
+            yield pa.record_batch([none, none, none, none, A.signed(known[keep]), pa.array(count[keep])], ["id", "own", "k1", "k2", "often", "n"])
+
+    return run
+
+
+def _texts_of(batches):
+    """(Words) of the slices of a column of texts."""
     for b in batches:
-        text = pc.utf8_lower(pc.fill_null(b.column("text"), ""))
-        for i, j, data, offsets in A.slices(text):
-            k1, k2 = A.Words(data, offsets).keys()
-            yield pa.record_batch([b.column("id").slice(i, j - i), b.column("own").slice(i, j - i), A.signed(k1), A.signed(k2 >> np.uint64(32))], ["id", "own", "k1", "k2"])
+        for _, _, data, offsets in A.slices(pc.utf8_lower(pc.fill_null(b.column(0), ""))):
+            yield A.Words(data, offsets)
+
+
+def _in(sorted_values, h):
+    at = np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)
+    return at, sorted_values[at] == h
 
 
-def _dealt(k, buckets):
+def _counted(k, hot):
+    """(often, n): in how many texts of a slice each of the hot shingles is."""
+
+    def run(batches):
+        for w in _texts_of(batches):
+            h, _, each = w.windows(k)
+            doc = np.repeat(np.arange(len(each)), each)
+            is_hot = _in(hot.value, h)[1]
+            if is_hot.any():
+                found, n = _each_once(h[is_hot], doc[is_hot])
+                yield pa.record_batch([A.signed(found), pa.array(n)], ["often", "n"])
+
+    return run
+
+
+def _hot_entries(k, buckets, hot, n_docs):
+    """The hot shingles' entries of each text, as `_shared` gives those of the others; texts with the same words in a slice send them once."""
+
+    def run(batches):
+        shingles, df = hot.value
+        for w in _texts_of(batches):
+            h, _, each = w.windows(k)
+            k1, k2 = (x[: len(each)] for x in w.keys())
+            _, first, copies = np.unique(np.stack((k1, k2 >> np.uint64(32)), axis=1), axis=0, return_index=True, return_counts=True)
+            at, keep = _in(shingles, h)
+            doc = np.repeat(np.arange(len(each)), each)
+            n_copies = np.zeros(len(each), np.int64)
+            n_copies[first] = copies
+            keep &= n_copies[doc] > 0
+            at, doc = at[keep], doc[keep]
+            if not len(doc):
+                continue
+            goal = ((k1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            o = np.lexsort((at, doc, goal[doc]))
+            at, doc = at[o], doc[o]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+            again = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+            entries = np.empty(len(doc), ENTRY)
+            entries["feature"] = A.mix(shingles[at] + again.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 0x5EED)
+            entries["weight"] = _idf(df[at], n_docs)
+            run_ = A.runs(doc)
+            d = doc[run_]
+            texts = np.empty(len(run_), TEXT)
+            # negative: copies in this slice only, to be added up
+            texts["k1"], texts["k2"], texts["total"], texts["copies"], texts["n"] = k1.view(np.int64)[d], (k2 >> np.uint64(32))[d], each[d], -n_copies[d], np.diff(np.append(run_, len(doc)))
+            cut = A.runs(goal[d])
+            stop = np.append(cut[1:], len(d))
+            yield pa.record_batch([pa.array(goal[d][cut]), A.blobs(texts.view(np.uint8).reshape(-1, TEXT.itemsize), stop), A.blobs(entries.view(np.uint8).reshape(-1, ENTRY.itemsize), np.append(run_, len(doc))[stop])], ["goal", "texts", "entries"])
+
+    return run
+
+
+def _dealt(k, buckets, hot):
     def run(batches):
         for b in batches:
             text = pc.utf8_lower(pc.fill_null(b.column(0), ""))
             for _, _, data, offsets in A.slices(text):
                 w = A.Words(data, offsets)
                 h, _, each = w.windows(k)
+                doc = np.repeat(np.arange(len(each)), each)
+                if hot is not None:
+                    cold = ~_in(hot.value[0], h)[1]
+                    h, doc = h[cold], doc[cold]
                 if not len(h):
                     continue
                 k1, k2 = w.keys()
                 bucket = (((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.uint16 if buckets <= 65536 else np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bucket, doc = bucket[order], np.repeat(np.arange(len(each)), each)[order]
+                bucket, doc = bucket[order], doc[order]
                 low = h[order].view(np.uint8).reshape(-1, 8)[:, :6]
                 cut = A.runs(bucket.astype(np.int64) * len(each) + doc)
                 seg = np.empty(len(cut), SEGMENT)
@@ -153,6 +260,15 @@ def _possible(n_docs, threshold):
         cls = np.empty(len(texts), np.int64)
         cls[order] = np.cumsum(new) - 1
         own = s[new]
+        # of a text's hot entries, which several slices can have sent, one record counts
+        hot = texts["copies"] < 0
+        least = np.full(len(own), len(texts))
+        np.minimum.at(least, cls[hot], np.flatnonzero(hot))
+        own["copies"] = np.bincount(cls, weights=np.where(hot, -texts["copies"], 0), minlength=len(own))
+        np.maximum.at(own["copies"], cls[~hot], texts["copies"][~hot])
+        counts = ~hot | (least[cls] == np.arange(len(texts)))
+        entries = entries[np.repeat(counts, texts["n"])]
+        cls, texts = cls[counts], texts[counts]
         c = np.repeat(cls, texts["n"])
         shared_n, shared_w = np.bincount(c, minlength=len(own)), np.bincount(c, weights=entries["weight"], minlength=len(own))
         total = shared_w + (own["total"].astype(np.int64) - shared_n) * _idf(own["copies"], n_docs)
@@ -258,7 +374,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (class_id is null if all its ids are).
 
     pairs_per_bucket bounds what one task holds of the document-frequency step (about 15 bytes a
-    pair); raise it with the executors' memory so that buckets stay fewer at large scale.
+    pair); raise it with the executors' memory so that buckets stay fewer at large scale. A shingle of more than a sixteenth
+    of that many documents (or, in a corpus of over 2 * 10^12 shingles or so, of one in MOST_HOT of its pairs) is hot and not dealt.
+    A text of any length is read whole (some 60 bytes of memory a byte).
     A pair at the threshold is found with probability 1 - (1 - threshold^rows)^bands > 0.9999
     directly, and also if a third text joins its candidate group.
     """
@@ -269,15 +387,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classes(use, k=5, threshold=0.8, bands=32, rows=6, pairs_per_bucket=12_000_000, block=200):
     """(id, own, class_id, rep_id, n_copies, n_links) for each row of `use` (id, own, text); classes are named by id."""
-    small_batches(use.sparkSession)
-    keys = shared(use.mapInArrow(A.tidy(_keys), "id long, own long, k1 long, k2 long"))
-    reps = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    spark = use.sparkSession
+    small_batches(spark)
     n_docs, n_bytes = use.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, math.ceil(n_bytes / 5 / pairs_per_bucket))
-    dealt = use.select("text").mapInArrow(A.tidy(_dealt(k, buckets)), "bucket long, segments binary, hashes binary")
+    # a shingle of so many texts is hot; as there are n_bytes / 5 pairs or so, MOST_HOT shingles can be at most
+    hot_docs = max(pairs_per_bucket // 16, math.ceil(n_bytes / 5 / MOST_HOT))
+    found = shared(use.mapInArrow(A.tidy(_keys(k, hot_docs / max(n_docs, 1))), "id long, own long, k1 long, k2 long, often long, n long"))
+    keys = found.where("often IS NULL").drop("often", "n")
+    reps = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    hot = None
+    if n_docs >= hot_docs:
+        guess = found.where("often IS NOT NULL").groupBy("often").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_docs // 2).select("often").collect()
+        if guess:
+            names = spark.sparkContext.broadcast(np.sort(np.array([r.often for r in guess], np.int64).view(np.uint64)))
+            counts = use.select("text").mapInArrow(A.tidy(_counted(k, names)), "often long, n long").groupBy("often").agg(F.sum("n").alias("n")).collect()
+            df = {r.often: r.n for r in counts}
+            hot = spark.sparkContext.broadcast((names.value, np.array([df.get(h, 0) for h in names.value.view(np.int64).tolist()], np.int64)))
+    dealt = use.select("text").mapInArrow(A.tidy(_dealt(k, buckets, hot)), "bucket long, segments binary, hashes binary")
     parts = dealt_by(dealt, "bucket").applyInArrow(A.tidy_group(_shared(max(n_docs, 1), buckets)), "goal long, texts binary, entries binary")
+    if hot is not None:
+        parts = parts.union(use.select("text").mapInArrow(A.tidy(_hot_entries(k, buckets, hot, max(n_docs, 1))), "goal long, texts binary, entries binary"))
     texts = dealt_by(parts, "goal").applyInArrow(A.tidy_group(_possible(max(n_docs, 1), threshold)), "k1 long, k2 long, w_total double, features binary, weights binary")
-    texts = shared(texts.join(reps, ["k1", "k2"]).where("rep is not null").select("rep", "w_total", "features", "weights"))
+    # a number of partitions of its own, so that sampling, which takes longest, is spread over all cores however few bytes the features have
+    spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2")
+    texts = shared(spread.join(reps, ["k1", "k2"]).where("rep is not null").select("rep", "w_total", "features", "weights"))
     banded = shared(texts.mapInArrow(A.tidy(_bands(bands, rows)), "rep long, band int, h long"))
     least = banded.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = components(banded.join(least, ["band", "h"]).select(F.col("rep").alias("a"), "b"))

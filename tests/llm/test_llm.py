@@ -41,6 +41,60 @@ def test_near_duplicates(spark, some):
     assert minhash.near_duplicates(some.limit(0)).count() == 0
 
 
+def weighted_jaccard(texts, k=5):
+    """Weights of each text's shingles (the nth of its kind is one of its own), and the similarity of two texts, by definition."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter() for w in words]
+    df = Counter(s for c in sets for s in c)
+    idf = {s: 1 + np.log((1 + len(texts)) / (1 + n)) / np.log(1 + len(texts)) for s, n in df.items()}
+    total = [sum(n * idf[s] for s, n in c.items()) for c in sets]
+
+    def similar(i, j):
+        both = sum(min(n, sets[j][s]) * idf[s] for s, n in sets[i].items() if s in sets[j])
+        return both / max(total[i] + total[j] - both, 1e-300)
+
+    return words, similar
+
+
+@pytest.mark.parametrize("pairs_per_bucket", [12_000_000, 3000, 320])
+def test_links_equal_all_pairs(spark, pairs_per_bucket):
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    line = " ".join(f"shared{i}" for i in range(30))  # in half of the texts: its shingles are hot in small buckets
+    bases = [[word() for _ in range(int(rng.integers(20, 90)))] for _ in range(12)]
+    texts = []
+    for i in range(150):
+        t = list(bases[i % 12]) if i % 3 else [word() for _ in range(40)]
+        for _ in range(int(rng.integers(0, 3))):
+            t[int(rng.integers(0, len(t)))] = word()
+        texts.append(" ".join(t) + (f" {line} {line}" if i % 2 else ""))
+    texts += texts[:20] + [None, "", "few words", "w " * 300]
+    words, similar = weighted_jaccard(texts)
+    n = len(texts)
+    links, root = [set() for _ in range(n)], list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in combinations(range(n), 2):
+        if words[i] == words[j] or similar(i, j) >= 0.8:
+            root[find(j)] = find(i)
+            if words[i] != words[j]:
+                links[i].add(tuple(words[j]))
+                links[j].add(tuple(words[i]))
+    low = {}
+    for i in range(n):
+        low.setdefault(find(i), i)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(6), pairs_per_bucket=pairs_per_bucket, block=16).collect()}
+    assert [got[i].class_id for i in range(n)] == [low[find(i)] for i in range(n)]
+    assert [got[i].n_links for i in range(n)] == [len(x) for x in links] and sum(map(len, links)) > 200
+
+
+def test_recall_of_given_documents_against_all_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    words, similar = weighted_jaccard([r.text for r in rows])
+    cls = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    pairs = [(i, j) for i in range(0, len(rows), 20) for j in range(len(rows)) if i != j and (words[i] == words[j] or similar(i, j) >= 0.8)]
+    assert all(cls[rows[i].doc_id] == cls[rows[j].doc_id] for i, j in pairs)
+
+
 def test_repeated_substrings(spark, some):
     got = suffix.digest(suffix.repeated_substrings(some)).collect()
     texts = [(r.doc_id, (r.text or "").encode()) for r in some.collect()]
