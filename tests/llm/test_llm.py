@@ -468,3 +468,77 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i in want:
         ids = enc.encode_ordinary(texts[i])
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+
+
+def chunks_of(text):
+    """Chunks of lines by the stated rule."""
+    ls = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
+    mark = [i >= 2 and (h[i - 2] * 31 + h[i - 1]) % 2 == 0 for i in range(len(ls))]
+    starts = [0] + [i for i in range(1, len(ls)) if mark[i] and not mark[i - 1] and i < len(ls) - 1]
+    return [ls[a:b] for a, b in zip(starts, [*starts[1:], len(ls)])]
+
+
+def test_pipeline_of_many_lines_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    line = lambda n=12: " ".join(word() for _ in range(n))
+    text = lambda n: "\n".join(line() for _ in range(n))
+    foot, passage, item = text(2), text(9), line(30)
+    rows = [(i, f"{text(4)}\n{foot}", "h") for i in range(30)]
+    rows += [(30, f"{line()}\n{foot}", "h"), (31, rows[3][1], "h"), (31, text(5), "g"), (None, text(4), "g"), (None, text(3), "g")]
+    rows += [(40, f"{text(3)}\n{passage}\n{text(2)}", "g"), (41, f"{text(4)}\n{passage}\n{text(3)}", "k"), (42, f"{text(3)}\n{line()} {item} {line()}", "k")]
+    near = text(8)
+    rows += [(50, near, "g"), (51, near.replace(near.split()[40], "other"), "k"), (52, None, "k"), (53, "", None), (54, "too few", "k"), (55, "same words again and again and more\n" * 20, "k"), (56, passage, "k"), (57, text(4), None)]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in P.run(spark, str(tmp_path)).collect())
+
+    # quality: here every document has lines of its own, so distinct documents are distinct texts
+    n_docs = Counter((s, x) for s, t in {(s, t) for _, t, s in rows if t} for x in set(t.split("\n")))
+    hosts = Counter(s for s, _ in {(s, t) for _, t, s in rows})
+    kept = []
+    for i, t, s in rows:
+        w = (t or "").split()
+        grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeats = {p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        left = [x for x in (t or "").split("\n") if n_docs[s, x] <= max(20, 0.02 * hosts[s])]
+        n_left = len(" ".join(left).split())
+        if len(w) >= 20 and 100 * len(repeats) <= 30 * len(w) and n_left >= 20 and n_left >= 0.5 * len(w):
+            kept.append((i, "\n".join(left)))
+    # line chunks: the first of (id, place) stays, no id first
+    order = sorted(range(len(kept)), key=lambda r: (kept[r][0] is not None, kept[r][0] or 0))
+    first = {}
+    for r in order:
+        for c in chunks_of(kept[r][1]):
+            first.setdefault("\n".join(c), r)
+    seen, docs_left = set(), []
+    for r in order:
+        out = []
+        for c in chunks_of(kept[r][1]):
+            key = "\n".join(c)
+            if len(c) == 1 or (first[key] == r and (r, key) not in seen):
+                out.append(key)
+            seen.add((r, key))
+        if "".join(out).strip():
+            docs_left.append((kept[r][0], "\n".join(out)))
+    # near duplicates: one of each class of links, the least id, no id last
+    words, similar = weighted_jaccard([t for _, t in docs_left])
+    root = list(range(len(docs_left)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in combinations(range(len(docs_left)), 2):
+        if words[i] == words[j] or similar(i, j) >= 0.8:
+            root[find(j)] = find(i)
+    best = {}
+    for i, (k, t) in enumerate(docs_left):
+        best[find(i)] = min(best.get(find(i), (True, 0, "~")), (k is None, k or 0, t))
+    bad = {i for i, *_ in brute_overlaps(dict(enumerate(t for *_, t in best.values())), {1: item})}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    want = sorted((none, k, len(enc.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for n, (none, k, t) in enumerate(best.values()) if n not in bad)
+    assert got == want and {k for none, k, *_ in got if not none} >= {0, 29, 31, 40, 41, 50} and not {k for _, k, *_ in got} & {30, 42, 51, 52, 54, 55} and sum(none for none, *_ in got) == 2
+    empty = tmp_path / "empty"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
+    assert P.run(spark, str(empty)).count() == 0
