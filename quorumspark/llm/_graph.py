@@ -1,20 +1,23 @@
 """Connected components of an edge table, in DataFrame operations only."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """The folder that the session names in spark.checkpoint.dir; set here only where the session has none (one machine, as in tests)."""
+    """The folder that the session names in spark.checkpoint.dir; one is set here only where the session has none and runs on one machine, as in tests."""
     context = spark.sparkContext._jsc.sc()
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
-            import tempfile
-
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
+    return where or context.getCheckpointDir().get()
 
 
 def shared(df: DataFrame) -> DataFrame:
@@ -23,7 +26,14 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: its lineage is cut, and Catalyst knows its size, by which it broadcasts it to joins or not."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
     Alternates the large-star and small-star steps: each joins an edge table with one minimum a
@@ -37,9 +47,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -50,17 +58,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()).distinct()
 
 
-def small_or_not(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """`df`, checkpointed and counted: marked for broadcast if it has at most `most` rows, else left to a shuffled join. For rows of bounded width."""
-    df = shared(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def small_batches(spark, size: str = "8m", rows: int = 1000) -> None:
     """Bound the Arrow batches that tasks exchange with Python, by bytes and rows, unless the session sets bounds of its own: texts are long, and workers share an executor's memory."""
     for name, value, default in (("maxBytesPerBatch", size, None), ("maxRecordsPerBatch", str(rows), "10000")):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.llm import _arrow as A
-from quorumspark.llm._graph import shared, small_batches, small_or_not
+from quorumspark.llm._graph import shared, small_batches, written
 
 #: The characters that count as symbols.
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -117,11 +117,11 @@ def _named(docs, id_col, text_col, host_col):
 def _boilerplate(rows, lines, min_docs, min_share):
     """(host, h) of the lines that more than max(min_docs, min_share * the host's documents) distinct documents have."""
     many = lines.groupBy("host", "h").agg(F.count_distinct("words").alias("n_texts"), F.min("head").alias("head"), F.min("tail").alias("tail")).where(F.col("n_texts") > min_docs)
-    many = small_or_not(many)
+    many = written(many)
     marked = lines.join(many.select("host", "h", "n_texts"), ["host", "h"], "left")
     like = marked
     for end in ("head", "tail"):
-        like = like.join(small_or_not(many.select("host", end, F.lit(True).alias(f"like_{end}")).distinct()), ["host", end], "left")
+        like = like.join(written(many.select("host", end, F.lit(True).alias(f"like_{end}")).distinct()), ["host", end], "left")
     own = F.col("n_texts").isNull() & F.col("like_head").isNull() & F.col("like_tail").isNull()
     rarest = F.min(F.when(F.col("n_texts").isNotNull(), F.struct("n_texts", "h", "least")))
     names = like.groupBy("host", "u1", "u2").agg(F.coalesce(F.min(F.when(own, F.col("least"))), rarest["least"], F.min("least")).alias("name"))

@@ -51,7 +51,7 @@ def op9_decontaminate(spark, sf_dir):
 def op10_chat(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{probe}'), (-7L, 1L, 'assistant', '{probe}') AS more(conv_id, turn, role, text)")
     return chat.digest(chat.format_chats(turns.union(more)))
 
 

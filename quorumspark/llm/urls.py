@@ -65,11 +65,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame | tuple = RULES, url_col: str
     verdict: the action of the longest rule that fits; else, if the page's component has an explicit
     allow, allow; else block if it has a block; else `default`. propagated: it came from the component.
     A null url, or one without ://, has an empty host and path and no aliases. A null html has no links. Rows that
-    repeat each give a row; empty tables give an empty result.
+    repeat each give a row; empty tables give an empty result; other columns are not looked at. A page's html is searched as one string.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(list(rules), "action string, rule string")
+        rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule")) for action, rule in rules))))
     url = F.col(url_col)
     rows = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), node_of(url)).alias("node"))
     edges = alias_edges(pages, url_col, html_col)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumspark.llm._graph import shared, shared_folder, small_or_not
+from quorumspark.llm._graph import shared, shared_folder, written
 
 CHUNK = 256 << 10
 _CLEAN = {c: f"%{c:02X}" for c in [*range(33), 127]}
@@ -31,7 +31,7 @@ def marked(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> D
     first = ids.groupBy("d", "n").agg(F.max("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     # one row for each page that revisits another
     again = ids.join(first, ["d", "n"]).where(F.col("id").isNull() | (F.col("id") != F.col("first"))).where("first is not null").select(F.col("id").alias("_warc_id"), F.col("d").alias("_warc_d"), F.col("first").alias("_warc_refers")).distinct()
-    again = small_or_not(again)
+    again = written(again)
     return rows.join(again, F.col(id_col).eqNullSafe(F.col("_warc_id")) & (F.col("_warc_sha1") == F.col("_warc_d")), "left").drop("_warc_id", "_warc_d")
 
 

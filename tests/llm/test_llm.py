@@ -352,6 +352,32 @@ def test_chat_round_trip(spark):
     assert got[1].formatted.count("</s>") == 6 and chat.format_chats(turns.limit(0)).count() == 0
 
 
+CLASH = ["host", "path", "rule", "node", "u1", "u2", "id", "gone", "rest", "stream", "is_open", "k", "n", "at", "item", "starts", "chunks", "lines"]
+
+
+def test_extra_columns_whose_names_clash_change_nothing(spark, some):
+    more = lambda df: df.select("*", *(F.lit(1).alias(c) for c in CLASH if c not in df.columns))
+    same = lambda f, df: sorted(map(str, f(df).collect())) == sorted(map(str, f(more(df)).collect()))
+    pages = spark.createDataFrame([(1, "https://a.net/x", "<p>one</p>"), (2, None, None), (2, "https://b.org/y", '<link rel="canonical" href="https://a.net/x"><p>two')], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, None, "")], "conv_id long, turn long, role string, text string")
+    bench = spark.createDataFrame([(1, LONG[:200])], "item_id long, text string")
+    plain = some.select("doc_id", "text", "source")
+    assert same(urls.filter_urls, pages) and same(html.main_text, pages) and same(lambda d: chat.digest(chat.format_chats(d)), turns)
+    assert same(lambda d: warc.digest(warc.read_archives(warc.write_archives(d))), pages)
+    assert same(lambda d: quality.judged(d).drop("boilerplate", "u1", "u2"), plain) and same(lines.repeated_chunks, plain) and same(lambda d: decontaminate.overlaps(d, bench), plain)
+    assert same(lambda d: suffix.digest(suffix.repeated_substrings(d)), plain)
+    for keep in (quality.clean, lines.dedup_lines, minhash.keep_one, lambda d: decontaminate.decontaminate(d, bench)):
+        out = keep(more(plain))
+        assert out.columns == more(plain).columns and sorted(map(str, out.select("doc_id", "text", "source").collect())) == sorted(map(str, keep(plain).collect()))
+
+
+def test_empty_tables_give_empty_results(spark, some):
+    none = some.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert quality.judged(none).count() == quality.clean(none).count() == lines.dedup_lines(none).count() == bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
+    assert urls.filter_urls(pages).count() == html.main_text(pages).count() == 0
+
+
 def test_urls(spark):
     page = lambda link: f'<html><head><link href="{link}" rel="canonical"></head>'
     rows = [(1, "https://a.net/x", None), (2, "https://b.org/y", page("https://A.net/x")), (3, "https://example.net/en/1", page("https://c.org/z")), (4, "https://c.org/z", page("/w")), (5, "https://c.org/w", ""), (6, None, None), (7, "nothing", ""), (8, "http://d.org/q", '<meta http-equiv="Refresh" content="0; url=https://b.org/y">'), (9, "http://e.net", ""), (9, "http://e.net", "")]
