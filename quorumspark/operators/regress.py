@@ -68,7 +68,7 @@ def fixed_effects(rows: DataFrame, y: str, xs: list[str], factors: list[str], cl
     """OLS with absorbed factors: (term, est, se, r2, within_r2, n, n_clusters), clustered standard errors.
 
     The normal equations come from grouped sums whose size is bounded by the numbers of levels (checked: `max_params`), are
-    solved once on the driver, and a second pass sums the scores by cluster. Small-sample factor G / (G - 1) * (n - 1) / (n - K).
+    solved once on the driver, and a second pass sums the scores by cluster in the tasks; the driver gets matrices of max_params squared at most, whatever the number of clusters. Small-sample factor G / (G - 1) * (n - 1) / (n - K).
     """
     ok = rows.select(F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)), *(F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(factors)), F.col(cluster).cast("string").alias("_g")).na.drop()
     levels = [{r[0]: k for k, r in enumerate(ok.groupBy(f"_f{i}").count().orderBy(f"_f{i}").limit(max_params + 1).collect())} for i in range(len(factors))]
@@ -102,21 +102,28 @@ def fixed_effects(rows: DataFrame, y: str, xs: list[str], factors: list[str], cl
     beta = inverse @ b
     rank = int(np.linalg.matrix_rank(a))
 
-    # scores: sums of x * u over each cluster, by term and level
+    # scores: sums of x * u over each cluster, by term and level; their outer products are summed in the tasks, so what comes back is a matrix and not a row a cluster
     effect = lambda i: F.element_at(F.create_map(*(F.lit(z) for v, p in place[i].items() for z in (v, 0.0 if p is None else float(beta[p])))), F.col(f"_f{i}"))
     fit = sum((F.lit(float(beta[i])) * d for i, d in enumerate(dense)), F.lit(0.0)) + sum((effect(i) for i in range(len(factors))), F.lit(0.0))
     res = ok.withColumn("_u", F.col("_y") - fit)
-    scores = {}
-    for r in res.groupBy("_g").agg(*(F.sum(d * F.col("_u")).alias(f"s{i}") for i, d in enumerate(dense))).collect():
-        scores.setdefault(r["_g"], np.zeros(total))[:k] = [r[f"s{i}"] for i in range(k)]
-    for i in range(len(factors)):
-        for r in res.groupBy("_g", f"_f{i}").agg(F.sum("_u").alias("s")).collect():
-            p = place[i][r[f"_f{i}"]]
-            if p is not None:
-                scores[r["_g"]][p] = r["s"]
-    s = np.array(list(scores.values()))
+    at = lambda i: F.element_at(F.create_map(*(F.lit(z) for v, p in place[i].items() for z in (v, -1 if p is None else p))), F.col(f"_f{i}"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("p"), (d * F.col("_u")).alias("s")) for i, d in enumerate(dense)), *(F.struct(at(i).alias("p"), F.col("_u").alias("s")) for i in range(len(factors))))).alias("_x")
+    scores = res.select("_g", each).where("_x.p >= 0").groupBy("_g", "_x.p").agg(F.sum("_x.s").alias("s")).groupBy("_g").agg(F.collect_list(F.struct("p", "s")).alias("scores"))
+
+    def outer(frames):
+        m = np.zeros((total, total))
+        for f in frames:
+            for x in f["scores"]:
+                p, v = np.array([r["p"] for r in x], int), np.array([r["s"] for r in x])
+                m[np.ix_(p, p)] += np.outer(v, v)
+        p, q = np.nonzero(m)
+        yield pd.DataFrame({"p": p.astype(np.int32), "q": q.astype(np.int32), "v": m[p, q]})
+
+    meat = np.zeros((total, total))
+    for r in scores.mapInPandas(outer, "p int, q int, v double").groupBy("p", "q").agg(F.sum("v").alias("v")).collect():
+        meat[r.p, r.q] = r.v
     n, g = own["n"], own["g"]
-    v = inverse @ (s.T @ s) @ inverse * (g / (g - 1)) * ((n - 1) / (n - rank))
+    v = inverse @ meat @ inverse * (g / (g - 1)) * ((n - 1) / (n - rank))
     rss = own["yy"] - b @ beta
     tss = own["yy"] - own["v0"] ** 2 / n
     keep = [i for i in range(total) if not 1 <= i < k]

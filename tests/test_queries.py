@@ -226,6 +226,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, out.select(*sorted(want.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    from quorumspark.streaming import logs
+
+    schema = "k long, seq long, x string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    table = logs.LatestTable(spark, f"{tmp_path}/t", rows().schema, ["k"])
+    assert table.read().count() == 0
+    table.upsert(rows(*((i, 0, "a") for i in range(200))), 0)
+    before = dict(table._versions()[0])
+    table.upsert(rows((7, 5, "b"), (8, -1, "late")), 1)
+    table.upsert(rows((7, 9, "again")), 1)
+    after = table._versions()[0]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and set(before) == set(after)
+    got = {r.k: r.x for r in table.read().collect()}
+    assert len(got) == 200 and got[7] == "b" and got[8] == "a"
+
+
+def test_running_totals_and_windows(spark, tmp_path):
+    from quorumspark.streaming import logs
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    kinds = dict(events.dtypes)
+    rows = events.select("event_type", F.col("value").cast("double").alias("value"), F.timestamp_seconds(F.col("event_id") * 60).alias("ts"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    run(logs.running_totals(stream, ["event_type"], "value"), "totals")
+    want = {r.event_type: (r.n, round(r.total, 6)) for r in logs.running_totals(rows, ["event_type"], "value").collect()}
+    assert {r.event_type: (r.n, round(r.total, 6)) for r in spark.table("totals").collect()} == want and kinds
+    run(logs.windowed(stream, "1 hour", "10 days", ["event_type"]), "hours")
+    assert spark.table("hours").agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_slope_grid(spark):
+    from quorumspark.operators import regress
+
+    fit = spark.createDataFrame([("x", 2.0, 0.1), ("xm", -1.0, 0.2)], "term string, est double, se double")
+    got = {r["at"]: (round(r.slope, 6), round(r.lo, 6), round(r.hi, 6)) for r in regress.slope_grid(fit, "x", "xm", -0.5, 0.5, 0.5).collect()}
+    assert got == {-0.5: (2.5, 2.5, 2.5), 0.0: (2.0, 1.804, 2.196), 0.5: (1.5, 1.108, 1.892)}
+
+
 def test_runs_reader_skips_broken_lines(spark, tmp_path):
     (tmp_path / "runs.jsonl").write_text('{"country": "A", "year": 2000, "indicator": "i", "condition": "c-zeroshot", "model_key": "m-local", "rating": 2}\n\n{broken\n{"country": "A"}\n')
     rows = views.read_runs(spark, str(tmp_path / "runs.jsonl")).collect()
