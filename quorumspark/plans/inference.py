@@ -241,14 +241,32 @@ def _(v):
     return R.ci(d.where("term = 'sm'"), ["term", *MC])
 
 
-@query("e4_slope_modifier")
+def _wls_sql(by: str, src: str, y: str, terms: dict[str, str]) -> list[str]:
+    """Common table expressions that end in wls_ (draw, by, term, x): normal equations in every draw, solved by elimination, one expression a pivot."""
+    names, k = ["intercept", *terms], len(terms) + 1
+    t = ["1.0", *terms.values()]
+    cols = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    value = lambda i, j: f"({t[i]}) * ({y if j == k else t[j]})"
+    out = [f"pre_ AS (SELECT entity, {by}, " + ", ".join(f"sum({value(i, j)})::DOUBLE AS m{i}_{j}" for i, j in cols) + f" FROM {src} WHERE {y} IS NOT NULL AND " + " AND ".join(f"({x}) IS NOT NULL" for x in terms.values()) + " GROUP BY ALL)"]
+    out.append(f"p0_ AS (SELECT draw, {by}, " + ", ".join(f"sum(w * m{i}_{j}) AS m{i}_{j}" for i, j in cols) + " FROM pre_ JOIN w_ USING (entity) GROUP BY ALL)")
+    for p in range(k - 1):  # rows below the pivot; the matrix stays symmetric
+        out.append(f"p{p + 1}_ AS (SELECT draw, {by}, " + ", ".join(f"m{i}_{j} - m{p}_{i} * m{p}_{j} / m{p}_{p} AS m{i}_{j}" if i > p else f"m{i}_{j}" for i, j in cols) + f" FROM p{p}_)")
+    out.append(f"b{k}_ AS (SELECT * FROM p{k - 1}_)")
+    for i in range(k - 1, -1, -1):
+        known = "".join(f" - m{i}_{j} * b{j}" for j in range(i + 1, k))
+        out.append(f"b{i}_ AS (SELECT *, (m{i}_{k}{known}) / m{i}_{i} AS b{i} FROM b{i + 1}_)")
+    out.append(f"wls_ AS (SELECT draw, {by}, unnest([{', '.join(repr(n) for n in names)}]) AS term, unnest([{', '.join(f'b{i}' for i in range(k))}]) AS x FROM b0_)")
+    return out
+
+
+@query("e4_slope_modifier", _ci("model, condition, term", "wls_"), LOO, H, _MOVE, NAMES, WEIGHTS, *_wls_sql("model, condition", "(SELECT * FROM scored JOIN mae USING (entity, year, indicator) JOIN move USING (entity, year))", "abs_dev", {"h": "h", "m": "m", "h_m": "h * m"}))
 def _(v):
     rows = _h(v).join(_move(v), ["entity", "year"])
     d = G.wls_draws(rows, _boot(v), MC, F.col("abs_dev"), {"h": F.col("h"), "m": F.col("m"), "h_m": F.col("h") * F.col("m")})
     return R.ci(d, [*MC, "term"])
 
 
-@query("e5_three_way")
+@query("e5_three_way", _ci("model, term", "wls_"), LOO, H, _MOVE, NAMES, WEIGHTS, *_wls_sql("model", "(SELECT s.*, h, m, covariate AS c FROM scored s JOIN mae USING (entity, year, indicator) JOIN move USING (entity, year) JOIN entity_year USING (entity, year))", "abs_dev", {"h": "h", "m": "m", "c": "c", "hm": "h * m", "hc": "h * c", "mc": "m * c", "hmc": "h * m * c"}))
 def _(v):
     rows = _h(v).join(_move(v), ["entity", "year"]).join(v.entity_year.select("entity", "year", "covariate"), ["entity", "year"])
     h, m, c = F.col("h"), F.col("m"), F.col("covariate")
