@@ -93,6 +93,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.col(cols[docs.columns.index(text_col)]).cast("string")
     rows = rows.withColumn("text", F.when(F.col("gone").isNotNull(), own).otherwise(F.lit("")))
     out = _left(rows, window, divisor, *cols)
+    # through a generator, below which Spark does not push the filter: it would compute the chunks anew in it
+    out = out.select(*cols, F.explode(F.array(F.struct("n_removed", "left", "n_lines"))).alias("x")).select(*cols, "x.*")
     out = out.where((F.col("n_removed") == 0) | F.col("left").rlike(r"\S"))
     text = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(own)
     new = {text_col: text, length_col: F.length(text)}
