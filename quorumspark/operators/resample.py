@@ -113,3 +113,40 @@ def row_boot(rows: DataFrame, draws: int, by: list[str], value: str, keys: list[
     weight = sum((F.col("r") >= s).cast("int") for s in steps[1:]) + (F.col("r") >= steps[0]).cast("int")
     out = each.withColumn("w", weight).groupBy("draw", *by).agg(ratio(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("x"))
     return out.union(rows.groupBy(*by).agg(F.avg(value).alias("x")).select(F.lit(0), *by, "x"))
+
+
+def boot_wasserstein(own: DataFrame, ref: DataFrame, w: DataFrame, by: list[str], step: float, common: list[str] = (), key: str = "entity") -> DataFrame:
+    """(draw, *by, x): Wasserstein-1 distance in every draw between histograms own (key, *by, b, n) and ref (key, *common, b, n), bins of width `step`.
+
+    A group's histograms are a matrix of bins by clusters, the draws one of clusters by draws: their product and running sums are a few arrays of bins by draws a group.
+    """
+    groups = own.select(*by).distinct()
+    at = ref.join(groups, list(common)) if common else ref.crossJoin(groups)
+    both = own.select(*by, key, "b", F.col("n").alias("f"), F.lit(0.0).alias("g")).union(at.select(*by, key, "b", F.lit(0.0), "n"))
+    both = both.groupBy(*by, key, "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+
+    def distances(hist, weights_):
+        import numpy as np
+        import pandas as pd
+
+        if not len(hist):
+            return pd.DataFrame(columns=["draw", *by, "x"])
+        bins, row = np.unique(hist["b"], return_inverse=True)
+        draws, column = np.unique(weights_["draw"], return_inverse=True)
+        names = pd.Index(sorted(set(hist[key]) | set(weights_[key])))
+        m = np.zeros((len(names), len(draws)))
+        m[names.get_indexer(weights_[key]), column] = weights_["w"]
+        cdf = []
+        for c in ("f", "g"):
+            x = np.zeros((len(bins), len(names)))
+            x[row, names.get_indexer(hist[key])] = hist[c]
+            x = np.cumsum(x @ m, axis=0)
+            with np.errstate(invalid="ignore"):
+                cdf.append(x / np.where(x[-1] == 0, np.nan, x[-1]))
+        gap = np.abs(cdf[0] - cdf[1])[:-1] * np.diff(bins)[:, None] * step
+        return pd.DataFrame({"draw": draws, **{c: hist[c].iloc[0] for c in by}, "x": gap.sum(axis=0)})
+
+    types = dict(both.dtypes)
+    each = groups.select(*(F.col(c).alias(f"_{c}") for c in by)).crossJoin(w)
+    out = both.groupBy(*by).cogroup(each.groupBy(*(f"_{c}" for c in by))).applyInPandas(distances, ", ".join(["draw int", *(f"{c} {types[c]}" for c in by), "x double"]))
+    return out.withColumn("x", F.when(~F.isnan("x"), F.col("x")))

@@ -9,7 +9,7 @@ from quorumspark.operators import movement as V
 from quorumspark.operators import panel as P
 from quorumspark.operators import regress as G
 from quorumspark.operators import resample as R
-from quorumspark.plans.inference import _GAIN, _MOVE, H, NAMES, WEIGHTS, _boot, _ci, _h, _mean, _move, _slope, _w1, _w1_by_draw, _W1D
+from quorumspark.plans.inference import _GAIN, _MOVE, H, NAMES, WEIGHTS, _boot, _ci, _h, _mean, _move, _slope, _w1, _W1D
 from quorumspark.plans.leakage import _SAL, FLIPS, REID, TRACK, _coded, _sal, _track
 from quorumspark.plans.panels import LOO
 from quorumspark.plans.registry import query
@@ -80,9 +80,9 @@ def _raced(v):
 @query("d22_horse_race_w1", _ci("sub, cell", "w7_"), LOO, NAMES, WEIGHTS, _EP, _AI, _HORSE)
 def _(v):
     bins = lambda rows, c: rows.withColumn("b", F.greatest(F.lit(1), F.least(F.lit(400), F.rint(F.col(c) / 0.01).cast("int"))))
-    ai = R.resampled(R.sums(bins(_raced(v), "abs_dev"), ["sub", "cell", "b"], n=F.lit(1)), _boot(v), ["sub", "cell", "b"])
-    human = R.resampled(R.sums(bins(P.human_loo(v.ratings).join(_subgroups(v), ["entity", "year"]), "e"), ["sub", "b"], n=F.lit(1)), _boot(v), ["sub", "b"])
-    return R.ci(_w1_by_draw(ai, human, ["sub", "cell"], 0.01, ["sub"]), ["sub", "cell"])
+    ai = R.sums(bins(_raced(v), "abs_dev"), ["sub", "cell", "b"], n=F.lit(1))
+    human = R.sums(bins(P.human_loo(v.ratings).join(_subgroups(v), ["entity", "year"]), "e"), ["sub", "b"], n=F.lit(1))
+    return R.ci(R.boot_wasserstein(ai, human, _boot(v), ["sub", "cell"], 0.01, ["sub"]), ["sub", "cell"])
 
 
 @query("d22_horse_race_shift", _ci("sub, cell", _mean("sub, cell", "(SELECT * FROM ai7_ JOIN subs_ USING (entity, year) WHERE sub NOT IN ('in_ep', 'onset'))", "s")), NAMES, WEIGHTS, _EP, _AI)

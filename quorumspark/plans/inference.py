@@ -132,9 +132,9 @@ w1d AS (SELECT draw, model, sum(d) AS x FROM (SELECT draw, model, abs(sum(f) OVE
 
 
 def _w1(v):
-    ai = R.resampled(M.histogram(v.scored.withColumn("x", F.col("abs_dev") + 1e-9), ["entity", "model"], "x", 0.01), _boot(v), ["model", "b"])
-    human = R.resampled(M.histogram(P.human_loo(v.ratings).withColumn("x", F.col("e") + 1e-9), ["entity"], "x", 0.01), _boot(v), ["b"])
-    return _w1_by_draw(ai, human, ["model"], 0.01)
+    ai = M.histogram(v.scored.withColumn("x", F.col("abs_dev") + 1e-9), ["entity", "model"], "x", 0.01)
+    human = M.histogram(P.human_loo(v.ratings).withColumn("x", F.col("e") + 1e-9), ["entity"], "x", 0.01)
+    return R.boot_wasserstein(ai, human, _boot(v), ["model"], 0.01)
 
 
 @query("d12_w1_ci", _ci("model", "w1d"), LOO, NAMES, WEIGHTS, _W1D)
@@ -142,18 +142,6 @@ def _(v):
     return R.ci(_w1(v), ["model"])
 
 
-def _w1_by_draw(a, b, by, step, common=()):
-    """W1 between histograms a (draw, *by, b, n) and b (draw, *common, b, n)."""
-    from pyspark.sql import Window as W
-
-    groups = F.broadcast(a.select(*by).distinct())  # cells of a study: some dozens
-    b = b.join(groups, list(common)) if common else b.crossJoin(groups)
-    both = a.select("draw", *by, "b", F.col("n").alias("f"), F.lit(0.0).alias("g")).union(b.select("draw", *by, "b", F.lit(0.0), "n")).groupBy("draw", *by, "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
-    w, whole = W.partitionBy("draw", *by).orderBy("b"), W.partitionBy("draw", *by)
-    cdf = lambda c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(c).over(whole)
-    return both.withColumn("d", F.abs(cdf("f") - cdf("g")) * F.coalesce(F.lead("b").over(w) - F.col("b"), F.lit(0)) * step).groupBy("draw", *by).agg(F.sum("d").alias("x"))
-
-
 @query("d13_exaggeration_ci", _ci("model, condition", "(SELECT draw, model, condition, max(CASE WHEN quintile = 5 THEN x END) - max(CASE WHEN quintile = 1 THEN x END) AS x FROM " + _mean("model, condition, quintile", "scored", "signed_dev") + " GROUP BY ALL)"), NAMES, WEIGHTS)
 def _(v):
     d = R.boot_mean(v.scored.where("quintile IN (1, 5)"), _boot(v), [*MC, "quintile"], F.col("signed_dev")).withColumn("top", F.col("quintile") == 5)

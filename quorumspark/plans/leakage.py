@@ -332,7 +332,15 @@ def _with_documents(v):
     return E.available(shelf.select("source", "entity", "year"), plan, v.means.select("indicator").distinct(), ["entity", "year"])
 
 
-@query("j16_few_shot")
+_SHOTS = """av AS (SELECT n_name AS entity, year FROM (SELECT s, doc_id % 25 AS n_nationkey, (1995 + doc_id % 7)::INT AS year FROM documents CROSS JOIN (VALUES ('first'), ('second'), ('third')) s(s) WHERE text IS NOT NULL AND (s = 'first' OR (s = 'second' AND doc_id % 4 <> 1) OR (s = 'third' AND doc_id % 3 = 0))) JOIN nation USING (n_nationkey) GROUP BY ALL HAVING count(DISTINCT s) = 3),
+cand AS (SELECT indicator, level, region, entity, arg_min(year, (dist, year)) AS year, min(dist) AS dist FROM (SELECT m.*, region, round_even(raw_mean, 0)::INT AS level, round(abs(raw_mean - round_even(raw_mean, 0)), 9) AS dist FROM means m SEMI JOIN av USING (entity, year) JOIN (SELECT DISTINCT entity, region FROM orders_) USING (entity)) WHERE level BETWEEN 0 AND 4 GROUP BY ALL),
+pick AS (SELECT indicator, -1 AS level, []::VARCHAR[] AS ue, []::VARCHAR[] AS ur, NULL::STRUCT(o INT, dist DOUBLE, entity VARCHAR, year INT, region VARCHAR) AS c FROM (SELECT DISTINCT indicator FROM cand)
+UNION ALL SELECT indicator, level, CASE WHEN c IS NULL THEN ue ELSE list_append(ue, c.entity) END, CASE WHEN c IS NULL THEN ur ELSE list_append(ur, c.region) END, c FROM (
+  SELECT p.indicator, p.level + 1 AS level, ue, ur, min({'o': CASE WHEN list_contains(ue, entity) THEN 2 WHEN list_contains(ur, region::VARCHAR) THEN 1 ELSE 0 END, 'dist': dist, 'entity': entity, 'year': year, 'region': region::VARCHAR}) FILTER (entity IS NOT NULL) AS c
+  FROM pick p LEFT JOIN cand b ON b.indicator = p.indicator AND b.level = p.level + 1 WHERE p.level < 4 GROUP BY ALL))"""
+
+
+@query("j16_few_shot", "SELECT indicator, level, c.entity AS entity, c.year AS year FROM pick WHERE c IS NOT NULL", _SHOTS)
 def _(v):
     # a cell has its documents if the reports of its entity and year have
     return X.few_shot(v.means, v.orders.select("entity", "region").distinct(), _with_documents(v))

@@ -294,4 +294,4 @@ def text_oracle(query: str, *more: str) -> str:
 
 def oracle(query: str, *more: str) -> str:
     """A DuckDB query over the derived tables."""
-    return "WITH " + ",".join([SQL, *more]) + query
+    return "WITH RECURSIVE " + ",".join([SQL, *more]) + query
