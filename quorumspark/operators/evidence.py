@@ -2,7 +2,7 @@
 
 A shelf is a table (source, *keys, text) with one report a source and key: `first` is numbered (sections 1, 1a, ...), `second` lettered (A..G), and `third`
 stands for section 2c of the first, which only refers to it. A plan is a table (indicator, source, pos, section, part): which sections an indicator
-reads of a source, in order; part names a part of section 6. `indicators` lists all (indicator, source), also those without a section.
+reads of a source, in order; part names a part of section 6. `indicators` lists all (indicator, source), also those without a section. Plans are configuration: Spark decides by their size how they are joined.
 """
 
 from pyspark.sql import DataFrame
@@ -46,11 +46,11 @@ def evidence(shelf: DataFrame, indicators: DataFrame, plan: DataFrame, keys: lis
     body = body.select(*keys, "indicator", "source", "pos", F.coalesce(part, F.col("text")).alias("text"))
     third = shelf.where("source = 'third' AND text <> ''").join(shelf.where("source = 'first'").select(*keys), keys, "left_semi")
     moved = plan.where((F.col("section") == REDIRECT) & (F.col("source") == "first")).select("indicator", "source").distinct()
-    body = body.union(third.select(*keys, "text").crossJoin(F.broadcast(moved)).select(*keys, "indicator", "source", F.lit(1 << 30), "text"))
+    body = body.union(third.select(*keys, "text").crossJoin(moved).select(*keys, "indicator", "source", F.lit(1 << 30), "text"))
     whole = _joined(body, [*keys, "indicator", "source"])
     summary = found.where("section = 'exec_summary'").select("source", *keys, F.col("text").alias("_summary"))
     reports = shelf.where("source <> 'third'").select("source", *keys).join(summary, ["source", *keys], "left")
-    grid = reports.join(F.broadcast(_plans(indicators, plan)), "source")
+    grid = reports.join(_plans(indicators, plan), "source")
     out = grid.join(whole, [*keys, "indicator", "source"], "left")
     text = F.coalesce("evidence", F.when(~F.col("only_redirect"), F.col("_summary")))
     return out.select(*keys, "indicator", "source", text.alias("evidence"), F.coalesce("n_sections", F.lit(0)).alias("n_sections")).where("evidence IS NOT NULL")
@@ -68,7 +68,7 @@ def missing_sections(shelf: DataFrame, plan: DataFrame, keys: list[str]) -> Data
     found = parsed(shelf, keys)
     have = found.where("section <> 'exec_summary'").groupBy("source", *keys).agg(F.array_join(F.sort_array(F.collect_set("section")), ",").alias("available"))
     reports = shelf.where("source <> 'third'").select("source", *keys)
-    wanted = reports.join(F.broadcast(plan.select("source", "indicator", "pos", "section")), "source")
+    wanted = reports.join(plan.select("source", "indicator", "pos", "section"), "source")
     redirected = (F.col("section") == REDIRECT) & (F.col("source") == "first")
     gone = wanted.where(~redirected).join(found.select("source", *keys, "section"), ["source", *keys, "section"], "left_anti")
     third = wanted.where(redirected).join(shelf.where("source = 'third'").select(*keys), keys, "left_anti").withColumn("section", F.lit("third"))
@@ -87,7 +87,7 @@ def section_work(plan: DataFrame, reports: DataFrame, done: DataFrame, keys: lis
     of_first = F.col("source") == "first"
     name = F.when(of_first, cache_name(F.col("section"), F.col("part"))).otherwise(F.col("section"))
     needed = plan.select("source", name.alias("section")).union(plan.select("source", F.lit("exec_summary"))).distinct()
-    return reports.select(*keys).distinct().crossJoin(F.broadcast(needed)).join(done, [*keys, "source", "section"], "left_anti")
+    return reports.select(*keys).distinct().crossJoin(needed).join(done, [*keys, "source", "section"], "left_anti")
 
 
 def assembled(cached: DataFrame, indicators: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def assembled(cached: DataFrame, indicators: DataFrame, plan: DataFrame, keys: l
     body = plan.select("indicator", "source", "pos", name.alias("section")).join(cached, ["source", "section"])
     whole = _joined(body, [*keys, "indicator", "source"])
     summary = cached.where("section = 'exec_summary'").select("source", *keys, F.col("text").alias("_summary"))
-    grid = summary.join(F.broadcast(_plans(indicators, plan)), "source").where(~F.col("only_redirect"))
+    grid = summary.join(_plans(indicators, plan), "source").where(~F.col("only_redirect"))
     each = grid.join(whole, [*keys, "indicator", "source"], "full_outer").select(*keys, "indicator", "source", F.coalesce("evidence", "_summary").alias("text"))
     label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
     each = each.withColumn("text", F.concat(F.lit("*"), F.try_element_at(label, F.col("source")), F.lit("*\n\n"), F.col("text")))
@@ -108,7 +108,7 @@ def available(shelf: DataFrame, plan: DataFrame, indicators: DataFrame, keys: li
     """(*keys, indicator) with all documents: always the second source's, the first's where the plan has a section that is not redirected, the third's where it has one that is."""
     need = indicators.select("indicator").distinct().join(plan.where("source = 'first'").groupBy("indicator").agg(F.max((F.col("section") != REDIRECT).cast("int")).alias("first"), F.max((F.col("section") == REDIRECT).cast("int")).alias("third")), "indicator", "left")
     has = shelf.groupBy(*keys).agg(*(F.max((F.col("source") == s).cast("int")).alias(f"has_{s}") for s in ("first", "second", "third")))
-    rows = has.where("has_second = 1").crossJoin(F.broadcast(need))
+    rows = has.where("has_second = 1").crossJoin(need)
     return rows.where("has_first >= coalesce(first, 0) AND has_third >= coalesce(third, 0)").select(*keys, "indicator")
 
 

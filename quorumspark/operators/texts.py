@@ -131,11 +131,15 @@ def numbered(categories: Column) -> Column:
     return F.array_join(F.transform(categories, lambda c, i: F.concat(F.lit("- **"), i.cast("string"), F.lit("**: "), c)), "\n")
 
 
+#: Fixed format of an example's heading: number, entity and year where they are shown, panel mean.
+HEADING = ("**Example ", " — ", ", ", "** (Panel mean: ", ")\n\n")
+
+
 def few_shot_block(examples: Column, focal: Column, named: Column) -> Column:
     """Examples array<struct<entity, year, raw_mean, text>> without those of the focal entity, numbered; entity and year are in the headings only where `named` holds. None left is an error."""
     kept = F.filter(examples, lambda e: ~e.entity.eqNullSafe(focal))
-    name = lambda e: F.when(named, F.concat(F.lit(" — "), e.entity, F.lit(", "), e.year.cast("string"))).otherwise("")
-    one = lambda e, i: F.concat(F.lit("**Example "), (i + 1).cast("string"), name(e), F.lit("** (Panel mean: "), F.format_string("%.2f", e.raw_mean), F.lit(")\n\n"), e.text)
+    name = lambda e: F.when(named, F.concat(F.lit(HEADING[1]), e.entity, F.lit(HEADING[2]), e.year.cast("string"))).otherwise("")
+    one = lambda e, i: F.concat(F.lit(HEADING[0]), (i + 1).cast("string"), name(e), F.lit(HEADING[3]), F.format_string("%.2f", e.raw_mean), F.lit(HEADING[4]), e.text)
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_join(F.transform(kept, one), RULE)).otherwise(F.raise_error(F.lit("an indicator without examples")))
 
 

@@ -4,6 +4,7 @@ Grain: entity = nation, year = order year, indicator = part brand, coder = suppl
 re-identification logs and releases are hash-made from the panels, so they grow with the tables.
 """
 
+import tempfile
 import uuid
 from functools import cached_property
 
@@ -65,9 +66,11 @@ def write_bundle(tables: dict, folder: str, partition_by: dict | None = None, fo
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or under the warehouse where the session names none."""
+    """A new folder that all executors share: under spark.checkpoint.dir; where the session names none, a temporary one on a single machine and the warehouse on a cluster."""
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
