@@ -28,6 +28,8 @@ from quorumspark.llm import _arrow as A
 from quorumspark.llm._graph import dealt_by, small_batches
 
 K = 32
+#: Bytes of texts that are looked at together: some 80 bytes of memory each.
+PIECE = 1 << 20
 ANCHOR = np.dtype([("h", "<u8"), ("at", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("doc", "<i4")])
 #: size: in the first step 1 for an anchor that its batch has again, 2 for a window of which that is known to the byte; later the bytes of the stretch.
 STRETCH = np.dtype([("h", "<u8"), ("c1", "<u8"), ("u1", "<i8"), ("u2", "<i8"), ("at", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("size", "<i4")])
@@ -86,12 +88,12 @@ def _periodic(x, data, offsets, length):
 
 def _texts(column, length):
     """(row, first byte, bytes, offsets) of slices; a long text comes in pieces that share length - 1 bytes."""
-    for i, j, data, offsets in A.slices(column):
-        if j - i > 1 or len(data) <= 2 * A.SLICE:
+    for i, j, data, offsets in A.slices(column, PIECE):
+        if j - i > 1 or len(data) <= 2 * PIECE:
             yield i, 0, data, offsets
         else:
-            for p in range(0, max(1, len(data) - length + 1), A.SLICE):
-                part = data[p : p + A.SLICE + length - 1]
+            for p in range(0, max(1, len(data) - length + 1), PIECE):
+                part = data[p : p + PIECE + length - 1]
                 yield i, p, part, np.array([0, len(part)])
 
 
@@ -336,7 +338,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     spans: maximal runs of bytes covered by a string of `length` bytes that also starts anywhere else in the
     corpus (the same text and rows that repeat included); kept: the other bytes in order, which need not be
-    valid UTF-8. A text of any length is worked off in pieces of 2 MB (the last step holds it whole). A null text is empty; texts under `length` bytes have no spans; rows with a null or repeated
+    valid UTF-8. A text of any length is worked off in pieces of PIECE bytes (the last step holds it whole). A null text is empty; texts under `length` bytes have no spans; rows with a null or repeated
     id are treated as any others; an empty table gives an empty result. `length` must be more than K.
 
     anchors_per_bucket bounds a task: an anchor takes up to 2 * length bytes. An anchor hash with very many
@@ -350,12 +352,13 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     use = use.select(F.xxhash64("id", "text").alias("u1"), F.xxhash64("text", F.lit(1), "id").alias("u2"), "text", "id")
     n_bytes = use.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(n_bytes / 85 / anchors_per_bucket))
-    repeated = dealt_by(use.mapInArrow(_deal_anchors(length, buckets), "bucket long, anchors binary"), "bucket").applyInArrow(_repeated, "u1 long, u2 long, anchors binary")
+    repeated = dealt_by(use.mapInArrow(A.tidy(_deal_anchors(length, buckets)), "bucket long, anchors binary"), "bucket").applyInArrow(A.tidy_group(lambda key, table: _repeated(table)), "u1 long, u2 long, anchors binary")
     repeated = repeated.groupBy("u1", "u2").agg(F.collect_list("anchors").alias("anchors"))
     once = repeated.join(use.select("u1", "u2", "text", "id"), ["u1", "u2"])
-    stretches = once.select("anchors", "text", "id").mapInArrow(_deal_stretches(length, 16 * buckets), "bucket long, stretches binary, bytes binary, spans binary")
-    spans = dealt_by(stretches, "bucket").applyInArrow(_sorted_bucket(length), "u1 long, u2 long, spans binary").groupBy("u1", "u2").agg(F.collect_list("spans").alias("spans"))
-    out = use.select("u1", "u2", "text", "id").join(spans, ["u1", "u2"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, spans array<struct<start: long, stop: long>>, kept binary")
+    stretches = once.select("anchors", "text", "id").mapInArrow(A.tidy(_deal_stretches(length, 16 * buckets)), "bucket long, stretches binary, bytes binary, spans binary")
+    sort = _sorted_bucket(length)
+    spans = dealt_by(stretches, "bucket").applyInArrow(A.tidy_group(lambda key, table: sort(table)), "u1 long, u2 long, spans binary").groupBy("u1", "u2").agg(F.collect_list("spans").alias("spans"))
+    out = use.select("u1", "u2", "text", "id").join(spans, ["u1", "u2"], "left").select("id", "text", "spans").mapInArrow(A.tidy(_cut), "id long, spans array<struct<start: long, stop: long>>, kept binary")
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.stop - x.start)
     return out.select(F.col("id").alias(id_col), (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), "spans", "kept")
 
