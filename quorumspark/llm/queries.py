@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorumspark.llm import bpe, chat, decontaminate, html, lines, minhash, quality, suffix, urls, warc
+from quorumspark.llm import bpe, chat, curriculum, decontaminate, html, lines, minhash, quality, suffix, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -55,7 +55,11 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.format_chats(turns.union(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat)}
+def op13_curriculum(spark, sf_dir):
+    return curriculum.digest(curriculum.order(curriculum.assign(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat, op13_curriculum)}
 
 _LOWERED = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP5 = r"""
@@ -125,4 +129,23 @@ FROM judged GROUP BY conv_id
 for _c in ("text", "role"):
     _OP10 = _OP10.replace(f"{{escapes_{_c}}}", "(" + " + ".join(f"(length({_c}) - length(replace({_c}, '{x}', ''))) // {len(x)}" for x in ("\\", "<|", "|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\", "|\\", "[\\")) + ")")
 
-SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10}
+_OP13 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', 'mix', doc_id)) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][k % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
+f AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT first(level ORDER BY most / weight, k) AS level FROM f WHERE level * weight <= most),
+t AS (SELECT source, source_size, k, least(most, coalesce((SELECT level FROM l) * weight, most)) AS target FROM w),
+b AS (SELECT d.*, source_size, k, target, floor(target + 1e-6)::BIGINT AS demand, (sum(size) OVER (PARTITION BY k ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, greatest(0, least(demand - pass * source_size - start, size))::BIGINT AS words, (pass * source_size + start) / nullif(target, 0) AS x FROM b CROSS JOIN (VALUES (0), (1)) p(pass)),
+p AS (SELECT *, CASE k % 3 WHEN 0 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x)) WHEN 1 THEN x
+  ELSE CASE WHEN x < 0.3 THEN 0.5 * (4 * x / (0.4 + sqrt(0.16 + 1.6 * x))) ELSE 0.5 + 0.5 * (2 * (x - 0.3) / 0.5 / (0.8 + sqrt(0.64 + 2.4 * (x - 0.3) / 0.5))) END END AS position FROM c WHERE words > 0),
+a AS (SELECT *, sum(words) OVER (ORDER BY position, k, pass, start, doc_id ROWS UNBOUNDED PRECEDING) - words AS place FROM p)
+SELECT b.doc_id, any_value(b.size)::BIGINT AS size, any_value(b.source_size)::BIGINT AS source_size, any_value(b.target) AS target, coalesce(sum(a.words), 0)::BIGINT AS taken,
+       round(min(a.position), 6) AS first_position, min(a.place)::BIGINT AS first_at
+FROM b LEFT JOIN a ON a.doc_id = b.doc_id GROUP BY b.doc_id
+"""
+
+SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10, "op13_curriculum": _OP13}
