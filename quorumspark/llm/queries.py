@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorumspark.llm import bpe, chat, curriculum, decontaminate, html, lines, minhash, quality, suffix, urls, warc
+from quorumspark.llm import bpe, chat, curriculum, decontaminate, html, lines, minhash, quality, suffix, trie, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -55,11 +55,19 @@ def op10_chat(spark, sf_dir):
     return chat.digest(chat.format_chats(turns.union(more)))
 
 
+def op11_trie(spark, sf_dir):
+    turns = trie.ordered(_table(spark, sf_dir, "conversations"))
+    # every conversation takes over the head of the first of its five
+    rows, members = trie.graft(turns, F.expr("conv - conv % 5"), F.crc32(F.col("conv").cast("string")) % 9, 8)
+    nodes = trie.prefix_trie(rows, members)
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 def op13_curriculum(spark, sf_dir):
     return curriculum.digest(curriculum.order(curriculum.assign(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat, op13_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat, op11_trie, op13_curriculum)}
 
 _LOWERED = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP5 = r"""
@@ -129,6 +137,25 @@ FROM judged GROUP BY conv_id
 for _c in ("text", "role"):
     _OP10 = _OP10.replace(f"{{escapes_{_c}}}", "(" + " + ".join(f"(length({_c}) - length(replace({_c}, '{x}', ''))) // {len(x)}" for x in ("\\", "<|", "|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\", "|\\", "[\\")) + ")")
 
+# crc32 bit by bit: the message's bits, lowest first, shift through the register
+_OP11 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id AS c, max(pos) AS n, conv_id::VARCHAR AS s FROM t GROUP BY conv_id),
+h AS (SELECT c, c - c % 5 AS src, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8 * length(s)), lambda x: ((ascii(s[x // 8 + 1]) >> (x % 8)::INT) & 1)::BIGINT)),
+  lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 9 AS h FROM i),
+w AS (SELECT h.*, least(h.h, coalesce(j.n, 0)) AS take FROM h LEFT JOIN i j ON j.c = h.src),
+r AS (SELECT c, pos, role, text FROM w JOIN t ON t.conv_id = src AND pos <= take UNION ALL SELECT c, pos - h + take, role, text FROM w JOIN t ON t.conv_id = c AND pos > h),
+p AS (SELECT c, pos, octet_length(encode(text)) AS bytes, string_agg(md5(role || chr(1) || text), '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM i),
+last AS (SELECT c, max(pos) AS pos FROM p GROUP BY c),
+n AS (SELECT path, min(c) AS conv_id, pos AS depth, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path, pos),
+e AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM p JOIN last USING (c, pos) GROUP BY path),
+k AS (SELECT a.path, count(b.path) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND starts_with(b.path, a.path) GROUP BY a.path),
+u AS (SELECT a.path, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens FROM n a JOIN n b ON starts_with(b.path, a.path) JOIN k ON k.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN k USING (path) JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n m ON n.depth > 0 AND m.path = left(n.path, 32 * (n.depth - 1))
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', 'mix', doc_id)) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
@@ -148,4 +175,4 @@ SELECT b.doc_id, any_value(b.size)::BIGINT AS size, any_value(b.source_size)::BI
 FROM b LEFT JOIN a ON a.doc_id = b.doc_id GROUP BY b.doc_id
 """
 
-SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10, "op13_curriculum": _OP13}
+SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10, "op11_trie": _OP11, "op13_curriculum": _OP13}
