@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorumspark.llm import bpe, chat, curriculum, decontaminate, html, lines, minhash, quality, suffix, trie, urls, warc
+from quorumspark.llm import bpe, chat, curriculum, decontaminate, html, lines, minhash, negatives, quality, suffix, trie, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -63,11 +63,16 @@ def op11_trie(spark, sf_dir):
     return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
 
 
+def op12_negatives(spark, sf_dir):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
 def op13_curriculum(spark, sf_dir):
     return curriculum.digest(curriculum.order(curriculum.assign(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat, op11_trie, op13_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_suffix, op4_bpe, op5_urls, op6_warc, op7_html, op8_lines, op9_decontaminate, op10_chat, op11_trie, op12_negatives, op13_curriculum)}
 
 _LOWERED = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP5 = r"""
@@ -156,6 +161,20 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_con
 FROM n JOIN k USING (path) JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n m ON n.depth > 0 AND m.path = left(n.path, 32 * (n.depth - 1))
 """
 
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', 'mix', doc_id)) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
@@ -175,4 +194,4 @@ SELECT b.doc_id, any_value(b.size)::BIGINT AS size, any_value(b.source_size)::BI
 FROM b LEFT JOIN a ON a.doc_id = b.doc_id GROUP BY b.doc_id
 """
 
-SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10, "op11_trie": _OP11, "op13_curriculum": _OP13}
+SQL = {"op5_urls": _OP5, "op6_warc": _OP6, "op8_lines": _OP8, "op10_chat": _OP10, "op11_trie": _OP11, "op12_negatives": _OP12, "op13_curriculum": _OP13}
