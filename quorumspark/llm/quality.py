@@ -3,10 +3,10 @@
 Normalised lines are hashed; for each host, documents with a line are counted, lines above the host's limit
 count as boilerplate and are removed, and a document of which too little is left is rejected.
 
-Distinct documents: lines of many distinct texts are candidates. A document is named by what is its own, the least hash of the
-8-word windows in lines that are no candidate and resemble none (same first or last words), or else by that of its rarest
-candidate, and documents of one name count once: a text that is copied or lightly edited many times does not make its own
-lines boilerplate, and shared lines do not make their own documents look alike.
+Distinct documents: lines of many distinct texts are candidates; a line is a document's own if it is no candidate and resembles none (same first or last words, or same
+least window). A document whose own lines hold at least OWN of its words is counted by its text, so whatever else it shares, with few or with many, it counts once for itself. A document
+with fewer own words is a copy, exact or lightly edited: it is named by the least hash of the 8-word windows of its own lines, or else by that of its rarest candidate, and documents of
+one name count once. So a text that is copied many times does not make its own lines boilerplate.
 """
 
 import numpy as np
@@ -24,6 +24,8 @@ _NORMAL = np.array([ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 48
 WINDOW = 8
 #: Words at either end that an edited line has in common with its original (half of a shorter line's); lines of fewer than FEW words have none.
 ENDS, FEW = 4, 6
+#: Share of own words from which a document is no copy. A copy that is 0.8 alike in 5-word shingles has changed some 2.4 % of its words.
+OWN = 0.05
 
 
 def _per_text(flags, offsets):
@@ -114,21 +116,43 @@ def _named(docs, id_col, text_col, host_col):
     return F.xxhash64(F.col(id_col), text, host), F.xxhash64(text, host, F.lit(1), F.col(id_col))
 
 
-def _boilerplate(rows, lines, min_docs, min_share):
-    """(host, h) of the lines that more than max(min_docs, min_share * the host's documents) distinct documents have."""
-    many = lines.groupBy("host", "h").agg(F.count_distinct("words").alias("n_texts"), F.min("head").alias("head"), F.min("tail").alias("tail")).where(F.col("n_texts") > min_docs)
+def _counts(rows, lines, min_docs):
+    """(host, h, n_docs, docs): how many distinct documents have a line, for lines of more than `min_docs` distinct texts, and how many the host has."""
+    many = lines.groupBy("host", "h").agg(F.count_distinct("words").alias("n_texts"), *(F.min(c).alias(c) for c in ("head", "tail", "least"))).where(F.col("n_texts") > min_docs)
     many = written(many)
     marked = lines.join(many.select("host", "h", "n_texts"), ["host", "h"], "left")
-    like = marked
-    for end in ("head", "tail"):
-        like = like.join(written(many.select("host", end, F.lit(True).alias(f"like_{end}")).distinct()), ["host", end], "left")
-    own = F.col("n_texts").isNull() & F.col("like_head").isNull() & F.col("like_tail").isNull()
+    like, keys = marked, ("head", "tail", "least")
+    for key in keys:
+        like = like.join(written(many.select("host", key, F.lit(True).alias(f"like_{key}")).distinct()), ["host", key], "left")
+    own = F.col("n_texts").isNull()
+    for key in keys:
+        own = own & F.col(f"like_{key}").isNull()
     rarest = F.min(F.when(F.col("n_texts").isNotNull(), F.struct("n_texts", "h", "least")))
-    names = like.groupBy("host", "u1", "u2").agg(F.coalesce(F.min(F.when(own, F.col("least"))), rarest["least"], F.min("least")).alias("name"))
-    names = shared(names)
+    copied = F.coalesce(F.min(F.when(own, F.col("least"))), rarest["least"], F.min("least"))
+    name = F.when(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) >= OWN * F.sum("n"), F.first("words")).otherwise(copied)
+    names = shared(like.groupBy("host", "u1", "u2").agg(name.alias("name")))
     docs = rows.select("host", "u1", "u2").join(names, ["host", "u1", "u2"], "left").groupBy("host").agg(F.count_distinct(F.coalesce("name", F.lit(0))).alias("docs"))
-    often = marked.where(F.col("n_texts").isNotNull()).join(names, ["host", "u1", "u2"]).groupBy("host", "h").agg(F.count_distinct("name").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return often.join(docs, "host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), min_share * F.col("docs"))).select("host", "h")
+    often = marked.where(F.col("n_texts").isNotNull()).join(names, ["host", "u1", "u2"]).groupBy("host", "h").agg(F.count_distinct("name").alias("n_docs"))
+    return often.join(docs, "host")
+
+
+def _boilerplate(rows, lines, min_docs, min_share):
+    """(host, h) of the lines that more than max(min_docs, min_share * the host's documents) distinct documents have."""
+    return _counts(rows, lines, min_docs).where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), min_share * F.col("docs"))).select("host", "h")
+
+
+def _read(docs, id_col, text_col, host_col):
+    """Figures of each row, written, and its lines by normalised hash."""
+    small_batches(docs.sparkSession)
+    u1, u2 = _named(docs, id_col, text_col, host_col)
+    use = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), u1.alias("u1"), u2.alias("u2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = shared(use.mapInArrow(A.tidy(_figures), _SCHEMA))
+    return rows, rows.select("host", "u1", "u2", "words", F.explode("lines").alias("line")).select("host", "u1", "u2", "words", "line.*")
+
+
+def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20) -> DataFrame:
+    """(host, h, n_docs, docs): for each normalised line (hash h) of more than `min_docs` distinct texts of a host, how many distinct documents have it, and how many the host has; see `judged` for nulls and repeats."""
+    return _counts(*_read(docs, id_col, text_col, host_col), min_docs)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_share: float = 0.02, min_words: int = 20, min_left: float = 0.5, max_repeat: float = 0.3) -> DataFrame:
@@ -139,13 +163,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     `max_repeat` of the words in repeated 8-word windows) or if the document is depleted: fewer than `min_words`
     words, or less than `min_left` of them, outside boilerplate lines. A null text is empty (base fails), a null
     host is a host of its own; rows that repeat, or share an id, are judged each by its own text.
-    Empty tables give an empty result; other columns are not looked at.
+    Empty tables give an empty result; other columns are not looked at. Ids are taken as long. Texts are worked off in slices, so a task's memory follows its longest text (some
+    thirty times its bytes); lines, not texts, are shuffled.
     """
-    small_batches(docs.sparkSession)
-    u1, u2 = _named(docs, id_col, text_col, host_col)
-    use = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), u1.alias("u1"), u2.alias("u2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = shared(use.mapInArrow(A.tidy(_figures), _SCHEMA))
-    lines = rows.select("host", "u1", "u2", "words", F.explode("lines").alias("line")).select("host", "u1", "u2", "words", "line.*")
+    rows, lines = _read(docs, id_col, text_col, host_col)
     often = _boilerplate(rows, lines, min_docs, min_share)
     bad = lines.join(often, ["host", "h"]).select("u1", "u2", "h", "n").distinct().groupBy("u1", "u2").agg(F.sum("n").alias("n_bad"), F.collect_list("h").alias("boilerplate"))
     out = rows.drop("lines", "words", "host").join(bad, ["u1", "u2"], "left")
@@ -187,7 +208,11 @@ def _cleaner(text_col):
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", **limits) -> DataFrame:
-    """The rows of `docs` that are kept, all columns, their texts without boilerplate lines; `length_col`, if there is one, is set to the new length in characters."""
+    """The rows of `docs` that are kept, all columns, their texts without boilerplate lines; `length_col`, if there is one, is set to the new length in characters.
+
+    A null or empty text fails the base rules and goes; a null host is a host of its own; each of several rows that repeat stays or goes as all of them do, and rows that only
+    share an id (or have none) each by their own text. There are no ties to break. An empty table gives an empty table; other columns, of any name, go along unchanged.
+    """
     u1, u2 = _named(docs, id_col, text_col, host_col)
     verdict = judged(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("u1").alias("_quality_1"), F.col("u2").alias("_quality_2"), F.col("boilerplate").alias("_quality_lines")).dropDuplicates(["_quality_1", "_quality_2"])
     rows = docs.withColumn(text_col, F.col(text_col).cast("string")).join(verdict, (u1 == F.col("_quality_1")) & (u2 == F.col("_quality_2"))).select(*docs.columns, "_quality_lines")

@@ -1,6 +1,7 @@
 """The ten operators against brute force, and their edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -219,6 +220,39 @@ def test_documents_of_mostly_boilerplate_are_counted_each(spark):
     assert {(got[1000 + i].n_words_left, got[1000 + i].kept) for i in range(120)} == {(200, True)}
 
 
+def test_each_line_is_counted_by_distinct_documents(spark):
+    """Quotations that 2 to 20 documents share, footers, exact and edited copies: every line's count, by who made the documents."""
+    r = random.Random(6)
+    word = lambda *key: hashlib.md5(repr(key).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:8]
+    some = lambda n, *key: " ".join(word(k, *key) for k in range(n))
+    rows, made = [], []
+    for host in ("a", "b", None):
+        quotes = [q for k in range(2, 21) for q in [some(60, "quote", host, k)] * k]
+        n = len(quotes)
+        r.shuffle(quotes)
+        for i in range(n):
+            lines = [some(12, "own", host, i), quotes[i], some(30, "foot", host)] + [some(9, "side", host, i % 4)] * (i % 4 > 0) + ["12 of 34"] * (i % 2)
+            for copy in range(1 + 3 * (i == 5)):
+                rows.append((len(rows), "\n".join(lines), host))
+                made.append((host or "", i, lines))
+    # one text in 90 edited copies counts as few documents, not as many
+    for i in range(90):
+        copy = [some(40, "copy", k).split() for k in range(8)]
+        copy[i % 8][3 + i // 8] = word("new", i)
+        rows.append((len(rows), "\n".join(map(" ".join, copy)), "c"))
+    have = {}
+    for host, i, lines in made:
+        for line in set(lines):
+            have.setdefault((host, line), set()).add(i)
+    want = sorted((h, len(x)) for (h, _), x in have.items() if len(x) > 20)
+    got = quality.line_counts(docs(spark, rows)).collect()
+    assert sorted((g.host, g.n_docs) for g in got if g.host != "c") == want and {g.docs for g in got if g.host != "c"} == {209}
+    assert all(g.n_docs < 15 for g in got if g.host == "c")
+    # and so the footer goes from every document
+    left = {x.doc_id: x.n_words_left for x in quality.judged(docs(spark, rows)).collect()}
+    assert all(left[k] == sum(len(x.split()) for x in set(lines) if len(have[host, x]) <= 20) for k, (host, _, lines) in enumerate(made))
+
+
 def test_line_chunks(spark):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(30))
     rows = [(1, f"first own\n{passage}\nend one", "a"), (2, f"intro\nsecond\n{passage}", "a"), (3, "alone\nhere", "b"), (4, None, "b"), (5, "\n\n\n", "b")]
