@@ -22,6 +22,8 @@ from quorumspark.llm._order import parts
 LONGEST = 2**56
 #: Levels of one-bit codes, and bits of an anchor's components.
 LEVELS, BITS = 6, 8
+#: Rows of a chunk at least.
+LEAST = 4096
 
 
 def width_of(dim: int) -> int:
@@ -89,7 +91,8 @@ def encoded(vectors: DataFrame, id_col: str, label_col: str, vec_col: str, scale
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL")
     size = rows.agg(F.max(F.size("vec")).alias("dim"), F.count("*").alias("n")).first()
-    dim, chunks = max(1, size.dim or 1), max(parts(vectors), -(-size.n // rows_per_task))
+    # as many chunks as partitions, but none of a few rows only: every chunk answers for every anchor
+    dim, chunks = max(1, size.dim or 1), max(1, -(-size.n // rows_per_task), min(parts(vectors), size.n // LEAST))
     width = width_of(dim)
 
     def run(batches):
