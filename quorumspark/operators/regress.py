@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import six
@@ -57,79 +58,16 @@ def fitted(rows: DataFrame, y: str, x: str) -> DataFrame:
     return out.withColumn("residual", F.col(y) - F.col("fit")).drop("_a", "_b")
 
 
-def group_r2(rows: DataFrame, group: str, y: str) -> DataFrame:
-    """Share of y's variation between the groups: sum n (mean - all)^2 / total."""
-    g = rows.groupBy(group).agg(F.avg(y).alias("m"), F.count(y).alias("n"), F.sum(F.col(y) ** 2).alias("yy"))
-    t = g.agg(F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.sum(F.col("n") * F.col("m") ** 2).alias("mm"))
-    return t.select(F.lit(group).alias("grouping"), six((F.col("mm") - F.col("s") ** 2 / F.col("n")) / (F.col("yy") - F.col("s") ** 2 / F.col("n"))).alias("r2"))
-
-
-def fixed_effects(rows: DataFrame, y: str, xs: list[str], factors: list[str], cluster: str, max_params: int = 2000) -> DataFrame:
-    """OLS with absorbed factors: (term, est, se, r2, within_r2, n, n_clusters), clustered standard errors.
-
-    The normal equations come from grouped sums whose size is bounded by the numbers of levels (checked: `max_params`), are
-    solved once on the driver, and a second pass sums the scores by cluster in the tasks; the driver gets matrices of max_params squared at most, whatever the number of clusters. Small-sample factor G / (G - 1) * (n - 1) / (n - K).
-    """
-    ok = rows.select(F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)), *(F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(factors)), F.col(cluster).cast("string").alias("_g")).na.drop()
-    levels = [{r[0]: k for k, r in enumerate(ok.groupBy(f"_f{i}").count().orderBy(f"_f{i}").limit(max_params + 1).collect())} for i in range(len(factors))]
-    start = np.cumsum([len(xs) + 1] + [len(v) - 1 for v in levels])
-    total = int(start[-1])
-    if total > max_params:
-        raise ValueError(f"{total} parameters; at most {max_params}")
-    place = [{v: (None if k == 0 else int(start[i]) + k - 1) for v, k in d.items()} for i, d in enumerate(levels)]
-    dense = [F.lit(1.0), *(F.col(f"_x{i}") for i in range(len(xs)))]
-    k = len(dense)
-    a, b = np.zeros((total, total)), np.zeros(total)
-    own = ok.agg(*(F.sum(dense[i] * dense[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(d * F.col("_y")).alias(f"v{i}") for i, d in enumerate(dense)), F.sum(F.col("_y") ** 2).alias("yy"), F.count("*").alias("n"), F.count_distinct("_g").alias("g")).first()
-    for i in range(k):
-        b[i] = own[f"v{i}"]
-        for j in range(i, k):
-            a[i, j] = a[j, i] = own[f"m{i}_{j}"]
-    for i in range(len(factors)):
-        for r in ok.groupBy(f"_f{i}").agg(*(F.sum(d).alias(f"s{q}") for q, d in enumerate(dense)), F.sum("_y").alias("sy")).collect():
-            p = place[i][r[f"_f{i}"]]
-            if p is not None:
-                b[p] = r["sy"]
-                a[p, p] = r["s0"]
-                for q in range(k):
-                    a[p, q] = a[q, p] = r[f"s{q}"]
-        for j in range(i):
-            for r in ok.groupBy(f"_f{i}", f"_f{j}").count().collect():
-                p, q = place[i][r[0]], place[j][r[1]]
-                if p is not None and q is not None:
-                    a[p, q] = a[q, p] = r["count"]
-    inverse = np.linalg.pinv(a)
-    beta = inverse @ b
-    rank = int(np.linalg.matrix_rank(a))
-
-    # scores: sums of x * u over each cluster, by term and level; their outer products are summed in the tasks, so what comes back is a matrix and not a row a cluster
-    effect = lambda i: F.element_at(F.create_map(*(F.lit(z) for v, p in place[i].items() for z in (v, 0.0 if p is None else float(beta[p])))), F.col(f"_f{i}"))
-    fit = sum((F.lit(float(beta[i])) * d for i, d in enumerate(dense)), F.lit(0.0)) + sum((effect(i) for i in range(len(factors))), F.lit(0.0))
-    res = ok.withColumn("_u", F.col("_y") - fit)
-    at = lambda i: F.element_at(F.create_map(*(F.lit(z) for v, p in place[i].items() for z in (v, -1 if p is None else p))), F.col(f"_f{i}"))
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("p"), (d * F.col("_u")).alias("s")) for i, d in enumerate(dense)), *(F.struct(at(i).alias("p"), F.col("_u").alias("s")) for i in range(len(factors))))).alias("_x")
-    scores = res.select("_g", each).where("_x.p >= 0").groupBy("_g", "_x.p").agg(F.sum("_x.s").alias("s")).groupBy("_g").agg(F.collect_list(F.struct("p", "s")).alias("scores"))
-
-    def outer(frames):
-        m = np.zeros((total, total))
-        for f in frames:
-            for x in f["scores"]:
-                p, v = np.array([r["p"] for r in x], int), np.array([r["s"] for r in x])
-                m[np.ix_(p, p)] += np.outer(v, v)
-        p, q = np.nonzero(m)
-        yield pd.DataFrame({"p": p.astype(np.int32), "q": q.astype(np.int32), "v": m[p, q]})
-
-    meat = np.zeros((total, total))
-    for r in scores.mapInPandas(outer, "p int, q int, v double").groupBy("p", "q").agg(F.sum("v").alias("v")).collect():
-        meat[r.p, r.q] = r.v
-    n, g = own["n"], own["g"]
-    v = inverse @ meat @ inverse * (g / (g - 1)) * ((n - 1) / (n - rank))
-    rss = own["yy"] - b @ beta
-    tss = own["yy"] - own["v0"] ** 2 / n
-    keep = [i for i in range(total) if not 1 <= i < k]
-    rss_without = own["yy"] - b[keep] @ (np.linalg.pinv(a[np.ix_(keep, keep)]) @ b[keep])
-    out = [(x, float(beta[i + 1]), float(np.sqrt(v[i + 1, i + 1])), float(1 - rss / tss), float(1 - rss / rss_without), int(n), int(g)) for i, x in enumerate(xs)]
-    return rows.sparkSession.createDataFrame(out, "term string, est double, se double, r2 double, within_r2 double, n long, n_clusters long")
+def ranked(groups: DataFrame, by: str, ties: list[str]) -> DataFrame:
+    """`groups` (one row a group) with `rank`: 1 for the largest `by`, null last, ties by the group's keys. A group's rank is counted from ranges of 1/1024 between the ends of `by` and its place in
+    its range, so a range is sorted in a task and never the table."""
+    ends = groups.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+    share = (F.col(by) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    rows = groups.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(F.when(F.col(by).isNotNull(), 1023 - F.floor(F.coalesce(share, F.lit(0.0)) * 1023)), F.lit(1024))).drop("_lo", "_hi")
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    per = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(W.partitionBy("_b").orderBy(F.desc_nulls_last(by), *ties))
+    return rows.join(F.broadcast(per), "_b").withColumn("rank", (F.col("_first") + own).cast("long")).drop("_b", "_first")
 
 
 def slope_grid(fit: DataFrame, x: str, interaction: str, low: float, high: float, step: float) -> DataFrame:

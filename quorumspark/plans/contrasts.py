@@ -161,14 +161,6 @@ def _(v):
     return R.ci(R.boot_slope(v.scored, _boot(v), ["model"], F.when(gap % 5 > 0, F.col("abs_dev")), F.when(gap % 7 > 0, F.col("n_coders"))), ["model"])
 
 
-@query("e13_slope_across_moderator")
-def _(v):
-    centre = v.entity_year.agg(F.avg("covariate").alias("centre"))
-    rows = v.means.join(v.entity_year.select("entity", "year", "covariate"), ["entity", "year"]).crossJoin(F.broadcast(centre)).withColumn("c", F.col("covariate") - F.col("centre")).withColumn("n_c", F.col("n_coders") * F.col("c"))
-    fit = G.fixed_effects(rows, "raw_mean", ["n_coders", "c", "n_c"], ["entity", "indicator", "year"], "entity")
-    return G.slope_grid(fit, "n_coders", "n_c", -0.5, 0.5, 0.01).select("at", *(six(F.col(c)).alias(c) for c in ("slope", "lo", "hi")))
-
-
 # G10-G12: arms of one pool, three outcomes
 ARMS = {"evidence": "codebook", "anon": "anon", "summ": "summ", "summid": "correct"}
 _ARMS = "four_ AS (SELECT entity, year, indicator, model, CASE condition WHEN 'codebook' THEN 'evidence' WHEN 'correct' THEN 'summid' ELSE condition END AS arm, h, abs_dev AS a, signed_dev AS s FROM scored JOIN mae USING (entity, year, indicator)), named_ AS (SELECT w.source AS entity, w.year, w.indicator, w.model, 'corr' AS arm, h, abs(w.rating - raw_mean) AS a, w.rating - raw_mean AS s FROM swaps w JOIN means m ON m.entity = w.source AND m.year = w.year AND m.indicator = w.indicator JOIN mae x ON x.entity = w.source AND x.year = w.year AND x.indicator = w.indicator WHERE arm = 'correct')"

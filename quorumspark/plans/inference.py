@@ -261,28 +261,9 @@ def _(v):
     return R.ci(G.wls_draws(rows, _boot(v), ["model"], F.col("abs_dev"), {"h": h, "m": m, "c": c, "hm": h * m, "hc": h * c, "mc": m * c, "hmc": h * m * c}), ["model", "term"])
 
 
-@query("e8_fixed_effects")
+@query("e11_entity_lines", "SELECT *, row_number() OVER (ORDER BY r2 DESC NULLS LAST, entity) AS rank FROM (SELECT entity, round(regr_slope(raw_mean, n_coders), 6) AS slope, round(regr_r2(raw_mean, n_coders), 6) AS r2, regr_count(raw_mean, n_coders)::BIGINT AS n, round(regr_avgx(raw_mean, n_coders), 6) AS mean_x, round(regr_avgy(raw_mean, n_coders), 6) AS mean_y FROM means GROUP BY entity HAVING regr_count(raw_mean, n_coders) >= 20)")
 def _(v):
-    out = G.fixed_effects(v.means.join(v.entity_year.select("entity", "year", "covariate"), ["entity", "year"]), "raw_mean", ["covariate", "n_coders"], ["entity", "indicator", "year"], "entity")
-    return out.select("term", *(six(F.col(c)).alias(c) for c in ("est", "se", "r2", "within_r2")), "n", "n_clusters")
-
-
-@query("e9_size_levels", "SELECT n_coders, round(avg(raw_mean), 6) AS level, round(avg(raw_mean) - (SELECT avg(raw_mean) FROM means WHERE n_coders = 5), 6) AS against_5, count(*) AS n FROM means WHERE n_coders <= 12 GROUP BY n_coders")
-def _(v):
-    rows = v.means.where("n_coders <= 12").groupBy("n_coders").agg(F.avg("raw_mean").alias("m"), F.count("*").alias("n"))
-    ref = rows.where("n_coders = 5").select(F.col("m").alias("r"))
-    return rows.crossJoin(F.broadcast(ref)).select("n_coders", six(F.col("m")).alias("level"), six(F.col("m") - F.col("r")).alias("against_5"), "n")
-
-
-@query("e10_group_r2", " UNION ALL ".join(f"SELECT '{g}' AS grouping, round((SELECT sum(n * (m - a) ** 2) FROM (SELECT avg(raw_mean) AS m, count(*) AS n, (SELECT avg(raw_mean) FROM means) AS a FROM means GROUP BY {g})) / (SELECT var_pop(raw_mean) * count(*) FROM means), 6) AS r2" for g in ("entity", "indicator", "year")))
-def _(v):
-    a, b, c = (G.group_r2(v.means, g, "raw_mean") for g in ("entity", "indicator", "year"))
-    return a.union(b).union(c)
-
-
-@query("e11_entity_lines", "SELECT entity, round(regr_slope(raw_mean, n_coders), 6) AS slope, round(regr_r2(raw_mean, n_coders), 6) AS r2, regr_count(raw_mean, n_coders)::BIGINT AS n, round(regr_avgx(raw_mean, n_coders), 6) AS mean_x, round(regr_avgy(raw_mean, n_coders), 6) AS mean_y FROM means GROUP BY entity HAVING regr_count(raw_mean, n_coders) >= 20")
-def _(v):
-    return G.by_group(v.means, ["entity"], "raw_mean", "n_coders")
+    return G.ranked(G.by_group(v.means, ["entity"], "raw_mean", "n_coders"), "r2", ["entity"])
 
 
 @query("e12_line", "SELECT round(a, 6) AS intercept, round(b, 6) AS slope, round(sqrt(s2 * (1 / n + mx ** 2 / sxx)), 6) AS se_intercept, round(sqrt(s2 / sxx), 6) AS se_slope, round(r2, 6) AS r2, n::BIGINT AS n FROM (SELECT *, (syy - b ** 2 * sxx) / (n - 2) AS s2 FROM (SELECT regr_slope(raw_mean, year) AS b, regr_intercept(raw_mean, year) AS a, regr_r2(raw_mean, year) AS r2, regr_count(raw_mean, year) AS n, regr_sxx(raw_mean, year) AS sxx, regr_syy(raw_mean, year) AS syy, regr_avgx(raw_mean, year) AS mx FROM means))")
@@ -295,12 +276,6 @@ def _(v):
     return G.fitted(v.means, "raw_mean", "year").select(*CELL, six(F.col("fit")).alias("fit"), six(F.col("residual")).alias("residual"))
 
 
-@query("e14_zones", "SELECT CASE WHEN n_coders < 5 THEN 'thin' WHEN n_coders < 10 THEN 'usual' ELSE 'rich' END AS zone, round(avg(raw_mean), 6) AS mean, count(DISTINCT n_coders) AS sizes, count(*) AS n FROM means GROUP BY zone")
-def _(v):
-    zone = F.when(F.col("n_coders") < 5, "thin").when(F.col("n_coders") < 10, "usual").otherwise("rich")
-    return v.means.groupBy(zone.alias("zone")).agg(six(F.avg("raw_mean")).alias("mean"), F.count_distinct("n_coders").alias("sizes"), F.count("*").alias("n"))
-
-
 # seat swaps
 def _order(rows: str, seed: str, ids: str, draw_seed: str, draws: int, where: str = "true") -> str:
     """Seats in each draw's order (k), as operators.seats orders them."""
