@@ -5,7 +5,6 @@ factors' effects, which follow from counts of pairs of levels. So rounds work on
 and once more to take the effects off, and neither levels nor clusters meet in a task or on the driver.
 """
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,27 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import ratio, six
-from quorumspark.sources.views import scratch
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder: later rounds start from the table, and its size decides how it is joined."""
-    folder = f"{scratch(df.sparkSession)}-{uuid.uuid4().hex[:6]}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+from quorumspark.sources.views import kept
 
 
 def level_components(pairs: DataFrame, a: str, b: str) -> int:
     """Connected components of the graph whose edges are pairs of levels of two factors: smallest labels spread to neighbours and to where labels point, until none falls."""
     node = lambda side, c: F.concat(F.lit(side), F.col(c))
     edges = pairs.select(node("a", a).alias("u"), node("b", b).alias("v")).distinct()
-    edges = _kept(edges.union(edges.select("v", "u")))
-    labels = _kept(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
+    edges = kept(edges.union(edges.select("v", "u")))
+    labels = kept(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
     while True:
         near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
         far = labels.select(F.col("u").alias("l"), F.col("l").alias("ll"))
         new = labels.join(near, "u").join(far, "l").select("u", F.least("l", "m", "ll").alias("n"), "l")
-        new = _kept(new)
+        new = kept(new)
         if not new.where("n <> l").limit(1).count():
             return labels.agg(F.count_distinct("l")).first()[0]
         labels = new.select("u", F.col("n").alias("l"))
@@ -41,8 +33,8 @@ def level_components(pairs: DataFrame, a: str, b: str) -> int:
 
 def _effects(rows: DataFrame, cols: list[str], factors: list[str], tol: float) -> tuple[list[DataFrame], list[DataFrame], dict]:
     """A table (factor, cols) of effects for each factor, the tables of level sums, and those of pairs."""
-    sums = [_kept(rows.groupBy(f).agg(F.count("*").cast("double").alias("_n"), *(F.sum(c).alias(c) for c in cols))) for f in factors]
-    pairs = {(i, j): _kept(rows.groupBy(factors[i], factors[j]).agg(F.count("*").alias("_m"))) for i in range(len(factors)) for j in range(i)}
+    sums = [kept(rows.groupBy(f).agg(F.count("*").cast("double").alias("_n"), *(F.sum(c).alias(c) for c in cols))) for f in factors]
+    pairs = {(i, j): kept(rows.groupBy(factors[i], factors[j]).agg(F.count("*").alias("_m"))) for i in range(len(factors)) for j in range(i)}
     pair = lambda i, j: pairs[max(i, j), min(i, j)]
     scale = rows.agg(*(F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(c) for c in cols)).first() if cols else {}
     found: list = [None] * len(factors)
@@ -68,7 +60,7 @@ def _effects(rows: DataFrame, cols: list[str], factors: list[str], tol: float) -
             new = new.select(f, *(((F.col(c) - off(k)) / F.col("_n")).alias(c) for k, c in enumerate(cols)))
             if found[i] is not None:
                 new = new.join(found[i].select(f, *(F.col(c).alias(f"_b{k}") for k, c in enumerate(cols))), f)
-            found[i] = _kept(new)
+            found[i] = kept(new)
         # the last factor moves after the others; these are looked at when it rests
         if len(factors) == 1 or all(moved(i) <= tol for i in reversed(range(len(factors)))):
             break
@@ -112,7 +104,7 @@ def fit(rows: DataFrame, y: Column, xs: dict[str, Column], factors: list[str] =
     cols = ["_y", *(f"_x{i}" for i in range(len(names)))]
     fs = [f"_f{i}" for i in range(len(factors))]
     ok = rows.select(y.cast("double").alias("_y"), *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(xs.values())), *(F.col(f).cast("string").alias(g) for f, g in zip(factors, fs, strict=True)), F.col(cluster).cast("string").alias("_g") if cluster else F.lit("").alias("_g"))
-    ok = _kept(ok.na.drop())
+    ok = kept(ok.na.drop())
     levels = 0
     if fs:
         effects, sums, pairs = _effects(ok, cols, fs, tol)
@@ -129,7 +121,7 @@ def fit(rows: DataFrame, y: Column, xs: dict[str, Column], factors: list[str] =
         flat = ok.crossJoin(F.broadcast(means)).select("_g", F.col("_y").alias("_raw"), *((F.col(c) - F.col(f"{c}_m")).alias(c) for c in cols))
     else:
         flat = ok.withColumn("_raw", F.col("_y"))
-    flat = _kept(flat)
+    flat = kept(flat)
     k = len(names)
     x = [F.col(f"_x{i}") for i in range(k)]
     m = flat.agg(F.count("*").alias("n"), F.count_distinct("_g").alias("g"), F.sum(F.col("_y") ** 2).alias("yy"), (F.var_pop("_raw") * F.count("_raw")).alias("tss"), *(F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(x[i] * F.col("_y")).alias(f"v{i}") for i in range(k))).first()
@@ -193,7 +185,7 @@ def zones(marginals: DataFrame, cuts: dict[str, tuple]) -> DataFrame:
 
 def nested_r2(rows: DataFrame, y: str, groupings: dict[str, list[str]]) -> DataFrame:
     """(grouping, r2, n_levels): the share of y's variation that each set of absorbed factors explains together; n_levels of single factors only."""
-    ok = _kept(rows.where(F.col(y).isNotNull()))
+    ok = kept(rows.where(F.col(y).isNotNull()))
     every = None
     for name, factors in groupings.items():
         if len(factors) == 1:

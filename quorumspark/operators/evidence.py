@@ -5,7 +5,7 @@ stands for section 2c of the first, which only refers to it. A plan is a table (
 reads of a source, in order; part names a part of section 6. `indicators` lists all (indicator, source), also those without a section. Plans are configuration: Spark decides by their size how they are joined.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.operators.texts import RULE, lettered_blocks, named_part, part_header, sections
@@ -133,3 +133,10 @@ def harmonised(slugs: DataFrame, overrides: DataFrame, names: DataFrame) -> Data
 def across_sources(rows: DataFrame, renamed: DataFrame, slug: str = "slug") -> DataFrame:
     """`rows` with `other_slug`: the slug that the second source has for it, the same one where `renamed` (slug, other_slug) does not name it."""
     return rows.join(renamed, slug, "left").withColumn("other_slug", F.coalesce("other_slug", slug))
+
+
+def training_records(ratings: DataFrame, system: Column, user: Column, rating: Column, text: str, case: list[str]) -> DataFrame:
+    """(*case, messages array<struct<role, content>>): one record for each coder's rating whose cell has a text; the others are skipped. The answer is the rating as a JSON object."""
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    answer = F.concat(F.lit('{"rating": '), rating.cast("string"), F.lit("}"))
+    return ratings.where(F.col(text).isNotNull()).select(*case, F.array(said("system", system), said("user", user), said("assistant", answer)).alias("messages"))

@@ -8,15 +8,20 @@ from quorumspark.functions.core import six, u
 from quorumspark.operators.panel import last_written
 
 
-def derangement(entities: DataFrame) -> DataFrame:
-    """(source, named) from (entity, region): each entity is named after the next of its region in hash order, the last after the first.
+def derangement(entities: DataFrame, attempts: int = 64, seed: str = "pair") -> DataFrame:
+    """(source, named) from distinct (entity, region): within a region entities are named after each other, uniformly over all bijections without a fixed point.
 
-    A bijection without fixed points; only single cycles occur. A region of one entity is an error.
+    Rejection: each attempt is a shuffle by hash, and a region keeps its first attempt that leaves nobody at their own name; of 64 attempts all fail in one of 10^12 regions, which is an error, as is a
+    region of one entity. A region's attempts are shuffled in tasks of their own.
     """
-    w = W.partitionBy("region").orderBy("_h", "entity")
-    rows = entities.withColumn("_h", u("pair", "entity"))
-    nxt = F.coalesce(F.lead("entity").over(w), F.first("entity").over(w))
-    return rows.select(F.col("entity").alias("source"), F.when(F.count("*").over(W.partitionBy("region")) > 1, nxt).otherwise(F.raise_error(F.lit("a region with one entity"))).alias("named"))
+    own = entities.withColumn("_j", F.row_number().over(W.partitionBy("region").orderBy("entity")))
+    tried = own.withColumn("_a", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("_h", u(seed, "_a", "entity"))
+    one = W.partitionBy("region", "_a")
+    tried = tried.withColumn("_k", F.row_number().over(one.orderBy("_h", "entity"))).withColumn("_fixed", F.sum((F.col("_k") == F.col("_j")).cast("int")).over(one))
+    first = tried.groupBy("region").agg(F.min(F.when(F.col("_fixed") == 0, F.col("_a"))).alias("_a"))
+    first = first.withColumn("_a", F.coalesce("_a", F.raise_error(F.lit("a region with one entity, or no attempt without a fixed point")).cast("int")))
+    kept_ = tried.join(first, ["region", "_a"]).select("region", F.col("entity").alias("source"), F.col("_k").alias("_j"))
+    return kept_.join(own.select("region", F.col("entity").alias("named"), "_j"), ["region", "_j"]).select("source", "named")
 
 
 def eligible(entities: DataFrame, *needed: DataFrame, key: str = "entity") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import half_even, ratio, six
+from quorumspark.operators.select import with_quantiles
 
 CELL = ["entity", "year", "indicator"]
 
@@ -97,7 +98,8 @@ def human_mae(ratings: DataFrame, min_coders: int = 2) -> DataFrame:
 
 def rounding_floor(means: DataFrame) -> DataFrame:
     gap = F.abs(half_even(F.col("raw_mean")) - F.col("raw_mean"))
-    return means.groupBy("year").agg(six(F.avg(gap)).alias("mean_floor"), six(F.percentile(gap, 0.5)).alias("median_floor"), F.count("*").alias("n"))
+    per = means.groupBy("year").agg(six(F.avg(gap)).alias("mean_floor"), F.count("*").alias("n"))
+    return with_quantiles(per, means, ["year"], gap, {"median": 0.5}).select("year", "mean_floor", six(F.col("median")).alias("median_floor"), "n")
 
 
 def sesoi(means: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import ratio, six, u
+from quorumspark.sources.views import kept
 
 
 def weights(entities: DataFrame, draws: int, seed: str = "boot", key: str = "entity") -> DataFrame:
@@ -115,27 +116,89 @@ def row_boot(rows: DataFrame, draws: int, by: list[str], value: str, keys: list[
     return out.union(rows.groupBy(*by).agg(F.avg(value).alias("x")).select(F.lit(0), *by, "x"))
 
 
-def boot_wasserstein(own: DataFrame, ref: DataFrame, w: DataFrame, by: list[str], step: float, common: list[str] = (), key: str = "entity") -> DataFrame:
+def count_boot(rows: DataFrame, draws: int, by: list[str], value: Column, seed: str = "count", per_block: int = 2048, per_chunk: int = 100) -> DataFrame:
+    """(draw, *by, n, x): the mean of `value` over n rows drawn with replacement from a group's n, for draws 0 (the rows as they are) to `draws`; nulls are left out.
+
+    The counts of a draw are multinomial, split down a tree: over blocks of values first, then within each block over its distinct values with their numbers of rows, so they sum to n in every draw. Equal
+    values are one leaf. No row meets a draw: a block's task holds its distinct values and gives one sum a draw. Generators are seeded by (seed, group, block, chunk of draws) and not by task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    leaves = kept(rows.select(*by, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_c")))
+    n_blocks = max(1, -(-leaves.count() // per_block))
+    block = F.pmod(F.xxhash64("_v"), F.lit(n_blocks)).cast("int")
+    types = dict(leaves.dtypes)
+    keys = "".join(f"{c} {types[c]}, " for c in by)
+    blocks = leaves.groupBy(*by, block.alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_leaves"), F.sum("_c").alias("_n"))
+    blocks = kept(blocks)
+    chunks = -(-draws // per_chunk)
+    tops = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "_n"))).alias("_blocks")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    tops = tops.withColumn("_seed", F.xxhash64(F.lit(seed), "_k", *by))
+
+    def over_blocks(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                n = np.array([x["_n"] for x in r["_blocks"]])
+                drawn = np.random.Generator(np.random.Philox(key=r["_seed"] % 2**64)).multinomial(n.sum(), n / n.sum(), size=min(per_chunk, draws - per_chunk * r["_k"]))
+                out += [{**{c: r[c] for c in by}, "_b": x["_b"], "_k": r["_k"], "_t": d} for x, d in zip(r["_blocks"], drawn.T, strict=True)]
+            yield pd.DataFrame(out, columns=[*by, "_b", "_k", "_t"])
+
+    given = tops.mapInPandas(over_blocks, f"{keys}_b int, _k int, _t array<long>")
+    names = [f"_g{i}" for i in range(len(by))]
+    same = F.col("_b") == F.col("_gb")
+    for c, g in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    within = given.join(blocks.select(*(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), F.col("_b").alias("_gb"), "_leaves"), same).drop(*names, "_gb").withColumn("_seed", F.xxhash64(F.lit(seed), "_k", "_b", *by))
+
+    def over_values(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                v, c = np.array([x["_v"] for x in r["_leaves"]]), np.array([x["_c"] for x in r["_leaves"]])
+                drawn = np.random.Generator(np.random.Philox(key=r["_seed"] % 2**64)).multinomial(np.asarray(r["_t"]), c / c.sum())
+                out.append({**{x: r[x] for x in by}, "_k": r["_k"], "_n": drawn.sum(axis=1), "_s": drawn @ v})
+            yield pd.DataFrame(out, columns=[*by, "_k", "_n", "_s"])
+
+    sums = within.mapInPandas(over_values, f"{keys}_k int, _n array<long>, _s array<double>")
+    each = sums.select(*by, "_k", F.posexplode(F.arrays_zip("_n", "_s")).alias("_i", "_e")).select(*by, (F.col("_k") * per_chunk + F.col("_i") + 1).alias("draw"), "_e.*")
+    drawn = each.groupBy("draw", *by).agg(F.sum("_n").alias("n"), F.sum("_s").alias("_s"))
+    own = leaves.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    return drawn.union(own.select(F.lit(0), *by, "n", "_s")).select("draw", *by, "n", ratio(F.col("_s"), F.col("n")).alias("x"))
+
+
+def boot_wasserstein(own: DataFrame, ref: DataFrame, w: DataFrame, by: list[str], step: float, common: list[str] = (), key: str = "entity", per_block: int = 256) -> DataFrame:
     """(draw, *by, x): Wasserstein-1 distance in every draw between histograms own (key, *by, b, n) and ref (key, *common, b, n), bins of width `step`.
 
-    A group's histograms are a matrix of bins by clusters, the draws one of clusters by draws: their product and running sums are a few arrays of bins by draws a group.
+    A group's histograms are a matrix of bins by clusters, a block of `per_block` draws one of clusters by draws: each (group, block) is a task's product and running sums, of bins by draws. Groups are known by
+    one row that lists them, so nothing is multiplied out but histograms by blocks and weights by groups.
     """
+    import numpy as np
+    import pandas as pd
+
     groups = own.select(*by).distinct()
-    at = ref.join(groups, list(common)) if common else ref.crossJoin(groups)
+    listed = groups.agg(F.collect_list(F.struct(*by)).alias("_groups"))  # one row
+    spread = lambda df: df.crossJoin(F.broadcast(listed)).withColumn("_to", F.explode("_groups")).select("*", "_to.*").drop("_groups", "_to")
+    at = ref.join(groups, list(common)) if common else spread(ref)
     both = own.select(*by, key, "b", F.col("n").alias("f"), F.lit(0.0).alias("g")).union(at.select(*by, key, "b", F.lit(0.0), "n"))
     both = both.groupBy(*by, key, "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
-
-    def distances(hist, weights_):
-        import numpy as np
-        import pandas as pd
-
-        if not len(hist):
+    last = w.agg(F.floor(F.max("draw") / per_block).alias("_last"))
+    none = F.lit(None)
+    hist = both.crossJoin(F.broadcast(last)).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).select(*by, "_d", key, "b", "f", "g", none.cast("array<int>").alias("_draws"), none.cast("array<double>").alias("_w"))
+    cut = w.groupBy(key, F.floor(F.col("draw") / per_block).alias("_d")).agg(F.collect_list(F.struct("draw", "w")).alias("_e"))
+    lists = spread(cut).select(*by, "_d", key, none.cast("int").alias("b"), none.cast("double").alias("f"), none.cast("double").alias("g"), F.transform("_e", lambda e: e.draw.cast("int")).alias("_draws"), F.transform("_e", lambda e: e.w.cast("double")).alias("_w"))
+
+    def distances(rows):
+        weights_, hist = rows[rows["b"].isna()], rows[~rows["b"].isna()]
+        if not len(hist) or not len(weights_):
             return pd.DataFrame(columns=["draw", *by, "x"])
-        bins, row = np.unique(hist["b"], return_inverse=True)
-        draws, column = np.unique(weights_["draw"], return_inverse=True)
+        bins, row = np.unique(hist["b"].to_numpy(), return_inverse=True)
+        draws = np.unique(np.concatenate(list(weights_["_draws"])))
         names = pd.Index(sorted(set(hist[key]) | set(weights_[key])))
         m = np.zeros((len(names), len(draws)))
-        m[names.get_indexer(weights_[key]), column] = weights_["w"]
+        for name, d, x in zip(weights_[key], weights_["_draws"], weights_["_w"], strict=True):
+            m[names.get_loc(name), np.searchsorted(draws, d)] = x
         cdf = []
         for c in ("f", "g"):
             x = np.zeros((len(bins), len(names)))
@@ -147,6 +210,5 @@ def boot_wasserstein(own: DataFrame, ref: DataFrame, w: DataFrame, by: list[str]
         return pd.DataFrame({"draw": draws, **{c: hist[c].iloc[0] for c in by}, "x": gap.sum(axis=0)})
 
     types = dict(both.dtypes)
-    each = groups.select(*(F.col(c).alias(f"_{c}") for c in by)).crossJoin(w)
-    out = both.groupBy(*by).cogroup(each.groupBy(*(f"_{c}" for c in by))).applyInPandas(distances, ", ".join(["draw int", *(f"{c} {types[c]}" for c in by), "x double"]))
+    out = hist.union(lists).groupBy(*by, "_d").applyInPandas(distances, ", ".join(["draw int", *(f"{c} {types[c]}" for c in by), "x double"]))
     return out.withColumn("x", F.when(~F.isnan("x"), F.col("x")))

@@ -5,6 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import u
+from quorumspark.operators.select import mark_smallest
+from quorumspark.sources.views import kept
 
 
 def stripped(c: Column) -> Column:
@@ -237,11 +239,20 @@ def budgets(pool: DataFrame, stratum: str, total: int) -> DataFrame:
 
 
 def stratified(pool: DataFrame, budget: DataFrame, stratum: str, level: str, keys: list[str], floor: int = 1, seed: str = "sample") -> DataFrame:
-    """`budget` rows of each stratum in hash order, `floor` of each level first."""
-    h = u(seed, *keys)
-    rows = pool.withColumn("_h", h).withColumn("_k", F.row_number().over(W.partitionBy(stratum, level).orderBy("_h", *keys)))
-    rows = rows.withColumn("_first", (F.col("_k") > floor).cast("int")).withColumn("_r", F.row_number().over(W.partitionBy(stratum).orderBy("_first", "_h", *keys)))
-    return rows.join(budget.select(stratum, "budget"), stratum).where(F.col("_r") <= F.col("budget")).drop("_h", "_k", "_first", "_r", "budget")
+    """`budget` rows of each stratum in hash order, `floor` of each level first; by counts of hash ranges, so no stratum is sorted."""
+    cols = pool.columns
+    rows = mark_smallest(kept(pool.withColumn("_h", u(seed, *keys))), [stratum, level], floor, "_h", keys, "_first")
+    rows = kept(rows)
+    firsts = rows.where("_first").groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_f"))
+    room = budget.select(F.col(stratum).alias("_b"), "budget").join(firsts, F.col("_b").eqNullSafe(F.col("_s")), "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
+    room = kept(room.select(F.col("_b").alias(stratum), F.least("budget", "_f").alias("_k1"), F.greatest(F.col("budget") - F.col("_f"), F.lit(0)).alias("_k2")))
+    take = lambda some, k: mark_smallest(some, [stratum], room.select(stratum, F.col(k).alias("k")), "_h", keys, "_in").where("_in").select(*cols)
+    return take(rows.where("_first"), "_k1").union(take(rows.where("NOT _first"), "_k2"))
+
+
+def random_rows(rows: DataFrame, n: int, keys: list[str], seed: str) -> DataFrame:
+    """The n rows whose hash of `keys` is smallest."""
+    return mark_smallest(rows.withColumn("_h", u(seed, *keys)), [], n, "_h", keys, "_in").where("_in").select(*rows.columns)
 
 
 def over_length(variants: list[DataFrame], keys: list[str], text: str, limits: list[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quorumspark.functions.core import six
 from quorumspark.operators.panel import common_scope
+from quorumspark.operators.select import with_quantiles
 
 BANDS = ((3, "1-3"), (4, "4"), (7, "5-7"), (10**9, "8+"))
 
@@ -34,7 +35,8 @@ def turnover(ratings: DataFrame, since: int) -> DataFrame:
 
 def shortfall(counts: DataFrame, by: list[str], n: str = "n_coders") -> DataFrame:
     c = F.col(n)
-    return counts.groupBy(*by).agg(F.count("*").alias("cells"), F.round(F.avg(c), 3).alias("mean"), F.round(F.percentile(c, 0.5), 3).alias("median"), F.round(F.avg((c <= 3).cast("int")), 3).alias("le_3"), F.round(F.avg((c < 5).cast("int")), 3).alias("lt_5"))
+    per = counts.groupBy(*by).agg(F.count("*").alias("cells"), F.round(F.avg(c), 3).alias("mean"), F.round(F.avg((c <= 3).cast("int")), 3).alias("le_3"), F.round(F.avg((c < 5).cast("int")), 3).alias("lt_5"))
+    return with_quantiles(per, counts, by, c, {"_m": 0.5}).select(*by, "cells", "mean", F.round("_m", 3).alias("median"), "le_3", "lt_5")
 
 
 def leading_edge(releases: DataFrame, min_fill: float = 0.5) -> DataFrame:
@@ -83,8 +85,10 @@ def first_and_now(filled: DataFrame, value: str = "lt_5") -> DataFrame:
 
 def sd_by_size(releases: DataFrame) -> DataFrame:
     """Posterior SD by size band: median, quartiles, and the interval of the median, 1.253 sd / sqrt(n)."""
-    out = releases.where("posterior_sd IS NOT NULL").groupBy(band(F.col("n_coders")).alias("band")).agg(F.percentile("posterior_sd", [0.25, 0.5, 0.75]).alias("q"), F.stddev_samp("posterior_sd").alias("s"), F.count("*").alias("n"))
-    return out.select("band", *(six(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "n", six(1.253 * F.col("s") / F.sqrt("n")).alias("se_median"))
+    rows = releases.where("posterior_sd IS NOT NULL").withColumn("band", band(F.col("n_coders")))
+    out = rows.groupBy("band").agg(F.stddev_samp("posterior_sd").alias("s"), F.count("*").alias("n"))
+    out = with_quantiles(out, rows, ["band"], F.col("posterior_sd"), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return out.select("band", *(six(F.col(c)).alias(c) for c in ("q1", "median", "q3")), "n", six(1.253 * F.col("s") / F.sqrt("n")).alias("se_median"))
 
 
 def reach(releases: DataFrame) -> DataFrame:

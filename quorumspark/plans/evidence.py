@@ -212,6 +212,17 @@ def _records(v):
     return rows.select("doc_id", "indicator", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("coder")).join(_assembled(v), ["doc_id", "indicator"], "left")
 
 
+_ASK = "Rate the text from 0 to 4."
+_RATED = f"({_u('coder_rating', 'doc_id', 'indicator', 'coder')} % 5)"
+
+
+@texts("j13_rating_records", f"SELECT doc_id, indicator, coder, 3::BIGINT AS n_messages, 'system>user>assistant' AS roles, md5('{_ASK}' || chr(10) || text) AS asked, '{{\"rating\": ' || {_RATED}::VARCHAR || '}}' AS answer FROM records_ WHERE text IS NOT NULL", CACHED, _RECORDS)
+def _(v):
+    records = E.training_records(_records(v), F.lit("You rate texts."), F.concat(F.lit(_ASK + "\n"), F.col("text")), u("coder_rating", "doc_id", "indicator", "coder") % 5, "text", ["doc_id", "indicator", "coder"])
+    m = lambda i: F.col("messages")[i]["content"]
+    return records.select("doc_id", "indicator", "coder", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda x: x.role), ">").alias("roles"), F.md5(m(1)).alias("asked"), m(2).alias("answer"))
+
+
 @texts("j14_training_cells", "SELECT indicator, count(*) FILTER (text IS NOT NULL) AS written, count(*) FILTER (text IS NULL) AS skipped, count(DISTINCT doc_id) FILTER (text IS NOT NULL) AS cells FROM records_ GROUP BY indicator", CACHED, _RECORDS)
 def _(v):
     has = F.col("text").isNotNull()

@@ -104,6 +104,11 @@ def _(v):
     return R.ci(R.row_boot(rows, B, ["year"], "g", ["entity", "year", "indicator"]), ["year"])
 
 
+@query("d8_multinomial_boot")
+def _(v):
+    return R.ci(R.count_boot(v.means, B, ["year"], F.abs(half_even(F.col("raw_mean")) - F.col("raw_mean"))), ["year"])
+
+
 @query("d9_pool_boot", _ci("model", _mean("model", "(SELECT * FROM scored WHERE (entity, year, indicator) IN (SELECT entity, year, indicator FROM means WHERE n_coders >= 8))", "((rating = round_even(raw_mean, 0))::INT)")), NAMES, WEIGHTS)
 def _(v):
     pool = v.scored.join(v.means.where("n_coders >= 8").select(*CELL), CELL, "left_semi")

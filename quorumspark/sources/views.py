@@ -74,6 +74,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to a new shared folder: what follows starts from the table, whose size decides how it is joined."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class Views:
     """The derived tables over a folder of Parquet files; nothing runs before it is used."""
 
@@ -142,7 +149,7 @@ class Views:
 
     @cached_property
     def pairs(self):
-        """(source, named): entities of a region in hash order, each named after the next (the last after the first)."""
+        """(source, named): entities named after each other within their region, nobody after themselves."""
         from quorumspark.operators.identity import derangement
 
         return derangement(self.orders.select("entity", "region").distinct())
@@ -238,8 +245,9 @@ runs AS (SELECT model, condition, entity, year, indicator, (CASE WHEN h % 3 = 0
 scored AS (SELECT r.*, raw_mean, n_coders, quintile, regime, rating - raw_mean AS signed_dev, abs(rating - raw_mean) AS abs_dev FROM runs r JOIN means USING (entity, year, indicator)),
 ord_ AS (SELECT entity, year, indicator, greatest(0, least(4, floor(raw_mean + 0.5) + CASE h % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END))::INT AS ord FROM (SELECT *, {_u('ord', 'entity', 'year', 'indicator')} AS h FROM means)),
 dists AS (SELECT entity, year, indicator, rating, CASE WHEN {_u('nodist', 'entity', 'year', 'indicator')} % 9 > 0 THEN list_transform(w, lambda x: x / list_sum(w)) END AS dist FROM (SELECT *, [{', '.join(f"(1 + {_u(f'dist{i}', 'entity', 'year', 'indicator')} % 9)::DOUBLE" for i in range(5))}] AS w FROM runs WHERE model = 'base' AND condition = 'codebook')),
-order_ AS (SELECT entity, region, row_number() OVER (PARTITION BY region ORDER BY {_u('pair', 'entity')}, entity) AS k, count(*) OVER (PARTITION BY region) AS n FROM (SELECT DISTINCT entity, region FROM orders_)),
-pairs AS (SELECT a.entity AS source, b.entity AS named FROM order_ a JOIN order_ b ON a.region = b.region AND b.k = a.k % a.n + 1),
+order_ AS (SELECT entity, region, row_number() OVER (PARTITION BY region ORDER BY entity) AS j FROM (SELECT DISTINCT entity, region FROM orders_)),
+tried_ AS (SELECT *, sum((k = j)::INT) OVER (PARTITION BY region, a) AS fixed FROM (SELECT *, row_number() OVER (PARTITION BY region, a ORDER BY {_u('pair', 'a', 'entity')}, entity) AS k FROM order_ CROSS JOIN range(1, 65) t(a))),
+pairs AS (SELECT t.entity AS source, o.entity AS named FROM tried_ t JOIN order_ o ON o.region = t.region AND o.j = t.k WHERE t.a = (SELECT min(a) FROM tried_ f WHERE f.region = t.region AND f.fixed = 0)),
 swaps AS (SELECT model, source, named, year, indicator, arm, (CASE WHEN h % 3 = 0 THEN h // 3 % 5 ELSE floor(raw_mean + 0.5) END)::INT AS rating FROM (
   SELECT *, {_u('swap', 'model', 'source', 'named', 'year', 'indicator')} AS h FROM (SELECT entity AS source, year, indicator, raw_mean FROM means)
   JOIN (SELECT source, named, 'swapped' AS arm FROM pairs UNION ALL SELECT source, source, 'correct' FROM pairs) USING (source) CROSS JOIN (SELECT DISTINCT model FROM grid_))),
