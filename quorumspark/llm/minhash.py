@@ -425,16 +425,27 @@ def _classes(use, k=5, threshold=0.8, bands=32, rows=6, pairs_per_bucket=12_000_
     return keys.join(found, ["k1", "k2"]).select("id", "own", "class_id", "rep_id", "n_copies", "n_links")
 
 
+def _names(text, own):
+    """Two 64-bit names of a row by its text and id."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(3), whole, own.isNull(), own), F.xxhash64(own, own.isNull(), whole, F.lit(4))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of `docs` of each near-duplicate group, all columns kept: the one with the least id, a null id last.
 
-    Rows are told apart by a hash of id and text: different texts may share an id or have none. Of rows that repeat, one stays.
+    Rows are told apart by id and text: different texts may share an id or have none. Of rows that repeat, one stays. A row is named by a 64-bit hash;
+    rows of different second hashes that share a name are found first (some three pairs in 10^10 rows) and go by their second one. Null and wordless texts are copies of each
+    other; an empty table gives an empty table; columns of any other name go along.
     """
-    text = F.col(text_col).cast("string")
-    name = F.xxhash64(F.lit(3), F.coalesce(text, F.lit("")), F.col(id_col).isNull(), F.col(id_col))
-    rows = shared(_classes(docs.select(name.alias("id"), F.col(id_col).cast("long").alias("own"), text.alias("text")), **options).select("id", "own", "class_id"))
+    text, own = F.col(text_col).cast("string"), F.col(id_col)
+    one, two = _names(text, own)
+    both = docs.select(one.alias("a"), two.alias("b")).groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    clash = [r.a for r in both.where("lo <> hi").select("a").collect()]
+    name = F.when(one.isin(clash), two).otherwise(one) if clash else one
+    rows = shared(_classes(docs.select(name.alias("id"), own.cast("long").alias("own"), text.alias("text")), **options).select("id", "own", "class_id"))
     first = rows.groupBy("class_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "id"))["id"].alias("id"))
-    kept = rows.join(first, "id", "left_semi").groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_repeats"))
-    found = docs.join(kept, name == F.col("_kept"))
-    again = found.where("_repeats > 1").dropDuplicates(["_kept"])
-    return found.where("_repeats = 1").union(again).select(*docs.columns)
+    kept = rows.join(first, "id", "left_semi").groupBy(F.col("id").alias("_minhash_name")).agg(F.count("*").alias("_minhash_repeats"))
+    found = docs.join(kept, name == F.col("_minhash_name"))
+    again = found.where("_minhash_repeats > 1").dropDuplicates(["_minhash_name"])
+    return found.where("_minhash_repeats = 1").union(again).select(*docs.columns)

@@ -284,6 +284,13 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
     assert sum(i is None and "eword50" in t for i, t in got) == 1 and minhash.keep_one(d.limit(0)).count() == 0
 
 
+def test_rows_whose_names_collide_are_kept_apart(spark, monkeypatch):
+    whole = minhash._names
+    rows = docs(spark, [(i, " ".join(f"t{i}w{k}" for k in range(30)), "s") for i in range(20)] + [(30, LONG, "s"), (31, LONG, "s"), (31, LONG, "s")]).withColumn("_kept", F.lit(1))
+    monkeypatch.setattr(minhash, "_names", lambda text, own: (F.pmod(whole(text, own)[0], F.lit(3)), whole(text, own)[1]))
+    assert sorted(r.doc_id for r in minhash.keep_one(rows).collect()) == [*range(20), 30]
+
+
 def test_decontamination(spark):
     item = " ".join(f"Bench{i}," for i in range(30))
     changed = item.replace("Bench10,", "zzz").replace("Bench20,", "yyy")
@@ -453,6 +460,21 @@ def test_main_text(spark):
     assert got[4] == "" and got[5] == "plain <text>" and got[6] == "m"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><h2 id="search">Search algorithms</h2><p>Binary search halves.</p></article>', "Search algorithms\nBinary search halves."),
+    ('<article><div class="side-by-side"><p>Body text A</p></div></article>', "Body text A"),
+    ('<article><section id="related"><p>Earlier work by <a href="x">Ng</a> found the same in all of its trials.</p></section></article>', "Earlier work by Ng found the same in all of its trials."),
+    ('<article><p>b</p><section id="related"><ul><li><a href="1">One more story</a></li><li><a href="2">Another</a></li></ul></section></article>', "b"),
+    ('<article>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</article>', "Let x=1 be."),
+    ('<article><p id="comments">A paragraph.</p><h3 class="comment">Head</h3><p class="ad">buy</p></article>', "A paragraph.\nHead"),
+    ('<article><p>t</p><div class="search-box"><input name="q"> find</div><div class="comment-list"><p>me too</p></div><div class="cookieNotice">ok?</div></article>', "t"),
+    ('<article class="post comments-open"><p>kept</p><div class="ad-slot-2">ad</div><div class="site-footer">f</div><div id="discussion"><p>We discuss at length.</p></div></article>', "kept\nWe discuss at length."),
+    ('<article><div class="admonition">A note.</div><div class="headerless shared">Also text.</div></article>', "A note.\nAlso text."),
+])
+def test_names_of_prose_do_not_cost_text(page, want):
+    assert "\n".join(html.blocks_of(page)[0]) == want
+
+
 def test_repeated_substrings_of_a_host_against_brute_force(spark):
     rng = np.random.default_rng(3)
     foot = [" ".join(f"foot{k}x{i}" for i in range(12)) for k in range(3)]
