@@ -1,69 +1,8 @@
-"""Append-only logs as streams: last copy wins, running totals, resumable work lists.
+"""Running totals and windows of append-only logs: the same on a stream as on a table."""
 
-A stream of log files gives, after any number of batches, what the batch operators give on the whole log. State is the
-table of latest rows; a late copy wins if its sequence number is larger, without a time bound, so the table grows with the number of keys.
-"""
-
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumspark.operators.panel import last_written
-
-
-class LatestTable:
-    """A Parquet table of the last-written row a key, dealt by a hash of the key into `buckets`.
-
-    A batch rewrites only the buckets that its keys fall into, as a new version; a line of the version log names the version and its buckets, and a version is
-    complete when that line is there. Readers take each bucket from its newest version.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema, keys: list[str], seq: str = "seq", buckets: int = 64):
-        self.spark, self.folder, self.schema, self.keys, self.seq, self.buckets = spark, folder, schema, keys, seq, buckets
-
-    def _versions(self):
-        """{bucket: folder of its newest version}, and the last batch; the log has a short line a batch."""
-        log = "batch long, version string, buckets array<int>"
-        try:
-            marks = self.spark.read.schema(log).json(f"{self.folder}/versions").orderBy("batch").collect()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            marks = []
-        return {b: f"{m.version}/bucket={b}" for m in marks for b in m.buckets}, marks[-1].batch if marks else -1
-
-    def _of(self, folders) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def read(self) -> DataFrame:
-        return self._of(list(self._versions()[0].values()))
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: a batch that is delivered again changes nothing."""
-        newest, last = self._versions()
-        if last >= batch_id:
-            return
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
-        if not touched:
-            return
-        version = f"{self.folder}/data-{batch_id}-{uuid.uuid4().hex}"
-        cols = [f.name for f in self.schema.fields]
-        old = self._of([newest[b] for b in touched if b in newest])
-        rows = last_written(old.select(*cols).union(batch.select(*cols)), self.keys, self.seq).select(*cols).withColumn("bucket", bucket)
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(version)
-        self.spark.createDataFrame([(batch_id, version, touched)], "batch long, version string, buckets array<int>").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
-
-
-def follow(spark: SparkSession, path: str, schema, table: LatestTable, checkpoint: str, files_per_batch: int = 1):
-    """Run the stream over the files that are there, and stop."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    q = stream.writeStream.foreachBatch(table.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return table.read()
-
 
 def running_totals(scored: DataFrame, by: list[str], value: str = "abs_dev") -> DataFrame:
     """Sum, count and mean a group: the same on a stream (complete mode) as on a table."""

@@ -214,35 +214,6 @@ def test_held_out_groups_never_train(spark):
     assert got.groupBy("g").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from quorumspark.streaming import logs
-
-    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "event_id", "value")
-    for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    table = logs.LatestTable(spark, f"{tmp_path}/t", events.schema, ["user_id", "event_type"], "event_id")
-    out = logs.follow(spark, f"{tmp_path}/in", events.schema, table, f"{tmp_path}/c")
-    want = panel.last_written(events, ["user_id", "event_type"], "event_id")
-    assert sorted(map(str, out.select(*sorted(want.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
-
-
-def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
-    from quorumspark.streaming import logs
-
-    schema = "k long, seq long, x string"
-    rows = lambda *r: spark.createDataFrame(list(r), schema)
-    table = logs.LatestTable(spark, f"{tmp_path}/t", rows().schema, ["k"])
-    assert table.read().count() == 0
-    table.upsert(rows(*((i, 0, "a") for i in range(200))), 0)
-    before = dict(table._versions()[0])
-    table.upsert(rows((7, 5, "b"), (8, -1, "late")), 1)
-    table.upsert(rows((7, 9, "again")), 1)
-    after = table._versions()[0]
-    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and set(before) == set(after)
-    got = {r.k: r.x for r in table.read().collect()}
-    assert len(got) == 200 and got[7] == "b" and got[8] == "a"
-
-
 def test_running_totals_and_windows(spark, tmp_path):
     from quorumspark.streaming import logs
 
