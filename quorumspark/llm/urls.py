@@ -8,7 +8,7 @@ member of the component is allowed by a rule: an explicit allow takes precedence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumspark.llm._graph import components
+from quorumspark.llm._graph import components, written
 
 #: The rules of the query's contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -72,7 +72,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | tuple = RULES, url_col: str
         rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule")) for action, rule in rules))))
     url = F.col(url_col)
     rows = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), node_of(url)).alias("node"))
-    edges = alias_edges(pages, url_col, html_col)
+    # the html is searched once
+    edges = written(alias_edges(pages, url_col, html_col))
     members = components(edges)
     named = edges.select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
     decided = named.join(ruled(named, rules), ["host", "path"]).join(members, "node")

@@ -427,6 +427,55 @@ def test_urls(spark):
     assert got[3].rule == "example.net/en/" and got[8].propagated and got[9].rule is None and got[6].host == ""
 
 
+def test_decisions_reach_all_aliases_of_generated_pages(spark):
+    """Chains, cycles, a hub and conflicts of allow and block over 500 pages, against a plain closure."""
+    r = random.Random(9)
+    hosts = ["a.net", "b.org", "Example.NET", "c.example.net", "example.com", "d.io", "e.io"]
+    paths = ["/", "/en/", "/de/", "/fr/", "/x/y", ""]
+    node = lambda u: re.sub("^.*?://", "", u).split("#")[0] if not (m := re.match("^.*?://([^/?#]*)(.*)$", u)) else m[1].lower() + m[2].split("#")[0]
+    url = [f"http{'s' * (i % 2)}://{r.choice(hosts)}{r.choice(paths)}{'?p=' if r.random() < 0.5 else '/n'}{i}{'#f' * (i % 7 == 0)}" for i in range(500)]
+    rows, edges = [], []
+    for i, u in enumerate(url):
+        to = url[i - 1] if i < 60 and i % 20 else url[10 * (i // 10)] if i < 200 else url[250] if i < 330 else r.choice(url) if i < 420 else None
+        html_ = f"<html><body>page {i}"
+        if to:
+            site, form = re.match("^(.*?)://([^/?#]*)", to), i % 4
+            own = re.match("^(.*?)://([^/?#]*)", u)
+            link = to.replace("&", "&amp;")
+            if form == 1:
+                link, to = f"//{site[2]}{to[site.end():]}", f"{own[1]}://{site[2]}{to[site.end():]}"
+            elif form == 2:
+                link, to = f"/moved{i}", f"{own[0]}/moved{i}"
+            html_ = f'<html><head><link rel="canonical" href="{link}"></head>' if i % 3 else f"<meta content='0;url={link}' http-equiv=refresh>"
+            edges.append((node(u), node(to), to))
+        rows.append((i, u, html_))
+    rows += [(500, None, None), (501, "no address", "<link rel=canonical href=http://a.net/>")]
+    rule = lambda n: max(((len(x), a == "allow", x, a) for a, x in urls.RULES if ((h := n.split("/")[0].split("?")[0]) == (s := x.split("/")[0]) or h.endswith("." + s)) and n[len(h):].split("?")[0].startswith(x[len(s):])), default=None)
+    near = {}
+    for a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, spread = {}, 0
+    for i, u, _ in rows:
+        n = node(u) if u and "://" in u else None
+        own, verdict = rule(n) if n else None, "allow"
+        if own:
+            verdict = own[3]
+        elif n in near:
+            seen, todo = {n}, [n]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            actions = {x[3] for x in map(rule, seen) if x}
+            verdict = "allow" if "allow" in actions or not actions else "block"
+            spread += bool(actions)
+        want[i] = (own[2] if own else None, verdict)
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: (x.rule, x.verdict) for x in got} == want
+    assert sum(x.propagated for x in got) == spread > 60 and {"allow", "block"} == {x.verdict for x in got if x.propagated}
+
+
 def test_warc(spark):
     big = "é" * 400_000
     rows = [(1, "http://a/", "x" * 1000), (2, "http://b/", "x" * 1000), (3, None, None), (4, "u\r\n", "short"), (5, "v", "short"), (6, "w", big), (None, "n", "x" * 1000), (7, "s", "a\r\n\r\nb")]
