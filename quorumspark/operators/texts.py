@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumspark.functions.core import u
+from quorumspark.functions.tables import PickExamples
 from quorumspark.operators.select import mark_smallest
 from quorumspark.sources.views import kept
 
@@ -151,27 +152,14 @@ RULE = "\n\n---\n\n"
 def few_shot(means: DataFrame, regions: DataFrame, available: DataFrame | None = None, levels: int = 5) -> DataFrame:
     """(indicator, level, entity, year): for each level the closest panel mean, preferring a new region and a new entity, then a new entity, then the closest.
 
-    The choice is greedy over an indicator's few levels; candidates are cut to the best of each (indicator, level, entity) first. Only cells with their documents, keys of `available`, are candidates.
+    The choice is greedy over an indicator's few levels; candidates are cut to the best of each (indicator, level, entity) first and stream through a table function. Only cells with their documents, keys of `available`, are candidates.
     """
     if available is not None:
         means = means.join(available, [c for c in available.columns if c in means.columns], "left_semi")
     rows = means.join(regions, "entity").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("dist", F.round(F.abs(F.col("raw_mean") - F.col("level")), 9)).where(F.rint("raw_mean") == F.col("level"))
     best = rows.groupBy("indicator", "level", "region", "entity").agg(F.min(F.struct("dist", "year")).alias("b")).select("indicator", "level", "region", "entity", "b.dist", "b.year")
 
-    def pick(pdf):
-        used_e, used_r, out = set(), set(), []
-        for level, g in pdf.sort_values(["level", "dist", "entity", "year"]).groupby("level", sort=True):
-            fresh = g[~g.entity.isin(used_e)]
-            both = fresh[~fresh.region.isin(used_r)]
-            r = (both if len(both) else fresh if len(fresh) else g).iloc[0]
-            used_e.add(r.entity)
-            used_r.add(r.region)
-            out.append((r.indicator, int(level), r.entity, int(r.year)))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["indicator", "level", "entity", "year"])
-
-    return best.groupBy("indicator").applyInPandas(pick, "indicator string, level int, entity string, year int")
+    return PickExamples(best.asTable())
 
 
 def rating_of(response: Column, top: int = 4) -> Column:

@@ -47,7 +47,7 @@ def _(v):
     return _track(v).select("model", "source", "named", "year", "indicator", *(six(F.col(c)).alias(c) for c in ("gap", "signed_gap", "err_source", "err_named", "track")), "cue", "flip")
 
 
-@query("g4_tracking_ci", _ci("model", _mean("model", "tr", "track")), TRACK, NAMES, WEIGHTS)
+@query("g4_tracking_ci", _ci("model", _mean("model", "tr", "track")), TRACK, NAMES, WEIGHTS, once=('means', 'swaps'))
 def _(v):
     return R.ci(R.boot_mean(_track(v), _boot(v), ["model"], F.col("track")), ["model"])
 
@@ -66,7 +66,7 @@ def _(v):
     return out.join(total, "model").select("model", "position", "win", "n", six(F.col("n") / F.col("total")).alias("retained"))
 
 
-@query("g7_channels", "SELECT model, round(avg(abs(cue)), 6) AS cue, round(avg(flip), 6) AS flip, round(regr_slope(rd, gd), 6) AS pull FROM (SELECT *, rating - avg(rating) OVER (PARTITION BY model, indicator) AS rd, signed_gap - avg(signed_gap) OVER (PARTITION BY model, indicator) AS gd FROM tr) GROUP BY model", TRACK)
+@query("g7_channels", "SELECT model, round(avg(abs(cue)), 6) AS cue, round(avg(flip), 6) AS flip, round(regr_slope(rd, gd), 6) AS pull FROM (SELECT *, rating - avg(rating) OVER (PARTITION BY model, indicator) AS rd, signed_gap - avg(signed_gap) OVER (PARTITION BY model, indicator) AS gd FROM tr) GROUP BY model", TRACK, once=('means', 'swaps'))
 def _(v):
     return I.demeaned(_track(v), ["rating", "signed_gap"], ["model", "indicator"]).groupBy("model").agg(six(F.avg(F.abs("cue"))).alias("cue"), six(F.avg("flip")).alias("flip"), six(F.regr_slope("rating_d", "signed_gap_d")).alias("pull"))
 
@@ -226,22 +226,22 @@ def _(v):
     return K.shortfall(v.means, ["year"])
 
 
-@query("i4_leading_edge", "SELECT release, edge FROM edge", _EDGE)
+@query("i4_leading_edge", "SELECT release, edge FROM edge", _EDGE, once=('releases',))
 def _(v):
     return K.leading_edge(v.releases)
 
 
-@query("i5_edge_series", "SELECT r.release, o AS offset, round(avg(n_coders), 6) AS mean_nr, count(*) AS n FROM releases r JOIN edge USING (release) CROSS JOIN (VALUES (0), (1), (2)) x(o) WHERE year = edge - o GROUP BY ALL".replace("AS offset", 'AS "offset"'), _EDGE)
+@query("i5_edge_series", "SELECT r.release, o AS offset, round(avg(n_coders), 6) AS mean_nr, count(*) AS n FROM releases r JOIN edge USING (release) CROSS JOIN (VALUES (0), (1), (2)) x(o) WHERE year = edge - o GROUP BY ALL".replace("AS offset", 'AS "offset"'), _EDGE, once=('releases',))
 def _(v):
     return K.edge_series(v.releases)
 
 
-@query("i6_backfill", "SELECT year, release, round(m, 6) AS mean_nr, round(m - lag(m) OVER (PARTITION BY year ORDER BY release), 6) AS gain FROM (SELECT year, release, avg(n_coders) AS m FROM releases GROUP BY ALL)")
+@query("i6_backfill", "SELECT year, release, round(m, 6) AS mean_nr, round(m - lag(m) OVER (PARTITION BY year ORDER BY release), 6) AS gain FROM (SELECT year, release, avg(n_coders) AS m FROM releases GROUP BY ALL)", once=('releases',))
 def _(v):
     return K.backfill(v.releases).select("year", "release", six(F.col("mean_nr")).alias("mean_nr"), six(F.col("gain")).alias("gain"))
 
 
-@query("i7_edge_shortfall", f"SELECT release, {_SHORT} FROM releases JOIN edge USING (release) WHERE year = edge GROUP BY release", _EDGE)
+@query("i7_edge_shortfall", f"SELECT release, {_SHORT} FROM releases JOIN edge USING (release) WHERE year = edge GROUP BY release", _EDGE, once=('releases',))
 def _(v):
     at = v.releases.join(F.broadcast(K.leading_edge(v.releases)), "release").where("year = edge")
     return K.shortfall(at, ["release"])
@@ -250,7 +250,7 @@ def _(v):
 _FILL = "fill AS (SELECT e.release AS first, r.release - e.release AS cycle, avg(n_coders) AS mean_nr, avg((n_coders < 5)::INT) AS lt_5, count(*) AS n FROM releases r JOIN edge e ON r.year = e.edge AND r.release >= e.release GROUP BY ALL)"
 
 
-@query("i8_fill_in", "SELECT first, cycle, round(mean_nr, 6) AS mean_nr, round(lt_5, 6) AS lt_5, n FROM fill", _EDGE, _FILL)
+@query("i8_fill_in", "SELECT first, cycle, round(mean_nr, 6) AS mean_nr, round(lt_5, 6) AS lt_5, n FROM fill", _EDGE, _FILL, once=('releases',))
 def _(v):
     return K.fill_in(v.releases)
 
@@ -260,7 +260,7 @@ def _(v):
     return K.before_after(v.releases, 0, 3)
 
 
-@query("i10_first_and_now", "SELECT first, round(arg_min(lt_5, cycle), 6) AS at_first, round(arg_max(lt_5, cycle), 6) AS now, max(cycle) AS cycles FROM fill GROUP BY first", _EDGE, _FILL)
+@query("i10_first_and_now", "SELECT first, round(arg_min(lt_5, cycle), 6) AS at_first, round(arg_max(lt_5, cycle), 6) AS now, max(cycle) AS cycles FROM fill GROUP BY first", _EDGE, _FILL, once=('releases',))
 def _(v):
     return K.first_and_now(K.fill_in(v.releases))
 
@@ -303,7 +303,7 @@ def _(v):
     return K.mean_increment(K.backfill(v.releases), 1995, 1998)
 
 
-@query("i18_reach", "SELECT min(release) AS first_release, max(release) AS last_release, arg_min(edge, release) AS first_edge, arg_max(edge, release) AS last_edge, min(edge) AS min_edge, max(edge) AS max_edge FROM edge", _EDGE)
+@query("i18_reach", "SELECT min(release) AS first_release, max(release) AS last_release, arg_min(edge, release) AS first_edge, arg_max(edge, release) AS last_edge, min(edge) AS min_edge, max(edge) AS max_edge FROM edge", _EDGE, once=('releases',))
 def _(v):
     return K.reach(v.releases)
 
@@ -366,7 +366,7 @@ _BUDGET = "bud AS (SELECT indicator, n, least(n, base + (row_number() OVER (ORDE
 _SAMPLE = f"samp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY (k > 2)::INT, h, entity, year, coder) AS r FROM (SELECT *, row_number() OVER (PARTITION BY indicator, rating ORDER BY h, entity, year, coder) AS k FROM (SELECT *, {_u('sample', *_KEYS)} AS h FROM pool))) JOIN bud USING (indicator) WHERE r <= budget)"
 
 
-@query("j20_intersection", "SELECT entity, year, indicator, coder, rating FROM pool", _POOL)
+@query("j20_intersection", "SELECT entity, year, indicator, coder, rating FROM pool", _POOL, once=('ratings',))
 def _(v):
     return _pool(v)
 
@@ -381,12 +381,12 @@ def _sample(v):
     return X.stratified(p, X.budgets(p, "indicator", 500), "indicator", "rating", ["entity", "year", "indicator", "coder"], 2)
 
 
-@query("j22_stratified_sample", "SELECT entity, year, indicator, coder, rating FROM samp", _POOL, _BUDGET, _SAMPLE)
+@query("j22_stratified_sample", "SELECT entity, year, indicator, coder, rating FROM samp", _POOL, _BUDGET, _SAMPLE, once=('ratings',))
 def _(v):
     return _sample(v).select(*_KEYS, "rating")
 
 
-@query("j25_coverage", "SELECT indicator, round(avg(rating), 6) AS mean_rating, count(DISTINCT rating) AS levels, count(DISTINCT entity) AS entities, count(*) AS n FROM samp GROUP BY indicator", _POOL, _BUDGET, _SAMPLE)
+@query("j25_coverage", "SELECT indicator, round(avg(rating), 6) AS mean_rating, count(DISTINCT rating) AS levels, count(DISTINCT entity) AS entities, count(*) AS n FROM samp GROUP BY indicator", _POOL, _BUDGET, _SAMPLE, once=('ratings',))
 def _(v):
     return _sample(v).groupBy("indicator").agg(six(F.avg("rating")).alias("mean_rating"), F.count_distinct("rating").alias("levels"), F.count_distinct("entity").alias("entities"), F.count("*").alias("n"))
 

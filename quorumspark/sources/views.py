@@ -90,6 +90,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def once(self, *names: str) -> "Views":
+        """Write the named derived tables to the shared folder, for queries that read them several times; what derives from them starts there."""
+        for name in names:
+            self.__dict__[name] = kept(getattr(self, name))
+        return self
+
     @cached_property
     def orders(self):
         return self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"), F.col("n_name").alias("entity"), F.col("n_regionkey").alias("region"))

@@ -206,6 +206,17 @@ def test_few_shot_is_greedy(spark):
     assert {r.level: r.entity for r in texts.few_shot(rows, regions, only).collect()} == {0: "e1", 1: "e2"}
 
 
+def test_examples_are_picked_from_sql_too(spark):
+    from quorumspark.functions import tables
+
+    tables.register(spark)
+    rows = [("i", level, dist, e, 2000, r) for level, dist, e, r in [(0, 0.1, "e1", 1), (0, 0.2, "e2", 2), (1, 0.0, "e1", 1), (1, 0.1, "e3", 1), (1, 0.3, "e2", 2), (2, 0.0, "e2", 2), (2, 0.1, "e1", 1)]] + [("j", 3, 0.5, "e9", 1999, 1)]
+    spark.createDataFrame(rows, "indicator string, level int, dist double, entity string, year int, region int").repartition(5).createOrReplaceTempView("candidates_")
+    got = spark.sql("SELECT * FROM pick_examples(TABLE(candidates_))").collect()
+    # a new region first; where there is none a new entity; else the closest
+    assert sorted((r.indicator, r.level, r.entity) for r in got) == [("i", 0, "e1"), ("i", 1, "e2"), ("i", 2, "e2"), ("j", 3, "e9")]
+
+
 def test_held_out_groups_never_train(spark):
     rows = spark.createDataFrame([(f"g{i % 40}", i) for i in range(400)], "g string, i int")
     got = texts.group_split(rows, ["g"], 0.25, 45)
