@@ -54,19 +54,27 @@ def _ahead(pattern: str) -> str:
     return f"(?md)^(?={pattern.removeprefix('^')})"
 
 
+def last_named(pieces: Column) -> Column:
+    """array<struct<section, text>> in order, without pieces that have no section or no text; of several with one section the last."""
+    some = F.filter(F.transform(pieces, lambda x: F.struct(x.section.alias("section"), stripped(x.text).alias("text"))), lambda x: x.section.isNotNull() & (x.text != ""))
+    return F.transform(F.array_distinct(F.transform(some, lambda x: x.section)), lambda name: F.element_at(F.filter(some, lambda x: x.section == name), -1))
+
+
 def sections(reports: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys..., section, text) of numbered reports: whole sections (1, 2, ...), their lettered parts (1a, 2c), and exec_summary, what stands before the first section.
+    """(keys..., section, text) of numbered reports, one a key: whole sections (1, 2, ...), their lettered parts (1a, 2c), and exec_summary, what stands before the first section.
 
-    Headers stay in the text. A letter counts at a line's start (indented or not) before a capital. Of a repeated section or part the last wins.
+    Headers stay in the text. A letter counts at a line's start (indented or not) before a capital. Of a repeated section or part the last wins. Each report is cut where it lies; texts are not shuffled.
     """
-    blocks = F.split(F.col(text), _ahead(SECTION))
-    rows = reports.select(*keys, F.posexplode(blocks).alias("pos", "block")).withColumn("number", F.regexp_extract("block", SECTION, 1))
-    own = F.when(F.col("number") != "", F.col("number")).when((F.col("pos") == 0) & ~F.col("block").rlike(r"^Section\s+\d+"), "exec_summary")
-    parts = F.transform(F.split("block", _ahead(LETTER)), lambda x, i: F.struct((i + 1).alias("sub"), F.regexp_extract(x, r"^ *([a-g])\.", 1).alias("letter"), x.alias("text")))
-    parts = F.transform(F.filter(parts, lambda x: (F.col("number") != "") & (x.letter != "")), lambda x: F.struct(x.sub.alias("sub"), F.concat("number", x.letter).alias("section"), x.text.alias("text")))
-    found = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("sub"), own.alias("section"), F.col("block").alias("text"))), parts)).alias("x")
-    rows = rows.select(*keys, "pos", found).select(*keys, F.struct("pos", "x.sub").alias("at"), "x.section", stripped(F.col("x.text")).alias("text"))
-    return rows.where("section IS NOT NULL AND text <> ''").groupBy(*keys, "section").agg(F.max_by("text", "at").alias("text"))
+
+    def cut(block, pos):
+        number = F.regexp_extract(block, SECTION, 1)
+        own = F.when(number != "", number).when((pos == 0) & ~block.rlike(r"^Section\s+\d+"), "exec_summary")
+        parts = F.filter(F.split(block, _ahead(LETTER)), lambda x: (number != "") & (F.regexp_extract(x, r"^ *([a-g])\.", 1) != ""))
+        lettered = F.transform(parts, lambda x: F.struct(F.concat(number, F.regexp_extract(x, r"^ *([a-g])\.", 1)).alias("section"), x.alias("text")))
+        return F.concat(F.array(F.struct(own.alias("section"), block.alias("text"))), lettered)
+
+    pieces = F.flatten(F.transform(F.split(F.col(text), _ahead(SECTION)), cut))
+    return reports.select(*keys, F.explode(last_named(pieces)).alias("x")).select(*keys, "x.section", "x.text")
 
 
 def clean_second_source(c: Column) -> Column:
@@ -79,11 +87,14 @@ def clean_second_source(c: Column) -> Column:
 
 def lettered_blocks(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys..., section, text): blocks A-G of the second source with their headings, and exec_summary, what stands before the first."""
-    parts = rows.select(*keys, F.posexplode(F.split(clean_second_source(F.col(text)), _ahead(BLOCK))).alias("pos", "part"))
-    letter = F.regexp_extract("part", BLOCK, 1)
-    name = F.when(letter != "", letter).when(F.col("pos") == 0, "exec_summary")
-    parts = parts.select(*keys, name.alias("section"), "pos", stripped(F.col("part")).alias("text")).where("section IS NOT NULL AND text <> ''")
-    return parts.groupBy(*keys, "section").agg(F.max_by("text", "pos").alias("text"))
+
+
+    def named(part, pos):
+        letter = F.regexp_extract(part, BLOCK, 1)
+        return F.struct(F.when(letter != "", letter).when(pos == 0, "exec_summary").alias("section"), part.alias("text"))
+
+    pieces = F.transform(F.split(clean_second_source(F.col(text)), _ahead(BLOCK)), named)
+    return rows.select(*keys, F.explode(last_named(pieces)).alias("x")).select(*keys, "x.section", "x.text")
 
 
 def part_header(key: Column, year: Column) -> Column:
@@ -158,7 +169,6 @@ def few_shot(means: DataFrame, regions: DataFrame, available: DataFrame | None =
         means = means.join(available, [c for c in available.columns if c in means.columns], "left_semi")
     rows = means.join(regions, "entity").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("dist", F.round(F.abs(F.col("raw_mean") - F.col("level")), 9)).where(F.rint("raw_mean") == F.col("level"))
     best = rows.groupBy("indicator", "level", "region", "entity").agg(F.min(F.struct("dist", "year")).alias("b")).select("indicator", "level", "region", "entity", "b.dist", "b.year")
-
     return PickExamples(best.asTable())
 
 
