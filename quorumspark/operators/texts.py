@@ -54,10 +54,12 @@ def _ahead(pattern: str) -> str:
     return f"(?md)^(?={pattern.removeprefix('^')})"
 
 
-def last_named(pieces: Column) -> Column:
-    """array<struct<section, text>> in order, without pieces that have no section or no text; of several with one section the last."""
+def _last_named(rows: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
+    """(keys..., section, text) of pieces array<struct<section, text>>, without those that have no section or no text; of several with one section the last. Pieces are cut once, as a column of their own."""
     some = F.filter(F.transform(pieces, lambda x: F.struct(x.section.alias("section"), stripped(x.text).alias("text"))), lambda x: x.section.isNotNull() & (x.text != ""))
-    return F.transform(F.array_distinct(F.transform(some, lambda x: x.section)), lambda name: F.element_at(F.filter(some, lambda x: x.section == name), -1))
+    cut = rows.select(*keys, some.alias("_some"))
+    last = F.transform(F.array_distinct(F.col("_some.section")), lambda name: F.element_at(F.filter("_some", lambda x: x.section == name), -1))
+    return cut.select(*keys, F.explode(last).alias("x")).select(*keys, "x.section", "x.text")
 
 
 def sections(reports: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -74,7 +76,7 @@ def sections(reports: DataFrame, keys: list[str], text: str = "text") -> DataFra
         return F.concat(F.array(F.struct(own.alias("section"), block.alias("text"))), lettered)
 
     pieces = F.flatten(F.transform(F.split(F.col(text), _ahead(SECTION)), cut))
-    return reports.select(*keys, F.explode(last_named(pieces)).alias("x")).select(*keys, "x.section", "x.text")
+    return _last_named(reports, keys, pieces)
 
 
 def clean_second_source(c: Column) -> Column:
@@ -94,7 +96,7 @@ def lettered_blocks(rows: DataFrame, keys: list[str], text: str = "text") -> Dat
         return F.struct(F.when(letter != "", letter).when(pos == 0, "exec_summary").alias("section"), part.alias("text"))
 
     pieces = F.transform(F.split(clean_second_source(F.col(text)), _ahead(BLOCK)), named)
-    return rows.select(*keys, F.explode(last_named(pieces)).alias("x")).select(*keys, "x.section", "x.text")
+    return _last_named(rows, keys, pieces)
 
 
 def part_header(key: Column, year: Column) -> Column:
