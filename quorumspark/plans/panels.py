@@ -47,11 +47,8 @@ def _(v):
 
 @query("a4_tolerant_json", f"SELECT year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped FROM (SELECT *, {_u('line', *CELL, 'model', 'condition')} % 50 AS h FROM runs) GROUP BY year".replace("SELECT year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped", "SELECT CASE WHEN h > 2 THEN year END AS year, count(*) FILTER (h > 2) AS kept, count(*) FILTER (h = 0 OR h = 1) AS skipped").replace("GROUP BY year", "WHERE h <> 2 GROUP BY ALL"))
 def _(v):
-    folder = _run_files(v)
-    kept = read_runs(v.spark, folder).groupBy("year").agg(F.count("*").alias("kept"))
-    lines = v.spark.read.text(folder).where("trim(value) <> ''").agg(F.count("*").alias("lines"))
-    gone = lines.crossJoin(kept.agg(F.sum("kept").alias("k"))).select(F.lit(None).cast("int").alias("year"), F.lit(0).cast("long").alias("kept"), (F.col("lines") - F.col("k")).alias("skipped"))
-    return kept.withColumn("skipped", F.lit(0).cast("long")).union(gone)
+    rows = read_runs(v.spark, _run_files(v), ("year",), skipped=True)
+    return rows.groupBy("year").agg(F.count("year").alias("kept"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped")).where("kept + skipped > 0")
 
 
 _REPORTS = "SELECT CASE region WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS source, year, replace(lower(entity), ' ', '-') AS slug, 'Orders of ' || entity || chr(10) || chr(10) || 'count ' || count(*) || chr(10) || 'customers ' || sum(o_orderkey % 7) AS text FROM orders_ GROUP BY region, entity, year"

@@ -4,6 +4,7 @@ Grain: entity = nation, year = order year, indicator = part brand, coder = suppl
 re-identification logs and releases are hash-made from the panels, so they grow with the tables.
 """
 
+import json
 import tempfile
 import uuid
 from functools import cached_property
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorumspark.functions.core import u
+from quorumspark.sources import files
 
 MODELS = ("base", "base-ft", "other")
 CONDITIONS = ("codebook", "correct", "anon", "summ")
@@ -27,15 +29,22 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("rating_dist", T.ArrayType(T.DoubleType())), T.StructField("raw_mean", T.DoubleType()), T.StructField("justification", T.StringType()),
     T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("section_keys", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     T.StructField("tokens", T.StructType([T.StructField("input", T.IntegerType()), T.StructField("output", T.IntegerType())])),
-    T.StructField("raw_response", T.StringType()), T.StructField("_corrupt_record", T.StringType()),
+    T.StructField("raw_response", T.StringType()),
 ])
 
 
-def read_runs(spark: SparkSession, paths, cols=("country", "year", "indicator", "condition", "model_key", "rating"), schema=RUNS_SCHEMA) -> DataFrame:
-    """JSONL run files with a declared schema; malformed and blank lines, and lines without a key, are skipped; a -local suffix of the model is dropped."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    rows = rows.where("_corrupt_record IS NULL AND country IS NOT NULL AND year IS NOT NULL AND indicator IS NOT NULL")
-    return rows.select(*(F.regexp_replace(c, "-local$", "").alias(c) if c == "model_key" else F.regexp_replace(c, "-zeroshot$", "").alias(c) if c == "condition" else F.col(c) for c in cols))
+def _source(spark: SparkSession, name: str, paths):
+    files.register(spark)
+    return spark.read.format(name).option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("parallel", spark.sparkContext.defaultParallelism)
+
+
+def read_runs(spark: SparkSession, paths, cols=("country", "year", "indicator", "condition", "model_key", "rating"), schema=RUNS_SCHEMA, skipped: bool = False) -> DataFrame:
+    """JSONL run files with a declared schema, of which only `cols` are built; malformed and blank lines, and lines without a key, are skipped; a -local suffix of the model and a -zeroshot suffix of the condition are dropped.
+
+    Filters on columns reach the reader. skipped: a column of that name, set only in one more row of each task, with the lines that it skipped.
+    """
+    fields = [*(schema[c] for c in cols), *([T.StructField("skipped", T.LongType())] if skipped else [])]
+    return _source(spark, "panel_runs", paths).schema(T.StructType(fields)).option("required", "country,year,indicator").option("drop_suffix", "model_key=-local,condition=-zeroshot").load()
 
 
 def read_table(spark: SparkSession, path: str, schema, years=None, indicators=None) -> DataFrame:
@@ -45,12 +54,9 @@ def read_table(spark: SparkSession, path: str, schema, years=None, indicators=No
     return rows.where(F.col("indicator").isin(*indicators)) if indicators else rows
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(source, year, slug, text) of whole text files laid out as source/year/slug.txt, or as Spark writes them, source=.../year=.../slug=.../part."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    part = lambda n: F.regexp_extract("path", r"([^/=]+)/(?:year=)?(\d{4})/(?:slug=([^/]+)/[^/]+|([^/]+)\.[A-Za-z]+)$", n)
-    slug = F.url_decode(F.coalesce(F.nullif(part(3), F.lit("")), part(4)))
-    return rows.where(part(1) != "").select(part(1).alias("source"), part(2).cast("int").alias("year"), slug.alias("slug"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+def read_reports(spark: SparkSession, paths) -> DataFrame:
+    """(source, year, slug, text) of whole text files laid out as source/year/slug.txt, or as Spark writes them, source=.../year=.../slug=.../part; filters on source, year and slug leave files unopened."""
+    return _source(spark, "panel_reports", paths).load()
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
