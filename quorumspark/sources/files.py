@@ -2,7 +2,7 @@
 
 `panel_runs` reads byte ranges of JSONL files: each task parses the lines that start in its ranges. The schema that the user declares is the
 columns that are built. A line that is no JSON object, has a field of another type than declared (string columns take any value, as JSON text),
-or lacks one of the `required` keys is skipped; blank lines are no lines. A column `skipped` of the schema (long) makes every task give one
+or a null or nothing in one of the `required` columns is skipped; blank lines are no lines. A column `skipped` of the schema (long) makes every task give one
 more row that holds only the number of lines it skipped, so rows and counts come from one pass; in all other rows it is null. Suffixes named
 by `drop_suffix` ("column=suffix,...") are taken off before filters are judged.
 
@@ -20,21 +20,24 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyarrow import json as arrow_json
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _PACKED = (".gz", ".bz2", ".zst")
-_CHUNK, _ROWS, _BATCH, _LEAST = 1 << 20, 4096, 16 << 20, 4 << 20
+_CHUNK, _BATCH, _LEAST, _FEW = 1 << 20, 1 << 20, 4 << 20, 8
 _TESTS = {
-    EqualTo: lambda x, v: x == v,
-    GreaterThan: lambda x, v: x > v,
-    GreaterThanOrEqual: lambda x, v: x >= v,
-    LessThan: lambda x, v: x < v,
-    LessThanOrEqual: lambda x, v: x <= v,
-    In: lambda x, v: x in v,
+    EqualTo: lambda x, v: pc.equal(x, pa.scalar(v, x.type)),
+    GreaterThan: lambda x, v: pc.greater(x, pa.scalar(v, x.type)),
+    GreaterThanOrEqual: lambda x, v: pc.greater_equal(x, pa.scalar(v, x.type)),
+    LessThan: lambda x, v: pc.less(x, pa.scalar(v, x.type)),
+    LessThanOrEqual: lambda x, v: pc.less_equal(x, pa.scalar(v, x.type)),
+    In: lambda x, v: pc.is_in(x, pa.array([y for y in v if y is not None], x.type)),
+    IsNotNull: lambda x, v: x.is_valid(),
 }
 
 
@@ -99,14 +102,16 @@ class _Reader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             column = getattr(f, "attribute", ())  # a negated filter has none
-            if len(column) == 1 and self.judged(column[0]) and (type(f) in _TESTS or isinstance(f, IsNotNull)):
-                self.filters.append((column[0], _TESTS.get(type(f)), getattr(f, "value", None)))
+            if len(column) == 1 and self.judged(column[0]) and type(f) in _TESTS:
+                self.filters.append((column[0], type(f), getattr(f, "value", None)))
             else:
                 yield f
 
-    def passes(self, row: dict) -> bool:
-        """All pushed filters; a null passes none."""
-        return all(row.get(c) is not None and (test is None or test(row[c], v)) for c, test, v in self.filters)
+    def passing(self, rows: pa.Table) -> pa.Table:
+        """The rows that all pushed filters let through; a null passes none."""
+        for c, kind, v in self.filters:
+            rows = rows.filter(pc.and_(pc.fill_null(_TESTS[kind](rows[c], v), False), rows[c].is_valid()))
+        return rows
 
 
 def _cell(x, kind: T.DataType):
@@ -135,10 +140,14 @@ def _cell(x, kind: T.DataType):
 
 
 class RunsReader(_Reader):
+    """Whole blocks of lines go through Arrow's parser; a block that it refuses is halved down to the lines at fault, which are judged one by one."""
+
     def __init__(self, schema, options):
         super().__init__(schema, options)
         names = lambda key: [x for x in options.get(key, "").split(",") if x]
         self.required, self.suffixes = names("required"), [x.split("=", 1) for x in names("drop_suffix")]
+        if missing := [x for x in self.required if x not in schema.names]:
+            raise ValueError(f"required columns that the schema lacks: {missing}")
 
     def judged(self, name):
         return name in self.schema.names and name != "skipped"
@@ -179,42 +188,71 @@ class RunsReader(_Reader):
             if held and not first:
                 yield b"".join(held)
 
-    def parsed(self, line: bytes):
+    @staticmethod
+    def cells(line: bytes, kinds: T.StructType):
         """The cells of a line, or None where it has to be skipped. Half surrogate pairs become question marks."""
         try:
             row = json.loads(line)
             if b"\\ud" in line or b"\\uD" in line:
                 row = json.loads(json.dumps(row, ensure_ascii=False).encode("utf-8", "replace"))
-            if not isinstance(row, dict) or any(row.get(c) is None for c in self.required):
-                return None
-            cells = {f.name: _cell(row.get(f.name), f.dataType) for f in self.schema if f.name != "skipped"}
+            return _cell(row, kinds)
         except (ValueError, TypeError, OverflowError, RecursionError):
             return None
-        for c, suffix in self.suffixes:
-            if cells.get(c) is not None:
-                cells[c] = cells[c].removesuffix(suffix)
-        return cells
+
+    def parsed(self, lines: list, kinds: T.StructType, arrow: pa.Schema):
+        """Tables of the lines in order, without the lines to skip."""
+        if not any(isinstance(f.dataType, T.MapType) for f in kinds) and len(kinds) and all(x[:1] == b"{" and x[-1:] == b"}" for x in lines):
+            # lines that begin and end so hold an object each, or more: no object goes on over a line break
+            block = b"\n".join(lines)
+            try:
+                rows = arrow_json.read_json(pa.BufferReader(block), arrow_json.ReadOptions(use_threads=False, block_size=len(block) + 1), arrow_json.ParseOptions(explicit_schema=arrow, unexpected_field_behavior="ignore"))
+                rows.validate(full=True)
+                if rows.num_rows == len(lines):
+                    yield rows.select(arrow.names)
+                    return
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                pass
+        if len(lines) > _FEW:
+            half = len(lines) // 2
+            yield from self.parsed(lines[:half], kinds, arrow)
+            yield from self.parsed(lines[half:], kinds, arrow)
+            return
+        rows = [x for x in (self.cells(line, kinds) for line in lines) if x is not None]
+        yield pa.Table.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
 
     def read(self, partition: Pieces):
-        arrow = to_arrow_schema(self.schema)
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
-        skipped, rows, held = 0, [], 0
-        for line in (x for piece in partition.pieces for x in self.lines(piece)):
-            if not line.strip():
-                continue
-            cells = self.parsed(line)
-            if cells is None:
-                skipped += 1
-            elif self.passes(cells):
-                rows.append(cells)
+        kinds = T.StructType([f for f in self.schema if f.name != "skipped"])
+        whole, arrow = to_arrow_schema(self.schema), to_arrow_schema(kinds)
+        n_lines = n_good = 0
+
+        def judged(lines):
+            nonlocal n_lines, n_good
+            rows = pa.concat_tables(self.parsed(lines, kinds, arrow))
+            for c in self.required:
+                rows = rows.filter(rows[c].is_valid())
+            n_lines += len(lines)
+            n_good += rows.num_rows
+            for c, suffix in self.suffixes:
+                if c in rows.column_names:
+                    rows = rows.set_column(rows.column_names.index(c), arrow.field(c), pc.replace_substring_regex(rows[c], re.escape(suffix) + "$", ""))
+            return whole_rows(self.passing(rows))
+
+        def whole_rows(rows):
+            cols = [rows[f.name] if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type) for f in whole]
+            return pa.Table.from_arrays(cols, schema=whole).combine_chunks().to_batches()
+
+        lines, held = [], 0
+        for line in (x.strip() for piece in partition.pieces for x in self.lines(piece)):
+            if line:
+                lines.append(line)
                 held += len(line)
-                if len(rows) == _ROWS or held > _BATCH:
-                    yield batch(rows)
-                    rows, held = [], 0
-        if "skipped" in self.schema.names and not self.filters:
-            rows.append({"skipped": skipped})
-        if rows:
-            yield batch(rows)
+                if held > _BATCH:
+                    yield from judged(lines)
+                    lines, held = [], 0
+        if lines:
+            yield from judged(lines)
+        if "skipped" in whole.names and not self.filters:
+            yield pa.RecordBatch.from_arrays([pa.array([n_lines - n_good if f.name == "skipped" else None], f.type) for f in whole], schema=whole)
 
 
 class PanelRuns(DataSource):
@@ -246,7 +284,9 @@ class ReportsReader(_Reader):
         return {"source": unquote(m[1]) if spark else m[1], "year": int(m[2]), "slug": unquote(m[3]) if spark else m[4]}
 
     def partitions(self):
-        found = [(Piece(root, path, 0, None), n) for root in self.paths for path, n in _files(root) if (at := self.place(path)) and self.passes(at)]
+        found = [(Piece(root, path, 0, None), n, at) for root in self.paths for path, n in _files(root) if (at := self.place(path))]
+        places = pa.Table.from_pylist([at | {"i": i} for i, (_, _, at) in enumerate(found)], pa.schema([("source", pa.string()), ("year", pa.int32()), ("slug", pa.string()), ("i", pa.int64())]))
+        found = [found[i][:2] for i in self.passing(places)["i"].to_pylist()]
         return _dealt(found, self.size(sum(n for _, n in found)))
 
     def read(self, partition: Pieces):

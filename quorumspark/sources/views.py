@@ -43,8 +43,10 @@ def read_runs(spark: SparkSession, paths, cols=("country", "year", "indicator",
 
     Filters on columns reach the reader. skipped: a column of that name, set only in one more row of each task, with the lines that it skipped.
     """
-    fields = [*(schema[c] for c in cols), *([T.StructField("skipped", T.LongType())] if skipped else [])]
-    return _source(spark, "panel_runs", paths).schema(T.StructType(fields)).option("required", "country,year,indicator").option("drop_suffix", "model_key=-local,condition=-zeroshot").load()
+    keys = ("country", "year", "indicator")
+    more = [T.StructField("skipped", T.LongType())] if skipped else []
+    rows = _source(spark, "panel_runs", paths).schema(T.StructType([*(schema[c] for c in dict.fromkeys((*keys, *cols))), *more]))
+    return rows.option("required", ",".join(keys)).option("drop_suffix", "model_key=-local,condition=-zeroshot").load().select(*cols, *(f.name for f in more))
 
 
 def read_table(spark: SparkSession, path: str, schema, years=None, indicators=None) -> DataFrame:
