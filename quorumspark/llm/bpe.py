@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from quorumspark.llm.suffix import _ramp
 NONE = np.int64(1 << 40)
 #: Units of more characters are not put in the corpus's table, which bounds its size.
 LONGEST = 64
+#: Units or ids that a task lays out at a time; a text of more stands alone.
+PIECE = 1 << 18
 #: A pattern of which it is known that a space between two other characters always begins a match.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -272,13 +275,14 @@ def _encoder(merges, table, pattern, cache):
         known = None
         for b in batches:
             if known is None or len(known.units) > cache + len(table.value[0]):
+                known = None  # or the old one would be held until the new one is made
                 known = _Units(merges.value, pattern, table.value)
             rows = [known.rows(t) if t else np.zeros(0, np.int32) for t in b.column(1).to_pylist()]
             known.settle()
-            # about a million units at a time, so that the ids of a batch are made in pieces
+            # about PIECE units at a time, so that the ids of a batch are made in pieces
             edge, i = np.cumsum([len(r) for r in rows]), 0
             while i < len(rows):
-                j = max(i + 1, int(np.searchsorted(edge, (edge[i - 1] if i else 0) + (1 << 20), "right")))
+                j = max(i + 1, int(np.searchsorted(edge, (edge[i - 1] if i else 0) + PIECE, "right")))
                 flat, size = gather(known.unit_ids, known.unit_stop, np.concatenate(rows[i:j]))
                 per_row = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum([len(r) for r in rows[i:j]])))]
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), pa.array(flat))], ["id", "ids"])
@@ -293,6 +297,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     A null or empty text has no ids. Rows that repeat, or whose id is null or repeated, each give a row; other columns are not looked at; an empty
     table gives an empty result. A text is held whole in its task (about 40 bytes of memory a byte). `common` bounds the broadcast table of units (some 60 bytes each).
     """
+    rows, encoder, _ = _encoding(docs, path, pattern, id_col, text_col, common, cache)
+    return rows.mapInArrow(A.tidy(encoder), "id long, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, cache: int = 300_000) -> DataFrame:
+    """(id_col, ids array<int>, decoded binary): `decode` of `encode`, row for row, in one pass: a task has one Python worker for both, and ids go to it once."""
+    rows, encoder, merges = _encoding(docs, path, pattern, id_col, text_col, common, cache)
+    decoder = _decoder(merges)
+    return rows.mapInArrow(A.tidy(lambda batches: decoder(encoder(batches))), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+
+
+def _encoding(docs, path, pattern, id_col, text_col, common, cache):
+    """(rows of id and text, what encodes their batches, the vocabulary as a broadcast)."""
     spark = docs.sparkSession
     small_batches(spark)
     merges = spark.sparkContext.broadcast(Merges(load_ranks(path)))
@@ -301,15 +318,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     found = found.mapInArrow(A.tidy(_replayer(merges, pattern)), "unit string, ids binary").collect()
     stop = np.concatenate(([0], np.cumsum([len(r.ids) // 4 for r in found]))).astype(np.int64)
     table = spark.sparkContext.broadcast(([r.unit for r in found], np.frombuffer(b"".join(r.ids for r in found), np.int32), stop))
-    return rows.mapInArrow(A.tidy(_encoder(merges, table, pattern, cache)), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows, _encoder(merges, table, pattern, cache), merges
 
 
 def _decoder(merges):
     def run(batches):
         for b in batches:
             m, at = merges.value, b.schema.get_field_index("ids")
-            for i in range(0, len(b), 512):
-                part = b.slice(i, 512)
+            edge, i = np.cumsum(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while i < len(b):
+                j = max(i + 1, int(np.searchsorted(edge, (edge[i - 1] if i else 0) + PIECE, "right")))
+                part = b.slice(i, j - i)
+                i = j
                 column = part.column(at).fill_null(pa.scalar([], part.column(at).type)) if part.column(at).null_count else part.column(at)
                 ids = np.array(column.flatten())
                 count = np.array(column.value_lengths())

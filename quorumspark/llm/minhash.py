@@ -202,8 +202,10 @@ def _shared(n_docs, buckets):
             wide = np.zeros((len(at), 8), np.uint8)
             wide[:, :6] = low[at]
             found.append(_repeats(wide.view(np.uint64).ravel(), cls[at], copies, n_docs, salt))
+        del low, cls, chosen  # what a bucket takes is largest here
         c = np.concatenate([c for c, _ in found])
         entries = np.concatenate([e for _, e in found])
+        del found
         goal = (texts["k1"].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         o = np.lexsort((c, goal[c]))
         c, entries = c[o], entries[o]
