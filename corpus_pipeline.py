@@ -36,7 +36,7 @@ def decontamination(spark, docs, sf_dir):
 def tokens(spark, docs, sf_dir):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("tokens", tokens)]
