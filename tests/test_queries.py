@@ -258,3 +258,16 @@ def test_runs_reader_skips_broken_lines(spark, tmp_path):
 def test_bands_are_right_closed(spark):
     rows = spark.createDataFrame([(3,), (4,), (5,), (8,)], "n int").select(workforce.band(F.col("n")).alias("b")).collect()
     assert [r.b for r in rows] == ["1-3", "4", "5-7", "8+"]
+
+
+def test_rails_and_directions_of_constant_values(spark):
+    rows = [(e, y, "i", 1.0 + (y == 2001) * k / 4, 3) for k, e in enumerate(("A", "B", "C")) for y in (2000, 2001)]
+    means = spark.createDataFrame(rows, "entity string, year int, indicator string, raw_mean double, n_coders long")
+    ord_ = spark.createDataFrame([(e, y, "i", 2) for e in "AB" for y in (2000, 2001)], "entity string, year int, indicator string, ord int")
+    got = {r.rail: r for r in panel.rails(means, ord_, means.withColumn("abs_dev", F.lit(0.5))).collect()}
+    # last year's means are all 1 and so is the ordinal 2: no correlation, but an error and a count of each
+    assert math.isnan(got["persist"].r) and (got["persist"].n, got["persist"].mae) == (3, 0.25)
+    assert math.isnan(got["ord"].r) and got["ord"].n == 4 and got["rounding"].r == 0.87831
+    pairs = spark.createDataFrame([("none", 1.0, None), ("one", 1.0, 2.0), ("flat", 0.1, 1.0), ("flat", 0.1, 2.0), ("flat", 9.0, None), ("line", 1.0, 2.0), ("line", 2.0, 4.0)], "k string, x double, y double")
+    r = {k: v for k, v in pairs.groupBy("k").agg(core.corr(F.col("x"), F.col("y")).alias("r")).collect()}
+    assert r["none"] is None and math.isnan(r["one"]) and math.isnan(r["flat"]) and abs(r["line"] - 1) < 1e-12
