@@ -65,7 +65,7 @@ _SIZED += [
 
 
 def _sized(v):
-    return A.size_levels(v.releases.where("release = 3"), "posterior_sd", "n_coders", FACTORS, "entity", REFERENCE, TOP)
+    return A.size_levels(v.releases.where("release = 3"), "posterior_sd", "n_coders", FACTORS, "entity", REFERENCE, TOP, _SIZES[0])
 
 
 @query("e9_size_levels", "SELECT series, size, round(est, 6) AS est, round(se, 6) AS se FROM levels_", *_SIZED)

@@ -100,6 +100,22 @@ def test_size_levels_and_marginals_equal_numpy(spark):
     assert zones["low"].positions == 2 and np.isclose(zones["high"].mean_d, np.diff(full)[2:].mean(), atol=1e-6)
 
 
+def test_sizes_that_do_not_occur_have_rows_without_estimates(spark):
+    rows = [(f"e{i % 5}", f"i{i % 3}", 9 - (i % 7 == 0) * 5, float(i % 11)) for i in range(60)]  # 4 and 9, of 2 to 6 or more
+    df = spark.createDataFrame(rows, "entity string, item string, n int, y double")
+    levels, steps = absorb.size_levels(df, "y", "n", ["entity", "item"], "entity", 5, 6, 2)
+    level, step = ({(r.series, r["size"]): r for r in t.collect()} for t in (levels, steps))
+    assert set(level) == {(s, n) for s in ("raw", "adjusted") for n in range(2, 7)} and set(step) == {(s, n) for s in ("raw", "adjusted") for n in range(3, 7)}
+    assert all(np.isnan(r.est) for r in level.values()) and all(np.isnan(r.d) and np.isnan(r.se) for r in step.values())
+    assert {k for k, r in level.items() if not np.isnan(r.se)} == {("adjusted", 5)} and level["adjusted", 5].se == 0
+    zones = {r.zone: r for r in absorb.zones(steps.where("series = 'adjusted'"), {"low": (2, 3), "high": (4, 99)}).collect()}
+    assert (zones["low"].positions, zones["high"].positions) == (1, 3) and np.isnan(zones["high"].mean_d) and np.isnan(zones["low"].most_d)
+    # all sizes occur, but two entities have one size each: the size is the entity
+    own = spark.createDataFrame([(f"e{i % 2}", "i", 2 + i % 2, float(i % 5)) for i in range(20)], "entity string, item string, n int, y double")
+    got = {(r.series, r["size"]): r.est for r in absorb.size_levels(own, "y", "n", ["entity", "item"], "entity", 2, 3, 2)[0].collect()}
+    assert np.isclose(got["raw", 2], 2.0) and np.isnan(got["adjusted", 3])
+
+
 def test_empty_fit_and_groupings(spark):
     none = spark.createDataFrame([], "a string, x double, y double")
     fit = absorb.fit(none, F.col("y"), {"x": F.col("x")}, ["a"], "a")
