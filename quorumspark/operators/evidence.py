@@ -2,7 +2,7 @@
 
 A shelf is a table (source, *keys, text) with one report a source and key: `first` is numbered (sections 1, 1a, ...), `second` lettered (A..G), and `third`
 stands for section 2c of the first, which only refers to it. A plan is a table (indicator, source, pos, section, part): which sections an indicator
-reads of a source, in order; part names a part of section 6. `indicators` lists all (indicator, source), also those without a section. Plans are configuration: Spark decides by their size how they are joined.
+reads of a source, in order; part names a part of section 6. `indicators` lists all (indicator, source), also those without a section. Plans are configuration: they go to every task, and Spark decides by their size elsewhere.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -34,26 +34,60 @@ def _plans(indicators, plan):
     return indicators.join(flags, ["indicator", "source"], "left").select("indicator", "source", (F.coalesce("only", F.lit(False)) & (F.col("source") == "first")).alias("only_redirect"))
 
 
+def _by_key(sections: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, _all array<struct<source, section, text>>): the sections that are needed (source, section), one row a key. The only place where texts are shuffled; they are dealt before they are collected, so that tasks sort their part and no more."""
+    rows = sections.join(F.broadcast(needed.distinct()), ["source", "section"], "left_semi")
+    return rows.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("source", "section", "text")).alias("_all"))
+
+
+def _of(source, section):
+    return F.filter("_all", lambda x: (x.source == source) & (x.section == section))
+
+
+def _items(plan: DataFrame, *cols) -> DataFrame:
+    """(indicator, source, items array<struct<pos, ...>>): what a plan reads, a row an indicator and source."""
+    return plan.groupBy("indicator", "source").agg(F.collect_list(F.struct("pos", *cols)).alias("items"))
+
+
+def _found(items, text):
+    """array<struct<pos, text>>, in order, of the sections that are items of a source; `text` makes the text of a section for an item."""
+    hits = F.flatten(F.transform(items, lambda i: F.transform(_of(i.source, i.section), lambda x: F.struct(i.pos.alias("pos"), text(i, x).alias("text")))))
+    return F.sort_array(hits)
+
+
+def _in_order(hits):
+    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, lambda x: x.text), RULE))
+
+
 def evidence(shelf: DataFrame, indicators: DataFrame, plan: DataFrame, keys: list[str], year: str = "year") -> DataFrame:
     """(*keys, indicator, source, evidence, n_sections) for every report and indicator with some text.
 
     Sections in the order of the plan, RULE between them; a redirected section brings the third source's text, last; of section 6 only the part that the plan names, or
     all of it where the report has no such part. A report with none of its sections gives its summary, but not where the plan only redirects.
+
+    The sections that the plan needs meet in one row a key, once; texts of indicators are put together there. Plans and indicators go to every task.
     """
-    found = parsed(shelf, keys)
-    body = plan.where(F.col("section") != REDIRECT).join(found, ["source", "section"])
-    part = F.when((F.col("section") == "6") & F.col("part").isNotNull(), named_part(F.col("text"), part_header(F.col("part"), F.col(year))))
-    body = body.select(*keys, "indicator", "source", "pos", F.coalesce(part, F.col("text")).alias("text"))
-    third = shelf.where("source = 'third' AND text <> ''").join(shelf.where("source = 'first'").select(*keys), keys, "left_semi")
-    moved = plan.where((F.col("section") == REDIRECT) & (F.col("source") == "first")).select("indicator", "source").distinct()
-    body = body.union(third.select(*keys, "text").crossJoin(moved).select(*keys, "indicator", "source", F.lit(1 << 30), "text"))
-    whole = _joined(body, [*keys, "indicator", "source"])
-    summary = found.where("section = 'exec_summary'").select("source", *keys, F.col("text").alias("_summary"))
-    reports = shelf.where("source <> 'third'").select("source", *keys).join(summary, ["source", *keys], "left")
-    grid = reports.join(_plans(indicators, plan), "source")
-    out = grid.join(whole, [*keys, "indicator", "source"], "left")
-    text = F.coalesce("evidence", F.when(~F.col("only_redirect"), F.col("_summary")))
-    return out.select(*keys, "indicator", "source", text.alias("evidence"), F.coalesce("n_sections", F.lit(0)).alias("n_sections")).where("evidence IS NOT NULL")
+    moved = (F.col("section") == REDIRECT) & (F.col("source") == "first")
+    # the third source's text is one more section of the first, and its report a section without a text
+    third = shelf.where("source = 'third' AND text <> ''").select(F.lit("first").alias("source"), *keys, F.lit("third").alias("section"), "text")
+    reports = shelf.where("source = 'first'").select("source", *keys, F.lit("report").alias("section"), F.lit(None).cast("string").alias("text"))
+    names = plan.where(F.col("section") != REDIRECT).select("source", "section").union(plan.select("source", F.lit("exec_summary"))).union(indicators.select("source", F.lit("exec_summary")))
+    names = names.union(plan.where(moved).select("source", F.lit("third"))).union(plan.where(moved).select("source", F.lit("report")))
+    rows = _by_key(parsed(shelf, keys).union(third).union(reports), names, keys)
+    body = plan.where(F.col("section") != REDIRECT).select("indicator", "source", "pos", "section", "part")
+    body = body.union(plan.where(moved).select("indicator", "source", F.lit(1 << 30), F.lit("third"), F.lit(None).cast("string")).distinct())
+    wanted = _plans(indicators, plan).join(_items(body, "source", "section", "part"), ["indicator", "source"], "left")
+
+    def text(i, x):
+        part = F.when((i.section == "6") & i.part.isNotNull(), named_part(x.text, part_header(i.part, F.col(year))))
+        return F.coalesce(part, x.text)
+
+    some = F.filter(F.coalesce("items", F.array()), lambda i: (i.section != "third") | (F.size(_of("first", "report")) > 0))
+    each = rows.crossJoin(F.broadcast(wanted))
+    # exploded, so that what follows reads a text that is made once
+    each = each.select(*keys, "indicator", "source", "only_redirect", F.get(_of(F.col("source"), "exec_summary"), 0).text.alias("_summary"), F.explode(F.array(_found(some, text))).alias("_hits"))
+    whole = F.coalesce(_in_order(F.col("_hits")), F.when(~F.col("only_redirect"), F.col("_summary")))
+    return each.select(*keys, "indicator", "source", F.explode(F.array(whole)).alias("evidence"), F.size("_hits").cast("long").alias("n_sections")).where("evidence IS NOT NULL")
 
 
 def plain_evidence(shelf: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,17 +125,24 @@ def section_work(plan: DataFrame, reports: DataFrame, done: DataFrame, keys: lis
 
 
 def assembled(cached: DataFrame, indicators: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, indicator, text): one text from kept sections (source, *keys, section, text): each source's label and sections, summaries by the rule of `evidence`; nothing kept, no row."""
+    """(*keys, indicator, text): one text from kept sections (source, *keys, section, text): each source's label and sections, summaries by the rule of `evidence`; nothing kept, no row. Kept sections that the plan needs meet in one row a key, once."""
     of_first = F.col("source") == "first"
     name = F.when(of_first, cache_name(F.col("section"), F.col("part"))).otherwise(F.col("section"))
-    body = plan.select("indicator", "source", "pos", name.alias("section")).join(cached, ["source", "section"])
-    whole = _joined(body, [*keys, "indicator", "source"])
-    summary = cached.where("section = 'exec_summary'").select("source", *keys, F.col("text").alias("_summary"))
-    grid = summary.join(_plans(indicators, plan), "source").where(~F.col("only_redirect"))
-    each = grid.join(whole, [*keys, "indicator", "source"], "full_outer").select(*keys, "indicator", "source", F.coalesce("evidence", "_summary").alias("text"))
+    body = plan.select("indicator", "source", "pos", name.alias("section"))
+    names = body.select("source", "section").union(indicators.select("source", F.lit("exec_summary")))
+    summary = _plans(indicators, plan).select("indicator", "source", (~F.col("only_redirect")).alias("summary"))
+    wanted = _items(body, "source", "section").join(summary, ["indicator", "source"], "full_outer")
+    wanted = wanted.groupBy("indicator").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("items", F.array()).alias("items"), F.coalesce("summary", F.lit(False)).alias("summary")))).alias("wanted"))
     label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
-    each = each.withColumn("text", F.concat(F.lit("*"), F.try_element_at(label, F.col("source")), F.lit("*\n\n"), F.col("text")))
-    return each.groupBy(*keys, "indicator").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "text"))), lambda x: x.text), RULE).alias("text"))
+
+    def of_source(w):
+        own = F.coalesce(_in_order(_found(w["items"], lambda i, x: x.text)), F.when(w.summary, F.get(_of(w.source, "exec_summary"), 0).text))
+        return F.concat(F.lit("*"), F.try_element_at(label, w.source), F.lit("*\n\n"), own)
+
+    each = _by_key(cached, names, keys).crossJoin(F.broadcast(wanted))
+    # exploded, so that what follows reads a text that is made once
+    each = each.select(*keys, "indicator", F.explode(F.array(F.filter(F.transform("wanted", of_source), lambda x: x.isNotNull()))).alias("_texts"))
+    return each.where(F.size("_texts") > 0).select(*keys, "indicator", F.explode(F.array(F.array_join("_texts", RULE))).alias("text"))
 
 
 def available(shelf: DataFrame, plan: DataFrame, indicators: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,8 +154,9 @@ def available(shelf: DataFrame, plan: DataFrame, indicators: DataFrame, keys: li
 
 
 def with_text(examples: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Examples with their text, and `missing` where none is kept."""
-    return examples.join(texts, keys, "left").withColumn("missing", F.col("text").isNull())
+    """Examples (a few, which go to every task) with their text, and `missing` where none is kept."""
+    own = texts.join(F.broadcast(examples.select(*keys).distinct()), keys, "left_semi")
+    return examples.join(own, keys, "left").withColumn("missing", F.col("text").isNull())
 
 
 def harmonised(slugs: DataFrame, overrides: DataFrame, names: DataFrame) -> DataFrame:

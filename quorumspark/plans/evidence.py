@@ -174,12 +174,14 @@ FROM documents d JOIN (VALUES (0, 'codebook', false, false), (1, 'evidence', tru
 LEFT JOIN assembled_ a ON a.doc_id = d.doc_id AND a.indicator = 'groups' LEFT JOIN evidence_ f ON f.doc_id = d.doc_id AND f.indicator = 'groups' AND f.source = 'first' LEFT JOIN evidence_ s ON s.doc_id = d.doc_id AND s.indicator = 'groups' AND s.source = 'second')""", EVIDENCE, CACHED, _EXAMPLES)
 def _(v):
     mine = F.col("indicator") == "groups"
-    found = E.with_text(_examples(v).where(mine), _assembled(v), ["doc_id", "indicator"]).where("NOT missing")
+    indicators, plan = v.indicators.where(mine), v.plan.where(mine)
+    kept = E.assembled(_cached(v), indicators, plan, KEYS)
+    found = E.with_text(_examples(v).where(mine), kept, ["doc_id", "indicator"]).where("NOT missing")
     # a few examples of one indicator: every prompt has the same ones
     shots = found.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("entity", "k", "year", F.col("raw_mean").cast("double").alias("raw_mean"), "text"))), lambda x: x.dropFields("k")).alias("examples"))
-    both = E.evidence(v.shelf, v.indicators.where(mine), v.plan.where(mine), KEYS + ["year"]).groupBy("doc_id").agg(*(F.max(F.when(F.col("source") == s, F.col("evidence"))).alias(s) for s in ("first", "second")))
+    both = E.evidence(v.shelf, indicators, plan, KEYS + ["year"]).groupBy("doc_id").agg(*(F.max(F.when(F.col("source") == s, F.col("evidence"))).alias(s) for s in ("first", "second")))
     rows = v.table("documents").select("doc_id", "lang", (2016 + F.col("doc_id") % 8).cast("string").alias("year"), F.element_at(F.array(*map(F.lit, CONDITIONS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("condition"))
-    rows = rows.join(both, "doc_id", "left").join(_assembled(v).where(mine).select("doc_id", F.col("text").alias("kept")), "doc_id", "left").crossJoin(F.broadcast(shots))
+    rows = rows.join(both, "doc_id", "left").join(kept.select("doc_id", F.col("text").alias("kept")), "doc_id", "left").crossJoin(F.broadcast(shots))
     hide, shown = F.col("condition").startswith("anonymized"), F.col("condition").isin("evidence", "anonymized")
     none = F.lit("[no text]")
     evidence = lambda c: F.concat(F.coalesce(c, none), F.lit("\n"))
@@ -206,10 +208,24 @@ def _(v):
 _RECORDS = f"""records_ AS (SELECT doc_id, indicator, coder, a.text FROM (SELECT doc_id, indicator, unnest(range(0, {_u('coders', 'doc_id', 'indicator')} % 4)) AS coder FROM documents CROSS JOIN (SELECT DISTINCT indicator FROM indicators_)) LEFT JOIN assembled_ a USING (doc_id, indicator))"""
 
 
-def _records(v):
+def _coded(v):
+    """(doc_id, indicator, coder): which coders rate which document."""
     names = v.indicators.select("indicator").distinct()
     rows = v.table("documents").select("doc_id").crossJoin(F.broadcast(names)).withColumn("n", u("coders", "doc_id", "indicator") % 4).where("n > 0")
-    return rows.select("doc_id", "indicator", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("coder")).join(_assembled(v), ["doc_id", "indicator"], "left")
+    return rows.select("doc_id", "indicator", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("coder"))
+
+
+def _records(v, **of):
+    """Ratings with what is asked of their texts, null where there is none: it is made before the join, so texts are not shuffled for it."""
+    made = _assembled(v).select("doc_id", "indicator", *(c.alias(n) for n, c in of.items()))
+    return _coded(v).join(made, ["doc_id", "indicator"], "left")
+
+
+def _rated_texts(v):
+    """(doc_id, indicator, coder, text) of ratings that have a text: a document's ratings come to its texts, which stay where they were put together."""
+    given = _coded(v).groupBy("doc_id").agg(F.collect_list(F.struct("indicator", "coder")).alias("given"))
+    both = _assembled(v).join(given.hint("shuffle_hash"), "doc_id")
+    return both.select("doc_id", "indicator", "text", F.explode(F.filter("given", lambda x: x.indicator == F.col("indicator"))).alias("x")).select("doc_id", "indicator", "x.coder", "text")
 
 
 _ASK = "Rate the text from 0 to 4."
@@ -218,20 +234,20 @@ _RATED = f"({_u('coder_rating', 'doc_id', 'indicator', 'coder')} % 5)"
 
 @texts("j13_rating_records", f"SELECT doc_id, indicator, coder, 3::BIGINT AS n_messages, 'system>user>assistant' AS roles, md5('{_ASK}' || chr(10) || text) AS asked, '{{\"rating\": ' || {_RATED}::VARCHAR || '}}' AS answer FROM records_ WHERE text IS NOT NULL", CACHED, _RECORDS)
 def _(v):
-    records = E.training_records(_records(v), F.lit("You rate texts."), F.concat(F.lit(_ASK + "\n"), F.col("text")), u("coder_rating", "doc_id", "indicator", "coder") % 5, "text", ["doc_id", "indicator", "coder"])
+    records = E.training_records(_rated_texts(v), F.lit("You rate texts."), F.concat(F.lit(_ASK + "\n"), F.col("text")), u("coder_rating", "doc_id", "indicator", "coder") % 5, "text", ["doc_id", "indicator", "coder"])
     m = lambda i: F.col("messages")[i]["content"]
     return records.select("doc_id", "indicator", "coder", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda x: x.role), ">").alias("roles"), F.md5(m(1)).alias("asked"), m(2).alias("answer"))
 
 
 @texts("j14_training_cells", "SELECT indicator, count(*) FILTER (text IS NOT NULL) AS written, count(*) FILTER (text IS NULL) AS skipped, count(DISTINCT doc_id) FILTER (text IS NOT NULL) AS cells FROM records_ GROUP BY indicator", CACHED, _RECORDS)
 def _(v):
-    has = F.col("text").isNotNull()
-    return _records(v).groupBy("indicator").agg(F.count_if(has).alias("written"), F.count_if(~has).alias("skipped"), F.count_distinct(F.when(has, F.col("doc_id"))).alias("cells"))
+    has = F.col("has").isNotNull()
+    return _records(v, has=F.col("text").isNotNull()).groupBy("indicator").agg(F.count_if(has).alias("written"), F.count_if(~has).alias("skipped"), F.count_distinct(F.when(has, F.col("doc_id"))).alias("cells"))
 
 
 @texts("j14_char_lengths", "SELECT indicator, n, a[1] AS min, " + ", ".join(f"a[j{p}] + (a[j{p} + 1] - a[j{p}]) * ({p} * (n + 1) / 100.0 - j{p})::DOUBLE AS p{p}" for p in (50, 90, 95, 99)) + ", a[n] AS max FROM (SELECT *, " + ", ".join(f"greatest(1, least(n - 1, {p} * (n + 1) // 100)) AS j{p}" for p in (50, 90, 95, 99)) + " FROM (SELECT indicator, count(*) AS n, list_sort(list(length(text))) AS a FROM records_ WHERE text IS NOT NULL GROUP BY indicator))", CACHED, _RECORDS)
 def _(v):
-    rows = _records(v).where("text IS NOT NULL").withColumn("n_chars", F.length("text").cast("long"))
+    rows = _records(v, n_chars=F.length("text").cast("long")).where("n_chars IS NOT NULL")
     return X.char_percentiles(rows, "n_chars", ["indicator"])
 
 
@@ -243,7 +259,7 @@ def _(v):
 
 @texts("j24_canonical", "SELECT doc_id, indicator, coder, md5(text) AS digest FROM records_ WHERE text IS NOT NULL", CACHED, _RECORDS)
 def _(v):
-    return X.canonical(_records(v).where("text IS NOT NULL").select("doc_id", "indicator", "coder", _md5("text")), ["doc_id", "indicator", "coder"])
+    return X.canonical(_records(v, digest=_md5("text")).where("digest IS NOT NULL").select("doc_id", "indicator", "coder", "digest"), ["doc_id", "indicator", "coder"])
 
 
 _ANSWERS = {
